@@ -1,6 +1,6 @@
 """Packing documents into fixed-size token sequences: shortest-pack-first over the length histogram.
 
-1. Every document is encoded once, ended by token 0, and cut into pieces of ``capacity`` tokens and a rest.
+1. Every document is encoded once, ended by token 0, and cut into pieces of ``capacity`` tokens and one or two for the rest.
    Only the pieces' sizes and checksums are kept (staged), never the ids.
 2. The histogram of piece lengths, at most ``capacity`` rows however large the corpus, goes to the driver.
    There, lengths are placed longest first. The pieces of a length go to the shortest open packs that have
@@ -89,6 +89,18 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
+    """Where a document of n tokens is cut: whole sequences, then half a one if the rest is longer than that. A
+    rest over half the capacity could share its sequence with few others, which costs padding."""
+    ends = [*range(capacity, n + 1, capacity)]
+    at = ends[-1] if ends else 0
+    if n - at > capacity // 2:
+        ends.append(at + capacity // 2)
+    if not ends or ends[-1] < n:
+        ends.append(n)
+    return list(zip([0, *ends], ends, strict=False))
+
+
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
@@ -105,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                 data += last
                 n = len(data) // 4
                 view = memoryview(data)
-                rows += [(doc, a, min(capacity, n - a), zlib.crc32(view[4 * a : 4 * (a + capacity)]), n) for a in range(0, n, capacity)]
+                rows += [(doc, a, b - a, zlib.crc32(view[4 * a : 4 * b]), n) for a, b in cuts(n, capacity)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -117,8 +129,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns (their lengths with how often each occurs, in order of placing) and how many packs have each.
 
-    Longest lengths first; each goes to the open packs that are shortest, all packs of a pattern at once,
-    several pieces to a pack only when every open pack has become as long. New packs open if none has room.
+    Longest lengths first; each piece goes to the open pack that is shortest, all packs of a pattern at once. If
+    no open pack has room a new one opens, and takes pieces of this length while it has room.
     """
     shortest: list[tuple[int, int, tuple]] = []  # (filled, serial, lengths): a heap of open patterns
     count: dict[int, int] = {}
@@ -129,23 +141,25 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
         while left > 0:
             if shortest and shortest[0][0] + length <= capacity:
                 filled, key, lengths = heapq.heappop(shortest)
-                packs = count.pop(key)
-            else:
-                filled, lengths, packs = 0, (), left
-            used = min(packs, left)
+                packs, times = count.pop(key), 1
+            else:  # a new pack is the shortest until it has no room left, so it takes all it can
+                times = min(left, capacity // length)
+                filled, lengths, packs = 0, (), left // times
+            used = min(packs, left // times)
             if used < packs:  # the others stay as they are
                 heapq.heappush(shortest, (filled, serial, lengths))
                 count[serial] = packs - used
                 serial += 1
-            left -= used
+            left -= used * times
+            filled += times * length
             if lengths and lengths[-1][0] == length:
-                lengths = (*lengths[:-1], (length, lengths[-1][1] + 1))
+                lengths = (*lengths[:-1], (length, lengths[-1][1] + times))
             else:
-                lengths = (*lengths, (length, 1))
-            if filled + length == capacity:
+                lengths = (*lengths, (length, times))
+            if filled == capacity:
                 done.append((lengths, used))
             else:
-                heapq.heappush(shortest, (filled + length, serial, lengths))
+                heapq.heappush(shortest, (filled, serial, lengths))
                 count[serial] = used
                 serial += 1
     return [(list(p), n) for p, n in done + [(x[2], count[x[1]]) for x in sorted(shortest)]]

@@ -253,7 +253,7 @@ class Scanner:
 
 @lru_cache(maxsize=4)
 def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
-    """Built once, on the driver; tasks get the finished arrays."""
+    """Built once in each worker process."""
     patterns = tuple(r.pattern for r in rules)
     return Scanner(rules, build(patterns, True), [build((p,), False) for p in patterns], [build((p,), False, True) for p in patterns])
 
