@@ -1,10 +1,6 @@
 """Registered queries and the SQL that must give the same rows."""
 
-from __future__ import annotations
+from . import curation, entities, ingest, relational, retrieval, streams, text, trends
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "curation", "entities", "ingest", "relational", "retrieval", "streams", "text", "trends"]
