@@ -44,7 +44,7 @@ def trailing_burst(cur: Column, baseline: Column) -> Column:
 
 
 def novelty(age_hours: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(age_hours, F.lit(0.0)) / cfg.novelty_half_life_hours), F.lit(0.0))
+    return F.when(age_hours.isNull(), 0.0).otherwise(F.pow(F.lit(0.5), F.greatest(age_hours, F.lit(0.0)) / cfg.novelty_half_life_hours))
 
 
 def source_diversity(sources: Column, articles: Column) -> Column:
@@ -85,7 +85,7 @@ def freshness(age_hours: Column, half_life: float = 24.0) -> Column:
     """Half after each half-life; 0.5 for an unknown age, 1 for a half-life of none."""
     if half_life <= 0:
         return F.when(age_hours.isNull(), 0.5).otherwise(1.0)
-    return F.coalesce(F.least(F.lit(1.0), F.pow(F.lit(0.5), F.greatest(age_hours, F.lit(0.0)) / half_life)), F.lit(0.5))
+    return F.when(age_hours.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.pow(F.lit(0.5), F.greatest(age_hours, F.lit(0.0)) / half_life)))
 
 
 #: Weights of semantic, text, freshness and reliability, for articles and for cards.

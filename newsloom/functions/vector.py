@@ -47,4 +47,4 @@ def parse(literal: Column) -> Column:
 
 
 def to_literal(a: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_number(x.cast("double"), "0.0000000")), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string("%.7f", x.cast("double"))), ","), F.lit("]"))
