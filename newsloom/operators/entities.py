@@ -145,3 +145,21 @@ def dominant(mentions: DataFrame, key: str, types: tuple[str, ...]) -> DataFrame
     """The entity with most mentions of each cluster, of the types that anchor topics; ties by name."""
     s = mentions.where(F.col("entity_type").isin(*types)).groupBy(key, "entity_norm", "entity_type").agg(F.sum("mention_count").alias("n"))
     return s.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "entity_norm", "entity_type"))).where("i = 1").drop("i")
+
+
+def from_extraction(raw: DataFrame, types: tuple[str, ...] = ("person", "org", "place", "event", "product"), most: int = 40) -> DataFrame:
+    """Mentions out of an extractor's JSON: ``raw`` has (article_id, title, subtitle, body, json) with an array of text and
+    type. The first few, other types as misc, names of 2 to 200 characters, no noise, each name and type once;
+    with where it first stands and how often, at most 999."""
+    from newsloom.functions.query import is_noise, safe_lower
+
+    items = F.slice(F.coalesce(F.from_json("json", "array<struct<text:string,type:string>>"), F.array().cast("array<struct<text:string,type:string>>")), 1, most)
+    e = raw.select("article_id", "title", "subtitle", "body", F.posexplode(items).alias("i", "e"))
+    e = e.select("*", F.trim(safe_lower(F.col("e.text"))).alias("norm"), F.when(F.lower("e.type").isin(*types), F.lower("e.type")).otherwise("misc").alias("type"))
+    e = e.where(F.length("norm").between(2, 200) & ~is_noise(F.col("norm")))
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("article_id", "norm", "type").orderBy("i"))).where("n = 1")
+    has = lambda c: F.contains(safe_lower(F.coalesce(c, F.lit(""))), F.col("norm"))
+    whole = safe_lower(F.concat_ws(" ", "title", "subtitle", "body"))
+    count = (F.length(whole) - F.length(F.replace(whole, F.col("norm"), F.lit("")))) / F.length("norm")
+    place = F.when(has(F.col("title")), "title").when(has(F.col("subtitle")), "subtitle").otherwise("body")
+    return e.select("article_id", F.col("e.text").alias("entity_text"), F.col("norm").alias("entity_norm"), F.col("type").alias("entity_type"), place.alias("first_position"), F.least(F.greatest(count.cast("int"), F.lit(1)), F.lit(999)).alias("mention_count"))

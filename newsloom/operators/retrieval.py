@@ -167,3 +167,76 @@ def rerank_blend(ranked: DataFrame, verdicts: DataFrame, first: int = 3) -> Data
     j = ranked.join(verdicts, ["query_id", "id"], "left")
     change = F.when((F.col("rank") <= first) & F.col("answers") & (F.col("grade") >= 6), 0.30).when((F.col("rank") <= first) & (~F.col("answers") | (F.col("grade") < 4)), -0.10).otherwise(0.0)
     return j.withColumn("score", F.col("score") + F.coalesce(change, F.lit(0.0)))
+
+
+def keyword_stream(queries: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
+    """Chunks by their keywords and the questions they answer: ``queries`` (query_id, phrase, words), ``chunks`` (id, keywords,
+    questions). Candidates share a keyword or a question's word with the query; ``k`` is the stream's constant."""
+    q = queries.select("query_id", "phrase", "words", F.explode("words").alias("w"))
+    by_keyword = chunks.select("id", F.explode("keywords").alias("w")).select("id", F.lower("w").alias("w"))
+    asked = chunks.select("id", F.explode(F.array_distinct(F.flatten(F.transform("questions", lambda x: words(F.lower(x)))))).alias("w"))
+    pairs = q.select("query_id", "w").join(by_keyword.union(asked), "w").select("query_id", "id").distinct()
+    j = pairs.join(queries, "query_id").join(chunks, "id")
+    low = F.transform("questions", lambda x: F.lower(x))
+    kw = F.size(F.filter(F.transform("keywords", lambda x: F.lower(x)), lambda k: F.array_contains("words", k)))
+    phrase = F.exists(low, lambda x: F.contains(x, F.col("phrase")))
+    overlap = F.size(F.filter(F.array_distinct("words"), lambda w: F.exists(low, lambda x: F.contains(x, w))))
+    s = j.select("query_id", "id", phrase.alias("q_match"), overlap.alias("overlap"), kw.alias("kw_match"))
+    return top(s, pool, F.desc("q_match"), F.desc("overlap"), F.desc("kw_match")).withColumn("k", keyword_k(F.col("q_match"), F.col("overlap"), F.col("kw_match")))
+
+
+def rescue(asked: DataFrame, mentions: DataFrame, pool: int) -> DataFrame:
+    """Newest articles that name all critical entities of a query: a stream with the constant of rescues."""
+    need = asked.groupBy("query_id").agg(F.countDistinct("entity").alias("need"))
+    got = asked.join(mentions, "entity").groupBy("query_id", "article_id").agg(F.countDistinct("entity").alias("got"), F.max("published_at").alias("at"))
+    full = got.join(need, "query_id").where("got = need").select("query_id", F.col("article_id").alias("id"), "at")
+    return top(full, pool, F.desc_nulls_last("at"))
+
+
+def keep_critical(ranked: DataFrame, asked: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Rows of articles that name any critical entity; where a query would be left with none, all its rows."""
+    named = asked.join(mentions, "entity").select("query_id", F.col("article_id").alias("id")).distinct().withColumn("named", F.lit(True))
+    j = ranked.join(named, ["query_id", "id"], "left").withColumn("any", F.bool_or(F.coalesce("named", F.lit(False))).over(Window.partitionBy("query_id")))
+    return j.where(~F.col("any") | F.col("named")).drop("named", "any")
+
+
+def affinity_boost(ranked: DataFrame, affinity: DataFrame, mentions: DataFrame, boost: float = 0.05) -> DataFrame:
+    """Add to the score of articles that name one of a user's entities; equal scores keep their order."""
+    liked = affinity.join(mentions, "entity").select("query_id", F.col("article_id").alias("id")).distinct().withColumn("liked", F.lit(True))
+    j = ranked.join(liked, ["query_id", "id"], "left").withColumn("score", F.col("score") + F.when(F.col("liked"), boost).otherwise(0.0)).drop("liked")
+    return j.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank", "id")))
+
+
+def summary_stream(queries: DataFrame, articles: DataFrame, chunks: DataFrame, most: int = 30) -> DataFrame:
+    """The first chunk of each of the articles whose summaries are nearest; ranked by article id, as the streams that
+    fuse it expect."""
+    near = dense(queries, articles, most)
+    first = chunks.groupBy("article_id").agg(F.min_by("id", "chunk_index").alias("chunk"))
+    j = near.select("query_id", F.col("id").alias("article_id")).join(first, "article_id")
+    return j.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("article_id"))).select("query_id", F.col("chunk").alias("id"), "article_id", "rank")
+
+
+def with_fallback(narrow: DataFrame, wide: DataFrame) -> DataFrame:
+    """A query's narrow rows; its wide ones, newest first, where it has no narrow ones."""
+    empty = wide.join(narrow.select("query_id").distinct(), "query_id", "left_anti")
+    w = empty.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("at"), "id")))
+    return narrow.withColumn("fallback", F.lit(False)).unionByName(w.select(*narrow.columns).withColumn("fallback", F.lit(True)))
+
+
+def supported(claims: DataFrame, sources: DataFrame, least: float = 0.55) -> DataFrame:
+    """Each claim's (answer_id, claim_id, vec) best source of its answer by raw cosine, and whether that supports it."""
+    j = claims.join(sources.select("answer_id", "source_id", F.col("vec").alias("svec")), "answer_id", "left")
+    s = j.withColumn("cos", F.round(vector.cosine(F.col("vec"), F.col("svec")), 6))
+    best = s.withColumn("i", F.row_number().over(Window.partitionBy("answer_id", "claim_id").orderBy(F.desc_nulls_last("cos"), "source_id"))).where("i = 1")
+    return best.select("answer_id", "claim_id", "source_id", "cos", F.coalesce(F.col("cos") >= least, F.lit(False)).alias("supported"))
+
+
+def context_anchor(messages: DataFrame, standalone: Column, hours: tuple[int, ...] = (6, 24, 72), most: int = 8) -> DataFrame:
+    """The newest standalone question among the newest few of the smallest window that has one: ``messages`` (user_id,
+    age_hours, id, conv_id, text)."""
+    tries = None
+    for i, h in enumerate(hours):
+        w = messages.where(F.col("age_hours") <= h).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("age_hours", "id"))).where(F.col("n") <= most)
+        w = w.where(standalone).withColumn("window", F.lit(i))
+        tries = w if tries is None else tries.unionByName(w)
+    return tries.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("window", "n"))).where("i = 1").select("user_id", "id", "conv_id", (F.element_at(F.array(*map(F.lit, hours)), F.col("window") + 1)).alias("hours"))

@@ -1,6 +1,6 @@
 """Registered queries and the SQL that must give the same rows."""
 
-from . import curation, entities, ingest, relational, retrieval, streams, text, trends
+from . import curation, entities, ingest, queries, relational, retrieval, streams, text, trends
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "curation", "entities", "ingest", "relational", "retrieval", "streams", "text", "trends"]
+__all__ = ["ORACLE_SQL", "QUERIES", "curation", "entities", "ingest", "queries", "relational", "retrieval", "streams", "text", "trends"]
