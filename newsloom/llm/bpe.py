@@ -13,17 +13,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words and chunks of text whose ids a worker keeps.
-WORDS, CHUNKS = 1_000_000, 300_000
+#: Words and chunks of text whose ids a worker keeps, chunks in each of two generations.
+WORDS, CHUNKS = 800_000, 300_000
 #: White space of the tokenizer's expressions. Python's own class also has the four separators 1C to 1F.
 SPACE = "\t\n\v\f\r \x85\xa0  -     　"
 
@@ -84,8 +84,10 @@ class Bpe:
         self.split = regex.compile(_pattern(spec["pre_tokenizer"]))
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.spaces = re.compile(f"[{SPACE}]+")
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.odd = re.compile("[\x1c-\x1f]")
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.known: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+        self.older: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of one word."""
@@ -119,18 +121,31 @@ class Bpe:
                 tree.set(h, none if f is None else f[0] << shift | h)
         return [x for x in ids if x >= 0]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """The ids of a run without white space, and their decoded text."""
-        text = unicodedata.normalize("NFC", chunk)
-        text = text.lower() if text.isascii() else "".join(c.lower() for c in text)
-        ids: list[int] = []
-        for word in self.split.findall(text):
-            if word not in self.words:
-                if len(self.words) > WORDS:
-                    self.words.clear()
-                self.words[word] = self.encode_word(word)
-            ids += self.words[word]
-        return np.array(ids, "<u4").tobytes(), self.decode(ids)
+    def _word(self, word: str) -> tuple[bytes, str]:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > WORDS:
+                self.words.clear()
+            ids = self.encode_word(word)
+            found = self.words[word] = (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids))
+        return found
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Have the ids of these runs without white space, and their decoded text, at hand."""
+        if len(self.known[0]) > CHUNKS:
+            self.known, self.older = ({}, {}), self.known
+        (ids, said), (old_ids, old_said) = self.known, self.older
+        for chunk in chunks.difference(ids):
+            if chunk in old_ids:
+                ids[chunk], said[chunk] = old_ids[chunk], old_said[chunk]
+                continue
+            if chunk.isascii():
+                text = chunk.lower()
+            else:
+                text = "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
+            found = [self._word(w) for w in self.split.findall(text)]
+            ids[chunk] = b"".join([f[0] for f in found])
+            said[chunk] = " ".join([f[1] for f in found])
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary has no decoder: names in order, a space between."""
@@ -139,22 +154,16 @@ class Bpe:
     def encode(self, text: str) -> tuple[bytes, str]:
         """All ids as little-endian unsigned 32-bit integers, and the decoded text."""
         parts = self.cut_special.split(text) if self.cut_special and "<|" in text else [text]
-        data, said, known = [], [], self.chunks
+        data, said = [], []
         for i, part in enumerate(parts):
             if i % 2:
                 data.append(int(self.special[part]).to_bytes(4, "little"))
                 said.append(part)
                 continue
-            odd = any(c in part for c in "\x1c\x1d\x1e\x1f")
-            for chunk in self.spaces.split(part) if odd else part.split():
-                found = known.get(chunk)
-                if found is None:
-                    if len(known) > CHUNKS:
-                        known.clear()
-                    found = known[chunk] = self._chunk(chunk)
-                data.append(found[0])
-                if found[1]:
-                    said.append(found[1])
+            chunks = [c for c in self.spaces.split(part) if c] if self.odd.search(part) else part.split()
+            self._learn(set(chunks))
+            data += map(self.known[0].__getitem__, chunks)
+            said += filter(None, map(self.known[1].__getitem__, chunks))
         return b"".join(data), " ".join(said)
 
 
