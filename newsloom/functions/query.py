@@ -103,9 +103,8 @@ def decompose(text: Column, most: int = 4) -> Column:
     clean = F.transform(parts, lambda p: F.regexp_replace(F.trim(F.trim(p), F.lit('"')), r"(?iU)\s+(?:nedir|nasıl|neler|hakkında|ne oldu)\s*\??$", ""))
     good = F.filter(clean, lambda p: (F.length(p) >= 6) & (F.size(words(p)) >= 2) & (squeeze(F.lower(p)) != squeeze(F.lower(text))))
     keyed = F.transform(good, lambda p: F.struct(squeeze(F.lower(p)).alias("k"), p.alias("p")))
-    first = F.aggregate(keyed, keyed.cast("array<struct<k:string,p:string>>"), lambda a, x: a)  # keeps the type
-    keys = F.array_distinct(F.transform(first, lambda s: s["k"]))
-    once = F.slice(F.transform(keys, lambda k: F.filter(first, lambda s: s["k"] == k)[0]["p"]), 1, most)
+    keys = F.array_distinct(F.transform(keyed, lambda s: s["k"]))
+    once = F.slice(F.transform(keys, lambda k: F.filter(keyed, lambda s: s["k"] == k)[0]["p"]), 1, most)
     return F.when(F.size(once) >= 2, once).otherwise(F.array().cast("array<string>"))
 
 

@@ -46,7 +46,6 @@ def subset_edges(entities: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
     """Connected groups of names: every node takes the least name among its neighbours', and that name's own least
     name, until nothing changes. Frames are checkpointed each round where a checkpoint folder is set."""
-    spark = edges.sparkSession
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     e = e.union(e.select("y", "x")).distinct()
     e = _cut(e)
@@ -61,7 +60,6 @@ def propagate(edges: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
         if state == seen:
             break
         seen = state
-    assert spark is not None
     return label.select(F.col("x").alias("node"), F.col("label").alias("group"))
 
 
