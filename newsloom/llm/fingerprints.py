@@ -137,16 +137,13 @@ def fingerprints_with_next(docs: DataFrame, bucket_rows: int = 4000, max_buckets
     ).first()
     low = None if found["nulls"] else found["low"]
     cuts = sorted({c for c in (found["cuts"] or []) if c != low} if k > 1 else set())
-    key = F.col("doc_id")
-    bounds = F.lit(cuts).cast("array<long>") if cuts else F.array().cast("array<long>")
-    bucket = F.expr("0") if not cuts else _bucket_of(key, cuts)
-    wrap = F.when(key.eqNullSafe(F.lit(low).cast("long")), F.array(F.struct(F.lit(len(cuts)).alias("_bucket"), F.lit(True).alias("_tail"))))
-    tail = F.when(F.array_contains(bounds, key), F.array(F.struct((bucket - 1).alias("_bucket"), F.lit(True).alias("_tail"))))
-    none = F.array().cast("array<struct<_bucket:int,_tail:boolean>>")
-    own = F.array(F.struct(bucket.alias("_bucket"), F.lit(False).alias("_tail")))
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
-        F.inline(F.concat(own, F.coalesce(wrap, none), F.coalesce(tail, none))), "doc_id", "text"
-    )
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("_at", _place(F.col("doc_id"), cuts)) if cuts else docs.withColumn("_at", F.lit(0))
+    bucket, starts = F.shiftright("_at", 1), F.col("_at").bitwiseAND(F.lit(1)) == 1
+    copy = lambda to, tail: F.struct(to.cast("int").alias("_bucket"), F.lit(tail).alias("_tail"))
+    also = F.when(F.col("doc_id").eqNullSafe(F.lit(low).cast("long")), F.array(copy(F.lit(len(cuts)), True))).when(starts, F.array(copy(bucket - 1, True)))
+    sent = F.concat(F.array(copy(bucket, False)), F.coalesce(also, F.array().cast("array<struct<_bucket:int,_tail:boolean>>")))
+    placed = docs.select(F.inline(sent), "doc_id", "text")
     return (
         placed.repartitionById(len(cuts) + 1, F.col("_bucket"))
         .sortWithinPartitions("_bucket", "_tail", F.col("doc_id").asc_nulls_first(), "text")
@@ -154,15 +151,15 @@ def fingerprints_with_next(docs: DataFrame, bucket_rows: int = 4000, max_buckets
     )
 
 
-def _bucket_of(key: Column, cuts: list[int]) -> Column:
-    """How many cuts are at most the key, by bisection: a tree of comparisons would grow with the cuts, an
-    array search does not."""
+def _place(key: Column, cuts: list[int]) -> Column:
+    """Twice the number of cuts that are at most the key, and one more if the key is a cut; by bisection."""
     table = np.array(cuts, np.int64)
 
     @arrow_udf("int")
     def search(x: pa.Array) -> pa.Array:
         ids = np.asarray(x.fill_null(np.iinfo(np.int64).min))
-        return pa.array(np.searchsorted(table, ids, "right").astype(np.int32), pa.int32())
+        n = np.searchsorted(table, ids, "right")
+        return pa.array((2 * n + (table[np.maximum(n - 1, 0)] == ids)).astype(np.int32), pa.int32())
 
     return search(key)
 
