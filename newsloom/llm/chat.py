@@ -154,8 +154,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     f = formatted.withColumn("bodies", bodies)
     skipped = (F.col("n_system") + F.col("n_history")).cast("int")
     fresh = F.slice("bodies", skipped + 1, F.greatest(F.col("n_new").cast("int"), F.lit(0)))
-    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("window")) == 1
-    f = f.withColumn("with_system", first & (F.col("n_system") > 0))
+    f = f.withColumn("with_system", (F.col("n_system") > 0) & (F.col("window") <= 1))  # the turn after the system turn is at 1
     own = F.concat(F.when(F.col("with_system"), F.slice("bodies", 1, 1)).otherwise(F.array().cast("array<string>")), fresh)
     loss = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))))
     return f.select("conv_id", "window", F.transform(own, parsed).alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
