@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import neardup, packing, quality, secrets, toxicity
-from newsloom.llm.common import read_table, shared_folder, text_bytes
+from newsloom.llm.common import read_table, shared_folder, small, staged, text_bytes
 from newsloom.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,8 +31,8 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates (five-word shingles, 0.8)."""
-    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return _columns(docs.join(dropped, "doc_id", "left_anti"))
+    dropped = staged(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    return _columns(docs.join(small(dropped, dropped.count()), "doc_id", "left_anti"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
