@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from .common import gapless_rank, staged
 
 DIMENSIONS = ("size", "lang", "source", "doc_id")
-VALUE_BITS, TEXT_BITS, ID_BITS, ROUND_BITS = 20, 24, 16, 20
+VALUE_BITS, TEXT_BITS, ID_BITS, ROUND_BITS = 20, 24, 16, 14
 KEY_BITS = VALUE_BITS + TEXT_BITS + ID_BITS
 ROW_BYTES = 16
 
