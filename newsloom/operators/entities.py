@@ -161,3 +161,34 @@ def from_extraction(raw: DataFrame, types: tuple[str, ...] = ("person", "org", "
     count = (F.length(whole) - F.length(F.replace(whole, F.col("norm"), F.lit("")))) / F.length("norm")
     place = F.when(has(F.col("title")), "title").when(has(F.col("subtitle")), "subtitle").otherwise("body")
     return e.select("article_id", F.col("e.text").alias("entity_text"), F.col("norm").alias("entity_norm"), F.col("type").alias("entity_type"), place.alias("first_position"), F.least(F.greatest(count.cast("int"), F.lit(1)), F.lit(999)).alias("mention_count"))
+
+
+def resolve_cluster(answers: DataFrame, asked: DataFrame, cited: DataFrame) -> DataFrame:
+    """One cluster for each message: the best that the answer names, else the best that the query names, else of the cited
+    ones the best whose first word starts with a query word's first four letters. Each input has (message_id, cluster, rank);
+    ``cited`` also ``overlap``."""
+    tiers = [answers.select("message_id", "cluster", "rank", F.lit(0).alias("tier")), asked.select("message_id", "cluster", "rank", F.lit(1).alias("tier")), cited.where("overlap").select("message_id", "cluster", "rank", F.lit(2).alias("tier"))]
+    every = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
+    return every.withColumn("i", F.row_number().over(Window.partitionBy("message_id").orderBy("tier", "rank", "cluster"))).where("i = 1").drop("i", "rank")
+
+
+def secondary_clusters(ranked: DataFrame, primary: DataFrame, most: int = 3) -> DataFrame:
+    """The next best clusters of a message besides its primary one."""
+    rest = ranked.join(primary.select("message_id", "cluster"), ["message_id", "cluster"], "left_anti")
+    return rest.withColumn("place", F.row_number().over(Window.partitionBy("message_id").orderBy("rank", "cluster"))).where(F.col("place") <= most)
+
+
+def find_or_create(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """Clusters for names (key, canonical_id): an existing one of the same canonical id, else of the same key or an alias, oldest
+    first; ``created`` where there is none."""
+    by_id = wanted.join(existing.where("canonical_id is not null").select(F.col("id").alias("found"), "canonical_id", "created_at"), "canonical_id").select("key", "found", F.lit(0).alias("tier"), "created_at")
+    names = existing.select(F.col("id").alias("found"), F.explode(F.array_distinct(F.concat(F.array("key"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("key"), "created_at")
+    by_key = wanted.join(names, "key").select("key", "found", F.lit(1).alias("tier"), "created_at")
+    best = by_id.unionByName(by_key).withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("tier", "created_at", "found"))).where("i = 1").select("key", "found")
+    return wanted.join(best, "key", "left").withColumn("created", F.col("found").isNull())
+
+
+def merge_canonicals(aliases: DataFrame, moves: DataFrame) -> DataFrame:
+    """Aliases re-pointed from merged canonical names (source) to the ones that stay (target), once each."""
+    j = aliases.join(moves, aliases["canonical_id"] == moves["source"], "left")
+    return j.select("alias", "type", F.coalesce("target", "canonical_id").alias("canonical_id")).distinct()
