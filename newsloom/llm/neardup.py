@@ -7,10 +7,11 @@ sequence as one; without words it is empty and links with nothing.
 2. Tensored banding: two collections of ``HALVES`` half keys each are made from ``2 * HALVES * WIDTH``
    minhashes, and a table's key is a pair of half keys, one of each collection: ``HALVES ** 2`` tables for the
    minhashes of ``2 * HALVES`` bands. Two sets of similarity 0.8 miss all tables about once in 1,800.
-3. In each bucket every class is proposed to the bucket's least class (a star, not all pairs). Pairs that a
-   packed sketch rules out are dropped, the others are compared on their full sets. The links' components are
+3. In each bucket every class is proposed to the bucket's hub (a star, not all pairs): the class that shares
+   most buckets with others, as the least changed text of a group does. Pairs that a packed sketch rules out are dropped, the others are compared on their full sets. The links' components are
    merged; where a bucket then still holds classes of different components, those cross pairs are proposed
-   and confirmed too, so the star loses no component that all pairs of the bucket would have joined.
+   and confirmed too, so the star loses no component that all pairs of the bucket would have joined. Cross pairs
+   meet on their rarest shingles (prefix and position filters), which drops no pair that has the similarity.
 4. Components of the confirmed links are found by distributed star steps.
 
 The sketch packs two bits of each of 32 minhashes; for a pair of similarity 0.8 or more it differs in more
@@ -29,10 +30,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small, staged, text_bytes
 from .components import components
-from .wordhash import LOWER, mix, shingles, word_hashes
+from .wordhash import LOWER, groups, mix, shingles, word_hashes
 
 SIZE, PERCENT = 5, 80
 WIDTH, HALVES = 2, 8
@@ -43,9 +45,10 @@ _factors = np.random.default_rng(2024).integers(0, 1 << 63, (2, MINHASHES), np.i
 
 def sets_of(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words, _, first = word_hashes([t.translate(LOWER) for t in texts])
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        yield np.unique(shingles(words[a:b], size))
+    for group in groups(texts):
+        words, _, first = word_hashes([t.translate(LOWER) for t in group])
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            yield np.unique(shingles(words[a:b], size))
 
 
 def minhashes(s: np.ndarray) -> np.ndarray:
@@ -109,25 +112,51 @@ def _may_link(p: str, q: str, percent: int):
     return (differ <= MAX_DIFFER) & (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the wanted similarity. Only the texts of documents that occur in
-    a pair are read again."""
-    pairs = staged(pairs)
-    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """doc_id and set of the documents that are needed; only their texts are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(sets_of([t or b"" for t in b.column(1).to_pylist()], size))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.uint64())).cast(pa.list_(pa.int64()), safe=False)], names=["doc_id", "set"])
 
+    needed = staged(needed)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(small(needed, needed.count()), "doc_id", "left_semi")
-    sets = staged(texts.mapInArrow(run, "doc_id long, set array<long>"))
+    return staged(texts.mapInArrow(run, "doc_id long, set array<long>"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have the wanted similarity."""
     one, two = (sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
     return pairs.join(one, "a").join(two, "b").where((shared * 100 >= union * percent) & (shared > 0)).select("a", "b").distinct()
 
 
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each class's rarest shingles under its hub, with their places: as many as it could lack in a pair of the wanted
+    similarity, and one. Two such classes share one of these; shingles of one class alone only take up places."""
+    own = members.join(sets.withColumnRenamed("doc_id", "node"), "node").withColumns({"n": F.size("set"), "text": F.xxhash64("set")})
+    s = own.select("hub", "node", "text", "component", "main", "sketch", "n", F.explode("set").alias("s"))
+    df = s.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("hub", "node", "text").orderBy("df", "s")) - 1
+    ranked = s.join(df, ["hub", "s"]).withColumn("place", place)
+    return ranked.where((F.col("place") * 100 <= F.col("n") * (100 - percent)) & (F.col("df") > 1)).drop("df", "text")
+
+
+def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components under one hub that may have the similarity. They meet on their first
+    shared shingle in order of rarity: what comes after it in both must be enough for the overlap."""
+    prefix = staged(_prefixes(members, sets, percent))
+    p, q = prefix.where("not main").alias("p"), prefix.alias("q")
+    left = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
+    enough = left * (100 + percent) >= (F.col("p.n") + F.col("q.n")) * percent
+    once = F.col("q.main") | (F.col("p.node") < F.col("q.node"))
+    new = (F.col("p.component") != F.col("q.component")) & (F.col("q.node") != F.col("q.hub"))
+    j = p.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.s") == F.col("q.s")) & new & once & enough & _may_link("p", "q", percent))
+    return j.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     every = staged(signed(docs, size))
@@ -137,12 +166,18 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     classes = staged(classes)
 
     buckets = _buckets(classes)
-    shared = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "hub")
-    members = staged(buckets.join(shared, "key"))
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = staged(buckets.join(shared, "key"))
+    # the class that meets most others is the least changed text of its group; as the hub it links most of them at once
+    score = met.groupBy("node").agg(F.sum("k").alias("score"))
+    central = met.select("key", "node").join(score, "node").groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("x"))
+    members = staged(met.join(central.select("key", (-F.col("x.m")).alias("hub")), "key").drop("k"))
     star = members.select("hub", "node", "sketch", "n").where("hub <> node").distinct()
     hubs = classes.select(F.col("node").alias("hub"), "sketch", "n")
     first = star.alias("p").join(hubs.alias("q"), "hub").where(_may_link("p", "q", percent)).select(F.col("hub").alias("a"), F.col("p.node").alias("b"))
-    links = staged(_confirmed(docs, first.distinct(), size, percent))
+    first = staged(first.distinct())
+    sets = _sets(docs, first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
+    links = staged(_confirmed(first, sets, percent))
     # rows that repeat an id tie their classes together
     again = named.join(classes.select("class_a", "class_b", "node"), ["class_a", "class_b"]).where("doc_id <> node").select("class_a", "class_b", "doc_id", "node")
     again = again.join(classes.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
@@ -150,10 +185,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = staged(placed.join(mixed, "key").select("key", "hub", "node", "sketch", "n", "component"))
-    p, q = open_.alias("p"), open_.alias("q")
-    cross = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.component") != F.col("q.component")) & (F.col("p.node") != F.col("q.hub")) & _may_link("p", "q", percent))
-    more = _confirmed(docs, cross.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), size, percent)
+    open_ = placed.join(mixed, "key").groupBy("hub", "node").agg(F.min("sketch").alias("sketch"), F.min("component").alias("component"))
+    of_hub = open_.where("hub = node").select("hub", F.col("component").alias("hub_component"))
+    open_ = staged(open_.join(of_hub, "hub").withColumn("main", F.col("component") == F.col("hub_component")).drop("hub_component"))
+    sets = _sets(docs, open_.select(F.col("node").alias("doc_id")).distinct(), size)
+    pairs = staged(_cross_pairs(open_, sets, percent))
+    more = _confirmed(pairs, sets, percent)
     merged = components(links.union(again).union(more))
 
     by_class = classes.join(merged, "node", "left").select("class_a", "class_b", F.coalesce("component", "node").alias("component_id"))
