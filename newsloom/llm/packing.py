@@ -15,10 +15,12 @@ Null texts are empty: their document is the end token alone. Rows that repeat an
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .common import gapless_rank, staged
 
 CAPACITY = 1024
 #: Distinct chunks of text (a word and its punctuation) whose ids a worker keeps, in each of two generations.
-CACHE = 500_000
+CACHE = 200_000
 #: Fixed value: the published splitting expression of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -50,22 +52,32 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         from .bpe import byte_symbols
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         byte = {c: b for b, c in enumerate(byte_symbols())}
-        ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        for t in self.special:
-            ranks.pop(t.encode(), None)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.encode_chunk = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the cache, as a task does at its end: a worker that goes on to other work keeps the vocabulary only."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        t.no_padding()
+        t.no_truncation()
+        return t
+
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
@@ -131,6 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        enc.forget()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
@@ -143,6 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             )
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import text_bytes
-from .wordhash import IS_SPACE, mix, shingles, word_hashes
+from .wordhash import IS_SPACE, groups, mix, shingles, word_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
@@ -134,10 +134,11 @@ RULES: tuple[Callable[[Text], bool], ...] = (*BASE, symbol_heavy, exclamatory, s
 
 
 def texts_of(batch: list[bytes]) -> Iterator[Text]:
-    words, _, first = word_hashes(batch)
-    words = mix(words)
-    for i, data in enumerate(batch):
-        yield Text(data, words[first[i] : first[i + 1]])
+    for group in groups(batch):
+        words, _, first = word_hashes(group)
+        words = mix(words)
+        for i, data in enumerate(group):
+            yield Text(data, words[first[i] : first[i + 1]])
 
 
 def measure(docs: DataFrame, rules: tuple = RULES, sample_rows: int = 2000, seed: int = 7) -> list[Row]:

@@ -78,11 +78,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate(none + lengths), np.concatenate(firsts)
 
 
-def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
+def groups(texts: list[bytes], size: int = 8 * BLOCK) -> Iterator[list[bytes]]:
+    """Texts in groups of about ``size`` bytes, so that what is worked out for a group stays small."""
+    return _blocks(texts, size)
+
+
+def _blocks(texts: list[bytes], most: int = BLOCK) -> Iterator[list[bytes]]:
     block: list[bytes] = []
     size = 0
     for t in texts:
-        if block and size + len(t) > BLOCK:
+        if block and size + len(t) > most:
             yield block
             block, size = [], 0
         block.append(t)
