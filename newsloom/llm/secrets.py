@@ -36,19 +36,19 @@ class Rule:
     kind: str
     pattern: str
     least: int = 0  # characters of the whole match
-    value: str = ""  # how the value within a match is found; it then has `least` characters
+    value: str = ""  # how the value within a match is found, as its first group; that group then has `least` characters
 
     def accepts(self, match: bytes) -> bool:
         if self.value:
             found = re.search(self.value.encode(), match)
-            return bool(found) and len(found[0]) >= self.least
+            return bool(found) and len(found[1]) >= self.least
         return len(match) >= self.least
 
 
 #: The kinds that are counted, in the order in which they are listed. The hexadecimal rule asks
 #: for 24 digits in the expression itself, so that the automaton does not stop at every letter from a to f.
 BASE = (
-    Rule("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, r"""(?<=[:=])\x20*["']?[A-Za-z0-9+/_.=-]+$"""),
+    Rule("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, r"""(?<=[:=])\x20*["']?([A-Za-z0-9+/_.=-]+)$"""),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24}[0-9a-f]*"),
 )
