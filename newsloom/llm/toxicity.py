@@ -6,13 +6,16 @@ toxic dictionary makes shorter holds strings of toxic text that ordinary text la
 its windows (greatest, mean, shares beyond thresholds) are turned into a score by a logistic curve, which
 calibrates the thresholds on labelled documents that the dictionaries were not trained on.
 
-The model is fitted on a bounded sample: at most ``SAMPLE`` documents of each class, by a hash of their ids,
-of at most ``SAMPLE_BYTES`` bytes each. Scores cover whole texts. Scores depend on the text alone; a null or
+The model is fitted on a bounded sample: at most ``SAMPLE`` documents of each class, of any length, by a hash of
+their ids. Every third of them by length is kept back, and the curve is fitted on these documents whole. The
+dictionaries are trained on the others: whole as far as ``TRAIN_BYTES`` a class allow, else on pieces of the longest
+ones, chosen by hash. Scores cover whole texts. Scores depend on the text alone; a null or
 empty text is scored as one empty window. Without documents of both classes every score is 0.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small, staged, text_bytes
 from .wordhash import powers
 
-SAMPLE, SAMPLE_BYTES = 1200, 8192
+SAMPLE, TRAIN_BYTES, PIECE = 1200, 6 << 20, 4096
 WINDOW, STEP = 56, 44
 GRAM, MARGIN = 6, 4
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16384, 4096, 3
@@ -135,7 +138,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+def _most_pieces(sizes: list[int], total: int) -> int:
+    """How many pieces a text may give so that all texts together give about ``total`` bytes; short ones leave theirs to longer ones."""
+    left = total
+    for i, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if size > share:
+            return max(1, share // PIECE)
+        left -= size
+    return max(1, -(-max(sizes, default=0) // PIECE))
+
+
+def _pieces(text: bytes, most: int) -> list[bytes]:
+    """A text cut into pieces; of more than ``most``, those of the least hashes."""
+    key, starts = zlib.crc32(text), range(0, len(text), PIECE)
+    chosen = sorted(starts, key=lambda i: (zlib.crc32(b"%d" % i, key), i))[:most]
+    return [text[i : i + PIECE] for i in sorted(chosen)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_bytes: int = TRAIN_BYTES) -> Model | None:
     """Fit on labelled documents that are not held out. Rows of ``labels`` with a null id or a label other
     than 0 and 1 are not used; a document labelled twice is toxic if any row says so."""
     known = (
@@ -144,26 +165,48 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    counted = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).where(F.octet_length("text") > 0)
+    # only labels of documents that are there count, and only they are chosen from
+    present = staged(texts.select("doc_id").join(small(known, known.count()), "doc_id").distinct())
+    counted = {r["toxic"]: r["n"] for r in present.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = [present.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * sample rows
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).where(F.octet_length("text").between(1, sample_bytes))
-    rows = sorted({(bytes(r["text"]), r["toxic"]) for r in short.join(ids, "doc_id").select("text", "toxic").collect()})
-    texts = {k: [t for t, label in rows if label == k] for k in (0, 1)}
-    for k in texts:  # an order without relation to the text
-        texts[k] = [texts[k][i] for i in np.random.default_rng(11).permutation(len(texts[k]))]
-    if min(map(len, texts.values())) < 2:
+    drawn = staged(texts.join(ids, "doc_id").select("toxic", "text", F.sha2("text", 256).alias("key")))
+    listed = drawn.select("toxic", "key", F.octet_length("text").alias("size")).distinct().collect()
+    ranked = {k: sorted((r["size"], r["key"]) for r in listed if r["toxic"] == k) for k in (0, 1)}
+    if min(map(len, ranked.values())) < 2:
         return None
-    train = {k: v[: max(1, 2 * len(v) // 3)] for k, v in texts.items()}
-    rest = {k: v[len(train[k]) :] for k, v in texts.items()}
-    segments = marked_segments(train[1], train[0]) or [w for t in train[1] for w in windows(t, 64, 64)]
-    plain = [w for t in train[0] for w in windows(t, 64, 64)]
+    train = {k: [x for i, x in enumerate(v) if i % 3 != 1] for k, v in ranked.items()}
+    most = {k: _most_pieces([size for size, _ in v], train_bytes) for k, v in train.items()}
+    trained = {(k, key) for k, v in train.items() for _, key in v}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            out = [(k, key, i, p) for k, t, key in rows if (k, key) in trained for i, p in enumerate(_pieces(t, most[k]))]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["toxic", "key", "i", "piece"])
+
+    # an order by digest, without relation to the text; copies of a text count once
+    pieces = sorted({(r["key"], r["i"], bytes(r["piece"]), r["toxic"]) for r in drawn.mapInArrow(cut, "toxic int, key string, i int, piece binary").collect()})
+    parts = {k: [p for _, _, p, label in pieces if label == k] for k in (0, 1)}
+    segments = marked_segments(parts[1], parts[0]) or [w for t in parts[1] for w in windows(t, 64, 64)]
+    plain = [w for t in parts[0] for w in windows(t, 64, 64)]
     plain = [plain[i] for i in np.random.default_rng(12).permutation(len(plain))[:30_000]]
     toxic = [b" ".join(segments[i : i + 4]) for i in range(0, len(segments), 4)]
     model = Model(_trained(ORDINARY_BYTES, plain), _trained(TOXIC_BYTES, toxic), (), (), ())
-    a, b = model.compressors()
-    x = np.array([features(gains(t, a, b)) for k in (0, 1) for t in rest[k]])
-    y = np.array([k for k in (0, 1) for _ in rest[k]], float)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = model.compressors()
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            out = [(k, key, features(gains(t, a, b))) for k, t, key in rows if (k, key) not in trained]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.list_(pa.float64())), strict=True)], names=["toxic", "key", "x"])
+
+    rest = sorted({(r["toxic"], r["key"], tuple(r["x"])) for r in drawn.mapInArrow(measure, "toxic int, key string, x array<double>").collect()})
+    x = np.array([v for _, _, v in rest])
+    y = np.array([k for k, _, _ in rest], float)
     share = counted.get(1, 0) / max(1, sum(counted.values()))
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)

@@ -174,6 +174,27 @@ def test_toxicity_scores_the_text_alone(result, docs_rows):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_toxicity_is_fitted_on_long_documents_too(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i:03d}" for i in range(300)]
+    text = lambda bad: " ".join("you vile rotten scum" if bad and i % 40 == 7 else rng.choice(words) for i in range(2500))
+    rows = [(i, text(i % 2), i % 2) for i in range(60)]  # all of them above 8 KB
+    lost = [(1000 + i, 1, i % 2) for i in range(3000)]  # labels of documents that are not there
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1, t) for d, _, t in rows] + lost, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert got == {d: t for d, _, t in rows}
+
+
+def test_pieces_of_long_texts():
+    size = toxicity.PIECE
+    assert toxicity._most_pieces([10, 20, 9 * size], 100 * size) == 9  # all fit whole
+    assert toxicity._most_pieces([0, 50 * size, 90 * size], 40 * size) == 20
+    long = np.random.default_rng(6).bytes(30 * size + 5)
+    assert b"".join(toxicity._pieces(long, 31)) == long and len(set(toxicity._pieces(long, 7))) == 7
+    assert max(long.find(p) for p in toxicity._pieces(long, 7)) > 8192
+
+
 def test_op5(result, docs_rows):
     rows = {r["doc_id"]: r for r in result("op5_sharding")}
     shards = defaultdict(list)
