@@ -61,26 +61,85 @@ class EventFold:
         self.live = [{"id": i, "seen": s, "vec": np.asarray(v, float), "grams": grams_of(t), "title": t} for i, s, v, t in zip(*state, strict=True)]
 
 
-def event_clusters(articles: DataFrame, block: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
+#: Rows of a tile, and rows compared at once.
+TILE, SLICE = 16_384, 1024
+#: Cosines are compared in single precision; what comes this near to a bound is let through to the exact check.
+SLACK = 1e-5
+
+
+def _forest(a: np.ndarray, b: np.ndarray, same: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Links (row of a, row of b) of cosine at least ``least`` that hang together what all such links do."""
+    n = len(a)
+    label, out = np.arange(n + len(b)), []
+    for at in range(0, n, SLICE):
+        near = a[at : at + SLICE] @ b.T >= least - SLACK
+        if same is not None:
+            near &= same[0][at : at + SLICE, None] == same[1][None, :]
+        for i in np.flatnonzero(near.any(1)):
+            found = np.flatnonzero(near[i])
+            roots, first = np.unique(label[n + found], return_index=True)
+            new = roots != label[at + i]
+            if new.any():
+                out += [(at + int(i), int(j)) for j in found[first[new]]]
+                label[np.isin(label, roots)] = label[at + i]
+    return out
+
+
+def near_components(rows: DataFrame, least: float) -> DataFrame:
+    """(id, component): the groups that rows (id, vec, block) of one block form if those of cosine at least ``least``
+    are linked, however far apart; the least id of a group names it. Rows that stand alone are left out.
+
+    Exact: rows are dealt by a hash into tiles of equal size, and every two tiles meet in one task. A task
+    gives a spanning forest of its links, fewer than it has rows, never all pairs of a group.
+    """
+    from newsloom.operators.entities import _cut, propagate
+
+    rows = _cut(rows.where("vec is not null").select(F.col("id").cast("long").alias("id"), "vec", "block"))
+    n = rows.count()
+    tiles = max(-(-n // TILE), min(4, -(-n // SLICE)), 1)
+    mine = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
+    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.array([np.asarray(x, np.float64) for x in pdf.vec])
+        length = np.linalg.norm(v, axis=1, keepdims=True)
+        v = (v / np.where(length > 0, length, 1)).astype(np.float32)
+        ids, block = pdf.id.to_numpy(), pd.factorize(pdf.block)[0]
+        x, y = (np.flatnonzero(pdf.tile == pdf[k].iloc[0]) for k in "ij")
+        links = _forest(v[x], v[y], (block[x], block[y]), least)
+        return pd.DataFrame([(ids[x[i]], ids[y[j]]) for i, j in links if ids[x[i]] != ids[y[j]]], columns=["a", "b"]).astype("int64")
+
+    links = dealt.groupBy("i", "j").applyInPandas(meet, "a long, b long")
+    return propagate(links, "a", "b").select(F.col("node").alias("id"), F.col("group").alias("component"))
+
+
+def event_clusters(articles: DataFrame, block: str | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """(article_id, event_id, action, similarity) of articles (article_id, seconds, vec, title) in order of time and id.
 
-    The fold is order-dependent, so it runs in one task for each ``block`` (a language, a section, a locality-
-    sensitive bucket): articles of different blocks never meet. Only live clusters are held, and rows stream.
+    An article can only join or crowd out a cluster whose first article is near enough in meaning, so the
+    order-dependent fold runs apart in each component of such articles; all sources meet. With ``block`` (a
+    language, a section) articles of different blocks don't. Articles without a vector are skipped, as rows without an event.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by block; one fold is alive at a time."""
+        """Rows come sorted by component; one fold is alive at a time."""
         held, f = None, EventFold(cfg)
         for pdf in batches:
             rows = []
-            for b, a, s, v, t in zip(pdf.block, pdf.article_id, pdf.seconds, pdf.vec, pdf.title, strict=True):
+            for b, a, s, v, t in zip(pdf.component, pdf.article_id, pdf.seconds, pdf.vec, pdf.title, strict=True):
                 if b != held:
                     held, f = b, EventFold(cfg)
                 rows.append((a, *f.add(a, s, v, t or "")))
             yield pd.DataFrame(rows, columns=["article_id", "event_id", "action", "similarity"])
 
-    cols = articles.select(F.coalesce(F.col(block).cast("string"), F.lit("")).alias("block"), F.col("article_id").cast("long").alias("article_id"), F.col("seconds").cast("double").alias("seconds"), "vec", "title")
-    return cols.repartition("block").sortWithinPartitions("block", "seconds", "article_id").mapInPandas(run, "article_id long, event_id long, action string, similarity double")
+    of = F.coalesce(F.col(block).cast("string"), F.lit("")) if block else F.lit("")
+    cols = articles.select(of.alias("block"), F.col("article_id").cast("long").alias("article_id"), F.col("seconds").cast("double").alias("seconds"), "vec", "title")
+    near = near_components(cols.select(F.col("article_id").alias("id"), "vec", "block"), 2 * cfg.semantic_threshold - 1)
+    placed = cols.where("vec is not null").join(near.withColumnRenamed("id", "article_id"), "article_id", "left").withColumn("component", F.coalesce("component", "article_id"))
+    made = "article_id long, event_id long, action string, similarity double"
+    folded = placed.repartition("component").sortWithinPartitions("component", "seconds", "article_id").mapInPandas(run, made)
+    skipped = cols.where("vec is null").select("article_id", F.lit(None).cast("long").alias("event_id"), F.lit("skipped").alias("action"), F.lit(None).cast("double").alias("similarity"))
+    return folded.union(skipped)
 
 
 def leader_pairs(cards: DataFrame, least: float) -> DataFrame:

@@ -127,10 +127,10 @@ def c15_cluster_listing(spark, sf_dir):
 
 @query()
 def c1_event_clusters(spark, sf_dir):
-    """Documents in order of id, an hour apart, with their vectors, by source."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 80).alias("title"), "source")
+    """Documents in order of id, an hour apart, with their vectors; the first line of a text is its title."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.substring_index(F.ltrim("text"), "\n", 1).alias("title"))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vec"))
-    return clusters.event_clusters(d.join(e, "article_id").withColumn("seconds", F.col("article_id") * 3600.0), "source")
+    return clusters.event_clusters(d.join(e, "article_id", "left").withColumn("seconds", F.col("article_id") * 3600.0))
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from newsloom import hooks
 from newsloom.catalog import table
 from newsloom.operators import clusters, curation, entities, ingest, retrieval, trends
+from newsloom.plans import entities as entity_plans
 from newsloom.sources import sinks
 from newsloom.streaming import jobs
 
@@ -68,6 +69,43 @@ def test_event_clusters(spark):
     assert got == want and len(set(got.values())) < 60
 
 
+def test_events_of_all_sources(spark, small):
+    df, rows = articles(spark)
+    f = clusters.EventFold()
+    want = {a: f.add(a, s, v, t)[0] for a, s, v, t, _ in rows}
+    want |= {1000: None}
+    none = spark.createDataFrame([(1000, 5.0, None, "no vector", "en")], df.schema)
+    got = {r["article_id"]: r["event_id"] for r in clusters.event_clusters(df.union(none)).collect()}
+    assert got == want
+    docs, es = table(spark, small, "documents").collect(), {r["vec_id"]: r["embedding"] for r in table(spark, small, "embeddings").collect()}
+    f, want = clusters.EventFold(), {}
+    for r in sorted(docs, key=lambda r: r["doc_id"]):
+        title = (r["text"] or "").lstrip(" ").split("\n")[0]
+        want[r["doc_id"]] = f.add(r["doc_id"], r["doc_id"] * 3600.0, es[r["doc_id"]], title)[:2] if r["doc_id"] in es else (None, "skipped")
+    assert {r["article_id"]: (r["event_id"], r["action"]) for r in entity_plans.c1_event_clusters(spark, small).collect()} == want
+
+
+def test_forests_hang_together_what_all_pairs_do():
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(2500, 5))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    links = clusters._forest(v, v, None, 0.97)
+    full = {(i, j) for i, j in zip(*np.nonzero(v @ v.T >= 0.97), strict=True)}
+
+    def groups(pairs):
+        up = list(range(len(v)))
+        def top(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+        for i, j in pairs:
+            up[top(i)] = top(j)
+        return {frozenset(i for i in range(len(v)) if top(i) == r) for r in {top(i) for i in range(len(v))}}
+
+    assert groups(links) == groups(full) and len(links) < 2 * len(v)
+
+
 def test_cluster_stream_is_the_batch(spark):
     df, _ = articles(spark)
     d = tmp()
