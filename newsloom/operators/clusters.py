@@ -142,35 +142,51 @@ def event_clusters(articles: DataFrame, block: str | None = None, cfg: EngineCon
     return folded.union(skipped)
 
 
-def leader_pairs(cards: DataFrame, least: float) -> DataFrame:
-    """Pairs of cards (id, place, vec) of cosine at least ``least``, the earlier first."""
-    a, b = (cards.select(F.col("id").alias(x), F.col("place").alias(f"place_{x}"), F.col("vec").alias(f"vec_{x}"), "block") for x in "ab")
-    return a.join(b, "block").where(F.col("place_a") < F.col("place_b")).where(vector.cosine(F.col("vec_a"), F.col("vec_b")) >= least).select("block", "a", "b", "place_a", "place_b")
-
-
-def leader_clusters(cards: DataFrame, least: float, rounds: int = 50) -> DataFrame:
-    """Greedy leaders in order of ``place``: a card leads if no earlier leader is like it, else it joins the first
-    such leader. Decided in rounds: a card is settled once all earlier cards like it are; (id, leader)."""
-    from newsloom.operators.entities import _cut
-
-    pairs = _cut(leader_pairs(cards, least))
-    state = _cut(cards.select("id", "place").withColumn("leader", F.lit(None).cast("long")))
-    for _ in range(rounds):
-        known = state.select(F.col("id").alias("a"), F.col("leader").alias("of_a"))
-        seen = pairs.join(known, "a").groupBy("b").agg(
-            F.count_if(F.col("of_a").isNull()).alias("open"), F.min(F.when(F.col("of_a") == F.col("a"), F.struct("place_a", F.col("a").alias("leader")))).alias("first"),
-            F.min(F.when(F.col("of_a").isNull(), F.col("place_a"))).alias("open_place"),
-        )
-        j = state.join(seen, state["id"] == seen["b"], "left")
-        settled = (
-            F.when(F.col("leader").isNotNull(), F.col("leader"))
-            .when(F.col("first").isNotNull() & (F.col("open_place").isNull() | (F.col("first.place_a") < F.col("open_place"))), F.col("first.leader"))
-            .when(F.coalesce("open", F.lit(0)) == 0, F.col("id"))
-        )
-        state = _cut(j.select("id", "place", settled.cast("long").alias("leader")))
-        if state.where("leader is null").isEmpty():
-            break
-    return state.select("id", "leader")
+class LeaderFold:
+    """Cards in order: one joins the first leader it is like, else it leads. Cards without a vector lead and are followed by none."""
+
+    def __init__(self, least: float):
+        self.least, self.ids, self.n = least, [], 0
+
+    def add(self, card, vec) -> int:
+        if vec is None:
+            return card
+        v = np.asarray(vec, float)
+        length = np.linalg.norm(v)
+        v = v / length if length else v
+        if self.n:
+            found = np.flatnonzero(self.vecs[: self.n] @ v >= self.least)
+            if len(found):
+                return self.ids[found[0]]
+            if self.n == len(self.vecs):
+                self.vecs = np.r_[self.vecs, np.empty_like(self.vecs)]
+        else:
+            self.vecs = np.empty((16, len(v)))
+        self.vecs[self.n] = v
+        self.n += 1
+        self.ids.append(card)
+        return card
+
+
+def leader_clusters(cards: DataFrame, least: float) -> DataFrame:
+    """Greedy leaders of all cards (id, place, vec) in order of ``place``: a card leads if no earlier leader is like it
+    (cosine at least ``least``), else it joins the first such leader; (id, leader). The order only matters within
+    a component of near cards, so each is folded apart and no card is left open."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by component; one fold is alive at a time."""
+        held, f = None, LeaderFold(least)
+        for pdf in batches:
+            rows = []
+            for b, i, v in zip(pdf.component, pdf.id, pdf.vec, strict=True):
+                if b != held:
+                    held, f = b, LeaderFold(least)
+                rows.append((i, f.add(i, v)))
+            yield pd.DataFrame(rows, columns=["id", "leader"])
+
+    near = near_components(cards.select("id", "vec", F.lit("").alias("block")), least)
+    placed = cards.select(F.col("id").cast("long").alias("id"), "place", "vec").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return placed.repartition("component").sortWithinPartitions("component", "place", "id").mapInPandas(run, "id long, leader long")
 
 
 def merge(members: DataFrame, moves: DataFrame) -> DataFrame:

@@ -43,9 +43,9 @@ def subset_edges(entities: DataFrame) -> DataFrame:
     return same.union(least.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("norm"))).where("c = 1").select("norm", "up"))
 
 
-def propagate(edges: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
+def propagate(edges: DataFrame, a: str, b: str, rounds: int = 1000) -> DataFrame:
     """Connected groups of names: every node takes the least name among its neighbours', and that name's own least
-    name, until nothing changes. Frames are checkpointed each round where a checkpoint folder is set."""
+    name, until nothing changes; an error if ``rounds`` don't suffice. Frames are checkpointed each round where a checkpoint folder is set."""
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     e = e.union(e.select("y", "x")).distinct()
     e = _cut(e)
@@ -58,9 +58,9 @@ def propagate(edges: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
         label = _cut(nxt.join(jump, "label", "left").select("x", F.coalesce("over", "label").alias("label")))
         state = label.agg(F.bit_xor(F.xxhash64("x", "label")), F.count(F.lit(1))).first()
         if state == seen:
-            break
+            return label.select(F.col("x").alias("node"), F.col("label").alias("group"))
         seen = state
-    return label.select(F.col("x").alias("node"), F.col("label").alias("group"))
+    raise RuntimeError(f"groups still change after {rounds} rounds")
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -135,5 +135,5 @@ def c1_event_clusters(spark, sf_dir):
 
 @query()
 def c4_leader_clusters(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("place"), F.col("embedding").alias("vec"), F.col("label").alias("block"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("place"), F.col("embedding").alias("vec"))
     return clusters.leader_clusters(e, 0.75)

@@ -48,6 +48,20 @@ def test_leaders_as_a_fold(spark):
     assert {r["id"]: r["leader"] for r in clusters.leader_clusters(df, 0.75).collect()} == want
 
 
+def test_leaders_of_a_long_chain_and_of_all_blocks(spark):
+    n = 120  # each is like the one before and no other
+    rows = [(i, i, [float(k in (i, i + 1)) for k in range(n + 1)], i % 3) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, place long, vec array<double>, block int")
+    assert {r["id"]: r["leader"] for r in clusters.leader_clusters(df, 0.49).collect()} == {i: i - i % 2 for i in range(n)}
+
+
+def test_groups_that_take_too_many_rounds(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["group"] for r in entities.propagate(path, "a", "b").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        entities.propagate(path, "a", "b", rounds=2)
+
+
 def articles(spark):
     rng = random.Random(2)
     base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(4)]
