@@ -126,8 +126,8 @@ def v11_mode_counts(spark, sf_dir):
 
 @query()
 def d4_preference_pairs(spark, sf_dir):
-    """Answers to the same question that differ enough to be a preference pair."""
+    """Answers to the same question that differ enough, as whole texts, to be a preference pair."""
     p = curation.with_question(table(spark, sf_dir, "conversations")).where("question is not null")
     nxt = p.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("other"))
-    j = p.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", c.ratio(F.substring("text", 1, 400), F.substring("other", 1, 400)).alias("ratio"))
+    j = p.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", c.ratio(F.col("text"), F.col("other")).alias("ratio"))
     return j.withColumn("applicable", F.col("ratio") < 0.95)

@@ -33,6 +33,19 @@ def test_entity_gates(spark):
     assert trends.entity_trends(m.where("false"), "1998-08-01 00:00:00", 30).count() == 0
 
 
+def test_preference_pairs_compare_whole_answers(spark):
+    from difflib import SequenceMatcher
+
+    from newsloom.plans import content
+
+    d, same = tmp(), "the same opening " * 30
+    one, two = same + "ends in one way " * 40, same + "goes on quite differently, " * 25
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", one), (1, 2, "user", "q"), (1, 3, "assistant", two)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    r = content.d4_preference_pairs(spark, d).first()
+    assert r["ratio"] == SequenceMatcher(None, one, two).ratio() < 0.95 and r["applicable"]
+
+
 def test_leaders_as_a_fold(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
