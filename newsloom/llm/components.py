@@ -30,13 +30,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``node`` and ``component`` (the least node reachable) for every node of an edge (columns a, b) but the
-    least ones of their components. Loops and repeated edges do no harm."""
+    least ones of their components. Loops and repeated edges do no harm; an error if ``rounds`` don't suffice."""
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     for _ in range(rounds):
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
-            break
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = state
         now = staged(_small_star(_large_star(now)).distinct())
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    raise RuntimeError(f"components still change after {rounds} rounds")

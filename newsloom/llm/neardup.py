@@ -178,9 +178,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     first = staged(first.distinct())
     sets = _sets(docs, first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
     links = staged(_confirmed(first, sets, percent))
-    # rows that repeat an id tie their classes together
-    again = named.join(classes.select("class_a", "class_b", "node"), ["class_a", "class_b"]).where("doc_id <> node").select("class_a", "class_b", "doc_id", "node")
-    again = again.join(classes.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    # rows that repeat an id with other texts tie their classes together, through the id itself
+    name = F.xxhash64("class_a", "class_b")
+    repeated = staged(every.where("doc_id is not null").groupBy("doc_id").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low <> high").select("doc_id"))
+    ids = small(repeated, n_repeated := repeated.count())
+    tied = named.join(ids, "doc_id").join(classes.select("class_a", "class_b", "node"), ["class_a", "class_b"]).where("doc_id <> node")
+    again = staged(tied.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct())
     found = components(links.union(again))
 
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -195,5 +198,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
     by_class = classes.join(merged, "node", "left").select("class_a", "class_b", F.coalesce("component", "node").alias("component_id"))
     linked = every.select("doc_id", "n_shingles", "class_a", "class_b").join(by_class, ["class_a", "class_b"], "left")
+    if n_repeated:  # a row without shingles goes where its id's other rows are
+        of_id = ids.join(merged, F.col("doc_id") == F.col("node")).select("doc_id", "component")
+        linked = linked.join(of_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "component")).drop("component")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

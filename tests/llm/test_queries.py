@@ -321,6 +321,21 @@ def test_near_copies_that_only_meet_through_others(spark):
     assert got == plain_components(docs, 2)
 
 
+def test_repeated_ids_have_one_component(spark):
+    one, two, three = ("  ".join(f"{w}{i}" for i in range(30)) for w in ("a", "b", "c"))
+    rows = [(1, one), (2, two), (9, one), (9, two), (9, ""), (4, three), (12, three), (12, ""), (7, "")]
+    got = defaultdict(set)
+    for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect():
+        got[r["doc_id"]].add(r["component_id"])
+    assert got == {1: {1}, 2: {1}, 9: {1}, 4: {4}, 12: {4}, 7: {7}}
+
+
+def test_components_raise_if_rounds_run_out(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(path, rounds=2)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(300)]
