@@ -1,4 +1,4 @@
-"""Content queries."""
+"""Content queries (T13–T41, H7, H9, of R16–R27, C9–C11, E8, D4, V11)."""
 
 from __future__ import annotations
 

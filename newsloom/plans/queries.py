@@ -1,4 +1,4 @@
-"""Query-understanding and further retrieval and entity queries (T14–T40, R5–R28, E1–E6, C5, TR11, TR18)."""
+"""Query-understanding and further retrieval and entity queries (of T14–T40, R5–R27, E1–E6, C5, TR18)."""
 
 from __future__ import annotations
 
