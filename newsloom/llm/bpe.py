@@ -5,7 +5,9 @@ Encoding one word: the leaves of the tree are the merge ranks of adjacent symbol
 less of its two children (the left one if equal), so the root is the leftmost pair of lowest rank. A merge
 changes three leaves and the nodes above them; it stops when no pair is left that has a rank.
 
-Null texts are empty: no ids, and the decoded text is empty.
+Null and empty texts: no ids, and the decoded text is empty. Of equal ranks the leftmost pair is merged. Texts may be of any length,
+as may words. Each row gives one row, also if it repeats an id or has none; an empty table gives an empty result. Further columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words and chunks of text whose ids a worker keeps, chunks in each of two generations.
-WORDS, CHUNKS = 800_000, 300_000
+from .common import slices, small_batches
+
+#: Bytes that the words, and the chunks in each of two generations, may take whose ids a task keeps; and about what an
+#: entry takes beside its text, its ids and what they decode to.
+WORD_BYTES, CHUNK_BYTES, ENTRY_BYTES = 160 << 20, 80 << 20, 240
 #: White space of the tokenizer's expressions. Python's own class also has the four separators 1C to 1F.
 SPACE = "\t\n\v\f\r \x85\xa0  -     　"
 
@@ -85,9 +90,14 @@ class Bpe:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.spaces = re.compile(f"[{SPACE}]+")
         self.odd = re.compile("[\x1c-\x1f]")
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is kept, as a task does at its end."""
         self.words: dict[str, tuple[bytes, str]] = {}
         self.known: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
         self.older: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+        self.held_words = self.held_chunks = 0
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of one word."""
@@ -124,16 +134,17 @@ class Bpe:
     def _word(self, word: str) -> tuple[bytes, str]:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > WORDS:
-                self.words.clear()
+            if self.held_words > WORD_BYTES:
+                self.words, self.held_words = {}, 0
             ids = self.encode_word(word)
             found = self.words[word] = (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids))
+            self.held_words += len(word) + len(found[0]) + len(found[1]) + ENTRY_BYTES
         return found
 
     def _learn(self, chunks: set[str]) -> None:
         """Have the ids of these runs without white space, and their decoded text, at hand."""
-        if len(self.known[0]) > CHUNKS:
-            self.known, self.older = ({}, {}), self.known
+        if self.held_chunks > CHUNK_BYTES:
+            self.known, self.older, self.held_chunks = ({}, {}), self.known, 0
         (ids, said), (old_ids, old_said) = self.known, self.older
         for chunk in chunks.difference(ids):
             if chunk in old_ids:
@@ -146,6 +157,7 @@ class Bpe:
             found = [self._word(w) for w in self.split.findall(text)]
             ids[chunk] = b"".join([f[0] for f in found])
             said[chunk] = " ".join([f[1] for f in found])
+            self.held_chunks += len(chunk) + len(ids[chunk]) + len(said[chunk]) + ENTRY_BYTES
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary has no decoder: names in order, a space between."""
@@ -185,14 +197,16 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path)
-        for b in batches:
+        coder.forget()
+        for b in slices(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 data, said = coder.encode(text or "")
                 rows.append((len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

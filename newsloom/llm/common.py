@@ -6,13 +6,19 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: A side of a join is broadcast up to this many rows of two or three longs; beyond it Spark shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
+#: Bytes that go to a Python worker in one batch, and that are worked on at a time there.
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 4 << 20
 
 _folders: dict[str, str] = {}
 
@@ -22,10 +28,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """This application's folder below ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; on a
+    cluster that is an error, since executors don't see each other's disks."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not root and not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = root or f"file://{tempfile.mkdtemp(prefix='newsloom-')}"
         _folders[app] = f"{root.rstrip('/')}/newsloom-{app}"
         atexit.register(_remove, spark, _folders[app])
@@ -56,6 +65,24 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, to be mapped in Python: its session sends batches of at most ``BATCH_BYTES`` to Python workers from now on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut, without copying, so that ``column``'s values have about ``most`` bytes in each part."""
+    for b in batches:
+        if b.nbytes <= most or b.num_rows < 2:
+            yield b
+            continue
+        part = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            yield b.slice(i, j - i)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import partitions
+from .common import partitions, small_batches
 from .wordhash import GOLDEN, mix, word_hashes
 
 MAX_WEIGHT = 12
@@ -137,7 +137,7 @@ def fingerprints_with_next(docs: DataFrame, bucket_rows: int = 4000, max_buckets
     ).first()
     low = None if found["nulls"] else found["low"]
     cuts = sorted({c for c in (found["cuts"] or []) if c != low} if k > 1 else set())
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("_at", _place(F.col("doc_id"), cuts)) if cuts else docs.withColumn("_at", F.lit(0))
     bucket, starts = F.shiftright("_at", 1), F.col("_at").bitwiseAND(F.lit(1)) == 1
     copy = lambda to, tail: F.struct(to.cast("int").alias("_bucket"), F.lit(tail).alias("_tail"))

@@ -9,7 +9,10 @@
 3. The patterns are joined back by rank: the pieces of a length are numbered without gaps, and the pattern
    table says which numbers fill which place of which pattern.
 
-Null texts are empty: their document is the end token alone. Rows that repeat an id are packed like others.
+Null and empty texts: their document is the end token alone. Rows that repeat an id are packed like others, each once; null ids are
+kept. A text of any length is cut into pieces; its ids are held while it is cut. Pieces of equal length are ordered by id, start and
+checksum; those that agree in all three are alike. An empty table gives an empty result. Further columns, whatever their names, are
+not read. The file must split as ``SPLIT`` does (a byte-level step with its own expression); any other file is refused.
 """
 
 from __future__ import annotations
@@ -27,15 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, staged
+from .common import gapless_rank, slices, small_batches, staged
 
 CAPACITY = 1024
-#: Distinct chunks of text (a word and its punctuation) whose ids a worker keeps, in each of two generations.
-CACHE = 200_000
+#: Bytes that the distinct chunks of text (a word and its punctuation) whose ids a worker keeps may take, in each of two
+#: generations, and about what an entry takes beside its text and its ids.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 180
 #: Fixed value: the published splitting expression of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def check_split(spec: dict) -> None:
+    """An error if a tokenizer file changes or splits texts in another way than ``SPLIT`` does."""
+    pre = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("the tokenizer file does not split as the byte-level expression does")
+
+
 class ChunkEncoder:
     """Ids of whole texts by a byte-level BPE file of the ``tokenizers`` library, through a cache of chunks.
 
@@ -58,6 +69,7 @@ class ChunkEncoder:
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_split(spec)
         byte = {c: b for b, c in enumerate(byte_symbols())}
         self.special = [t["content"] for t in spec["added_tokens"]]
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
@@ -68,6 +80,7 @@ class ChunkEncoder:
         """Drop the cache, as a task does at its end: a worker that goes on to other work keeps the vocabulary only."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     @cached_property
     def tokenizer(self):
@@ -103,11 +116,12 @@ class ChunkEncoder:
                 cut.append(self.chunks(texts[at]))
                 size += len(texts[at])
                 at += 1
-            if len(self.known) > CACHE:
-                self.known, self.older = {}, self.known
+            if self.held > CACHE_BYTES:
+                self.known, self.older, self.held = {}, self.known, 0
             known, older = self.known, self.older
             for c in set().union(*cut).difference(known):
-                known[c] = older.get(c) or self.ids(c)
+                ids = known[c] = older.get(c) or self.ids(c)
+                self.held += len(c) + len(ids) + ENTRY_BYTES
             for chunks in cut:
                 yield b"".join(map(known.__getitem__, chunks))
 
@@ -144,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         enc.forget()
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             for doc, data in zip(ids, enc.encode(texts), strict=True):
@@ -158,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             )
         enc.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:

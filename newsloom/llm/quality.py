@@ -5,7 +5,9 @@ other: what one rule rejects, later ones don't see. The order is chosen from a b
 time a text and its share of rejections are measured, and rules run by rejection per cost, highest first. A
 text is kept if no rule rejects it, so the order changes the time taken and never the verdict.
 
-A null text has no words; it fails the base rule.
+A null or empty text has no words; it fails the base rule. Texts may be of any length. Equal texts, and rows that repeat an id,
+have equal counts and verdicts, one row each; null ids are kept as they are. An empty table gives an empty result. Rules with equal
+rates, and those that the sample says nothing of, run in the given order. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import slices, small_batches, text_bytes
 from .wordhash import IS_SPACE, groups, mix, shingles, word_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -148,7 +150,7 @@ def measure(docs: DataFrame, rules: tuple = RULES, sample_rows: int = 2000, seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         took, hits, seen = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0
-        for b in batches:
+        for b in slices(batches, 0):
             for data, words in ((t.data, t.words) for t in texts_of([x or b"" for x in b.column(0).to_pylist()])):
                 seen += 1
                 for i, rule in enumerate(rules):
@@ -158,7 +160,7 @@ def measure(docs: DataFrame, rules: tuple = RULES, sample_rows: int = 2000, seed
                     took[i] += time.perf_counter() - at
         yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "seconds": took, "rejected": hits, "texts": [seen] * len(rules)})
 
-    sample = docs.select(text_bytes().alias("text")).sample(min(1.0, sample_rows / max(1, n)), seed=seed)
+    sample = small_batches(docs).select(text_bytes().alias("text")).sample(min(1.0, sample_rows / max(1, n)), seed=seed)
     return sample.mapInArrow(run, "rule long, seconds double, rejected long, texts long").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "texts"))).collect()
 
 
@@ -180,7 +182,7 @@ def quality(docs: DataFrame, rules: tuple = RULES, sample_rows: int = 2000) -> D
     cascade = ordered(measure(docs, rules, sample_rows), rules)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in texts_of([x or b"" for x in b.column(1).to_pylist()]):
                 failed = any(rule(t) for rule in BASE)

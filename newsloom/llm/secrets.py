@@ -10,7 +10,9 @@ check (too short a value) is dropped, though it has used up its text.
 Rules use literals, classes, groups, alternation and repetition, and stay ASCII. A rule's match that starts
 further left must not end, at its earliest, after one that starts later (true of rules with a literal head).
 
-Null texts are empty. Spans are in code points, the end exclusive.
+Null and empty texts have no spans. Spans are in code points, the end exclusive; those that start at one place come in the order of
+their rules. Texts may be of any length: memory beside the text is that of its spans. Each row gives one row, also if it repeats an
+id or has none; an empty table gives an empty result. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import slices, small_batches, text_bytes
 
 _parser = re._parser  # the syntax tree of Python's own expressions
 
@@ -274,12 +276,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         s = scanner(rules)
         kinds = [r.kind for r in rules]
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-        for b in batches:
+        for b in slices(batches):
             texts = (t or b"" for t in b.column(1).to_pylist())
             spans = [[{"kind": kinds[r], "start": x, "end": y} for r, x, y in code_points(t, s.spans(t))] for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(kind))], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(
         run, "doc_id long, spans array<struct<kind:string,start:bigint,end:bigint>>"
     )
 

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from newsloom.llm import packing, quality, secrets, toxicity
+from newsloom.llm import neardup, packing, quality, secrets, toxicity
 from newsloom.llm import queries as q
 
 from .test_queries import plain_components
@@ -43,3 +43,20 @@ def test_stages_return_the_columns_of_documents(spark, small):
 
 def test_stages_on_an_empty_table(spark, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_repeated_rows_leave_dedup_once(spark, repeat_dir):
+    docs = q.read_table(spark, repeat_dir, "documents")
+    rows = corpus_pipeline.keep_one_of_each_group(spark, docs, repeat_dir).collect()
+    ids = [r["doc_id"] for r in rows]
+    assert len(ids) == len(set(ids)) and ids.count(None) == 1
+    groups = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert {d for d in ids if d is not None} == {c for d, c in groups.items() if d is not None}
+
+
+def test_edge_cases_go_through_all_stages(spark, edge_dir):
+    """Nulls, empty and very long texts, a hot group of copies, columns with clashing names."""
+    rows = corpus_pipeline.run(spark, edge_dir).collect()
+    docs = {r["doc_id"]: r for r in q.read_table(spark, edge_dir, "documents").select(*corpus_pipeline.COLUMNS).collect()}
+    texts = [docs[r["doc_id"]]["text"] for r in rows if r["start"] == 0]
+    assert rows and all(texts) and len(texts) == len(set(texts))
