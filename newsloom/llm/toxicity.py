@@ -1,22 +1,33 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Every window of a text is
-compressed twice: with the ordinary dictionary, and with the toxic one set behind it. A window that the
-toxic dictionary makes shorter holds strings of toxic text that ordinary text lacks. A document's gains over
-its windows (greatest, mean, shares beyond thresholds) are turned into a score by a logistic curve, which
-calibrates the thresholds on labelled documents that the dictionaries were not trained on.
+Two zstandard dictionaries are trained apart, one on ordinary and one on toxic text, and used apart. Every short window of
+a text is compressed with either. What the toxic dictionary saves against the ordinary one is the window's gain,
+counted from one byte on; a window that it can't shorten has none, so the ordinary dictionary is asked only about the
+others. It shortens no window without a run of ``MATCH`` bytes that occurs in the dictionary (a frame costs more than a
+shorter match saves), so those are passed over: an index of the dictionary's runs finds the rest. A document is described by its greatest gains and by how many of its windows, and which share, reach each threshold
+of ``THRESHOLDS``. A logistic curve, fitted on labelled documents that the dictionaries were not trained on, calibrates what
+each threshold counts for; its value is the score.
+
+The dictionaries are loaded as what training made them, entropy tables included. The toxic dictionary is trained on the
+passages of toxic documents that ordinary documents hardly have, the ordinary one on windows of ordinary documents.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` documents of each class, of any length, by a hash of
 their ids. Every third of them by length is kept back, and the curve is fitted on these documents whole. The
 dictionaries are trained on the others: whole as far as ``TRAIN_BYTES`` a class allow, else on pieces of the longest
-ones, chosen by hash. Scores cover whole texts. Scores depend on the text alone; a null or
-empty text is scored as one empty window. Without documents of both classes every score is 0.
+ones, chosen by hash.
+
+Scores cover whole texts of any length, a window at a time, and depend on the text alone: equal texts and repeated rows have
+equal scores. A null or empty text is scored as one empty window. Without labelled documents of both classes nothing can
+be fitted: every score is 0, ``fitted`` is false, and a warning is given. Rows of ``labels`` with a null id or a label other
+than 0 and 1 are not used; a document labelled twice is toxic if any row says so. Empty tables give an empty result. Further
+columns of either table, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +35,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, staged, text_bytes
+from .common import slices, small, small_batches, staged, text_bytes
 from .wordhash import powers
 
 SAMPLE, TRAIN_BYTES, PIECE = 1200, 6 << 20, 4096
-WINDOW, STEP = 56, 44
+#: A window holds a word or two: in a longer one the chance content of the two dictionaries outweighs a toxic word.
+WINDOW, STEP = 11, 2
 GRAM, MARGIN = 6, 4
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16384, 4096, 3
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16384, 8192, 9
+#: Bytes gained on a window.
+THRESHOLDS = (1, 2, 3, 4)
+#: Bytes of a frame around a window that is stored as it is: magic number, header, block header.
+FRAME = 9
+#: Bytes that must follow one another in the dictionary for a window to be shortened.
+MATCH = 8
+#: Window starts that are looked at together.
+BLOCK = 1 << 20
 #: Held out of all fitting: documents whose id's checksum leaves no rest.
 FOLDS = 5
 
@@ -43,28 +63,56 @@ class Model:
     scale: tuple[float, ...]
     weights: tuple[float, ...]  # the last is the constant
 
-    def compressors(self):
+    def measures(self) -> Measures:
         import zstandard as z
 
         def of(content: bytes):
-            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            return z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress
+            return z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False).compress
 
-        return of(self.ordinary), of(self.ordinary + self.toxic)
+        known = np.zeros(1 << HASH_BITS, bool)
+        known[_run_hashes(self.toxic)] = True
+        return Measures(of(self.ordinary), of(self.toxic), known)
 
 
-def windows(text: bytes, size: int = WINDOW, step: int = STEP) -> list[bytes]:
-    return [text[i : i + size] for i in range(0, max(1, len(text) - size + step), step)]
+@dataclass(frozen=True)
+class Measures:
+    ordinary: Callable[[bytes], bytes]
+    toxic: Callable[[bytes], bytes]
+    known: np.ndarray  # hashes of the toxic dictionary's runs of MATCH bytes
 
 
-def gains(text: bytes, plain, toxic) -> np.ndarray:
-    """Bytes that the toxic dictionary saves on each window."""
-    return np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], np.int64)
+HASH_BITS = 18
 
 
-def features(gain: np.ndarray) -> list[float]:
-    top = np.sort(gain)[-3:]
-    return [float(top[-1]), float(top.mean()), *(float((gain >= k).mean()) for k in (3, 4, 6)), float(gain.mean()), float(np.log1p((gain >= 4).sum())), float(np.log(len(gain)))]
+def _run_hashes(text: bytes) -> np.ndarray:
+    """A hash of the MATCH bytes from each place on."""
+    if len(text) < MATCH:
+        return np.zeros(0, np.int64)
+    runs = np.ndarray(len(text) - MATCH + 1, "<u8", text, strides=(1,))
+    return (runs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
+def gains(text: bytes, m: Measures) -> tuple[np.ndarray, int]:
+    """The gains of the windows that have one, and how many windows there are."""
+    found = []
+    n = max(1, -(-(len(text) - WINDOW + STEP) // STEP))
+    for at in range(0, n * STEP, BLOCK):
+        part = text[at : at + BLOCK + WINDOW - STEP]
+        hit = np.zeros(len(part) + WINDOW, bool)
+        hit[: max(0, len(part) - MATCH + 1)] = m.known[_run_hashes(part)]
+        first = np.flatnonzero(np.logical_or.reduce([hit[j : j + min(len(part), BLOCK) : STEP] for j in range(WINDOW - MATCH + 1)]))
+        for i in (first * STEP).tolist():
+            w = part[i : i + WINDOW]
+            short = len(m.toxic(w))
+            if at + i < n * STEP and short < len(w) + FRAME and (gain := len(m.ordinary(w)) - short) > 0:
+                found.append(gain)
+    return np.array(found, np.int64), n
+
+
+def features(gain: np.ndarray, n: int) -> list[float]:
+    top = np.sort(np.r_[gain, 0, 0, 0])[-3:]
+    reach = [int((gain >= k).sum()) for k in THRESHOLDS]
+    return [float(top[-1]), float(top.mean()), gain.sum() / n, *(r / n for r in reach), *(float(np.log1p(r)) for r in reach), float(np.log(n))]
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -116,6 +164,10 @@ def marked_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return out
 
 
+def _samples(text: bytes, size: int = 64) -> list[bytes]:
+    return [text[i : i + size] for i in range(0, len(text), size)]
+
+
 def _trained(size: int, samples: list[bytes]) -> bytes:
     """A dictionary trained on the samples; their end itself where they are too few to train on."""
     import zstandard as z
@@ -157,8 +209,7 @@ def _pieces(text: bytes, most: int) -> list[bytes]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_bytes: int = TRAIN_BYTES) -> Model | None:
-    """Fit on labelled documents that are not held out. Rows of ``labels`` with a null id or a label other
-    than 0 and 1 are not used; a document labelled twice is toxic if any row says so."""
+    """Fit on labelled documents that are not held out; none, with a warning, without documents of both classes."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -175,6 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_bytes: i
     listed = drawn.select("toxic", "key", F.octet_length("text").alias("size")).distinct().collect()
     ranked = {k: sorted((r["size"], r["key"]) for r in listed if r["toxic"] == k) for k in (0, 1)}
     if min(map(len, ranked.values())) < 2:
+        warnings.warn("no labelled documents of both classes: toxicity is not fitted, all scores are 0", stacklevel=2)
         return None
     train = {k: [x for i, x in enumerate(v) if i % 3 != 1] for k, v in ranked.items()}
     most = {k: _most_pieces([size for size, _ in v], train_bytes) for k, v in train.items()}
@@ -190,17 +242,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_bytes: i
     # an order by digest, without relation to the text; copies of a text count once
     pieces = sorted({(r["key"], r["i"], bytes(r["piece"]), r["toxic"]) for r in drawn.mapInArrow(cut, "toxic int, key string, i int, piece binary").collect()})
     parts = {k: [p for _, _, p, label in pieces if label == k] for k in (0, 1)}
-    segments = marked_segments(parts[1], parts[0]) or [w for t in parts[1] for w in windows(t, 64, 64)]
-    plain = [w for t in parts[0] for w in windows(t, 64, 64)]
+    segments = marked_segments(parts[1], parts[0]) or [w for t in parts[1] for w in _samples(t)]  # if nothing tells them apart
+    plain = [w for t in parts[0] for w in _samples(t)]
     plain = [plain[i] for i in np.random.default_rng(12).permutation(len(plain))[:30_000]]
     toxic = [b" ".join(segments[i : i + 4]) for i in range(0, len(segments), 4)]
     model = Model(_trained(ORDINARY_BYTES, plain), _trained(TOXIC_BYTES, toxic), (), (), ())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = model.compressors()
+        m = model.measures()
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            out = [(k, key, features(gains(t, a, b))) for k, t, key in rows if (k, key) not in trained]
+            out = [(k, key, features(*gains(t, m))) for k, t, key in rows if (k, key) not in trained]
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.list_(pa.float64())), strict=True)], names=["toxic", "key", "x"])
 
@@ -214,14 +266,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_bytes: i
     return Model(model.ordinary, model.toxic, tuple(mean), tuple(scale), tuple(w))
 
 
-_ready: dict[Model, tuple] = {}
+_ready: dict[Model, Measures] = {}
 
 
 def score(text: bytes, model: Model) -> float:
     if model not in _ready:
         _ready.clear()
-        _ready[model] = model.compressors()
-    x = (np.array(features(gains(text, *_ready[model]))) - model.mean) / model.scale
+        _ready[model] = model.measures()
+    x = (np.array(features(*gains(text, _ready[model]))) - model.mean) / model.scale
     return float(1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30))))
 
 
@@ -236,16 +288,19 @@ def scorer(model: Model | None):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document."""
+    """doc_id, held_out, score, predicted and fitted for every document."""
     model = fit(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             s = [score(t or b"", model) if model else 0.0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"]
+                [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([model is not None] * len(s))],
+                names=["doc_id", "held_out", "score", "predicted", "fitted"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), text_bytes().alias("text")).mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int"
+    return (
+        small_batches(docs)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), text_bytes().alias("text"))
+        .mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, fitted boolean")
     )
