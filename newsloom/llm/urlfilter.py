@@ -3,10 +3,12 @@
 Every rule is a regular expression over a URL's host and path (or the whole URL) together with the literal
 tokens that any URL it fits must hold. How often those tokens occur is counted over all URLs; each rule is
 filed under its rarest one. The tokens of a URL fetch the few rules filed under them, and only those run
-their expressions. Rules without a token are tried on every URL.
+their expressions. A rule without a token is refused: write it as several that have one each.
 
-Of the fitting rules the longest wins; on equal length a block wins, then the rule named first. A URL that no
-rule fits gets the default verdict. A null URL, or one without ``://``, has an empty host and path.
+Of the fitting rules listed ones go first, then the longest wins; on equal length a block wins, then the rule named first. A
+URL that no rule fits gets the default verdict. A null or empty URL, or one without ``://``, has an empty host and path. URLs
+may be of any length. Each row gives one row, also if it repeats an id or has none; an empty table gives an empty result.
+Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -47,8 +49,8 @@ LISTED = (domain_rule("net/", "block"), domain_rule("example.net/en/", "allow"),
 #: Beyond the list: tracking and advertising addresses are blocked.
 PATTERNS = (
     Rule("utm", "block", r".*[?&]utm_source=", ("utm_source",), "url", False),
-    Rule("ads", "block", r"[^/]*/(?:.*/)?(?:ads|adserver|banner)/", (), "place", False),
-    Rule("clickid", "block", r".*[?&](?:gclid|fbclid)=", (), "url", False),
+    *(Rule(t, "block", rf"[^/]*/(?:.*/)?{t}/", (t,), "place", False) for t in ("ads", "adserver", "banner")),
+    *(Rule(t, "block", rf".*[?&]{t}=", (t,), "url", False) for t in ("gclid", "fbclid")),
 )
 DEFAULT = "allow"
 
@@ -72,24 +74,22 @@ def token_counts(pages: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    held = F.array_intersect(url_tokens(F.col("url")), F.lit(wanted).cast("array<string>"))
-    rows = pages.select(F.explode(held).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()
+    asked = F.broadcast(pages.sparkSession.createDataFrame([(t,) for t in wanted], "token string"))  # no more than the rules' tokens
+    rows = pages.select(F.explode(url_tokens(F.col("url"))).alias("token")).join(asked, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()
     return {t: 0 for t in wanted} | {r["token"]: r["n"] for r in rows}
 
 
 class Index:
     def __init__(self, rules: tuple[Rule, ...], counts: dict[str, int]):
         self.rules = [(r, re.compile(r.pattern, re.DOTALL)) for r in rules]
-        self.always: list[int] = []
         self.filed: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
-            if r.tokens:
-                self.filed.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(i)
-            else:
-                self.always.append(i)
+            if not r.tokens:
+                raise ValueError(f"rule {r.name} has no literal token")
+            self.filed.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(i)
 
     def candidates(self, url: str) -> list[int]:
-        return self.always + [i for t in set(TOKEN.findall(url)) for i in self.filed.get(t, ())]
+        return [i for t in set(TOKEN.findall(url)) for i in self.filed.get(t, ())]
 
     def judge(self, url: str, host: str, path: str) -> Rule | None:
         low = url.translate(_LOWER)
@@ -109,6 +109,7 @@ _LOWER = str.maketrans(UPPER, LOWER)
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + PATTERNS, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule and verdict for every page. Listed rules go before patterns."""
     counts = token_counts(pages, rules)
+    Index(rules, counts)  # refuses what can't be filed before any task runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(rules, counts)
