@@ -7,9 +7,14 @@ has the target bytes. Dimensions are the text's size, language, source and id, e
 Within one value of the widest dimension the order goes on by the text's checksum and then by a hash of the
 id. So copies of a text stay together as long as the sizes allow, and a group of copies that is larger than
 a shard is split all the same. A cut is found by a distributed radix search on the 60-bit order key: each round
-sums bytes by the next 14 bits within every open node; one row for each node comes back to the driver.
-
-Null texts have no bytes (size 16); null languages and sources are the empty string, null ids 0 in the order.
+sums bytes by the next 16 bits within every open node; one row for each node comes back to the driver. Rows carry the
+number of their node from one level to the next in a written table, so a level reads it once for the widest dimensions
+and once for each round, and the open nodes' parameters come as a table of one row a node.
+
+Null and empty texts have no bytes (size 16), and texts may be of any length; null languages and sources are the empty string, null
+ids 0 in the order. Each row gives one row, also if it repeats an id or has none. Equal keys fall on the same side of a cut. Of
+equally wide dimensions the first is split. Without rows there are no rows in the result. Further columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import gapless_rank, staged
 
 DIMENSIONS = ("size", "lang", "source", "doc_id")
-VALUE_BITS, TEXT_BITS, ID_BITS, ROUND_BITS = 20, 24, 16, 14
+VALUE_BITS, TEXT_BITS, ID_BITS, ROUND_BITS = 20, 24, 16, 16
 KEY_BITS = VALUE_BITS + TEXT_BITS + ID_BITS
 ROW_BYTES = 16
 
@@ -67,54 +72,69 @@ def order_key(dimension: Column | str) -> Column:
     return F.shiftleft(d, TEXT_BITS + ID_BITS).bitwiseOR(F.shiftleft(crc, ID_BITS)).bitwiseOR(own)
 
 
-def _leaf(node: Node, leaf_value: dict[int, int]) -> Column:
-    """Which leaf a row is in, as nested comparisons."""
-    if node.left is None:
-        return F.lit(leaf_value[id(node)])
-    return F.when(order_key(f"d{node.dimension}") < node.cut, _leaf(node.left, leaf_value)).otherwise(_leaf(node.right, leaf_value))
-
-
 def _leaves(node: Node) -> list[Node]:
     return [node] if node.left is None else _leaves(node.left) + _leaves(node.right)
 
 
-def grow(rows: DataFrame, leaves: int) -> Node:
-    """The tree. ``rows`` comes from ``metadata``, which is staged: it is read a few times for each level."""
+def _with(rows: DataFrame, columns: str, values: list[tuple]) -> DataFrame:
+    """``rows`` with the columns of their node: one row of ``values`` for each node, no more than there are shards."""
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(values, f"node int, {columns}")), "node")
+
+
+def grow(rows: DataFrame, leaves: int) -> tuple[Node, DataFrame]:
+    """The tree, and ``rows`` (from ``metadata``) with the number of their leaf in order, ``node``."""
     root = Node(leaves, rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
-    while open_ := [n for n in _leaves(root) if n.leaves > 1]:
-        at = {id(n): i for i, n in enumerate(open_)} | {id(n): -1 for n in _leaves(root) if n.leaves == 1}
-        placed = rows.withColumn("node", _leaf(root, at)).where("node >= 0")
-        spans = {r["node"]: r for r in placed.groupBy("node").agg(*(f(f"d{i}").alias(f"{k}{i}") for i in range(len(DIMENSIONS)) for k, f in (("a", F.min), ("b", F.max)))).collect()}
-        for i, n in enumerate(open_):
+    placed = rows.withColumn("node", F.lit(0))
+    nodes = [root]
+    while any(n.leaves > 1 for n in nodes):
+        placed = staged(placed)
+        open_ = {i: n for i, n in enumerate(nodes) if n.leaves > 1}
+        ends = [f(f"d{k}").alias(f"{e}{k}") for k in range(len(DIMENSIONS)) for e, f in (("a", F.min), ("b", F.max))]
+        spans = {r["node"]: r for r in placed.groupBy("node").agg(*ends).collect()}  # a row for each node
+        for i, n in open_.items():
             width = [spans[i][f"b{k}"] - spans[i][f"a{k}"] for k in range(len(DIMENSIONS))] if i in spans else [0]
             n.dimension = width.index(max(width))
         _cut(placed, root, open_)
-    return root
+        nodes = _leaves(root)
+        number = {id(n): i for i, n in enumerate(nodes)}
+        moves = [(i, n.dimension, n.cut, number[id(n.left)], number[id(n.right)]) for i, n in open_.items()]
+        moves += [(i, 0, 0, number[id(n)], number[id(n)]) for i, n in enumerate(_before(root, open_)) if i not in open_]
+        moved = _with(placed, "dimension int, cut long, low int, high int", moves)
+        placed = moved.withColumn("node", F.when(_key() < F.col("cut"), F.col("low")).otherwise(F.col("high"))).select(*rows.columns, "node")
+    return root, placed
 
 
-def _cut(placed: DataFrame, root: Node, nodes: list[Node]) -> None:
-    """Set the cuts of ``nodes`` and make their children."""
-    goal = [n.bytes * (n.leaves // 2) / n.leaves for n in nodes]
-    slack = max(1.0, root.bytes / root.leaves / 500)
-    prefix, before, shift = {i: 0 for i in range(len(nodes))}, {i: 0 for i in range(len(nodes))}, KEY_BITS
+def _before(root: Node, open_: dict[int, Node]) -> list[Node]:
+    """The leaves as they were before the nodes of ``open_`` were cut."""
+    cut = {id(n) for n in open_.values()}
 
-    def chosen(values: list) -> Column:
-        return F.element_at(F.array(*(F.lit(v).cast("double" if isinstance(v, float) else "long") for v in values)), F.col("node") + 1)
+    def walk(n: Node) -> list[Node]:
+        return [n] if n.left is None or id(n) in cut else walk(n.left) + walk(n.right)
 
-    key = F.element_at(F.array(*(order_key(f"d{i}") for i in range(len(DIMENSIONS)))), (chosen([n.dimension for n in nodes]) + 1).cast("int"))
-    keyed = placed.select("node", "size", key.alias("key"))
+    return walk(root)
+
+
+def _key() -> Column:
+    """A row's order key in the dimension of its node."""
+    return order_key(F.element_at(F.array(*(f"d{i}" for i in range(len(DIMENSIONS)))), F.col("dimension") + 1))
+
+
+def _cut(placed: DataFrame, root: Node, open_: dict[int, Node]) -> None:
+    """Set the cuts of the open nodes and make their children."""
+    goal = {i: n.bytes * (n.leaves // 2) / n.leaves for i, n in open_.items()}
+    slack = max(1.0, root.bytes / root.leaves / 500)
+    prefix, before, shift = dict.fromkeys(open_, 0), dict.fromkeys(open_, 0), KEY_BITS
     while prefix:
         bits = min(ROUND_BITS, shift)
-        inside = [prefix.get(i, -1) for i in range(len(nodes))]
+        asked = [(i, open_[i].dimension, p, float(goal[i] - before[i])) for i, p in prefix.items()]
+        keyed = _with(placed, "dimension int, prefix long, want double", asked).select("node", "size", "prefix", "want", _key().alias("key"))
         sums = (
-            keyed.where(F.shiftright("key", shift) == chosen(inside))
-            .withColumn("bin", F.shiftright("key", shift - bits))
-            .groupBy("node", "bin")
-            .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+            keyed.where(F.shiftright("key", shift) == F.col("prefix"))
+            .groupBy("node", F.shiftright("key", shift - bits).alias("bin"))
+            .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.first("want").alias("want"))
         )
         upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))  # at most 2**ROUND_BITS rows a node
-        want = chosen([float(goal[i] - before.get(i, 0)) for i in range(len(nodes))])
-        found = sums.withColumn("upto", upto).where(F.col("upto") >= want).groupBy("node").agg(F.min(F.struct("bin", "bytes", "upto", "rows")).alias("x")).select("node", "x.*").collect()
+        found = sums.withColumn("upto", upto).where("upto >= want").groupBy("node").agg(F.min(F.struct("bin", "bytes", "upto", "rows")).alias("x")).select("node", "x.*").collect()
         shift -= bits
         seen = {r["node"]: r for r in found}
         for i in list(prefix):
@@ -124,7 +144,7 @@ def _cut(placed: DataFrame, root: Node, nodes: list[Node]) -> None:
             if r is None or r["bytes"] <= slack or r["rows"] == 1 or not shift:
                 bin_ = r["bin"] if r else prefix[i]
                 low = goal[i] - below <= over - goal[i]
-                _split(nodes[i], (bin_ if low else bin_ + 1) << shift, below if low else over)
+                _split(open_[i], (bin_ if low else bin_ + 1) << shift, below if low else over)
                 del prefix[i], before[i]
             else:
                 prefix[i], before[i] = r["bin"], below
@@ -139,11 +159,10 @@ def _split(node: Node, cut: int, left_bytes: int) -> None:
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """Deal all documents into ``shards`` shards, or as many as have about ``target_bytes`` each:
     doc_id, size, text_crc32, shard, slot."""
-    rows = metadata(docs)
+    rows = staged(metadata(docs))
     if shards is None:
         total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
         shards = max(1, round(total / max(1, target_bytes or total or 1)))
-    root = grow(rows, shards)
-    number = {id(n): i for i, n in enumerate(_leaves(root))}
-    placed = rows.select("doc_id", "size", "text_crc32", _leaf(root, number).cast("int").alias("shard"))
+    _, placed = grow(rows, shards)
+    placed = placed.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
     return gapless_rank(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot", rows.count())
