@@ -30,9 +30,17 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates (five-word shingles, 0.8)."""
-    dropped = staged(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    return _columns(docs.join(small(dropped, dropped.count()), "doc_id", "left_anti"))
+    """The document with the least id of each group of near-duplicates (five-word shingles, 0.8). Rows that repeat an
+    id are one document, of which the row with the least text (then language, source, length) stays; rows without an id all stay."""
+    found = staged(neardup.near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept"))
+    dropped = staged(found.where("not kept").select("doc_id").distinct())
+    docs = docs.join(small(dropped, dropped.count()), "doc_id", "left_anti")
+    repeated = staged(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if n := repeated.count():
+        least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")
+        one = docs.join(small(repeated, n), "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "x.*")
+        docs = _columns(docs.join(small(repeated, n), "doc_id", "left_anti")).unionByName(one)
+    return _columns(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
