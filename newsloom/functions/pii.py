@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stages in order, their patterns and marks.
+from newsloom.functions.text import let
+
+#: Stages in order, their patterns and marks. Each stage's text is worked out once and bound before the next.
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 IBAN = r"(?U)\bTR\d{2}(?:\s?\d{4}){5}\s?\d{2}\b|\bTR\d{24}\b"
 UUID = r"(?U)\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 IP = r"(?U)\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
 NATIONAL = r"(?U)\b\d{11}\b"
 PHONE = r"(?U)(?<!\d)(?:\+90|0)?[\s\-]*\(?\d{3}\)?[\s\-]*\d{3}[\s\-]*\d{2}[\s\-]*\d{2}(?!\d)"
-STAGES = (("email", EMAIL), ("iban", IBAN), ("uuid", UUID), ("ip", IP), ("tc", NATIONAL), ("phone", PHONE))
+STAGES = (
+    ("email", EMAIL, "[email_redacted]"),
+    ("iban", IBAN, "[iban_redacted]"),
+    ("uuid", UUID, "[ref_redacted]"),
+    ("ip", IP, "[ip_redacted]"),
+    ("tc", NATIONAL, "[id_redacted]"),
+    ("phone", PHONE, "[phone_redacted]"),
+)
 
 
 def valid_national_id(c: Column) -> Column:
@@ -24,20 +35,30 @@ def valid_national_id(c: Column) -> Column:
     return F.when(F.rlike(c, F.lit("^[1-9][0-9]{10}$")), tenth & eleventh).otherwise(F.lit(False))
 
 
-def redact(text: Column) -> Column:
+def redact(text: Column, stages: tuple = STAGES) -> Column:
     """A struct of the redacted ``text`` and a count for each stage. A national id that fails its checksum is
     left as it is: its stage goes through the matches and the parts between them."""
-    out, counts = F.coalesce(text, F.lit("")), []
-    for name, pattern in STAGES:
-        mark = f"[{name}_redacted]"
-        if name == "tc":
-            found = F.regexp_extract_all(out, F.lit(f"({pattern})"), F.lit(1))
-            valid = F.transform(found, valid_national_id)
-            counts.append(F.size(F.filter(valid, lambda v: v)).cast("long").alias(name))
-            pieces = F.split(out, pattern)
-            joined = F.zip_with(F.slice(pieces, 2, 1 << 20), F.zip_with(found, valid, lambda m, v: F.when(v, mark).otherwise(m)), lambda p, m: F.concat(m, p))
-            out = F.when(F.size(found) > 0, F.concat(F.element_at(pieces, 1), F.array_join(joined, ""))).otherwise(out)
-        else:
-            counts.append(F.regexp_count(out, F.lit(pattern)).cast("long").alias(name))
-            out = F.regexp_replace(out, pattern, mark)
-    return F.struct(out.alias("text"), *counts)
+    state = F.struct(F.coalesce(text, F.lit("")).alias("text"))
+    for i, (name, pattern, mark) in enumerate(stages):
+        state = let(state, _stage([n for n, _, _ in stages[:i]], name, pattern, mark))
+    return state
+
+
+def _stage(done: list[str], name: str, pattern: str, mark: str) -> Callable[[Column], Column]:
+    return lambda s: _redacted(s, done, name, pattern, mark)
+
+
+def _redacted(s: Column, done: list[str], name: str, pattern: str, mark: str) -> Column:
+    out, counts = s["text"], [s[n].alias(n) for n in done]
+    if name != "tc":
+        n = F.regexp_count(out, F.lit(pattern)).cast("long")
+        return let(n, lambda n: F.struct(F.when(n > 0, F.regexp_replace(out, pattern, mark)).otherwise(out).alias("text"), *counts, n.alias(name)))
+    found = F.transform(F.regexp_extract_all(out, F.lit(f"({pattern})"), F.lit(1)), lambda m: F.struct(m.alias("m"), valid_national_id(m).alias("v")))
+
+    def rebuilt(f: Column) -> Column:
+        pieces = F.split(out, pattern)
+        joined = F.zip_with(F.slice(pieces, 2, 1 << 20), f, lambda p, x: F.concat(F.when(x["v"], mark).otherwise(x["m"]), p))
+        whole = F.when(F.exists(f, lambda x: x["v"]), F.concat(F.element_at(pieces, 1), F.array_join(joined, ""))).otherwise(out)
+        return F.struct(whole.alias("text"), *counts, F.size(F.filter(f, lambda x: x["v"])).cast("long").alias(name))
+
+    return let(found, rebuilt)

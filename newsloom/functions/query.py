@@ -23,9 +23,19 @@ FOLLOW_UP = ("başka", "peki", "ayrıca", "hani")
 NOISE = ("var", "yok", "olur", "oldu", "olmus", "olacak", "bugun", "dun", "yarin", "zaman", "simdi", "bilgi", "durum", "sey", "konu", "haber", "aciklama", "sonuc")
 #: Words that alone say nothing in a phrase.
 FILLERS = ("mi", "mı", "mu", "mü", "ve", "ile", "da", "de", "ne", "bir", "bu", "şu", "o", "için", "olacak", "oldu", "kim", "nasıl", "neden", "nedir")
-#: Generic terms, and endings they may bear.
-GENERIC = ("mvp", "maç", "takım", "lig", "sporcu", "kaptan", "antrenör", "hakem", "haber", "gündem", "açıklama", "gelişme", "durum", "olay", "konu", "çalışma", "rapor", "analiz", "yorum")
-ENDINGS = ("ı", "i", "u", "ü", "ın", "in", "un", "ün", "lar", "ler", "da", "de", "dan", "den", "a", "e", "nın", "nin", "sı", "si")
+#: Generic terms of sport, awards and news, and endings they may bear.
+GENERIC = (
+    "maç", "müsabaka", "karşılaşma", "derbi", "lig", "kupa", "turnuva", "final", "gol", "set", "puan", "skor", "galibiyet", "mağlubiyet", "beraberlik", "şampiyon",
+    "şampiyonluk", "mvp", "ödül", "oyuncu", "futbolcu", "basketbolcu", "voleybolcu", "sporcu", "kaptan", "antrenör", "hakem", "haber", "gündem", "açıklama", "gelişme",
+    "durum", "olay", "konu", "çalışma", "rapor", "analiz", "yorum",
+)
+ENDINGS = (
+    "ler", "lar", "leri", "ları", "lerin", "ların", "lerini", "larını", "lere", "lara", "lerde", "larda", "lerden", "lardan", "nin", "nın", "nun", "nün",
+    "in", "ın", "un", "ün", "im", "ım", "um", "üm", "imiz", "ımız", "umuz", "ümüz", "e", "a", "ye", "ya", "i", "ı", "u", "ü", "yi", "yı", "yu", "yü",
+    "de", "da", "te", "ta", "den", "dan", "ten", "tan", "deki", "daki", "teki", "taki", "le", "la", "yle", "yla", "ile", "li", "lı", "lu", "lü",
+    "siz", "sız", "suz", "süz", "lik", "lık", "luk", "lük", "ci", "cı", "cu", "cü", "çi", "çı", "çu", "çü", "si", "sı", "su", "sü", "ni", "nı", "nu", "nü",
+    "na", "ne", "nde", "nda", "nden", "ndan", "se", "sa", "ce", "ca", "çe", "ça",
+)
 
 
 def safe_lower(text: Column) -> Column:
@@ -39,8 +49,7 @@ def is_question(text: Column) -> Column:
 
 
 def is_generic_token(token: Column) -> Column:
-    forms = F.array(*(F.lit(g + e) for g in GENERIC for e in ("", *ENDINGS)))
-    return F.array_contains(forms, token)
+    return F.rlike(token, F.lit(f"^(?:{'|'.join(GENERIC)})(?:{'|'.join(ENDINGS)})?$"))
 
 
 def is_generic(name: Column) -> Column:

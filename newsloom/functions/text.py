@@ -34,16 +34,35 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def content_hash(text: Column) -> Column:
     return F.sha2(squeeze(F.lower(text)), 256)
 
 
+#: Fixed value: what a title is stripped of at both ends.
+TITLE_EDGE = " .,;:!?-\"'"
+
+
 def normalize_title(title: Column) -> Column:
-    return squeeze(F.lower(F.regexp_replace(title, r"[^\w\s]", " ")))
+    """Lower case, single spaces, and no punctuation at either end; punctuation within stays."""
+    return F.trim(squeeze(F.lower(F.coalesce(title, F.lit("")))), F.lit(TITLE_EDGE))
+
+
+def title_hash(title: Column) -> Column:
+    return F.sha2(normalize_title(title), 256)
 
 
 def estimate_tokens(text: Column, cfg: EngineConfig = DEFAULT) -> Column:
@@ -51,12 +70,15 @@ def estimate_tokens(text: Column, cfg: EngineConfig = DEFAULT) -> Column:
 
 
 def remove_boilerplate(text: Column, sep: str = "\n\n") -> Column:
-    """A struct of the text left and the share of characters removed. Short paragraphs that hold a pattern go."""
-    paragraphs = F.filter(F.transform(F.split(text, sep), lambda p: F.trim(p)), lambda p: p != "")
-    kept = F.filter(paragraphs, lambda p: ~(F.rlike(p, F.lit(BOILERPLATE_RE)) & (F.length(p) < SHORT_PARAGRAPH)))
-    left = F.array_join(kept, sep)
-    ratio = F.when(F.length(text) > 0, 1 - F.length(left) / F.length(text)).otherwise(0.0)
-    return F.struct(left.alias("text"), F.round(F.greatest(ratio, F.lit(0.0)), 3).alias("removed"))
+    """A struct of the text left and the share of paragraphs removed. Short paragraphs that hold a pattern go; a text without
+    any paragraph comes back as it is."""
+    paragraphs = F.filter(F.transform(F.split(text, sep), strip), lambda p: p != "")
+
+    def sifted(ps: Column) -> Column:
+        kept = F.filter(ps, lambda p: ~((F.length(p) < SHORT_PARAGRAPH) & F.rlike(p, F.lit(BOILERPLATE_RE))))
+        return let(kept, lambda k: F.struct(F.when(F.size(ps) > 0, F.array_join(k, sep)).otherwise(text).alias("text"), F.coalesce(F.round(1 - F.try_divide(F.size(k), F.size(ps)), 3), F.lit(0.0)).alias("removed")))
+
+    return let(paragraphs, sifted)
 
 
 def language(text: Column, least: int = 50) -> Column:
@@ -131,41 +153,64 @@ def phrase_threshold(n_words: Column) -> Column:
 
 
 #: What stands for quotation marks in queries.
-QUOTES = "\"'`´‘’‚‛“”„‟«»‹›′″＂"
+QUOTES = "'‘’‚‛′ʼʹ\"“”„‟″«»‹›`"
 
 
 def normalize_query(text: Column) -> Column:
-    return squeeze(F.lower(F.translate(text, QUOTES, "")))
+    return squeeze(F.translate(F.lower(F.coalesce(text, F.lit(""))), QUOTES, ""))
+
+
+#: Percentages, fractions, money, counts with units, scores, ordinals, years of the old reckoning.
+NUMERIC = (
+    r"(?:yüzde\s+\d+(?:[,\.]\d+)?|%\s*\d+(?:[,\.]\d+)?|\d+(?:[,\.]\d+)?\s*%)",
+    r"\b\d+/\d+\b",
+    r"\d+(?:[,\.]\d+)?\s*(?:milyon|milyar|bin)?\s*(?:tl|dolar|avro|euro|drahmi|usd|tlrl|sterlin|yen|yuan)",
+    r"\b\d+(?:[,\.]\d+)?\s*(?:[a-zçğıöşü]+\s+)?(?:ülke|kent|şehir|ilçe|kişi|asker|metre|km|kilometre|hektar|fide|fidan|gün|saat|dakika|hafta|ay|yıl|sn|saniye|skor|puan|gol|sayı|gönderi|tweet|paylaşım|maç)\b",
+    r"\b\d{1,3}-\d{1,3}\b",
+    r"\b\d+\.\s*(?:hafta|gün|ay|yıl|yarı|tur|sezon|dakika)\b",
+    r"\b(?:MÖ|MS)\s*\d{1,4}\b",
+)
+#: Which of them tell capitals apart.
+CASED = (1, 4, 6)
 
 
 def numeric_spans(text: Column, each: int = 5) -> Column:
-    """Percentages, money, dates, counts with units: the first few of each pattern, distinct, 2 to 60 characters."""
-    patterns = (r"(%\s?\d+(?:[.,]\d+)?)", r"(\d+(?:[.,]\d+)?\s?%)", r"(\d+(?:[.,]\d+)?\s?(?:TL|USD|EUR))", r"(\b\d{4}\b)", r"(\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b)", r"(\b\d{1,2}:\d{2}\b)", r"(\b\d+(?:[.,]\d+)*\b)")
-    found = F.flatten(F.array(*(F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(1)), 1, each) for p in patterns)))
-    return F.array_distinct(F.filter(F.transform(found, lambda s: F.lower(F.trim(s))), lambda s: F.length(s).between(2, 60)))
+    """The first few spans of each pattern as they are written, of 2 to 60 characters; of those that differ in capitals and
+    spaces only, the first."""
+    flags = ("(?U)" if i in CASED else "(?iU)" for i in range(len(NUMERIC)))
+    found = F.flatten(F.array(*(F.slice(F.regexp_extract_all(text, F.lit(f"{f}({p})"), F.lit(1)), 1, each) for f, p in zip(flags, NUMERIC, strict=True))))
+    spans = F.filter(F.transform(found, strip), lambda s: F.length(s).between(2, 60))
+    keyed = F.transform(spans, lambda s: F.struct(squeeze(F.lower(s)).alias("k"), s.alias("s")))
+    once = let(keyed, lambda a: F.filter(a, lambda x, i: F.array_position(F.transform(a, lambda y: y["k"]), x["k"]) == i + 1))
+    return F.transform(once, lambda x: x["s"])
 
 
 def normalized_levenshtein(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))), F.lit(0.0))
 
 
-#: Spoiled forms of the citation mark, and the right one.
-CITATIONS = (
-    (r"\[\s*#\s*(\d+)\s*\]", "[#$1]"),
-    (r"\(\s*#\s*(\d+)\s*\)", "[#$1]"),
-    (r"\[\s*[Kk]aynak\s*#?\s*(\d+)\s*\]", "[#$1]"),
-    (r"\[\s*[Ss]ource\s*#?\s*(\d+)\s*\]", "[#$1]"),
-    (r"【\s*#?\s*(\d+)[^】]*】", "[#$1]"),
-    (r"\[\s*(\d+)\s*\]", "[#$1]"),
-)
+#: Spoiled forms of the citation mark ``[#n]``, each in the brackets in which it occurs.
+CITATIONS = (("ID", "[]"), ("ID", "()"), ("ref", "[]"), ("ref", "()"), ("kaynak", "[]"), ("kaynak", "()"), ("source", "[]"))
 
 
 def repair_citations(text: Column) -> Column:
-    for pattern, mark in CITATIONS:
-        text = F.regexp_replace(text, pattern, mark)
+    for word, (left, right) in CITATIONS:
+        text = F.regexp_replace(text, rf"(?iU)\{left}\s*{word}\s*[:.\-]?\s*(\d+)\s*\{right}", "[#$1]")
     return text
 
 
+#: What a full stop may follow without ending a sentence, and the letters that count.
+ABBREVIATIONS = ("vb", "vs", "Dr", "Prof", "TC", "ABD", "AB", "TBMM")
+LETTERS, CAPITALS = "A-Za-zÇĞİÖŞÜçğıöşü", "A-ZÇĞİÖŞÜ"
+
+
+def citation_sentences(text: Column) -> Column:
+    """Sentences for checking citations: cut before capitals, but not where the last word is an abbreviation."""
+    cut = F.regexp_replace(strip(text), rf"(?U)([.!?])\s+(?=[{CAPITALS}])", "$1\u0001")
+    joined = F.regexp_replace(cut, rf"(?<![{LETTERS}])((?:{'|'.join(ABBREVIATIONS)})[^{LETTERS}\s\x01]*)\x01", "$1 ")
+    return F.filter(F.split(joined, "\u0001"), lambda s: s != "")
+
+
 def citation_ids(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[#(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
 

@@ -204,11 +204,14 @@ def merge_target(clusters: DataFrame, group: str) -> DataFrame:
 
 
 def nearest_centroid(items: DataFrame, centroids: DataFrame, least: float) -> DataFrame:
-    """Each item's most similar centroid, if similar enough; never a new one. Centroids are one row of a few."""
-    packed = centroids.agg(F.collect_list(F.struct("cluster", "centroid")).alias("cs"))
-    j = items.crossJoin(F.broadcast(packed)).select("id", "vec", F.inline("cs"))
-    s = j.select("id", "cluster", F.round(vector.cosine(F.col("vec"), F.col("centroid")), 6).alias("cos"))
-    return s.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "cluster"))).where((F.col("i") == 1) & (F.col("cos") >= least)).drop("i")
+    """Each item's most similar centroid, if similar enough; never a new one. Centroids go to every task only if they are
+    counted few; the best of a task's centroids is found before anything is shuffled."""
+    from newsloom.operators.retrieval import meet
+
+    pairs = meet(centroids.select("cluster", "centroid"), items.select("id", "vec"))
+    s = pairs.select("id", F.struct(F.round(vector.cosine(F.col("vec"), F.col("centroid")), 6).alias("cos"), (-F.col("cluster")).alias("k")).alias("x"))
+    best = s.groupBy("id").agg(F.max("x").alias("x"))
+    return best.select("id", (-F.col("x.k")).alias("cluster"), F.col("x.cos").alias("cos")).where(F.col("cos") >= least)
 
 
 def titles_alike(a, b, cfg: EngineConfig = DEFAULT):

@@ -21,6 +21,8 @@ STREAM_K = {"sparse": 60, "dense": 60, "summary": 80, "ner_multi": 5, "ner_rare"
 PHRASE_BOOST, GRAM_BOOST, GRAM_BOOST_MAX = 0.05, 0.025, 0.10
 #: Fixed value: the sum of 1/j**2 over all j, that ranks are divided by.
 ZETA2 = 1.64493406685
+#: Queries, or terms, of a batch that are sent to every task.
+BATCH = 1000
 
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -28,10 +30,15 @@ def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "id"))).where(F.col("rank") <= n)
 
 
-def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, id, tf) of lower-cased words."""
+def postings(docs: DataFrame, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf) of lower-cased words; only of ``terms`` if they are given, which drops all other words before anything is
+    shuffled (by a broadcast if they are few)."""
     term = F.explode(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    return docs.select("id", term.alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    rows = docs.select("id", term.alias("term"))
+    if terms is not None:
+        asked = terms.select("term").distinct()
+        rows = rows.join(F.broadcast(asked) if asked.count() <= BATCH else asked, "term", "left_semi")
+    return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_rank(tf: Column) -> Column:
@@ -48,21 +55,30 @@ def sparse(terms: DataFrame, index: DataFrame, pool: int) -> DataFrame:
     return top(scored, pool, F.desc("grams"), F.desc("score"))
 
 
+def meet(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """Every query beside every row of ``base`` (``id`` and more): a stated query set against all rows. A batch of up to
+    ``BATCH`` queries goes to every task; more are dealt out in blocks, each of which meets every row."""
+    if queries.count() <= BATCH:
+        return base.crossJoin(F.broadcast(queries))
+    blocks = 64
+    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return base.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(left, "block").drop("block")
+
+
 def dense(queries: DataFrame, base: DataFrame, pool: int, least: float = -1.0) -> DataFrame:
-    """Nearest by cosine, moved to 0..1: ``queries`` (query_id, qvec) against ``base`` (id, vec). Exact; the batch
-    of queries is sent to every task if it is small, else both sides are dealt out as a nested loop of blocks."""
-    n = queries.count()
-    q = queries.groupBy().agg(F.collect_list(F.struct("query_id", "qvec")).alias("qs")) if n <= 1000 else None
-    if q is not None:
-        pairs = base.crossJoin(F.broadcast(q)).select("id", "vec", F.inline("qs"))  # one row
-    else:
-        blocks = 64
-        left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = base.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(left, "block")
-    scored = pairs.select("query_id", "id", F.round(vector.semantic(F.col("vec"), F.col("qvec")), 6).alias("score"))
+    """Nearest by cosine, moved to 0..1: ``queries`` (query_id, qvec) against ``base`` (id, vec). Exact."""
+    scored = meet(queries, base.select("id", "vec")).select("query_id", "id", F.round(vector.semantic(F.col("vec"), F.col("qvec")), 6).alias("score"))
     return top(scored, pool, F.desc("score")).where(F.col("score") >= least)
 
 
+def entity_coverage(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The share of a query's entities (query_id, entity) that occur in any of its chunks (query_id, text)."""
+    wanted = asked.select("query_id", F.lower(F.trim("entity")).alias("entity")).where("entity <> ''").distinct()
+    found = wanted.join(chunks.select("query_id", F.lower("text").alias("text")), "query_id").where(F.contains("text", F.col("entity"))).select("query_id", "entity").distinct()
+    hits = wanted.join(found.withColumn("hit", F.lit(1)), ["query_id", "entity"], "left")
+    return hits.groupBy("query_id").agg(F.round(F.count("hit") / F.count(F.lit(1)), 3).alias("coverage"))
+
+
 def keyword_k(phrase: Column, hits: Column, keywords: Column) -> Column:
     """The fusion constant of the keyword stream by how good the match is."""
     return F.when(phrase, 15).when(hits >= 3, 18).when(keywords >= 2, 20).when(hits >= 2, 22).otherwise(30)

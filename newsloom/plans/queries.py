@@ -11,7 +11,7 @@ from newsloom.functions import trend
 from newsloom.operators import entities, retrieval as op
 
 from .registry import query
-from .retrieval import DENSE, QUERIES, dense
+from .retrieval import ASKED_SQL, DENSE, asked_of, dense
 
 #: Questions in the table's place: a verb, a place, a mark.
 ASK = "CASE c_custkey % 4 WHEN 0 THEN 'kim ' || lower(c_mktsegment) WHEN 1 THEN lower(c_mktsegment) || ' haber' WHEN 2 THEN 'bu hafta ' || c_mktsegment || ' ve yeni plan' ELSE 'peki ' || lower(c_mktsegment) || ' 2024' END"
@@ -32,9 +32,9 @@ def t32_question_test(spark, sf_dir):
 
 
 @query(f"""WITH a AS (SELECT c_custkey, {ASK} AS text, c_custkey % 4 AS k, lower(c_mktsegment) AS low FROM customer)
-    SELECT c_custkey, CASE k WHEN 1 THEN low WHEN 3 THEN CASE WHEN length(low) >= 4 THEN low || ',' || CASE WHEN length('peki') >= length('2024') THEN 'peki' ELSE '2024' END END END AS entities FROM a WHERE k IN (0, 1, 3)""")
+    SELECT c_custkey, CASE k WHEN 1 THEN low WHEN 3 THEN low || ',peki' END AS entities FROM a""")
 def t33_planner_bypass(spark, sf_dir):
-    return asks(spark, sf_dir).where("c_custkey % 4 <> 2").select("c_custkey", F.array_join(qf.planner_bypass(F.col("text")), ",").alias("entities"))
+    return asks(spark, sf_dir).select("c_custkey", F.array_join(qf.planner_bypass(F.col("text")), ",").alias("entities"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN false WHEN 0 THEN false WHEN 1 THEN false ELSE true END AS standalone FROM customer")
@@ -42,9 +42,9 @@ def t30_standalone(spark, sf_dir):
     return asks(spark, sf_dir).select("c_custkey", qf.is_standalone(F.col("text")).alias("standalone"))
 
 
-@query("SELECT c_custkey, 'bu hafta ' || c_mktsegment || '|yeni plan' AS parts FROM customer WHERE c_custkey % 4 = 2")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 2 THEN 'bu hafta ' || c_mktsegment || '|yeni plan' ELSE '' END AS parts FROM customer")
 def t31_decompose(spark, sf_dir):
-    return asks(spark, sf_dir).where("c_custkey % 4 = 2").select("c_custkey", F.array_join(qf.decompose(F.col("text")), "|").alias("parts"))
+    return asks(spark, sf_dir).select("c_custkey", F.array_join(qf.decompose(F.col("text")), "|").alias("parts"))
 
 
 @query(f"WITH a AS (SELECT c_custkey, {ASK} AS text FROM customer), t AS (SELECT c_custkey, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zı0-9][a-zı0-9-]*'), lambda w: length(w) >= 5)) AS t FROM a) SELECT c_custkey, array_to_string(list_sort(t), ',') AS candidates FROM t")
@@ -52,7 +52,13 @@ def t18_candidates(spark, sf_dir):
     return asks(spark, sf_dir).select("c_custkey", F.array_join(F.array_sort(qf.entity_candidates(F.col("text"))), ",").alias("candidates"))
 
 
-@query()
+FILLERS_SQL = ", ".join(f"'{f}'" for f in qf.FILLERS)
+PHRASES_SQL = " UNION ALL ".join(f"SELECT c_custkey, {n} * 1000 + i AS pos, array_to_string(w[i:i + {n - 1}], ' ') AS g, w[i:i + {n - 1}] AS ws FROM (SELECT c_custkey, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w WHERE len(w) >= {n})" for n in (2, 3, 4))
+
+
+@query(f"""WITH w AS (SELECT c_custkey, list_filter(string_split_regex(lower({ASK}), '\\s+'), lambda x: x <> '') AS w FROM customer), g AS ({PHRASES_SQL}),
+    k AS (SELECT c_custkey, g, min(pos) AS pos FROM g WHERE length(g) >= 5 AND len(list_filter(ws, lambda x: x NOT IN ({FILLERS_SQL}))) > 0 GROUP BY ALL), j AS (SELECT c_custkey, string_agg(g, '|' ORDER BY pos) AS phrases FROM k GROUP BY 1)
+    SELECT c_custkey, coalesce(phrases, '') AS phrases FROM customer LEFT JOIN j USING (c_custkey)""")
 def t16_phrases(spark, sf_dir):
     return asks(spark, sf_dir).select("c_custkey", F.array_join(qf.phrases(F.lower("text")), "|").alias("phrases"))
 
@@ -100,7 +106,7 @@ def r9_rescue(spark, sf_dir):
 @query(f"""WITH {MENTIONS_SQL}, {DENSE}, l AS (SELECT DISTINCT article_id AS id FROM mentions WHERE entity_norm = 'Brand#11'), b AS (SELECT query_id, dense.id, score + CASE WHEN l.id IS NOT NULL THEN 0.05 ELSE 0 END AS score, rank AS before FROM dense LEFT JOIN l ON l.id = dense.id)
     SELECT query_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, id) AS rank FROM b""")
 def r15_affinity(spark, sf_dir):
-    liked = spark.createDataFrame([(i, "Brand#11") for i in range(QUERIES)], "query_id long, entity string")
+    liked = asked_of(table(spark, sf_dir, "embeddings"), "vec_id").select(F.col("vec_id").alias("query_id"), F.lit("Brand#11").alias("entity"))
     return op.affinity_boost(dense(spark, sf_dir), liked, named(spark, sf_dir)).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -108,19 +114,19 @@ def r15_affinity(spark, sf_dir):
     SELECT query_id, chunk AS id, c.article_id, row_number() OVER (PARTITION BY query_id ORDER BY c.article_id) AS rank FROM n JOIN c USING (article_id)""")
 def r5_summary_stream(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    q = asked_of(e, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     chunks = e.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 5).alias("article_id"), (F.col("vec_id") % 5).alias("chunk_index"))
     return op.summary_stream(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), chunks, 10)
 
 
-@query(f"""WITH {DENSE}, s AS (SELECT q.vec_id AS answer_id, q.vec_id * 10 + i AS claim_id, e.vec_id AS source_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 6) AS cos
-      FROM embeddings q CROSS JOIN range(3) r(i) JOIN embeddings x ON x.vec_id = q.vec_id + 100 * (i + 1) JOIN embeddings e ON e.vec_id % 20 = q.vec_id AND e.vec_id < 400 WHERE q.vec_id < {QUERIES})
+@query(f"""WITH {DENSE}, s AS (SELECT q.vec_id AS answer_id, x.vec_id AS claim_id, e.vec_id AS source_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 6) AS cos
+      FROM embeddings q JOIN embeddings x ON x.vec_id // 20 = q.vec_id // 20 AND x.vec_id % 20 BETWEEN 1 AND 3 JOIN embeddings e ON e.vec_id // 20 = q.vec_id // 20 AND e.vec_id % 20 > 3 WHERE {ASKED_SQL.format('q.vec_id')})
     SELECT answer_id, claim_id, source_id, round(cos, 4) AS cos, cos >= 0.25 AS supported FROM s QUALIFY row_number() OVER (PARTITION BY answer_id, claim_id ORDER BY cos DESC, source_id) = 1""")
 def r22_citations(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    q = spark.range(QUERIES).select(F.col("id").alias("answer_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i"))
-    claims = q.withColumn("vec_id", F.col("answer_id") + 100 * (F.col("i") + 1)).join(e, "vec_id").select("answer_id", (F.col("answer_id") * 10 + F.col("i")).alias("claim_id"), "vec")
-    sources = e.where((F.col("vec_id") % 20 < QUERIES) & (F.col("vec_id") < 400)).select((F.col("vec_id") % 20).alias("answer_id"), F.col("vec_id").alias("source_id"), "vec")
+    own, answer = F.col("vec_id") % 20, (F.col("vec_id") - F.col("vec_id") % 20).alias("answer_id")  # an answer, its three claims and its sources follow one another
+    claims = e.where(own.between(1, 3)).select(answer, F.col("vec_id").alias("claim_id"), "vec")
+    sources = e.where(own > 3).select(answer, F.col("vec_id").alias("source_id"), "vec")
     return op.supported(claims, sources, 0.25).withColumn("cos", F.round("cos", 4))
 
 
@@ -134,10 +140,10 @@ def r24_context_anchor(spark, sf_dir):
     return op.context_anchor(m, F.col("value") > 30).select("user_id", "id", "hours")
 
 
-@query("""WITH n AS (SELECT user_id AS query_id, event_id AS id, ts AS at FROM events WHERE event_type = 'error' AND value > 80 AND user_id < 60), w AS (SELECT user_id AS query_id, event_id AS id, ts AS at FROM events WHERE value > 80 AND user_id < 60)
+@query("""WITH n AS (SELECT user_id AS query_id, event_id AS id, ts AS at FROM events WHERE event_type = 'error' AND value > 80), w AS (SELECT user_id AS query_id, event_id AS id, ts AS at FROM events WHERE value > 80)
     SELECT query_id, id, false AS fallback FROM n UNION ALL SELECT query_id, id, true FROM w WHERE query_id NOT IN (SELECT query_id FROM n)""")
 def r20_fallback_window(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value > 80 and user_id < 60").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.col("ts").alias("at"), "event_type")
+    e = table(spark, sf_dir, "events").where("value > 80").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.col("ts").alias("at"), "event_type")
     narrow = e.where("event_type = 'error'").drop("event_type").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
     return op.with_fallback(narrow.select("query_id", "id", "rank"), e.drop("event_type")).select("query_id", "id", "fallback")
 

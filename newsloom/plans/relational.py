@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.catalog import table
+from newsloom.functions import predicates as pred
 
 from .registry import query
 
@@ -24,6 +25,48 @@ def p2_pattern_counts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", n.alias("grams")).where("grams > 0")
 
 
+@query("SELECT p_partkey FROM part WHERE regexp_matches(p_type, '(?i)STEEL|copper') OR regexp_matches(p_name, '(?i)STEEL|copper')")
+def p4_pattern_alternation(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(pred.matches_any("p_type", ["STEEL", "copper"]) | pred.matches_any("p_name", ["STEEL", "copper"])).select("p_partkey")
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part)
+    SELECT p_partkey, list_has_any(w, ['red', 'blue', 'green']) AS overlaps, list_contains(w, 'red') AS has, len(list_filter(w, lambda x: contains(x, 'ee'))) > 0 AS any_holds FROM w""")
+def p5_array_predicates(spark, sf_dir):
+    w = table(spark, sf_dir, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("w"))
+    return w.select("p_partkey", F.arrays_overlap("w", F.array(*map(F.lit, ("red", "blue", "green")))).alias("overlaps"), F.array_contains("w", "red").alias("has"), F.exists("w", lambda x: F.contains(x, F.lit("ee"))).alias("any_holds"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS made FROM orders) SELECT 'frame' AS asked, o_orderkey FROM o WHERE made IS NULL OR made BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-01'
+    UNION ALL SELECT 'recent', o_orderkey FROM o WHERE made IS NULL OR made >= TIMESTAMP '1998-08-01' - INTERVAL 720 HOUR""")
+def p6_date_window(spark, sf_dir):
+    """A time frame if one is asked for, else the last hours; rows without a time pass."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("at"))
+    frame = o.where(pred.within("at", "1998-08-01", 720, "1996-01-01", "1996-03-01")).select(F.lit("frame").alias("asked"), "o_orderkey")
+    return frame.unionAll(o.where(pred.within("at", "1998-08-01", 720)).select(F.lit("recent").alias("asked"), "o_orderkey"))
+
+
+@query("""SELECT 'all' AS asked, count(*) AS n, sum(c_acctbal)::DECIMAL(18, 2)::DOUBLE AS balance FROM customer WHERE NULL IS NULL UNION ALL SELECT 'one', count(*), sum(c_acctbal)::DECIMAL(18, 2)::DOUBLE FROM customer WHERE c_nationkey = 7""")
+def p8_optional_parameter(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    of = lambda name, nation: c.where(pred.optional("c_nationkey", nation)).agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").cast("decimal(18,2)").cast("double").alias("balance")).select(F.lit(name).alias("asked"), "n", "balance")
+    return of("all", None).unionAll(of("one", 7))
+
+
+@query("SELECT event_id, event_type || ':' || strftime(ts, '%Y-%m-%d') AS key FROM events WHERE event_type || ':' || strftime(ts, '%Y-%m-%d') LIKE '%:2024-01-05'")
+def p10_key_suffix(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(":"), F.date_format("ts", "yyyy-MM-dd")).alias("key"))
+    return e.where(F.endswith("key", F.lit(":2024-01-05")))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_mktsegment IS NOT NULL AND c_mktsegment <> 'MACHINERY' AND c_nationkey NOT IN (3, 4) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
+def p11_eligibility_gates(spark, sf_dir):
+    """All gates must be open: consent, not revoked, active, subscribed."""
+    active = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
+    gates = (F.col("c_acctbal") > 0, F.col("c_mktsegment").isNotNull(), F.col("c_mktsegment") != "MACHINERY", ~F.col("c_nationkey").isin(3, 4))
+    return table(spark, sf_dir, "customer").where(pred.all_open(*gates)).join(active, "c_custkey", "left_semi").select("c_custkey")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') = '7' OR TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) > 90")
 def p9_json_predicates(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
@@ -178,13 +221,13 @@ def g11_ratios(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.try_divide(F.count_if(v > 50), F.count_if(v <= 50)), 6).alias("ratio"), F.round(F.try_divide(F.sum(v * F.col("user_id")), F.sum("user_id")), 6).alias("weighted"))
 
 
-@query("""WITH w AS (SELECT c_custkey % 97 AS cluster, n_name AS country, sum(greatest(1, CAST(floor(c_acctbal) AS BIGINT))) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey < 3 GROUP BY ALL),
+@query("""WITH w AS (SELECT c_custkey % 97 AS cluster, n_name AS country, sum(greatest(1, CAST(floor(c_acctbal) AS BIGINT))) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
     s AS (SELECT *, w::DOUBLE / sum(w) OVER (PARTITION BY cluster) AS share, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, country) AS i FROM w)
     SELECT cluster, CASE WHEN share >= 0.6 THEN country END AS country, round(share, 6) AS share FROM s WHERE i = 1""")
 def g13_majority_vote(spark, sf_dir):
     from newsloom.operators.clusters import majority
 
-    c = table(spark, sf_dir, "customer").where("c_nationkey < 3").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
     votes = c.select((F.col("c_custkey") % 97).alias("cluster"), F.col("n_name").alias("country"), F.greatest(F.lit(1), F.floor("c_acctbal")).cast("long").alias("w"))
     return majority(votes, "cluster", "country", "w").withColumn("share", F.round("share", 6))
 
@@ -201,6 +244,22 @@ def s1_pool(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_size") > 25).alias("phrase")).orderBy(F.desc("phrase"), F.desc_nulls_last("p_size"), F.desc("p_retailprice"), "p_partkey").limit(30)
 
 
+@query("""WITH m AS (SELECT l_partkey, sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS cur, sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS prev FROM lineitem GROUP BY 1), k AS (SELECT l_partkey, CASE WHEN prev > 0 THEN round((coalesce(cur, 0) - prev) / prev, 6) END AS momentum FROM m)
+    SELECT l_partkey, momentum, row_number() OVER (ORDER BY coalesce(momentum, 'inf'::DOUBLE) DESC, l_partkey) AS place FROM k QUALIFY place <= 200""")
+def s2_whitelisted_sort(spark, sf_dir):
+    """Sorted by one of the allowed keys; what is missing counts as endless. The first 200."""
+    flag = lambda x: F.sum(F.when(F.col("l_returnflag") == x, F.col("l_quantity")))
+    m = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(flag("R").alias("cur"), flag("A").alias("prev"))
+    k = m.select("l_partkey", F.when(F.col("prev") > 0, F.round((F.coalesce("cur", F.lit(0.0)) - F.col("prev")) / F.col("prev"), 6)).alias("momentum"))
+    order = pred.sort_keys("momentum", {"momentum": float("inf"), "l_partkey": -1}) + [F.asc("l_partkey")]
+    return k.orderBy(*order).limit(200).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+@query("SELECT DISTINCT p_brand, p_type, p_size FROM part ORDER BY ALL LIMIT 100")
+def g14_distinct_rows(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size").distinct().orderBy("p_brand", "p_type", "p_size").limit(100)
+
+
 @query("SELECT o_orderkey, o_totalprice, count(*) OVER () AS total FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
 def s3_page(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")

@@ -11,12 +11,20 @@ from newsloom.operators import curation, retrieval as op
 from .registry import query
 from .relational import RUNS, two_runs
 
-QUERIES, POOL = 5, 30
+POOL = 30
+#: The query set: rows whose id is divisible by 20, each against all rows.
+ASKED_SQL = "{} % 20 = 0"
+
+
+def asked_of(df, key):
+    return df.where(F.col(key) % 20 == 0)
+
+
 COS = "(1 + list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2"
 DENSE = f"""dense AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({COS}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 6) DESC, e.vec_id) AS rank
-    FROM embeddings e, embeddings q WHERE q.vec_id < {QUERIES} QUALIFY rank <= {POOL})"""
+    FROM embeddings e, embeddings q WHERE {ASKED_SQL.format('q.vec_id')} QUALIFY rank <= {POOL})"""
 TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-SPARSE = f"""terms AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct(list_filter(list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda w: w <> '')[1:6])) AS term FROM benchmark WHERE item_id < {QUERIES}),
+SPARSE = f"""terms AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct(list_filter(list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda w: w <> '')[1:6])) AS term FROM benchmark WHERE {ASKED_SQL.format('item_id')}),
     post AS (SELECT doc_id AS id, unnest({TOKENS}) AS term FROM documents), tf AS (SELECT term, id, count(*) AS tf FROM post GROUP BY ALL), n AS (SELECT query_id, count(*) AS n_terms FROM terms GROUP BY 1),
     hit AS (SELECT query_id, id, count(*) AS grams, sum(0.1 * list_sum(list_transform(range(1, tf + 1), lambda j: 1.0 / (j * j))) / 1.64493406685) AS r FROM tf JOIN terms USING (term) GROUP BY ALL),
     sparse AS (SELECT query_id, id, grams, round(r / n_terms, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY grams DESC, round(r / n_terms, 9) DESC, id) AS rank FROM hit JOIN n USING (query_id) QUALIFY rank <= {POOL})"""
@@ -24,14 +32,15 @@ SPARSE = f"""terms AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct
 
 def dense(spark, sf_dir, pool=POOL):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    q = asked_of(e, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return op.dense(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), pool)
 
 
 def sparse(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    b = table(spark, sf_dir, "benchmark").where(F.col("item_id") < QUERIES).select(F.col("item_id").alias("query_id"), "text")
-    return op.sparse(op.query_terms(b), op.postings(docs), POOL)
+    b = asked_of(table(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("query_id"), "text")
+    terms = op.query_terms(b)
+    return op.sparse(terms, op.postings(docs, terms=terms), POOL)
 
 
 @query(f"WITH {DENSE} SELECT query_id, id, rank, round(score, 4) AS score FROM dense WHERE score >= 0.5")
@@ -73,25 +82,29 @@ def r19_collapse(spark, sf_dir):
 
 
 @query(f"""WITH b AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT AS lo, list_sum(list_transform(range(33, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 33)) ELSE 0 END))::BIGINT AS hi FROM embeddings)
-    SELECT q.vec_id AS query_id, e.vec_id AS id, (bit_count(xor(e.lo, q.lo)) + bit_count(xor(e.hi, q.hi)))::INTEGER AS distance FROM b e, b q WHERE q.vec_id < {QUERIES}
+    SELECT q.vec_id AS query_id, e.vec_id AS id, (bit_count(xor(e.lo, q.lo)) + bit_count(xor(e.hi, q.hi)))::INTEGER AS distance FROM b e, b q WHERE {ASKED_SQL.format('q.vec_id')}
     QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, e.vec_id) <= 10""")
 def r12_binary_search(spark, sf_dir):
     b = table(spark, sf_dir, "embeddings").select("vec_id", vector.sign_bits(F.col("embedding")).alias("bits"))
-    q = b.where(F.col("vec_id") < QUERIES).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("bits").alias("qbits"))).alias("qs"))
-    j = b.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), "bits", F.inline("qs"))  # one row of five queries
+    q = asked_of(b, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("bits").alias("qbits"))
+    j = op.meet(q, b.select(F.col("vec_id").alias("id"), "bits"))
     return op.top(j.select("query_id", "id", vector.hamming(F.col("bits"), F.col("qbits")).alias("distance")), 10, "distance").select("query_id", "id", "distance")
 
 
-@query(f"""WITH {MENTIONS_SQL}, asked(query_id, entity) AS (VALUES (1, 'Brand#11'), (1, 'Brand#22'), (2, 'Brand#31'), (3, 'no brand'), (4, 'Brand#12'), (4, 'Brand#13'), (4, 'Brand#14')),
-    h AS (SELECT DISTINCT query_id, entity, article_id FROM asked JOIN mentions ON entity_norm = entity AND article_id % 40 = 1), df AS (SELECT query_id, entity, count(*) AS df, count(*) < 30 AS rare FROM h GROUP BY ALL),
+@query(f"""WITH {MENTIONS_SQL}, asked AS (SELECT DISTINCT q.p_partkey AS query_id, p.p_brand || ' ' || p.p_type AS entity FROM part q JOIN part p ON p.p_partkey = q.p_partkey OR p.p_partkey = q.p_partkey + 1 WHERE {ASKED_SQL.format('q.p_partkey')}),
+    h AS (SELECT DISTINCT query_id, entity, article_id FROM asked JOIN mentions ON entity_norm || ' ' || entity_type = entity), df AS (SELECT query_id, entity, count(*) AS df, count(*) < 30 AS rare FROM h GROUP BY ALL),
     d AS (SELECT *, count(*) FILTER (WHERE rare) OVER (PARTITION BY query_id) AS n_rare, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY df, entity) AS o FROM df),
     p AS (SELECT query_id, article_id, n_rare, n, count(*) FILTER (WHERE rare) AS rh, count(*) AS here, bool_or(o = 1) AS rarest FROM h JOIN d USING (query_id, entity) GROUP BY ALL),
     x AS (SELECT *, n_rare >= 2 AND rh = n_rare AS every, n_rare = 0 AND n >= 2 AND here = n AS common FROM p), y AS (SELECT *, bool_or(every) OVER (PARTITION BY query_id) AS any_every, count(*) FILTER (WHERE common) OVER (PARTITION BY query_id) AS nc FROM x),
     z AS (SELECT query_id, article_id, CASE WHEN every THEN 'multi_and' WHEN n_rare >= 2 AND NOT any_every AND rarest THEN 'single_rare' WHEN n_rare = 1 AND rh = 1 THEN 'single_rare' WHEN common AND nc < 30 THEN 'multi_and_common' END AS mode FROM y)
     SELECT query_id, mode, article_id FROM z WHERE mode IS NOT NULL""")
 def r6_ner_stream(spark, sf_dir):
-    asked = spark.createDataFrame([(1, "Brand#11"), (1, "Brand#22"), (2, "Brand#31"), (3, "no brand"), (4, "Brand#12"), (4, "Brand#13"), (4, "Brand#14")], "query_id int, entity string")
-    m = mentions(spark, sf_dir).where("article_id % 40 = 1").select(F.col("entity_norm").alias("entity"), "article_id")  # the mapping has few brands; this makes them rare enough
+    """A query asks for the kinds of a part and of the one after it."""
+    kind = F.concat_ws(" ", "p_brand", "p_type").alias("entity")
+    p, last = table(spark, sf_dir, "part"), F.col("p_partkey") - F.col("p_partkey") % 20
+    queries = asked_of(p, "p_partkey").select(F.col("p_partkey").alias("query_id"))
+    asked = p.where("p_partkey % 20 in (0, 1)").select(last.alias("query_id"), kind).join(queries, "query_id", "left_semi").distinct()
+    m = mentions(spark, sf_dir).select(F.concat_ws(" ", "entity_norm", "entity_type").alias("entity"), "article_id")
     return op.ner_targets(asked, m)
 
 
@@ -134,7 +147,7 @@ def r26_merge_rank_rrf(spark, sf_dir):
     return _merged(spark, sf_dir, how="sum", rerank=True)
 
 
-@query(f"""WITH {DENSE}, q AS (SELECT q.vec_id AS query_id, e.vec_id AS id, 1 AS rel FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id < {QUERIES}),
+@query(f"""WITH {DENSE}, q AS (SELECT q.vec_id AS query_id, e.vec_id AS id, 1 AS rel FROM embeddings e JOIN embeddings q ON e.label = q.label AND {ASKED_SQL.format('q.vec_id')}),
     h AS (SELECT query_id, rank, rel, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS found FROM dense JOIN q USING (query_id, id) WHERE rank <= 10),
     g AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(rank + 1)) AS dcg, count(*) AS n, sum(found::DOUBLE / rank) AS ap, min(rank) AS first FROM h GROUP BY 1),
     i AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN i <= 10 THEN 1 / log2(i + 1) END) AS idcg FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS i FROM q) GROUP BY 1)
@@ -142,15 +155,34 @@ def r26_merge_rank_rrf(spark, sf_dir):
     FROM i LEFT JOIN g USING (query_id)""")
 def v8_ranking_metrics(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query_id"), "label")
-    qrels = e.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("id"), F.lit(1).alias("rel"))  # five rows
+    q = asked_of(e, "vec_id").select(F.col("vec_id").alias("query_id"), "label")
+    qrels = e.join(q, "label").select("query_id", F.col("vec_id").alias("id"), F.lit(1).alias("rel"))
     m = curation.ranking_metrics(dense(spark, sf_dir), qrels)
     return m.select("query_id", *(F.round(c, 6).alias(c) for c in m.columns[1:]))
 
 
-@query("SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(lag(embedding) OVER (ORDER BY vec_id) AS DOUBLE[])), 5) AS cos FROM embeddings WHERE vec_id < 100 QUALIFY vec_id > 0")
+@query("SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 5) AS cos FROM embeddings e JOIN embeddings p ON p.vec_id = e.vec_id - 1")
 def r23_relatedness(spark, sf_dir):
     """Each message's vector against the one before it, met by key instead of a global order."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 100")
+    e = table(spark, sf_dir, "embeddings")
     before = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("prev"))
     return e.join(before, "vec_id").select("vec_id", F.round(vector.cosine(F.col("embedding"), F.col("prev")), 5).alias("cos"))
+
+
+@query(f"""WITH {DENSE} SELECT query_id, id, round(score, 4) AS score, s_name AS source FROM dense JOIN supplier ON s_suppkey = id % 10 + 1 WHERE s_acctbal > 0""")
+def r11_candidates(spark, sf_dir):
+    """Candidates of one vector each with the source they come from; those of inactive sources drop out."""
+    sources = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("source"))
+    d = dense(spark, sf_dir).withColumn("source_id", F.col("id") % 10 + 1)
+    return d.join(sources, "source_id").select("query_id", "id", F.round("score", 4).alias("score"), "source")
+
+
+@query(f"""WITH q AS (SELECT p_partkey AS query_id, p_brand, unnest(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: w <> ''))) AS entity FROM part WHERE {ASKED_SQL.format("p_partkey")}),
+    h AS (SELECT query_id, entity, bool_or(c.p_partkey <> query_id AND contains(lower(c.p_type || ' ' || c.p_name), entity)) AS hit FROM q JOIN part c USING (p_brand) GROUP BY ALL)
+    SELECT query_id, round(count(*) FILTER (WHERE hit) / count(*)::DOUBLE, 3) AS coverage FROM h GROUP BY 1""")
+def r21_entity_coverage(spark, sf_dir):
+    """A part's words, looked for in the other parts of its brand."""
+    p = table(spark, sf_dir, "part")
+    asked = asked_of(p, "p_partkey").select(F.col("p_partkey").alias("query_id"), "p_brand", F.explode(F.split(F.lower("p_name"), " ")).alias("entity"))
+    chunks = asked_of(p, "p_partkey").select(F.col("p_partkey").alias("query_id"), "p_brand").join(p.select("p_brand", "p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("text")), "p_brand").where("p_partkey <> query_id")
+    return op.entity_coverage(asked.select("query_id", "entity"), chunks.select("query_id", "text")).select("query_id", "coverage")

@@ -80,12 +80,29 @@ def x7_deduplicate(spark, sf_dir):
 
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 IP = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
+IBAN = r"\bTR\d{2}(?:\s?\d{4}){5}\s?\d{2}\b|\bTR\d{24}\b"
+UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
+#: All stages of ``r0`` (key, text) but the last, whose pattern looks behind itself, which this SQL can't.
+REDACTED_SQL = ", ".join(
+    f"r{i + 1} AS (SELECT * REPLACE (regexp_replace(text, '{p}', '[{m}_redacted]', 'g') AS text), len(regexp_extract_all(text, '{p}')) AS {n} FROM r{i})"
+    for i, (n, p, m) in enumerate((("email", EMAIL, "email"), ("iban", IBAN, "iban"), ("uuid", UUID, "ref"), ("ip", IP, "ip")))
+) + """, ids AS (SELECT *, list_filter(regexp_extract_all(text, '\\b\\d{11}\\b'), lambda s: s[1] <> '0'
+        AND ((s[1]::INT + s[3]::INT + s[5]::INT + s[7]::INT + s[9]::INT) * 7 - (s[2]::INT + s[4]::INT + s[6]::INT + s[8]::INT)) % 10 = s[10]::INT
+        AND (s[1]::INT + s[2]::INT + s[3]::INT + s[4]::INT + s[5]::INT + s[6]::INT + s[7]::INT + s[8]::INT + s[9]::INT + s[10]::INT) % 10 = s[11]::INT) AS valid FROM r4),
+    r5 AS (SELECT * EXCLUDE (valid) REPLACE (list_reduce(list_prepend(text, valid), lambda a, i: replace(a, i, '[id_redacted]')) AS text), len(valid) AS tc FROM ids)"""
+
+
+@query(f"WITH r0 AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {REDACTED_SQL} SELECT id, sha256(text) AS redacted, email, iban, uuid, ip, tc FROM r5")
+def t2_redaction_counts(spark, sf_dir):
+    """The text after the first five stages, and their counts."""
+    r = docs(spark, sf_dir).select("id", pii.redact(F.col("text"), pii.STAGES[:5]).alias("r"))
+    return r.select("id", F.sha2("r.text", 256).alias("redacted"), "r.email", "r.iban", "r.uuid", "r.ip", "r.tc")
 
 
-@query(f"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), e AS (SELECT id, len(regexp_extract_all(text, '{EMAIL}')) AS email, regexp_replace(text, '{EMAIL}', '[email_redacted]', 'g') AS text FROM d)
-    SELECT id, email, len(regexp_extract_all(text, '{IP}')) AS ip FROM e""")
-def t2_redaction_counts(spark, sf_dir):
-    return docs(spark, sf_dir).select("id", pii.redact(F.col("text")).alias("r")).select("id", "r.email", "r.ip")
+@query()
+def t2_redacted(spark, sf_dir):
+    """All six stages; the last one has no SQL, ``test_redaction_against_a_plain_version`` holds it."""
+    return docs(spark, sf_dir).select("id", pii.redact(F.col("text")).alias("r")).select("id", F.sha2("r.text", 256).alias("redacted"), *(f"r.{n}" for n, _, _ in pii.STAGES))
 
 
 @query("""WITH d AS (SELECT DISTINCT l_orderkey * 97003 + 10000000000 AS n FROM lineitem), x AS (SELECT n::VARCHAR AS s, list_transform(string_split(n::VARCHAR, ''), lambda c: c::INTEGER) AS d FROM d)
@@ -95,10 +112,11 @@ def t3_national_id(spark, sf_dir):
     return n.select("s", pii.valid_national_id(F.col("s")).alias("valid"))
 
 
-@query(f"""WITH c AS (SELECT conv_id, role, coalesce(text, '') AS text FROM conversations) SELECT conv_id, sum(len(regexp_extract_all(text, '{EMAIL}')))::BIGINT AS emails FROM c GROUP BY 1""")
+@query(f"""WITH r0 AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), {REDACTED_SQL}
+    SELECT conv_id, turn, role, sha256(text) AS redacted, email + iban + uuid + ip + tc AS n FROM r5""")
 def t4_message_redaction(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", pii.redact(F.col("text")).alias("r"))
-    return c.groupBy("conv_id").agg(F.sum("r.email").alias("emails"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", pii.redact(F.col("text"), pii.STAGES[:5]).alias("r"))
+    return c.select("conv_id", "turn", "role", F.sha2("r.text", 256).alias("redacted"), sum(F.col(f"r.{n}") for n, _, _ in pii.STAGES[:5]).alias("n"))
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM part")
@@ -106,12 +124,15 @@ def t19_cluster_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", t.kebab(F.concat_ws(" ", "p_brand", "p_type")).alias("key"))
 
 
-@query("""WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part), g AS (
-      SELECT p_partkey, list_distinct(list_concat(list_transform(range(1, len(w) + 1), lambda i: w[i]), CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS g FROM p)
-    SELECT p_partkey, array_to_string(list_sort(g), '|') AS grams FROM g""")
+GRAMS_SQL = " UNION ALL ".join(f"SELECT p_partkey, i AS pos, {n} AS n, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT p_partkey, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w)" for n in (1, 2, 3))
+
+
+@query(f"""WITH w AS (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type), ' ') AS w FROM part), g AS ({GRAMS_SQL}), o AS (SELECT p_partkey, g, min(n * 1000 + pos) AS k FROM g GROUP BY ALL),
+    c AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY k) <= 60) SELECT p_partkey, string_agg(g, '|' ORDER BY k) AS grams FROM c GROUP BY 1""")
 def t17_query_grams(spark, sf_dir):
-    g = t.ngrams(F.split(F.lower("p_name"), " "), 1, 2)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(g), "|").alias("grams"))
+    """Runs of one to three words, distinct, shorter ones first, at most 60."""
+    g = F.slice(t.ngrams(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "), 1, 3), 1, 60)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(g, "|").alias("grams"))
 
 
 TRI = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
@@ -129,10 +150,11 @@ def t23_levenshtein(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.levenshtein(a, b).cast("long").alias("distance"), F.round(t.normalized_levenshtein(a, b), 6).alias("normalized"))
 
 
-@query("""SELECT p_partkey, 'see [#' || p_partkey % 7 || '] and [#' || p_size || '] or [#' || p_partkey % 3 || ']' AS repaired FROM part""")
+@query("""SELECT p_partkey, 'see [' || p_partkey % 7 || '], [#' || p_size || '], [#' || p_partkey % 3 || '] or [#' || p_partkey % 5 || '], (source 1)' AS repaired FROM part""")
 def t27_citation_repair(spark, sf_dir):
+    """A number alone in brackets is no citation."""
     k = lambda n: (F.col("p_partkey") % n).cast("string")
-    s = F.concat(F.lit("see ["), k(7), F.lit("] and (#"), F.col("p_size").cast("string"), F.lit(") or [Kaynak "), k(3), F.lit("]"))
+    s = F.concat(F.lit("see ["), k(7), F.lit("], ( ID: "), F.col("p_size").cast("string"), F.lit("), [Kaynak "), k(3), F.lit("] or (ref."), k(5), F.lit("), (source 1)"))
     return table(spark, sf_dir, "part").select("p_partkey", t.repair_citations(s).alias("repaired"))
 
 
@@ -143,10 +165,36 @@ def t28_cited_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(t.cited_numbers(s), lambda x: x.cast("string")), ",").alias("cited"))
 
 
-@query("SELECT page_id, lower(translate(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1), '\"''', '')) AS folded FROM pages WHERE NOT regexp_matches(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1), '  |^ | $|İ')")
+TITLE = "<title[^>]*>([^<]*)</title>"
+LOWER_SQL = "lower(replace({}, 'İ', 'i̇'))"  # as Unicode's full mapping has it
+QUOTES_SQL = t.QUOTES.replace("'", "''")
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(html, '{TITLE}', 1) AS title FROM pages UNION ALL SELECT -doc_id, coalesce(text, '') FROM documents)
+    SELECT page_id, sha256(trim(regexp_replace(translate({LOWER_SQL.format("title")}, '{QUOTES_SQL}', ''), '[\\s\\x0B\\x85\\p{{Z}}]+', ' ', 'g'))) AS folded FROM p""")
 def t14_normalized_query(spark, sf_dir):
-    title = F.regexp_extract("html", "<title[^>]*>([^<]*)</title>", 1)
-    return pages(spark, sf_dir).where(~F.rlike(title, F.lit("  |^ | $|İ"))).select("page_id", F.lower(F.translate(title, "\"'", "")).alias("folded"))
+    """Titles of all pages, and whole texts under negative numbers."""
+    p = pages(spark, sf_dir).select("page_id", F.regexp_extract("html", TITLE, 1).alias("title"))
+    p = p.union(docs(spark, sf_dir).select(-F.col("id"), "text"))
+    return p.select("page_id", F.sha2(t.normalize_query(F.col("title")), 256).alias("folded"))
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(html, '{TITLE}', 1) AS title FROM pages),
+    q AS (SELECT page_id, trim(trim(regexp_replace({LOWER_SQL.format("title")}, '[\\s\\x0B\\x85\\p{{Z}}]+', ' ', 'g')), ' .,;:!?-"' || chr(39)) AS title FROM p) SELECT page_id, title, sha256(title) AS title_hash FROM q""")
+def t6_title_hash(spark, sf_dir):
+    title = F.regexp_extract("html", TITLE, 1)
+    return pages(spark, sf_dir).select("page_id", t.normalize_title(title).alias("title"), t.title_hash(title).alias("title_hash"))
+
+
+ABBREVIATIONS_SQL = "|".join(t.ABBREVIATIONS)
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), s AS (SELECT id, regexp_replace(regexp_replace(text, '^[\\s\\x0B\\x85\\p{{Z}}]+|[\\s\\x0B\\x85\\p{{Z}}]+$', '', 'g'), '([.!?])[\\s\\x0B\\x85\\p{{Z}}]+([{t.CAPITALS}])', '\\1' || chr(1) || '\\2', 'g') AS text FROM d),
+    j AS (SELECT id, regexp_replace(text, '(^|[^{t.LETTERS}])((?:{ABBREVIATIONS_SQL})[^{t.LETTERS}\\s\\x01]*)\\x01', '\\1\\2 ', 'g') AS text FROM s)
+    SELECT id, len(list_filter(string_split(text, chr(1)), lambda x: x <> ''))::INTEGER AS n, sha256(text) AS cut FROM j""")
+def t10_citation_sentences(spark, sf_dir):
+    s = docs(spark, sf_dir).select("id", t.citation_sentences(F.col("text")).alias("s"))
+    return s.select("id", F.size("s").alias("n"), F.sha2(F.array_join("s", "\x01"), 256).alias("cut"))
 
 
 @query()
@@ -163,7 +211,14 @@ def t1_clean(spark, sf_dir):
     return clean(docs(spark, sf_dir))
 
 
-@query()
+def _spans_sql() -> str:
+    each = (f"list_filter(list_transform(regexp_extract_all(text, '{'' if i in t.CASED else '(?i)'}{p}')[1:5], lambda s: trim(s)), lambda s: length(s) BETWEEN 2 AND 60)" for i, p in enumerate(t.NUMERIC))
+    return f"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), f AS (SELECT id, flatten([{", ".join(each)}]) AS f FROM d),
+        k AS (SELECT id, f, list_transform(f, lambda s: regexp_replace(lower(s), '\\s+', ' ', 'g')) AS k FROM f)
+        SELECT id, array_to_string(list_transform(list_filter(range(1, len(f) + 1), lambda i: list_position(k, k[i]) = i), lambda i: f[i]), '|') AS spans FROM k"""
+
+
+@query(_spans_sql())
 def t22_numeric_spans(spark, sf_dir):
     return docs(spark, sf_dir).select("id", F.array_join(t.numeric_spans(F.col("text")), "|").alias("spans"))
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from newsloom.catalog import MENTIONS_SQL, NOW, WINDOW_DAYS, epoch, mentions, table
 from newsloom.functions import trend as k
+from newsloom.functions.text import kebab
 from newsloom.operators import trends as op
 
 from .registry import query
@@ -70,6 +71,19 @@ def tr12_rising_entities(spark, sf_dir):
     return op.rising(_trends(spark, sf_dir)).select("entity_norm", "entity_type", "state", "score")
 
 
+CLUSTERS_SQL = MENTIONS_SQL.replace("mentions AS", "plain AS", 1) + """, mentions AS (SELECT article_id, published_at, trim(regexp_replace(lower(entity_norm || ' ' || entity_type), '[^a-z0-9]+', '-', 'g'), '-') AS entity_norm,
+    'cluster' AS entity_type, source_id, reliability, mention_count FROM plain)"""
+
+
+@query(f"""WITH {CLUSTERS_SQL}, {AGG}, {SCORED}, {SPARK} SELECT entity_norm AS cluster_key, cur, prev, sources, round(rel, 4) AS rel_momentum, score, array_to_string(sparkline, ',') AS sparkline, state FROM stated""")
+def tr11_cluster_trends(spark, sf_dir):
+    """The metrics of TR9 for cluster keys."""
+    m = mentions(spark, sf_dir)
+    keyed = m.withColumn("entity_norm", kebab(F.concat_ws(" ", "entity_norm", "entity_type"))).withColumn("entity_type", F.lit("cluster"))
+    t = op.entity_trends(keyed, NOW, WINDOW_DAYS, limit=None)
+    return t.select(F.col("entity_norm").alias("cluster_key"), "cur", "prev", "sources", R4("rel_momentum"), "score", F.array_join(F.transform("sparkline", lambda x: x.cast("string")), ",").alias("sparkline"), "state")
+
+
 @query(f"{ALL_SQL} SELECT state, count(*) AS n, sum(cur)::BIGINT AS articles FROM stated GROUP BY state")
 def tr7_states(spark, sf_dir):
     return _trends(spark, sf_dir).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("cur").alias("articles"))

@@ -3,6 +3,7 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,7 +51,7 @@ def test_redaction_in_order(spark):
     good, bad = national("123456789"), "12345678901"
     text = f"mail a.b@c.com iban TR33 0006 1005 1978 6457 8413 26 id 123e4567-e89b-12d3-a456-426614174000 ip 10.0.0.1 tc {good} not {bad} tel 0532 123 45 67."
     r = one(spark, pii.redact(F.lit(text)))
-    assert r["text"] == f"mail [email_redacted] iban [iban_redacted] id [uuid_redacted] ip [ip_redacted] tc [tc_redacted] not {bad} tel [phone_redacted]."
+    assert r["text"] == f"mail [email_redacted] iban [iban_redacted] id [ref_redacted] ip [ip_redacted] tc [id_redacted] not {bad} tel [phone_redacted]."
     assert (r["email"], r["iban"], r["uuid"], r["ip"], r["tc"], r["phone"]) == (1, 1, 1, 1, 1, 1)
     empty = one(spark, pii.redact(F.lit(None).cast("string")))
     assert empty["text"] == "" and empty["email"] == 0
@@ -106,11 +107,18 @@ def test_text_kernels(spark):
     assert one(spark, t.kebab(F.lit("Hürmüz Boğazı / IŞIK"))) == "hurmuz-bogazi-isik"
     assert one(spark, t.trigram_similarity(F.lit("word"), F.lit("two words"))) == pytest.approx(4 / 11)
     assert one(spark, t.ngrams(F.array(*map(F.lit, "abc")), 1, 2)) == ["a", "b", "c", "a b", "b c"]
-    assert one(spark, t.repair_citations(F.lit("a [1] b ( #2 ) c [Kaynak 3] d 【4】"))) == "a [#1] b [#2] c [#3] d [#4]"
+    spoiled = "a [ID: 1] b (id.2) c [Ref 3] d ( ref-4 ) e [KAYNAK:5] f (kaynak 6) g [source 7] h [8] i (source 9) [#10]"
+    assert one(spark, t.repair_citations(F.lit(spoiled))) == "a [#1] b [#2] c [#3] d [#4] e [#5] f [#6] g [#7] h [8] i (source 9) [#10]"
+    assert one(spark, t.normalize_title(F.lit(' -Şişli\'de "büyük"\u2003 çarşı!.'))) == "şişli'de \"büyük\" çarşı"
+    assert one(spark, t.numeric_spans(F.lit("Yüzde 5 ve %10; 10  %, 3 ana kent, 16-14, 2. Hafta, MÖ 408, 5 Milyon TL, 5 milyon tl 1/3"))) == [
+        "Yüzde 5", "%10", "10  %", "1/3", "5 Milyon TL", "3 ana kent", "16-14", "2. Hafta", "MÖ 408"]
+    assert one(spark, t.citation_sentences(F.lit("Dr. Ali geldi. Prof. Dr. Veli gitti! TBMM. Ev vs. A. B. Şu?  Öyle."))) == [
+        "Dr. Ali geldi.", "Prof. Dr. Veli gitti!", "TBMM. Ev vs. A.", "B.", "Şu?", "Öyle."]
     assert one(spark, t.citation_ids(F.lit("[#2][#1][#2]"))) == [2, 1]
     assert one(spark, t.cited_numbers(F.lit("[3] [1-3, 7] [W2]"))) == [1, 2, 3, 7]
     left = one(spark, t.remove_boilerplate(F.lit("Text of it.\n\nABONE OL\n\nTüm hakları saklıdır\n\nMore.")))
-    assert left["text"] == "Text of it.\n\nMore." and 0 < left["removed"] < 1
+    assert left["text"] == "Text of it.\n\nMore." and left["removed"] == 0.5
+    assert one(spark, t.remove_boilerplate(F.lit(" \n\n ")))["text"] == " \n\n "
     assert one(spark, t.language(F.lit("kısa")))["code"] == "tr"
     assert one(spark, t.language(F.lit("the cat of the house and the dog in the garden is that for to")))["code"] == "en"
     assert one(spark, t.normalize_query(F.lit(" “Ali'nin”  EVİ ".replace("İ", "I")))) == "alinin evi"
@@ -145,3 +153,36 @@ def test_extraction_tiers():
     x = web.extract(dense)
     assert x["tier"] == "density" and x["text"].count("Long enough") == 10 and x["title"] == "Head"
     assert web.extract(None)["tier"] == "meta"
+
+
+def test_redaction_against_a_plain_version(spark):
+    """All six stages over whole documents, beside the same stages with Python's expressions."""
+    import re
+
+    patterns = {n: re.compile(p.replace("(?U)", "")) for n, p, _ in pii.STAGES}
+    marks = {n: m for n, _, m in pii.STAGES}
+    rng = np.random.default_rng(4)
+    bits = ["a.b@c.com", "TR330006100519786457841326", "123e4567-e89b-12d3-a456-426614174000", "10.0.0.1", national("123456789"), "12345678901", "0532 123 45 67", "+90(532)1234567", "x", "Şişli'de", "5321234567.", "\n"]
+    texts = [" ".join(rng.choice(bits, int(rng.integers(0, 40)))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", pii.redact(F.col("t")).alias("r")).collect():
+        text, counts = r["t"], {}
+        for n, p in patterns.items():
+            hits = [m for m in p.finditer(text) if n != "tc" or national(m[0][:9]) == m[0] and m[0][0] != "0"]
+            counts[n] = len(hits)
+            for m in reversed(hits):
+                text = text[: m.start()] + marks[n] + text[m.end() :]
+        assert r["r"].asDict() == {"text": text} | counts
+
+
+def test_predicates(spark):
+    from newsloom.functions import predicates as p
+
+    df = spark.createDataFrame([(1, "Red Steel", None), (2, None, "1998-07-31 00:00:00"), (3, "wood", "1990-01-01 00:00:00")], "id int, name string, at string").withColumn("at", F.to_timestamp("at"))
+    ids = lambda c: sorted(r["id"] for r in df.where(c).collect())
+    assert ids(p.matches_any("name", ["steel", "gold"])) == [1] and ids(p.matches_any("name", [])) == []
+    assert ids(p.within("at", "1998-08-01", 48)) == [1, 2] and ids(p.within("at", "1998-08-01", 1, "1989-01-01", "1991-01-01")) == [1, 3]
+    assert ids(p.optional("id", None)) == [1, 2, 3] and ids(p.optional("id", 2)) == [2]
+    assert ids(p.all_open(F.col("name") == "wood")) == [3] and ids(p.all_open()) == [1, 2, 3]
+    order = lambda key: [r["id"] for r in df.withColumn("n", F.length("name")).orderBy(*p.sort_keys(key, {"n": float("inf"), "id": -1}), "id").collect()]
+    assert order("n") == [2, 1, 3] and order("id") == [3, 2, 1] and order("no such key") == [2, 1, 3]
