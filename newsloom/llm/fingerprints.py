@@ -7,7 +7,8 @@ texts of a language share weigh little; repeated pairs vote again. A text of one
 only term; a text without words has fingerprint 0.
 
 Null texts count as empty. Null ids come first in the order of documents. Rows that repeat an id are
-documents of their own, ordered by their text.
+documents of their own, ordered by their text. Texts may be of any length: words vote in blocks. A bit whose votes are even is 0.
+An empty table gives an empty result. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import partitions, small_batches
+from .common import partitions, small, small_batches, staged
 from .wordhash import GOLDEN, mix, word_hashes
 
 MAX_WEIGHT = 12
@@ -198,3 +199,13 @@ def near_pairs(queries: DataFrame, base: DataFrame, radius: int = 3, blocks: int
         .where((F.bit_count(differ) <= radius) & ~earlier)
         .select("query", "match", F.bit_count(differ).alias("distance"))
     )
+
+
+def near_counts(marked: DataFrame, radius: int = 3) -> DataFrame:
+    """``marked`` (a written table with ``own``, a fingerprint, and ``asked``) with ``near_fingerprints``: to how many
+    other fingerprints of the table a row's fingerprint is near, by block tables; null for rows that are not asked."""
+    asked, rest = marked.where("asked"), marked.where("not coalesce(asked, false)")
+    pairs = near_pairs(asked.select(F.col("own").alias("fingerprint")), marked.select(F.col("own").alias("fingerprint")), radius)
+    found = staged(pairs.where("distance > 0").groupBy(F.col("query").alias("own")).agg(F.count(F.lit(1)).alias("near_fingerprints")))
+    counted = asked.join(small(found, found.count()), "own", "left").withColumn("near_fingerprints", F.coalesce("near_fingerprints", F.lit(0).cast("long")))
+    return counted.unionByName(rest.withColumn("near_fingerprints", F.lit(None).cast("long"))).drop("asked")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprints, neardup, packing, quality, secrets, sharding, toxicity, urlfilter
-from .common import read_table
+from .common import read_table, staged
 
 #: The example that a chat template must bear.
 HARD_TURN = "\\### Assistant: </turn> ok"
@@ -22,7 +22,9 @@ def tokenizer(name: str) -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fingerprints.fingerprints_with_next(read_table(spark, sf_dir, "documents"))
+    """Documents whose id is divisible by 20 are also looked up in the block tables of all fingerprints."""
+    f = staged(fingerprints.fingerprints_with_next(read_table(spark, sf_dir, "documents")).withColumn("asked", F.col("doc_id") % 20 == 0))
+    f = fingerprints.near_counts(f)
     name = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return f.select(
         "doc_id",
@@ -32,6 +34,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         name("edited").alias("edited_fingerprint"),
         fingerprints.likeness(F.col("own"), F.col("edited")).alias("near_edited"),
         fingerprints.likeness(F.col("own"), F.col("after")).alias("near_next"),
+        "near_fingerprints",
     )
 
 

@@ -46,6 +46,10 @@ def test_op1(result, docs_rows):
         assert r["near_edited"] == 1 - bin(own ^ new).count("1") / 64 and r["near_next"] == 1 - bin(own ^ after).count("1") / 64
         by_text[t].add(r["fingerprint"])
     assert all(len(x) == 1 for x in by_text.values())
+    prints = {int(r["fingerprint"], 16) for r in got.values()}
+    for d, r in got.items():
+        near = sum(0 < bin(int(r["fingerprint"], 16) ^ p).count("1") <= 3 for p in prints)
+        assert r["near_fingerprints"] == (near if d % 20 == 0 else None)
     long = [r for r in got.values() if r["n_chars"] > 2000 and r["near_next"] < 1]
     assert np.mean([r["near_edited"] for r in long]) > np.mean([r["near_next"] for r in long]) + 0.15
 
