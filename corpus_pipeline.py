@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages over ``documents``; each is written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages over ``documents``; each is written as Parquet and read again by the next.
+
+All stages take texts of any length. Null and empty texts, and texts of few words, fail the quality rules and go there; given to
+a later stage alone they are not toxic by themselves, are like no other text, hold no secret, and are packed as the end
+token. Nulls in other columns are kept. Of equal texts the one with the least id stays; rows that repeat an id leave
+near-dedup as one row, rows without an id all stay. An empty table gives an empty one. Further columns, whatever their names, end
+with the first stage.
+"""
 
 from __future__ import annotations
 
