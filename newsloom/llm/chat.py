@@ -15,7 +15,8 @@ are built from blocks of turns and the sums of whole blocks, so a conversation o
 a window's own turns, which the budget bounds, meet in one task.
 
 Null texts and roles are empty. Turns come by (turn, role, text), null turns first; repeated rows are turns of
-their own. Rows without a conv_id are one conversation. The system turn is the first turn, if its role is ``system``.
+their own. Texts may be of any length: a turn longer than the budget is a window of its own. An empty table gives no windows. Further
+columns, whatever their names, are not read. Rows without a conv_id are one conversation. The system turn is the first turn, if its role is ``system``.
 """
 
 from __future__ import annotations
