@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import jaccard, squeeze, words
+from newsloom.functions.text import jaccard, squeeze, strip, words
 
 #: Formats of dates in pages, tried in order.
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd.MM.yyyy HH:mm", "dd.MM.yyyy")
@@ -54,6 +54,35 @@ def image_score(post: Column, image: Column, depicts: Column, boost: float = 0.2
     return jaccard(tokens(post), tokens(image)) + F.when(named, boost).otherwise(0.0)
 
 
+#: What stands for an unnamed person in captions, tried in order.
+UNNAMED = (
+    r"\b[Bb]ir\s+(?:erkek\s+)?adam(?:ın)?\b",
+    r"\b[Bb]ir\s+kadın\b",
+    r"\b[Bb]ir\s+kişi\b",
+    r"\b[Bb]ir\s+(?:erkek|bayan)\b",
+    r"\b(?:[Bb]ir\s+)?(?:takım\s+elbiseli|kıyafetli)\s+(?:bir\s+)?(?:adam|kadın|kişi)(?:ın)?\b",
+)
+
+
+def names_it(text: Column, name: Column) -> Column:
+    """Whether a text holds a word of three letters or more of a name."""
+    parts = F.filter(words(F.lower(name)), lambda p: F.length(p) >= 3)
+    return F.exists(parts, lambda p: F.rlike(F.lower(text), F.concat(F.lit(r"(?U)\b\Q"), p, F.lit(r"\E\b"))))
+
+
+def enrich_caption(caption: Column, depicts: Column, alt: Column) -> Column:
+    """A caption with the first person it shows (capitalised, three letters or more) that it doesn't name: instead of the first
+    unnamed person in it, else in front. A name that the alternative text, if there is one, doesn't hold is not trusted."""
+    text, other = F.coalesce(caption, F.lit("")), F.coalesce(alt, F.lit(""))
+    people = F.filter(F.transform(F.coalesce(depicts, F.array().cast("array<string>")), strip), lambda n: F.rlike(n, F.lit(r"^\p{Lu}")) & (F.length(n) >= 3))
+    name = F.try_element_at(F.filter(people, lambda n: ((other == "") | names_it(other, n)) & ~names_it(text, n)), F.lit(1))
+    quoted = F.regexp_replace(name, r"([\\$])", r"\\$1")
+    out = F.concat(name, F.lit(", "), F.lower(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
+    for p in reversed(UNNAMED):
+        out = F.when(F.rlike(text, F.lit(f"(?U){p}")), F.regexp_replace(text, F.lit(f"(?sU)^(.*?){p}"), F.concat(F.lit("$1"), quoted))).otherwise(out)
+    return F.when((text == "") | name.isNull(), text).otherwise(out)
+
+
 def last_json(text: Column) -> Column:
     """The last JSON object or array of a text, without code fences; null if there is none."""
     bare = F.regexp_replace(text, r"```(?:json)?", "")

@@ -37,6 +37,13 @@ ENDINGS = (
     "na", "ne", "nde", "nda", "nden", "ndan", "se", "sa", "ce", "ca", "çe", "ça",
 )
 
+#: Endings that a name sheds. Single vowels stay, since names end in them.
+STEM_ENDINGS = (
+    "ler", "lar", "leri", "ları", "lerin", "ların", "lerini", "larını", "lere", "lara", "lerde", "larda", "lerden", "lardan", "den", "dan", "ten", "tan",
+    "de", "da", "te", "ta", "deki", "daki", "teki", "taki", "nde", "nda", "nden", "ndan", "le", "la", "yle", "yla", "ile", "nin", "nın", "nun", "nün",
+    "siz", "sız", "suz", "süz", "lik", "lık", "luk", "lük", "imiz", "ımız", "umuz", "ümüz",
+)
+
 
 def safe_lower(text: Column) -> Column:
     """Lower case with the dotted capital I as a plain i."""
@@ -58,6 +65,28 @@ def is_generic(name: Column) -> Column:
     return (F.size(w) > 0) & F.forall(w, is_generic_token)
 
 
+def query_words(text: Column) -> Column:
+    """Distinct runs of letters and digits, lower-cased."""
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\u0307", "")
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+
+
+def canonical_entity(entity: Column, said: Column) -> Column:
+    """An entity as its words stand in a query (``said``: the query's words): each must be a word of the query, or a stem of three
+    letters and more that a word there bears with an ending; the last sheds its own ending. Null if a word is
+    found in neither way, or there is none."""
+    ended = F.lit(f"^(?:{'|'.join(ENDINGS)})$")
+    tokens = words(entity)
+
+    def grounded(t: Column, i: Column) -> Column:
+        stem = F.regexp_replace(t, f"^(.{{3,}}?)(?:{'|'.join(STEM_ENDINGS)})$", "$1")
+        borne = (F.length(t) >= 3) & F.exists(said, lambda w: F.startswith(w, t) & F.rlike(F.substr(w, F.length(t) + 1), ended))
+        return F.when(F.array_contains(said, t), F.when(i == F.size(tokens) - 1, stem).otherwise(t)).when(borne, t)
+
+    found = F.transform(tokens, grounded)
+    return F.when((F.size(tokens) > 0) & F.forall(found, lambda x: x.isNotNull()), F.array_join(found, " "))
+
+
 def planner_bypass(text: Column) -> Column:
     """For a query of one to four words that is no question: its two longest words of 3 to 30 characters that are not
     generic; null for other queries."""

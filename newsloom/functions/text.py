@@ -112,6 +112,18 @@ def sentences(text: Column, shortest: int = 3) -> Column:
     return F.filter(joined, lambda s: s != "")
 
 
+def paragraphs(text: Column) -> Column:
+    """What empty lines part, without white space at the ends."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n{2,}"), strip), lambda p: p != "")
+
+
+def title_prefix(title: Column | None, subtitle: Column | None) -> Column:
+    """What stands before every chunk of an article; empty without titles."""
+    head = lambda mark, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{mark}: "), strip(c), F.lit("\n\n"))).otherwise("")
+    parts = [head(mark, c) for mark, c in (("BAŞLIK", title), ("ALT BAŞLIK", subtitle)) if c is not None]
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def ascii_fold(text: Column) -> Column:
     return F.translate(text, TR_FROM, TR_TO)
 
@@ -148,8 +160,9 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
     return F.array_distinct(F.concat(*(of(n) for n in range(low, high + 1))))
 
 
-def phrase_threshold(n_words: Column) -> Column:
-    return F.when(n_words <= 3, 0.05).when(n_words <= 6, 0.10).otherwise(0.15)
+def phrase_threshold(n_chars: Column) -> Column:
+    """The least trigram similarity by the length of a query."""
+    return F.when(n_chars <= 3, 0.05).when(n_chars <= 6, 0.10).otherwise(0.15)
 
 
 #: What stands for quotation marks in queries.
@@ -227,11 +240,11 @@ def cited_numbers(text: Column, widest: int = 100) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, spread))))
 
 
-def chunk(text: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    """Sentence windows: array of (chunk_index, chunk_text, token_count). A window closes when the next sentence
+def chunk(text: Column, cfg: EngineConfig = DEFAULT, title: Column | None = None, subtitle: Column | None = None) -> Column:
+    """Windows over the sentences of all paragraphs: array of (chunk_index, chunk_text, token_count). A window closes when the next sentence
     would pass the target and it has the least size, or would pass the hard limit; a sentence over the limit
     stands alone; a short last window joins the one before it. Each chunk starts with the last words of the
-    one before, as many as the overlap allows."""
+    one before, as many as the overlap allows, after the titles."""
     row = "struct<sents:array<string>,n:int>"
     state = f"struct<done:array<{row}>,cur:array<string>,n:int>"
     none = F.array().cast("array<string>")
@@ -254,14 +267,14 @@ def chunk(text: Column, cfg: EngineConfig = DEFAULT) -> Column:
         return F.when(F.size(a["cur"]) == 0, a["done"]).when((a["n"] < cfg.min_tokens) & (F.size(a["done"]) > 0), joined).otherwise(flushed(a))
 
     start = F.struct(F.array().cast(f"array<{row}>").alias("done"), none.alias("cur"), F.lit(0).alias("n")).cast(state)
-    bodies = F.transform(F.aggregate(sentences(text), start, step, end), lambda w: F.array_join(w["sents"], " "))
+    bodies = F.transform(F.aggregate(F.flatten(F.transform(paragraphs(text), sentences)), start, step, end), lambda w: F.array_join(w["sents"], " "))
     keep = int(cfg.overlap_tokens / cfg.token_coefficient)
 
     def with_overlap(i: Column, all_: Column) -> Column:
         body = F.element_at(all_, i)
         before = words(F.try_element_at(all_, i - 1))
         tail = F.slice(before, F.greatest(F.size(before) - (keep - 1), F.lit(1)), F.lit(keep))
-        whole = F.when(i == 1, body).otherwise(F.concat(F.array_join(tail, " "), F.lit(" "), body))
+        whole = strip(F.concat(title_prefix(title, subtitle), F.when(i == 1, body).otherwise(F.concat(F.array_join(tail, " "), F.lit(" "), body))))
         return F.struct((i - 1).alias("chunk_index"), whole.alias("chunk_text"), estimate_tokens(whole, cfg).alias("token_count"))
 
     return F.when(F.size(bodies) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(bodies), F.lit(1))), lambda i: with_overlap(i, bodies))).otherwise(

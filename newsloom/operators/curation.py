@@ -98,3 +98,18 @@ def sliding_counts(events: DataFrame, key: str, seconds: Column | str, window: i
     by = Window.partitionBy(key).orderBy("s").rangeBetween(-(window - 1), 0)
     e = events.withColumn("s", s)
     return e.withColumn("used", F.count(F.lit(1)).over(by)).withColumn("allowed", F.col("used") <= limit).withColumn("reset_at", F.min("s").over(by) + window)
+
+
+def latency_stats(calls: DataFrame, ms: str, at: str) -> DataFrame:
+    """One row: how many calls, their mean, the values at half and at 95 % of the sorted latencies, and the last call. Counted by
+    whole milliseconds first, so that only the distinct ones meet."""
+    per = calls.groupBy(F.coalesce(F.col(ms), F.lit(0)).cast("long").alias("ms")).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("at"))
+    all_ = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("ms") * F.col("n")).alias("total"), F.array_sort(F.collect_list(F.struct("ms", "n"))).alias("by"), F.max("at").alias("last"))
+
+    def at_share(share: float) -> Column:
+        place = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("ms"))
+        step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.coalesce(s["ms"], F.when(s["seen"] + x["n"] > place, x["ms"])).alias("ms"))
+        return F.aggregate("by", start, step)["ms"].cast("double")
+
+    return all_.select("n", F.round(F.try_divide("total", "n"), 2).alias("mean"), at_share(0.5).alias("p50"), at_share(0.95).alias("p95"), "last")

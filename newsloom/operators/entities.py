@@ -192,3 +192,42 @@ def merge_canonicals(aliases: DataFrame, moves: DataFrame) -> DataFrame:
     """Aliases re-pointed from merged canonical names (source) to the ones that stay (target), once each."""
     j = aliases.join(moves, aliases["canonical_id"] == moves["source"], "left")
     return j.select("alias", "type", F.coalesce("target", "canonical_id").alias("canonical_id")).distinct()
+
+
+def enrichment_candidates(mentions: DataFrame, attempts: DataFrame, now: str, types: tuple[str, ...] = ("person", "org", "place", "event"), least: int = 3, days: int = 30, most: int = 150) -> DataFrame:
+    """Names worth looking up: (norm, type, freq, sample) of mentions (norm, type, text, article_id) in enough articles and not tried
+    (``attempts``: norm, type, attempted_at) in the last days; the most frequent first, with their most usual spelling."""
+    m = mentions.where(F.col("type").isin(*types))
+    per = m.groupBy("norm", "type").agg(F.countDistinct("article_id").alias("freq")).where(F.col("freq") >= least)
+    spelled = m.groupBy("norm", "type", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("norm", "type").agg(F.min(F.struct((-F.col("n")).alias("n"), "text"))["text"].alias("sample"))
+    recent = attempts.where(F.col("attempted_at").cast("timestamp") > F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days))).select("norm", "type")
+    return per.join(recent, ["norm", "type"], "left_anti").join(spelled, ["norm", "type"]).orderBy(F.desc("freq"), "norm", "type").limit(most)
+
+
+def enrich(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates (norm, type) with what a lookup found (norm, type, title, classes, aliases; a hook outside): ``status`` is
+    no_match, type_mismatch, llm_reject (a name of several words whose title is just one of them) or resolved; the canonical
+    name of an event goes without its edition, which stays as an alias."""
+    from newsloom.functions.query import event_edition, type_fits
+    from newsloom.functions.text import squeeze, words
+
+    j = candidates.join(found, ["norm", "type"], "left")
+    q, t = (F.array_distinct(words(squeeze(F.lower(F.col(c))))) for c in ("norm", "title"))
+    collapsed = (F.size(t) == 1) & (F.size(F.array_except(t, q)) == 0) & (F.size(q) > 1)
+    status = F.when(F.coalesce("title", F.lit("")) == "", "no_match").when(~type_fits(F.col("type"), F.col("classes")), "type_mismatch").when(collapsed, "llm_reject").otherwise("resolved")
+    e = event_edition(F.col("title"))
+    edition = (F.col("type") == "event") & e["edition"].isNotNull()
+    known = F.coalesce("aliases", F.array().cast("array<string>"))
+    ok = F.col("status") == "resolved"
+    return j.withColumn("status", status).select(
+        *candidates.columns, "status", F.when(ok, F.when(edition, e["base"]).otherwise(F.col("title"))).alias("canonical"), F.when(ok, F.when(edition, F.concat(known, F.array("title"))).otherwise(known)).alias("aliases")
+    )
+
+
+def upsert_canonicals(canonicals: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Canonical names (norm, type, name, source) after looked-up ones (norm, type, canonical): new ones are added, known ones
+    take the looked-up name, but an administrator's stay."""
+    new = resolved.groupBy("norm", "type").agg(F.min("canonical").alias("canonical"))
+    keep = F.col("canonical").isNull() | (F.col("source") == "admin")
+    keep = F.coalesce(keep, F.lit(False))
+    return canonicals.join(new, ["norm", "type"], "full").select("norm", "type", F.when(keep, F.col("name")).otherwise(F.col("canonical")).alias("name"), F.when(keep, F.col("source")).otherwise("wikidata").alias("source"))

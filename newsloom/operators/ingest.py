@@ -104,3 +104,15 @@ def page_quality(html: Column, body: Column) -> Column:
         .when(n < 2, "few_paragraphs")
         .otherwise("ok")
     )
+
+
+def site_profiles(pages: DataFrame, profiles: DataFrame, url: str = "url") -> DataFrame:
+    """Pages with the first profile (``profiles``: domain, priority and more) whose domain is their host, without ``www.``, or a
+    parent of it; null columns where there is none. A host's parents are its own few suffixes, so the join is on equal keys."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
+    hosts = pages.select(host.alias("_host")).where("_host <> ''").distinct()
+    labels = F.split("_host", r"\.")
+    up = hosts.select("_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("domain"))
+    fits = up.join(profiles.withColumn("domain", F.lower("domain")), "domain")
+    best = fits.groupBy("_host").agg(F.min_by(F.struct(*profiles.columns), F.struct("priority", "domain")).alias("_profile"))
+    return pages.withColumn("_host", host).join(best, "_host", "left").select(*pages.columns, "_profile.*")

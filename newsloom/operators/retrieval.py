@@ -14,11 +14,12 @@ from pyspark.sql.window import Window
 
 from newsloom.config import DEFAULT, EngineConfig
 from newsloom.functions import vector
-from newsloom.functions.text import words
+from newsloom.functions.query import entity_candidates, phrases
+from newsloom.functions.text import jaccard, normalize_query, phrase_threshold, trigrams, words
 
 #: Constants of each stream in reciprocal rank fusion, and the boosts.
 STREAM_K = {"sparse": 60, "dense": 60, "summary": 80, "ner_multi": 5, "ner_rare": 15, "rescue": 12}
-PHRASE_BOOST, GRAM_BOOST, GRAM_BOOST_MAX = 0.05, 0.025, 0.10
+PHRASE_BOOST, PHRASE_BOOST_NAMED, GRAM_BOOST, GRAM_BOOST_MAX = 0.05, 0.03, 0.025, 0.10
 #: Fixed value: the sum of 1/j**2 over all j, that ranks are divided by.
 ZETA2 = 1.64493406685
 #: Queries, or terms, of a batch that are sent to every task.
@@ -256,3 +257,112 @@ def context_anchor(messages: DataFrame, standalone: Column, hours: tuple[int, ..
         w = w.where(standalone).withColumn("window", F.lit(i))
         tries = w if tries is None else tries.unionByName(w)
     return tries.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("window", "n"))).where("i = 1").select("user_id", "id", "conv_id", (F.element_at(F.array(*map(F.lit, hours)), F.col("window") + 1)).alias("hours"))
+
+
+def phrase_hits(queries: DataFrame, rows: DataFrame, pool: int, least: float, candidates: DataFrame | None = None) -> DataFrame:
+    """The first ``pool`` of each query by whole phrase, runs of two to four words, and score, with the gate and boosts of the
+    sparse streams. ``queries`` (query_id, q), ``rows`` (id, fields: normalized texts, titles: those compared by trigrams); a row
+    is a candidate if it is one of ``candidates`` (query_id, id, score) or a field is like the query or holds it or a run of it.
+    Ranks are given before the gate."""
+    asked = queries.select("query_id", "q", phrases(F.col("q")).alias("runs"), trigrams(F.col("q")).alias("qt"))
+    base = rows.select("id", "fields", F.transform("titles", trigrams).alias("ft"))
+    if candidates is None:
+        met = meet(asked, base).withColumn("score", F.lit(0.0))
+    else:
+        met = candidates.join(F.broadcast(asked) if asked.count() <= BATCH else asked, "query_id").join(base, "id")
+    like = F.coalesce(F.array_max(F.transform("ft", lambda x: jaccard(x, F.col("qt")))), F.lit(0.0))
+    held = lambda g: F.exists("fields", lambda x: F.contains(x, g))
+    flags = F.struct(F.greatest("score", like).alias("score"), held(F.col("q")).alias("phrase"), F.size(F.filter("runs", held)).alias("grams"))
+    m = met.select("query_id", "id", F.length("q").alias("n"), flags.alias("f")).select("query_id", "id", "n", F.round("f.score", 6).alias("score"), "f.phrase", "f.grams")
+    if candidates is None:
+        m = m.where("phrase or grams > 0 or score >= 0.3")
+    first = top(m, pool, F.desc("phrase"), F.desc("grams"), F.desc("score"))
+    passed = first.where(F.col("phrase") | (F.col("grams") > 0) | (F.col("score") >= F.greatest(F.lit(least), phrase_threshold(F.col("n")))))
+    return passed.drop("n")
+
+
+def _boosted(sparse_rows: DataFrame, several: DataFrame) -> DataFrame:
+    """Boosts of phrases and runs; a phrase counts less where the query's entities were found together (``several``)."""
+    j = sparse_rows.join(several.select("query_id").distinct().withColumn("several", F.lit(True)), "query_id", "left")
+    phrase = F.when(F.col("phrase"), F.when(F.col("several"), PHRASE_BOOST_NAMED).otherwise(PHRASE_BOOST)).otherwise(0.0)
+    return j.withColumn("boost", phrase + F.least(F.col("grams") * GRAM_BOOST, F.lit(GRAM_BOOST_MAX))).drop("several")
+
+
+def named_stream(queries: DataFrame, mentions: DataFrame, first: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """The entity stream (query_id, id, rank, k, mode): ``first`` (article_id, id) has what stands for an article. Ranked by
+    article, at most the cap for each query."""
+    asked = queries.select("query_id", F.explode(entity_candidates(F.col("text"), 3)).alias("entity")).distinct()
+    t = ner_targets(asked, mentions, cfg).withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy("article_id"))).where(F.col("i") <= cfg.ner_cap)
+    j = t.join(first, "article_id")
+    k = F.when(F.col("mode") == "single_rare", STREAM_K["ner_rare"]).otherwise(STREAM_K["ner_multi"])
+    return j.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("article_id", "id"))).select("query_id", "id", "rank", k.alias("k"), "mode")
+
+
+def chunk_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, mentions: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """The whole search for chunks, for a batch: (query_id, id, article_id, rank, rrf, position).
+
+    ``queries`` (query_id, text, qvec, critical), ``chunks`` (id, article_id, chunk_index, text, title, keywords, questions,
+    published_at, vec), ``summaries`` (article_id, vec), ``mentions`` (entity, article_id). Sparse, dense, summary, entity and
+    keyword streams are fused with one that rescues chunks of all critical entities; chunks of no critical entity drop out
+    unless a query would keep none; the first few are followed by their articles' other chunks (``rank`` and ``rrf`` null).
+    """
+    pool = cfg.candidate_pool
+    q = queries.withColumn("q", normalize_query(F.col("text"))).where("q <> ''")
+    terms = query_terms(q, "q", 1 << 20).where(F.length("term") >= 2)
+    index = postings(chunks.select("id", "text"), terms=terms).join(F.broadcast(terms) if terms.count() <= BATCH else terms, "term")
+    size = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    scored = index.groupBy("query_id", "id").agg(F.sum(term_rank(F.col("tf"))).alias("r")).join(size, "query_id").select("query_id", "id", (F.col("r") / F.col("n_terms")).alias("score"))
+    fields = chunks.select("id", F.transform(F.array("text", "title"), normalize_query).alias("fields"), F.transform(F.array("title"), normalize_query).alias("titles"))
+    sparse_rows = phrase_hits(q, fields, pool, cfg.min_text_score, scored)
+
+    vecs = q.where("qvec is not null").select("query_id", "qvec")
+    with_vec = chunks.where("vec is not null")
+    near = dense(vecs, with_vec, pool, cfg.min_semantic_score)
+    about = summary_stream(vecs, summaries.select(F.col("article_id").alias("id"), "vec"), with_vec, pool)
+    first = with_vec.groupBy("article_id").agg(F.min_by("id", "chunk_index").alias("id"))
+    named = named_stream(q, mentions, first, cfg)
+    word = F.transform(F.filter(words(F.col("q")), lambda w: F.length(w) >= 3), lambda w: F.trim(w, F.lit(".,!?;:")))
+    keyed = keyword_stream(q.select("query_id", F.col("q").alias("phrase"), word.alias("words")), chunks, pool)
+
+    critical = q.select("query_id", F.explode("critical").alias("e")).select("query_id", F.trim(F.lower("e")).alias("entity")).where("entity <> ''").distinct()
+    texts = chunks.select("id", "published_at", F.lower(F.concat_ws(" ", "title", "text")).alias("low"), F.transform("keywords", lambda x: F.lower(x)).alias("kw"))
+    held = meet(critical.select("entity").distinct(), texts).where(F.contains("low", F.col("entity")) | F.exists("kw", lambda x: F.contains(x, F.col("entity"))))
+    held = held.select("entity", F.col("id").alias("article_id"), "published_at")
+    saved = rescue(critical, held, min(pool, 30))
+
+    several = named.where("mode like 'multi%'")
+    fused = fuse((_boosted(sparse_rows, several), STREAM_K["sparse"]), (near, STREAM_K["dense"]), (about, STREAM_K["summary"]), (named, F.col("k")), (keyed, F.col("k")), (saved, STREAM_K["rescue"]))
+    kept = keep_critical(fused.withColumn("rrf", F.round("rrf", 9)), critical, held)
+    best = top(kept, cfg.top_k, F.desc("rrf")).join(chunks.select("id", "article_id"), "id")
+    out = expand_parents(best, chunks.select("id", "article_id", "chunk_index"), cfg)
+    return out.join(best.select("query_id", "id", "rank", "rrf"), ["query_id", "id"], "left")
+
+
+#: Clusters whose cards are searched, and levels of cards.
+LIVE, LEVELS = ("active", "developing", "cooling"), ("daily", "weekly", "monthly")
+
+
+def card_search(queries: DataFrame, cards: DataFrame, mentions: DataFrame, levels: tuple[str, ...] = LEVELS, country: str | None = None, seen: tuple[str | None, str | None] = (None, None), cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Search for cards, for a batch: (query_id, id, rank, rrf) over title, the first 500 characters of the summary and the
+    cluster's title. ``queries`` (query_id, text, qvec), ``cards`` (id, article_id, title, summary, canonical_title, status, level,
+    country, first_seen_at, vec), ``mentions`` (entity, article_id). ``seen`` bounds the time at which a cluster was first seen."""
+    live = cards.where(F.col("status").isin(*LIVE) & F.col("level").isin(*levels))
+    if country:
+        live = live.where(F.col("country") == country.upper())
+    for bound, keep in ((seen[0], lambda x: F.col("first_seen_at") >= x), (seen[1], lambda x: F.col("first_seen_at") <= x)):
+        if bound:
+            live = live.where(keep(F.lit(bound).cast("timestamp")))
+    q = queries.withColumn("q", normalize_query(F.col("text"))).where("q <> ''")
+    fields = F.transform(F.array("title", F.substring("summary", 1, 500), "canonical_title"), normalize_query)
+    rows = phrase_hits(q, live.select("id", fields.alias("fields"), fields.alias("titles")), cfg.candidate_pool, cfg.min_text_score)
+    near = dense(q.where("qvec is not null").select("query_id", "qvec"), live.where("vec is not null"), cfg.candidate_pool, cfg.min_semantic_score)
+    named = named_stream(q, mentions, live.select("article_id", "id").distinct(), cfg)
+    several = named.where("mode like 'multi%'")
+    fused = fuse((_boosted(rows, several), STREAM_K["sparse"]), (near, STREAM_K["dense"]), (named, F.col("k")))
+    return top(fused.withColumn("rrf", F.round("rrf", 9)), cfg.top_k, F.desc("rrf")).select("query_id", "id", "rank", "rrf")
+
+
+def public_results(found: DataFrame, cards: DataFrame, most: int = 250) -> DataFrame:
+    """What visitors see of cards found: the title, the start of the summary, the country and the place."""
+    shown = cards.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.substring("summary", 1, most), F.lit("")).alias("summary"), "country")
+    return found.join(shown, "id").select("query_id", "rank", "id", "title", "summary", "country")

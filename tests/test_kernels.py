@@ -186,3 +186,110 @@ def test_predicates(spark):
     assert ids(p.all_open(F.col("name") == "wood")) == [3] and ids(p.all_open()) == [1, 2, 3]
     order = lambda key: [r["id"] for r in df.withColumn("n", F.length("name")).orderBy(*p.sort_keys(key, {"n": float("inf"), "id": -1}), "id").collect()]
     assert order("n") == [2, 1, 3] and order("id") == [3, 2, 1] and order("no such key") == [2, 1, 3]
+
+
+def test_canonical_entity(spark):
+    from newsloom.functions.query import canonical_entity, query_words
+
+    cases = [
+        ("özgür özelle", "Özgür Özelle ne konuştu", "özgür özel"),
+        ("özgür özel", "özgür özelle", "özgür özel"),
+        ("özgür öz", "özgür özelle", None),
+        ("filenin sultanları", "Filenin Sultanları kim", "filenin sultan"),
+        ("rusya", "rusya boğazı", "rusya"),
+        ("imamoğlu", "İmamoğlu'nun sözü", "imamoğlu"),
+        ("15", "15 temmuz", "15"),
+        ("uydurma", "başka söz", None),
+        ("", "söz", None),
+        (None, "söz", None),
+    ]
+    df = spark.createDataFrame(cases, "entity string, said string, want string")
+    for r in df.select("*", canonical_entity(F.col("entity"), query_words(F.col("said"))).alias("got")).collect():
+        assert r.got == r.want, r
+
+
+def test_captions(spark):
+    from newsloom.functions.content import enrich_caption
+
+    ay = "Aziz Yıldırım"
+    cases = [
+        ("Logo önünde konuşan bir adam", ["kürsü", ay], "", f"Logo önünde konuşan {ay}"),
+        ("Logo önünde", [ay], "", f"{ay}, logo önünde"),
+        ("Yıldırım konuşuyor", [ay], "", "Yıldırım konuşuyor"),
+        ("bir kadın", [ay], "başka bir haber", "bir kadın"),
+        ("bir erkek adamın evi", ["A$1 B\\Q"], None, "A$1 B\\Q evi"),
+        ("x", None, None, "x"),
+        (None, [ay], None, ""),
+        ("x", ["al", "küçük"], None, "x"),
+    ]
+    df = spark.createDataFrame(cases, "caption string, depicts array<string>, alt string, want string")
+    for r in df.select("*", enrich_caption(F.col("caption"), F.col("depicts"), F.col("alt")).alias("got")).collect():
+        assert r.got == r.want, r
+
+
+def plain_semantic_chunks(text, cfg, embed, title):
+    """One text by plain loops."""
+    import re
+
+    import numpy as np
+
+    tokens = lambda s: int(len(s.split()) * 1.3)
+    rows = []
+    for p in (x.strip() for x in re.split(r"\n{2,}", text)):
+        if not p:
+            continue
+        if p.startswith("#") or 5 <= len(p) <= 80 and p == p.upper() and p[-1] not in ".!?" and " " not in p[:20]:
+            rows.append((p, True, True))
+            continue
+        sents = []
+        for s in re.split(r"(?<=[.!?…])\s+(?=[A-ZÇĞİıÖŞÜ\"'“‘])", p):
+            if len(s) < 3 and sents:
+                sents[-1] += " " + s
+            elif s:
+                sents.append(s)
+        rows += [(s, False, i == 0) for i, s in enumerate(sents)]
+    if not rows:
+        return []
+    cut = {i for i, r in enumerate(rows) if r[1] and i}
+    if embed:
+        v = [np.asarray(embed(r[0]), float) for r in rows]
+        sims = [float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) if np.linalg.norm(a) * np.linalg.norm(b) else 0.0 for a, b in zip(v, v[1:], strict=False)]
+        if len(sims) >= 4:
+            bound = np.percentile(sims, cfg.percentile)
+            cut |= {i + 1 for i, s in enumerate(sims) if s < bound and rows[i + 1][2]}
+    chunks, now, n = [], [], 0
+    if sum(tokens(r[0]) for r in rows) < cfg.min_tokens:
+        chunks = [rows]
+    else:
+        for i, r in enumerate(rows):
+            t = tokens(r[0])
+            if now and (i in cut and n >= cfg.min_tokens or n + t > cfg.max_tokens or n + t > cfg.target_tokens and n >= cfg.min_tokens and r[2]):
+                chunks.append(now)
+                now, n = [], 0
+            now, n = now + [r], n + t
+        if chunks and n < cfg.min_tokens:
+            chunks[-1] = chunks[-1] + now
+        else:
+            chunks.append(now)
+    out = []
+    for i, c in enumerate(chunks):
+        body = ([r for r in chunks[i - 1][-cfg.overlap_sentences :] if not r[1]] if i else []) + c
+        whole = (f"BAŞLIK: {title}\n\n" + " ".join(r[0] for r in body)).strip()
+        out.append((i, whole, tokens(whole)))
+    return out
+
+
+def test_semantic_chunks(spark, small):
+    from newsloom.functions.semantic import SemanticConfig, semantic_chunk
+
+    docs = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").where("text is not null").orderBy("doc_id").limit(60).collect()]
+    texts = ["\n\n".join(docs[i : i + 3]).replace(". ", ".\n\n", 3) + "\n\nGÜNDEM\n\n" + docs[i][:300] for i in range(0, 57, 3)] + ["", "  ", "Tek cümle.", "# Baş\n\nSöz."]
+    vec = lambda s: [float(len(s)), float(s.count("e")), float(s.count("a")) - 2.0]
+    count = lambda x, c: (F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))).cast("double")
+    embed = lambda a: F.transform(a, lambda x: F.array(F.length(x).cast("double"), count(x, "e"), count(x, "a") - 2.0))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    for cfg in (SemanticConfig(), SemanticConfig(20, 50, 90, 1, 60)):
+        for e, plain in ((embed, vec), (None, None)):
+            got = {r.id: [tuple(c) for c in r.c] for r in df.select("id", semantic_chunk(F.col("text"), e, F.lit("Baş"), None, cfg).alias("c")).collect()}
+            for i, t in enumerate(texts):
+                assert got[i] == plain_semantic_chunks(t, cfg, plain, "Baş"), (cfg, i)
