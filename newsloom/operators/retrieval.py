@@ -16,6 +16,7 @@ from newsloom.config import DEFAULT, EngineConfig
 from newsloom.functions import vector
 from newsloom.functions.query import entity_candidates, phrases
 from newsloom.functions.text import jaccard, normalize_query, phrase_threshold, trigrams, words
+from newsloom.operators.entities import _cut
 
 #: Constants of each stream in reciprocal rank fusion, and the boosts.
 STREAM_K = {"sparse": 60, "dense": 60, "summary": 80, "ner_multi": 5, "ner_rare": 15, "rescue": 12}
@@ -307,7 +308,7 @@ def chunk_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, me
     unless a query would keep none; the first few are followed by their articles' other chunks (``rank`` and ``rrf`` null).
     """
     pool = cfg.candidate_pool
-    q = queries.withColumn("q", normalize_query(F.col("text"))).where("q <> ''")
+    q = _cut(queries.withColumn("q", normalize_query(F.col("text"))).where("q <> ''"))
     terms = query_terms(q, "q", 1 << 20).where(F.length("term") >= 2)
     index = postings(chunks.select("id", "text"), terms=terms).join(F.broadcast(terms) if terms.count() <= BATCH else terms, "term")
     size = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
@@ -320,7 +321,7 @@ def chunk_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, me
     near = dense(vecs, with_vec, pool, cfg.min_semantic_score)
     about = summary_stream(vecs, summaries.select(F.col("article_id").alias("id"), "vec"), with_vec, pool)
     first = with_vec.groupBy("article_id").agg(F.min_by("id", "chunk_index").alias("id"))
-    named = named_stream(q, mentions, first, cfg)
+    named = _cut(named_stream(q, mentions, first, cfg))
     word = F.transform(F.filter(words(F.col("q")), lambda w: F.length(w) >= 3), lambda w: F.trim(w, F.lit(".,!?;:")))
     keyed = keyword_stream(q.select("query_id", F.col("q").alias("phrase"), word.alias("words")), chunks, pool)
 
@@ -328,12 +329,13 @@ def chunk_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, me
     texts = chunks.select("id", "published_at", F.lower(F.concat_ws(" ", "title", "text")).alias("low"), F.transform("keywords", lambda x: F.lower(x)).alias("kw"))
     held = meet(critical.select("entity").distinct(), texts).where(F.contains("low", F.col("entity")) | F.exists("kw", lambda x: F.contains(x, F.col("entity"))))
     held = held.select("entity", F.col("id").alias("article_id"), "published_at")
+    held = _cut(held)
     saved = rescue(critical, held, min(pool, 30))
 
     several = named.where("mode like 'multi%'")
     fused = fuse((_boosted(sparse_rows, several), STREAM_K["sparse"]), (near, STREAM_K["dense"]), (about, STREAM_K["summary"]), (named, F.col("k")), (keyed, F.col("k")), (saved, STREAM_K["rescue"]))
     kept = keep_critical(fused.withColumn("rrf", F.round("rrf", 9)), critical, held)
-    best = top(kept, cfg.top_k, F.desc("rrf")).join(chunks.select("id", "article_id"), "id")
+    best = _cut(top(kept, cfg.top_k, F.desc("rrf")).join(chunks.select("id", "article_id"), "id"))
     out = expand_parents(best, chunks.select("id", "article_id", "chunk_index"), cfg)
     return out.join(best.select("query_id", "id", "rank", "rrf"), ["query_id", "id"], "left")
 
@@ -352,11 +354,11 @@ def card_search(queries: DataFrame, cards: DataFrame, mentions: DataFrame, level
     for bound, keep in ((seen[0], lambda x: F.col("first_seen_at") >= x), (seen[1], lambda x: F.col("first_seen_at") <= x)):
         if bound:
             live = live.where(keep(F.lit(bound).cast("timestamp")))
-    q = queries.withColumn("q", normalize_query(F.col("text"))).where("q <> ''")
+    q = _cut(queries.withColumn("q", normalize_query(F.col("text"))).where("q <> ''"))
     fields = F.transform(F.array("title", F.substring("summary", 1, 500), "canonical_title"), normalize_query)
     rows = phrase_hits(q, live.select("id", fields.alias("fields"), fields.alias("titles")), cfg.candidate_pool, cfg.min_text_score)
     near = dense(q.where("qvec is not null").select("query_id", "qvec"), live.where("vec is not null"), cfg.candidate_pool, cfg.min_semantic_score)
-    named = named_stream(q, mentions, live.select("article_id", "id").distinct(), cfg)
+    named = _cut(named_stream(q, mentions, live.select("article_id", "id").distinct(), cfg))
     several = named.where("mode like 'multi%'")
     fused = fuse((_boosted(rows, several), STREAM_K["sparse"]), (near, STREAM_K["dense"]), (named, F.col("k")))
     return top(fused.withColumn("rrf", F.round("rrf", 9)), cfg.top_k, F.desc("rrf")).select("query_id", "id", "rank", "rrf")
