@@ -113,3 +113,40 @@ def latency_stats(calls: DataFrame, ms: str, at: str) -> DataFrame:
         return F.aggregate("by", start, step)["ms"].cast("double")
 
     return all_.select("n", F.round(F.try_divide("total", "n"), 2).alias("mean"), at_share(0.5).alias("p50"), at_share(0.95).alias("p95"), "last")
+
+
+def samples(answers: DataFrame, done: DataFrame) -> DataFrame:
+    """Training samples of answers (message_id, conv_id, question, text, edited, chosen, eligible, rejected) that are not among
+    the ``done`` message ids: one ``sft`` row if eligible, a ``dpo_rejected`` row if rejected, and with it a ``dpo_chosen`` row where a
+    better answer was given. An answer without a question gives none; one with personal data in any of its texts gives one row
+    ``excluded``."""
+    todo = answers.where((F.col("eligible") | F.col("rejected")) & F.col("question").isNotNull())
+    todo = todo.join(done.where("message_id is not null").select("message_id").distinct(), "message_id", "left_anti")
+    found = redact(F.concat_ws("\n", F.coalesce("question", F.lit("")), F.coalesce("text", F.lit("")), "edited", "chosen"))
+    hits = sum((F.col(f"found.{k}") for k in ("email", "iban", "uuid", "ip", "tc", "phone")), F.lit(0))
+    todo = todo.withColumn("found", found).withColumn("pii", hits > 0)
+    row = lambda kind, when, out: F.when(when, F.struct(F.lit(kind).alias("sample_type"), out.alias("output")))
+    better = F.col("rejected") & (F.coalesce("chosen", F.lit("")) != "")
+    kinds = F.array(row("sft", F.col("eligible"), F.col("text")), row("dpo_rejected", F.col("rejected"), F.col("text")), row("dpo_chosen", better, F.col("chosen")))
+    all_ = F.when(F.col("pii"), F.array(row("excluded", F.lit(True), F.lit(None).cast("string")))).otherwise(F.array_compact(kinds))
+    return todo.select("message_id", split_of(F.col("message_id")).alias("split"), F.col("question").alias("input"), F.inline(all_))
+
+
+def artifact_candidates(artifacts: DataFrame, revisions: DataFrame, done: DataFrame, oldest: int, buffer_days: int = 7, most: int | None = None) -> DataFrame:
+    """Artifacts that may be curated, oldest first: consented, past the buffer, and either without an ``sft`` sample of their head
+    revision, or edited by hand with one that says preference pairs apply while the chosen answer is missing. ``artifacts``
+    (artifact_id, head_id, consented, age_days), ``revisions`` (revision_id, artifact_id, seq, parent_id, intent, query), ``done``
+    (artifact_id, seq, sample_type, applicable); ``oldest`` is the greatest age looked at."""
+    r = lambda c, *cols: revisions.select(*(F.col(x).alias(f"{c}_{x}") for x in ("revision_id", *cols)))
+    first = revisions.where("seq = 1").select("artifact_id", F.col("query").alias("effective_query"))
+    count = revisions.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("revisions"))
+    a = artifacts.where(F.col("consented") & (F.col("age_days") > buffer_days) & (F.col("age_days") <= oldest))
+    a = a.join(r("head", "seq", "parent_id", "intent"), F.col("head_id") == F.col("head_revision_id"))
+    a = a.join(r("parent", "seq"), F.col("head_parent_id") == F.col("parent_revision_id"), "left").join(first, "artifact_id").join(count, "artifact_id")
+    has = lambda kind, cond=F.lit(True): F.max((F.col("sample_type") == kind) & cond)
+    state = done.groupBy("artifact_id", F.col("seq").alias("head_seq")).agg(has("sft").alias("sft"), has("sft", F.coalesce("applicable", F.lit(False))).alias("pairs"), has("dpo_chosen").alias("chosen"))
+    a = a.join(state, ["artifact_id", "head_seq"], "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    retry = F.col("head_intent").isin("freetext", "edit") & F.col("pairs") & no("chosen")
+    out = a.where(no("sft") | F.coalesce(retry, F.lit(False))).select("artifact_id", "head_seq", "parent_seq", "effective_query", "revisions", no("sft").alias("fresh"), "age_days")
+    return out if most is None else out.orderBy(F.desc("age_days"), "artifact_id").limit(most)

@@ -231,3 +231,12 @@ def upsert_canonicals(canonicals: DataFrame, resolved: DataFrame) -> DataFrame:
     keep = F.col("canonical").isNull() | (F.col("source") == "admin")
     keep = F.coalesce(keep, F.lit(False))
     return canonicals.join(new, ["norm", "type"], "full").select("norm", "type", F.when(keep, F.col("name")).otherwise(F.col("canonical")).alias("name"), F.when(keep, F.col("source")).otherwise("wikidata").alias("source"))
+
+
+def build_canonicals(mentions: DataFrame, seeds: DataFrame, owned: DataFrame, least: int = 2) -> DataFrame:
+    """Aliases (alias, type, canonical, source) of the names that occur in enough articles and have a seed (alias, type,
+    canonical): a seed gives way where the canonical name already belongs to a higher authority (``owned``: canonical, type, source)."""
+    often = mentions.groupBy(F.col("entity_norm").alias("alias"), F.col("entity_type").alias("type")).agg(F.countDistinct("article_id").alias("articles")).where(F.col("articles") >= least)
+    hit = often.join(seeds, ["alias", "type"])
+    higher = by_authority(owned.where(F.col("source").isin("admin", "wikidata")), ["canonical", "type"])
+    return hit.join(higher, ["canonical", "type"], "left").select("alias", "type", "canonical", F.coalesce("source", F.lit("seed")).alias("source"), "articles")

@@ -368,3 +368,10 @@ def public_results(found: DataFrame, cards: DataFrame, most: int = 250) -> DataF
     """What visitors see of cards found: the title, the start of the summary, the country and the place."""
     shown = cards.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.substring("summary", 1, most), F.lit("")).alias("summary"), "country")
     return found.join(shown, "id").select("query_id", "rank", "id", "title", "summary", "country")
+
+
+def anchored_conversation(messages: DataFrame, anchors: DataFrame) -> DataFrame:
+    """All messages of each user's anchor's conversation, oldest first: ``messages`` (conv_id, id, age_hours)."""
+    a = anchors.select("user_id", F.col("id").alias("anchor"), "conv_id")
+    m = a.join(messages.select("conv_id", "id", "age_hours"), "conv_id")
+    return m.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("age_hours"), "id"))).select("user_id", "anchor", "id", "place")

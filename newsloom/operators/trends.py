@@ -139,3 +139,45 @@ def source_health(fetches: DataFrame, source: str, ok: Column) -> DataFrame:
     rate = F.col("good") / F.col("n")
     colour = F.when(F.col("n") < 5, "unknown").when(rate < 0.70, "red").when(rate < 0.85, "yellow").otherwise("green")
     return out.withColumn("rate", rate).withColumn("health", colour)
+
+
+def grouped_mentions(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Mentions under the ``subject`` that the aliases (entity_norm, canonical) lead to, else under their own name."""
+    return mentions.join(aliases, "entity_norm", "left").withColumn("subject", F.coalesce("canonical", "entity_norm")).drop("canonical")
+
+
+def newest_articles(mentions: DataFrame, now: str, days: float, keys: tuple[str, ...], most: int = 50) -> DataFrame:
+    """The newest articles of each group within the window, each once however many variants it names."""
+    _, start, end = bounds(now, days)
+    a = mentions.where(between(start, end)).select(*keys, "article_id", "published_at", "source_id").distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("published_at"), "article_id", "source_id"))
+    return a.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def source_shares(mentions: DataFrame, now: str, days: float, keys: tuple[str, ...]) -> DataFrame:
+    """How many articles of each group every source has within the window."""
+    _, start, end = bounds(now, days)
+    return mentions.where(between(start, end)).groupBy(*keys, "source_id").agg(F.countDistinct("article_id").alias("articles"))
+
+
+def variants(mentions: DataFrame, now: str, days: float, keys: tuple[str, ...], surface: str) -> DataFrame:
+    """The names that make up each group, with their most frequent spelling (the least one of equals) and their articles."""
+    _, start, end = bounds(now, days)
+    m = mentions.where(between(start, end))
+    spelt = m.groupBy(*keys, "entity_norm", F.col(surface).alias("surface")).agg(F.count(F.lit(1)).alias("n"))
+    mode = spelt.groupBy(*keys, "entity_norm").agg(F.min_by("surface", F.struct((-F.col("n")).alias("n"), F.col("surface"))).alias("surface"))
+    return m.groupBy(*keys, "entity_norm").agg(F.countDistinct("article_id").alias("articles")).join(mode, [*keys, "entity_norm"])
+
+
+def retained(snapshots: DataFrame, now: str, days: int = 180, bucket: str = "bucket") -> DataFrame:
+    """Snapshots whose bucket starts within the days that are kept."""
+    return snapshots.where(F.col(bucket) >= epoch(F.lit(now)) - days * 86400)
+
+
+def followed(subscriptions: DataFrame, trends: DataFrame, most: int = 200) -> DataFrame:
+    """A user's live subscriptions (user_id, cluster_key, subscribed_at, ended), newest first, with the trend metrics of their
+    clusters; those that have none are quiet."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("subscribed_at"), "cluster_key"))
+    live = subscriptions.where("not ended").withColumn("rank", rank).where(F.col("rank") <= most).drop("ended")
+    j = live.join(trends.select("cluster_key", "cur", "rel_momentum", "state"), "cluster_key", "left")
+    return j.withColumn("state", F.coalesce("state", F.lit("quiet"))).withColumn("cur", F.coalesce("cur", F.lit(0)))
