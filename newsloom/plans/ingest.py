@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import table
 from newsloom.operators import ingest as op
-from newsloom.sources import web
+from newsloom.sources import images, web
 
 from .registry import query
 
@@ -76,3 +76,27 @@ def sc3_sitemap(spark, sf_dir):
 @query(r"SELECT page_id, NOT starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/de/') AS allowed FROM pages")
 def sc7_robots(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.allowed(F.lit("User-agent: *\nDisallow: /de/\n"), F.lit("bot"), F.col("url")).alias("allowed"))
+
+
+HOST_SQL = "regexp_extract(url, '^https?://[^/?#]*')"
+
+
+@query(f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS position, CASE i WHEN 1 THEN {HOST_SQL} || '/img/' || page_id || '.jpg' ELSE regexp_extract(url, '^https?:') || '//cdn.example.com/' || page_id || '.png' END AS image_url,
+      CASE i WHEN 1 THEN 'one' ELSE 'two' END AS alt, CASE i WHEN 1 THEN 'first' ELSE 'by hand' END AS caption FROM pages CROSS JOIN range(1, 3) r(i) WHERE i = 2 OR NOT regexp_matches(url, '^https?://([^/?#]*[-_])?(ads?|banner)([-_/.0-9]|$)')""")
+def h8_body_images(spark, sf_dir):
+    """An article with two images among decoration, set before each page; a host named like an advertiser's makes the first one decoration too."""
+    n = F.col("page_id").cast("string")
+    parts = (
+        '<header><img src="/top.jpg"></header><article class="body"><figure><img src="/img/', n, '.jpg" width="800px" height="600" alt="one"><figcaption>first</figcaption></figure><img src="/logo/a.png"><img src="/s.jpg" width="50">',
+        '<figure><img src="spacer.gif" data-srcset="//cdn.example.com/', n, '.png 1x, b.png 2x" alt="two"><p>two - by hand</p></figure><ul><li><img src="/more.jpg"></li></ul><div class="related-news"><img src="/r.jpg"></div>',
+        '<img src="/img/', n, '.jpg"><img src="/strip.jpg" width="2000" height="300"><img src="/v.svg"><img src="/x.jpg" alt="Paylaş"></article>', F.coalesce("html", F.lit("")),
+    )
+    html = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    return images.page_images(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")))
+
+
+@query(f"""SELECT page_id, i AS kind, CASE i WHEN 0 THEN 'https://a.example/b.png' WHEN 1 THEN regexp_extract(url, '^https?:') || '//cdn.example.com/c.png' WHEN 2 THEN {HOST_SQL} || '/d.png' ELSE '' END AS image_url FROM pages CROSS JOIN range(4) r(i)""")
+def x6_image_urls(spark, sf_dir):
+    src = F.array(*map(F.lit, ("https://a.example/b.png", "//cdn.example.com/c.png", "/d.png", "")))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(src).alias("kind", "src"))
+    return p.select("page_id", "kind", images.absolute(F.col("src"), F.col("url")).alias("image_url"))

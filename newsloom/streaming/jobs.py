@@ -75,10 +75,16 @@ def tiers(counts: DataFrame, key: str, dwell: int = 900) -> DataFrame:
     return counts.groupBy(key).applyInPandasWithState(step, "key long, s long, before string, after string", "tier string, since long", "append", GroupStateTimeout.NoTimeout)
 
 
-def cluster_stream(articles: DataFrame, block: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Event clustering with each block's live clusters as state; clusters leave it after the window."""
+def cluster_stream(articles: DataFrame, block: str, cfg: EngineConfig = DEFAULT, late: str | None = None) -> DataFrame:
+    """Event clustering with each block's live clusters as state; clusters leave it after the window. With ``late``, the delay of a
+    watermark, a block's whole state goes once the watermark has passed the window after its last article, and articles
+    older than the watermark are dropped; without it no article is, and a block that falls silent keeps its state."""
+    names = ["article_id", "event_id", "action", "similarity"]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         fold = EventFold(cfg)
         if state.exists:
             fold.load(state.get)
@@ -87,10 +93,16 @@ def cluster_stream(articles: DataFrame, block: str, cfg: EngineConfig = DEFAULT)
             pdf = pdf.sort_values(["seconds", "article_id"])
             rows += [(int(a), *fold.add(int(a), float(s), v, t or "")) for a, s, v, t in zip(pdf.article_id, pdf.seconds, pdf.vec, pdf.title, strict=True)]
         state.update(fold.dump())
-        yield pd.DataFrame(rows, columns=["article_id", "event_id", "action", "similarity"])
+        if late:
+            last = max(c["seen"] for c in fold.live)
+            state.setTimeoutTimestamp(int((last + cfg.cluster_window_hours * 3600) * 1000) + 1)
+        yield pd.DataFrame(rows, columns=names)
 
     shape = "ids array<long>, seen array<double>, vecs array<array<double>>, titles array<string>"
-    return articles.groupBy(block).applyInPandasWithState(step, "article_id long, event_id long, action string, similarity double", shape, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    if late:
+        articles = articles.withColumn("at", F.timestamp_millis((F.col("seconds") * 1000).cast("long"))).withWatermark("at", late)
+    return articles.groupBy(block).applyInPandasWithState(step, "article_id long, event_id long, action string, similarity double", shape, "append", timeout)
 
 
 def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:

@@ -146,6 +146,19 @@ def test_cluster_stream_is_the_batch(spark):
     assert got == {r["article_id"]: r["event_id"] for r in clusters.event_clusters(df, "lang").collect()}
 
 
+def test_cluster_stream_forgets_blocks_past_the_window(spark):
+    d = tmp()
+    shape = "article_id long, seconds double, vec array<double>, title string, lang string"
+    days = [(1, 10, "tr"), (2, 10, "en"), (3, 14, "en"), (4, 15, "en")]
+    for i, day, lang in days:
+        spark.createDataFrame([(i, day * 86400.0, [1.0, 0.5], "one story", lang)], shape).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    got = {}
+    stream = jobs.read_files(spark, f"{d}/in", spark.createDataFrame([], shape))
+    jobs.run_available(jobs.cluster_stream(stream, "lang", late="2 hours"), f"{d}/cp", lambda b, n: got.update({r["article_id"]: r["event_id"] for r in b.collect()}))
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+    assert [r["key"]["lang"] for r in spark.read.format("statestore").load(f"{d}/cp").select("key").collect()] == ["en"]
+
+
 def test_closed_buckets_are_the_batch(spark, small):
     e = table(spark, small, "events")
     d, got = tmp(), {}
