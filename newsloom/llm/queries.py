@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, neardup, packing, quality, secrets, sharding, toxicity, urlfilter
+from . import bpe, chat, codes, extraction, fingerprints, neardup, negatives, packing, quality, secrets, sharding, toxicity, urlfilter
 from .common import read_table, staged
 
 #: The example that a chat template must bear.
@@ -96,6 +96,73 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(spark, read_table(spark, sf_dir, "pages"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(e.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+#: What stands in the article of the pages at hand; the operator doesn't know their layout.
+SQL_EXTRACTION = r"""
+    WITH parts AS (
+      SELECT page_id, url, list_transform(string_split_regex(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>'),
+        lambda s: trim(regexp_replace(regexp_replace(s, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS p FROM pages),
+    joined AS (SELECT page_id, url, array_to_string(list_filter(p, lambda s: s <> ''), chr(10) || chr(10)) AS t FROM parts),
+    decoded AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS text FROM joined)
+    SELECT page_id, url, text, length(text) AS n_chars FROM decoded"""
+
+SQL_NEGATIVES = """
+    WITH kept AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x)::DOUBLE) AS v
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.positive_id, row_number() OVER w AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)
+    QUALIFY row_number() OVER w <= 10"""
+
+
+def sql_codes(rounds: int = 6, entries: int = 16, parts: int = 8) -> str:
+    """All rounds as one chain of tables, by plain distances."""
+    steps = [
+        """kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x)::BIGINT) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))""",
+        f"""cut AS MATERIALIZED (SELECT vec_id, label, p, list_slice(v, p * (len(v) // {parts}) + 1, (p + 1) * (len(v) // {parts})) AS x
+          FROM kept, range({parts}) r(p))""",
+        f"""book0 AS MATERIALIZED (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id)) - 1 AS e, x AS c FROM cut
+          QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries})""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""near{k} AS MATERIALIZED (SELECT vec_id, label, p, x, min({{'d': d, 'e': e}}) AS best FROM (
+              SELECT vec_id, label, cut.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+              FROM cut JOIN book{k} b ON cut.p = b.p) GROUP BY ALL)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""sums{k} AS (SELECT p, e, i, sum(y)::BIGINT AS s, count(*) AS n FROM (
+                  SELECT p, best.e AS e, unnest(range(len(x))) AS i, unnest(x) AS y FROM near{k}) GROUP BY ALL)"""
+            )
+            steps.append(f"""means{k} AS (SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY i) AS c FROM sums{k} GROUP BY ALL)""")
+            steps.append(f"""book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""WITH {", ".join(steps)},
+    coded AS (SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id, label),
+    digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, digest"""
+
+
 SQL_QUALITY = r"""
     WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     words AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
@@ -126,6 +193,6 @@ SQL_QUALITY = r"""
     FROM judged"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_toxicity, op5_sharding, op6_secrets, op7_urlfilter, op8_minhash, op9_bpe, op10_chat)
+    f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_toxicity, op5_sharding, op6_secrets, op7_urlfilter, op8_minhash, op9_bpe, op10_chat, op11_extraction, op12_negatives, op13_codes)
 }
-ORACLE_SQL: dict[str, str] = {"op3_quality": SQL_QUALITY, "op7_urlfilter": urlfilter.sql()}
+ORACLE_SQL: dict[str, str] = {"op3_quality": SQL_QUALITY, "op7_urlfilter": urlfilter.sql(), "op11_extraction": SQL_EXTRACTION, "op12_negatives": SQL_NEGATIVES, "op13_codes": sql_codes()}

@@ -50,7 +50,7 @@ def repeat_dir(docs_rows):
 @pytest.fixture(scope="session")
 def empty_dir(small):
     d = tempfile.mkdtemp(prefix="spark-empty-", dir="/tmp")
-    for name in ("documents", "labels", "pages", "conversations"):
+    for name in ("documents", "labels", "pages", "conversations", "embeddings"):
         pq.write_table(pq.read_table(f"{small}/{name}.parquet").slice(0, 0), f"{d}/{name}.parquet")
     return d
 
