@@ -16,6 +16,7 @@ from newsloom.config import DEFAULT, EngineConfig
 from newsloom.functions import vector
 from newsloom.functions.query import entity_candidates, phrases
 from newsloom.functions.text import jaccard, normalize_query, phrase_threshold, trigrams, words
+from newsloom.operators import vectors
 from newsloom.operators.entities import _cut
 
 #: Constants of each stream in reciprocal rank fusion, and the boosts.
@@ -69,8 +70,7 @@ def meet(queries: DataFrame, base: DataFrame) -> DataFrame:
 
 def dense(queries: DataFrame, base: DataFrame, pool: int, least: float = -1.0) -> DataFrame:
     """Nearest by cosine, moved to 0..1: ``queries`` (query_id, qvec) against ``base`` (id, vec). Exact."""
-    scored = meet(queries, base.select("id", "vec")).select("query_id", "id", F.round(vector.semantic(F.col("vec"), F.col("qvec")), 6).alias("score"))
-    return top(scored, pool, F.desc("score")).where(F.col("score") >= least)
+    return vectors.dense(queries, base, pool, least)
 
 
 def entity_coverage(asked: DataFrame, chunks: DataFrame) -> DataFrame:

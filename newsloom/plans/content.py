@@ -73,11 +73,11 @@ def h9_page_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_seconds(c.page_date(s)).alias("day"))
 
 
-@query(f"WITH {DENSE} SELECT query_id, id, round(score + CASE WHEN rank <= 3 AND id % 2 = 0 AND id % 10 >= 6 THEN 0.30 WHEN rank <= 3 AND (id % 2 <> 0 OR id % 10 < 4) THEN -0.10 ELSE 0 END, 4) AS score FROM dense")
+@query(f"WITH {DENSE} SELECT query_id, id, round(score + CASE WHEN rank <= 3 AND id % 2 = 0 AND id % 10 >= 6 THEN 0.30 WHEN rank <= 3 AND (id % 2 <> 0 OR id % 10 < 4) THEN -0.10 ELSE 0 END, 6) AS score FROM dense")
 def r16_rerank_blend(spark, sf_dir):
     d = dense(spark, sf_dir)
     v = d.select("query_id", "id", (F.col("id") % 2 == 0).alias("answers"), (F.col("id") % 10).alias("grade"))
-    return op.rerank_blend(d, v).select("query_id", "id", F.round("score", 4).alias("score"))
+    return op.rerank_blend(d, v).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT p_partkey, substr(p_name, 1, 200) AS title, p_retailprice AS score FROM part QUALIFY row_number() OVER (PARTITION BY substr(p_name, 1, 200) ORDER BY p_retailprice DESC, p_partkey) = 1")

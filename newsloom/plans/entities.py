@@ -109,13 +109,13 @@ CENTRES = "c AS (SELECT label AS cluster, embedding AS centroid FROM embeddings
 
 
 @query(f"""WITH {CENTRES}, s AS (SELECT vec_id AS id, cluster, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(centroid AS DOUBLE[])), 6) AS cos FROM embeddings, c)
-    SELECT id, cluster, round(cos, 4) AS cos FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, cluster) = 1 AND cos >= 0.2""")
+    SELECT id, cluster, cos FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, cluster) = 1 AND cos >= 0.2""")
 def c12_assign_by_centroid(spark, sf_dir):
     from newsloom.operators.ingest import keep_first
 
     e = table(spark, sf_dir, "embeddings")
     c = keep_first(e, ["label"], ["vec_id"]).select(F.col("label").alias("cluster"), F.col("embedding").alias("centroid"))
-    return clusters.nearest_centroid(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), c, 0.2).withColumn("cos", F.round("cos", 4))
+    return clusters.nearest_centroid(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), c, 0.2)
 
 
 @query("""SELECT n_nationkey AS cluster, count(o_orderkey) AS subscriptions, count(DISTINCT o_custkey) AS users, max(o_orderdate) AS last_used FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")

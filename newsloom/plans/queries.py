@@ -104,10 +104,10 @@ def r9_rescue(spark, sf_dir):
 
 
 @query(f"""WITH {MENTIONS_SQL}, {DENSE}, l AS (SELECT DISTINCT article_id AS id FROM mentions WHERE entity_norm = 'Brand#11'), b AS (SELECT query_id, dense.id, score + CASE WHEN l.id IS NOT NULL THEN 0.05 ELSE 0 END AS score, rank AS before FROM dense LEFT JOIN l ON l.id = dense.id)
-    SELECT query_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, id) AS rank FROM b""")
+    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, id) AS rank FROM b""")
 def r15_affinity(spark, sf_dir):
     liked = asked_of(table(spark, sf_dir, "embeddings"), "vec_id").select(F.col("vec_id").alias("query_id"), F.lit("Brand#11").alias("entity"))
-    return op.affinity_boost(dense(spark, sf_dir), liked, named(spark, sf_dir)).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+    return op.affinity_boost(dense(spark, sf_dir), liked, named(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {DENSE}, c AS (SELECT id // 5 AS article_id, min(id) AS chunk FROM (SELECT vec_id AS id FROM embeddings) GROUP BY 1), n AS (SELECT DISTINCT query_id, id AS article_id FROM dense WHERE rank <= 10)
@@ -121,13 +121,13 @@ def r5_summary_stream(spark, sf_dir):
 
 @query(f"""WITH {DENSE}, s AS (SELECT q.vec_id AS answer_id, x.vec_id AS claim_id, e.vec_id AS source_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 6) AS cos
       FROM embeddings q JOIN embeddings x ON x.vec_id // 20 = q.vec_id // 20 AND x.vec_id % 20 BETWEEN 1 AND 3 JOIN embeddings e ON e.vec_id // 20 = q.vec_id // 20 AND e.vec_id % 20 > 3 WHERE {ASKED_SQL.format('q.vec_id')})
-    SELECT answer_id, claim_id, source_id, round(cos, 4) AS cos, cos >= 0.25 AS supported FROM s QUALIFY row_number() OVER (PARTITION BY answer_id, claim_id ORDER BY cos DESC, source_id) = 1""")
+    SELECT answer_id, claim_id, source_id, cos, cos >= 0.25 AS supported FROM s QUALIFY row_number() OVER (PARTITION BY answer_id, claim_id ORDER BY cos DESC, source_id) = 1""")
 def r22_citations(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     own, answer = F.col("vec_id") % 20, (F.col("vec_id") - F.col("vec_id") % 20).alias("answer_id")  # an answer, its three claims and its sources follow one another
     claims = e.where(own.between(1, 3)).select(answer, F.col("vec_id").alias("claim_id"), "vec")
     sources = e.where(own > 3).select(answer, F.col("vec_id").alias("source_id"), "vec")
-    return op.supported(claims, sources, 0.25).withColumn("cos", F.round("cos", 4))
+    return op.supported(claims, sources, 0.25)
 
 
 @query("""WITH m AS (SELECT user_id, event_id, date_diff('second', ts, TIMESTAMP '2024-01-31') / 3600.0 AS age, value > 30 AS ok FROM events), t AS (

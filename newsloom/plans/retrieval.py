@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog import MENTIONS_SQL, mentions, table
 from newsloom.functions import vector
 from newsloom.operators import curation, retrieval as op
+from newsloom.operators import vectors
 
 from .registry import query
 from .relational import RUNS, two_runs
@@ -43,24 +44,48 @@ def sparse(spark, sf_dir):
     return op.sparse(terms, op.postings(docs, terms=terms), POOL)
 
 
-@query(f"WITH {DENSE} SELECT query_id, id, rank, round(score, 4) AS score FROM dense WHERE score >= 0.5")
+@query(f"WITH {DENSE} SELECT query_id, id, rank, score FROM dense WHERE score >= 0.5")
 def r4_dense(spark, sf_dir):
-    return dense(spark, sf_dir).where("score >= 0.5").select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+    return dense(spark, sf_dir).where("score >= 0.5").select("query_id", "id", "rank", "score")
 
 
-@query(f"WITH {SPARSE} SELECT query_id, id, rank, grams, round(score, 6) AS score FROM sparse")
+def _asked_and_base(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return asked_of(e, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+@query(f"WITH {DENSE} SELECT query_id, id, rank, score FROM dense")
+def r4_all_lists(spark, sf_dir):
+    """The inverted-file index with every list read: the rows of the exact search."""
+    q, base = _asked_and_base(spark, sf_dir)
+    index = vectors.build(base)
+    return vectors.indexed(q, index, POOL, len(index.centroids)).select("query_id", "id", "rank", "score")
+
+
+@query()
+def r4_index_recall(spark, sf_dir):
+    """The share of each query's ten nearest rows that the index finds with the number of lists that a sample asks for. No SQL: which rows
+    a list holds is a matter of k-means; ``test_recall_of_the_index`` holds it against the exact search."""
+    q, base = _asked_and_base(spark, sf_dir)
+    index = vectors.build(base)
+    probes = vectors.probes_for(q, base, index, 10)
+    found = vectors.indexed(q, index, 10, probes)
+    return vectors.recall(vectors.dense(q, base, 10), found).withColumn("probes", F.lit(probes)).withColumn("lists", F.lit(len(index.centroids)))
+
+
+@query(f"WITH {SPARSE} SELECT query_id, id, rank, grams, score FROM sparse")
 def r3_sparse(spark, sf_dir):
-    return sparse(spark, sf_dir).select("query_id", "id", "rank", "grams", F.round("score", 6).alias("score"))
+    return sparse(spark, sf_dir).select("query_id", "id", "rank", "grams", "score")
 
 
 @query(f"""WITH {SPARSE}, {DENSE}, parts AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) + least(grams * 0.025::DOUBLE, 0.10::DOUBLE) AS part FROM sparse UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM dense WHERE score >= 0.5),
     fused AS (SELECT query_id, id, round(sum(part), 9) AS rrf FROM parts GROUP BY ALL)
-    SELECT query_id, id, round(rrf, 6) AS rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM fused QUALIFY rank <= 10""")
+    SELECT query_id, id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM fused QUALIFY rank <= 10""")
 def r1_hybrid(spark, sf_dir):
     """Sparse and dense streams fused, with the boost for matched grams."""
     s = sparse(spark, sf_dir).withColumn("boost", F.least(F.col("grams") * op.GRAM_BOOST, F.lit(op.GRAM_BOOST_MAX)))
     f = op.fuse((s, op.STREAM_K["sparse"]), (dense(spark, sf_dir).where("score >= 0.5"), op.STREAM_K["dense"])).withColumn("rrf", F.round("rrf", 9))
-    return op.top(f, 10, F.desc("rrf")).select("query_id", "id", F.round("rrf", 6).alias("rrf"), "rank")
+    return op.top(f, 10, F.desc("rrf")).select("query_id", "id", "rrf", "rank")
 
 
 @query(f"""WITH {DENSE}, r AS (SELECT *, id // 5 AS article_id FROM dense WHERE rank <= 10), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, article_id) AS i FROM (SELECT query_id, article_id, min(rank) AS best FROM r GROUP BY ALL)),
@@ -169,12 +194,12 @@ def r23_relatedness(spark, sf_dir):
     return e.join(before, "vec_id").select("vec_id", F.round(vector.cosine(F.col("embedding"), F.col("prev")), 5).alias("cos"))
 
 
-@query(f"""WITH {DENSE} SELECT query_id, id, round(score, 4) AS score, s_name AS source FROM dense JOIN supplier ON s_suppkey = id % 10 + 1 WHERE s_acctbal > 0""")
+@query(f"""WITH {DENSE} SELECT query_id, id, score, s_name AS source FROM dense JOIN supplier ON s_suppkey = id % 10 + 1 WHERE s_acctbal > 0""")
 def r11_candidates(spark, sf_dir):
     """Candidates of one vector each with the source they come from; those of inactive sources drop out."""
     sources = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("source"))
     d = dense(spark, sf_dir).withColumn("source_id", F.col("id") % 10 + 1)
-    return d.join(sources, "source_id").select("query_id", "id", F.round("score", 4).alias("score"), "source")
+    return d.join(sources, "source_id").select("query_id", "id", "score", "source")
 
 
 @query(f"""WITH q AS (SELECT p_partkey AS query_id, p_brand, unnest(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: w <> ''))) AS entity FROM part WHERE {ASKED_SQL.format("p_partkey")}),

@@ -77,7 +77,7 @@ CHUNKS_SQL = f"""docs AS (SELECT doc_id AS id, doc_id // 5 AS article_id, doc_id
     b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, article_id) AS i FROM (SELECT query_id, article_id, min(rank) AS best FROM best GROUP BY ALL)),
     sb AS (SELECT b.query_id, docs.id, b.article_id, i, row_number() OVER (PARTITION BY b.query_id, b.article_id ORDER BY docs.chunk_index) AS j FROM b JOIN docs USING (article_id) WHERE i <= 3 AND NOT EXISTS (SELECT 1 FROM best r WHERE r.query_id = b.query_id AND r.id = docs.id)),
     u AS (SELECT query_id, id, article_id, 0 AS part, rank::BIGINT AS place, rank, rrf FROM best UNION ALL SELECT query_id, id, article_id, 1, i * 1000 + j, NULL, NULL FROM sb WHERE j <= 5)
-    SELECT query_id, id, article_id, rank, round(rrf, 6) AS rrf, row_number() OVER (PARTITION BY query_id ORDER BY part, place, id) AS position FROM u QUALIFY position <= 20""")
+    SELECT query_id, id, article_id, rank, rrf, row_number() OVER (PARTITION BY query_id ORDER BY part, place, id) AS position FROM u QUALIFY position <= 20""")
 def r1_chunk_search(spark, sf_dir):
     """Documents as chunks, five to an article; asked with every benchmark passage whose id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -95,7 +95,7 @@ def r1_chunk_search(spark, sf_dir):
     terms = q.select(F.explode(qf.entity_candidates(F.col("text"), 3)).alias("term"))
     named = op.postings(chunks.select("id", "text"), terms=terms).select(F.col("term").alias("entity"), F.floor(F.col("id") / 5).alias("article_id"))
     found = op.chunk_search(q, chunks, summaries, named)
-    return found.select("query_id", "id", "article_id", "rank", F.round("rrf", 6).alias("rrf"), "position")
+    return found.select("query_id", "id", "article_id", "rank", "rrf", "position")
 
 
 IN_TURKEY, DAILY = "country = 'TR'", "level = 'daily'"
@@ -132,11 +132,11 @@ def _card_search(spark, sf_dir, **only):
     return op.card_search(asked, cards, named, **only), cards
 
 
-@query(f"WITH {_cards_sql(IN_TURKEY)} SELECT query_id, id, rank, round(rrf, 6) AS rrf FROM found")
+@query(f"WITH {_cards_sql(IN_TURKEY)} SELECT query_id, id, rank, rrf FROM found")
 def r2_card_search(spark, sf_dir):
     """Pages as cards; asked with the title of every page whose id is divisible by 20, within one country."""
     found, _ = _card_search(spark, sf_dir, country="tr", seen=("2023-12-01", "2024-02-01"))
-    return found.select("query_id", "id", "rank", F.round("rrf", 6).alias("rrf"))
+    return found.select("query_id", "id", "rank", "rrf")
 
 
 @query(f"WITH {_cards_sql(DAILY)} SELECT query_id, rank, id, title, substr(summary, 1, 250) AS summary, country FROM found JOIN cards USING (id)")

@@ -39,5 +39,5 @@ def differences(spark_df, sf_dir, sql, most=3):
         return [f"columns {names} and {cols}"]
     if len(got) != len(want):
         return [f"{len(got)} and {len(want)} rows", got[:2], want[:2]]
-    same = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-4)
+    same = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
     return [(a, b) for a, b in zip(got, want, strict=True) if not all(map(same, a, b))][:most]
