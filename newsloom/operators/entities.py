@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.config import DEFAULT, EngineConfig
+from newsloom.operators.patterns import found
 
 #: Who may overrule whom in canonical names.
 AUTHORITY = ("admin", "wikidata", "seed", "token_subset")
@@ -91,14 +92,15 @@ def by_authority(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def genericness(names: DataFrame, entities: DataFrame) -> DataFrame:
     """In how many other entities each name occurs as a substring. Candidates meet on the name's first token, which a
-    containing entity must hold within one of its own; both sides are distinct names, not mentions."""
+    containing entity must hold within one of its own; names with a shorter one are looked for all at once. Both sides are distinct names, not mentions."""
     n = names.select("norm").withColumn("probe", F.element_at(F.split("norm", " "), 1))
     n = n.withColumn("probe", F.substring("probe", -3, 3))
     grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("e") - 2, F.lit(1))), lambda i: F.substring(F.col("e"), i, F.lit(3)))))
     e = entities.select(F.col("norm").alias("e")).select("e", grams.alias("gram"))
     short = n.where(F.length("probe") < 3)
     hits = n.where(F.length("probe") == 3).join(e, F.col("probe") == F.col("gram")).where(F.contains("e", "norm") & (F.col("e") != F.col("norm"))).select("norm", "e")
-    loose = short.join(entities.select(F.col("norm").alias("e")), F.contains("e", "norm") & (F.col("e") != F.col("norm"))).select("norm", "e")
+    named = entities.select(F.col("norm").alias("id"), F.array("norm").alias("fields"))
+    loose = found(named, short.select(F.col("norm").alias("pattern"))).select(F.col("pattern").alias("norm"), F.col("id").alias("e")).where(F.col("e") != F.col("norm"))
     per = hits.union(loose).groupBy("norm").agg(F.countDistinct("e").alias("genericness"))
     return names.select("norm").join(per, "norm", "left").select("norm", F.coalesce("genericness", F.lit(0).cast("long")).alias("genericness"))
 

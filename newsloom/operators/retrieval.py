@@ -16,7 +16,7 @@ from newsloom.config import DEFAULT, EngineConfig
 from newsloom.functions import vector
 from newsloom.functions.query import entity_candidates, phrases
 from newsloom.functions.text import jaccard, normalize_query, phrase_threshold, trigrams, words
-from newsloom.operators import vectors
+from newsloom.operators import patterns, vectors
 from newsloom.operators.entities import _cut
 
 #: Constants of each stream in reciprocal rank fusion, and the boosts.
@@ -26,6 +26,8 @@ PHRASE_BOOST, PHRASE_BOOST_NAMED, GRAM_BOOST, GRAM_BOOST_MAX = 0.05, 0.03, 0.025
 ZETA2 = 1.64493406685
 #: Queries, or terms, of a batch that are sent to every task.
 BATCH = 1000
+#: Fixed value: the trigram similarity from which on a row is a candidate.
+SIMILAR = 0.3
 
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -33,6 +35,11 @@ def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "id"))).where(F.col("rank") <= n)
 
 
+def _few(df: DataFrame, rows: int, most: int = 100 * BATCH) -> DataFrame:
+    """``df`` sent to every task if its counted rows are few."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def postings(docs: DataFrame, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """(term, id, tf) of lower-cased words; only of ``terms`` if they are given, which drops all other words before anything is
     shuffled (by a broadcast if they are few)."""
@@ -265,18 +272,22 @@ def phrase_hits(queries: DataFrame, rows: DataFrame, pool: int, least: float, ca
     sparse streams. ``queries`` (query_id, q), ``rows`` (id, fields: normalized texts, titles: those compared by trigrams); a row
     is a candidate if it is one of ``candidates`` (query_id, id, score) or a field is like the query or holds it or a run of it.
     Ranks are given before the gate."""
-    asked = queries.select("query_id", "q", phrases(F.col("q")).alias("runs"), trigrams(F.col("q")).alias("qt"))
-    base = rows.select("id", "fields", F.transform("titles", trigrams).alias("ft"))
+    asked = _cut(queries.select("query_id", "q", phrases(F.col("q")).alias("runs"), trigrams(F.col("q")).alias("qt")))
+    ask = F.explode(F.concat(F.array(F.struct(F.col("q").alias("pattern"), F.lit(True).alias("whole"))), F.transform("runs", lambda r: F.struct(r.alias("pattern"), F.lit(False).alias("whole")))))
+    looked = asked.select("query_id", ask.alias("p")).select("query_id", "p.*")
+    held = patterns.found(rows.select("id", "fields"), looked).join(_few(looked, looked.count()), "pattern")
+    flags = held.groupBy("query_id", "id").agg(F.bool_or("whole").alias("phrase"), F.count_if(~F.col("whole")).cast("int").alias("grams"))
+    titles = rows.select("id", F.transform("titles", trigrams).alias("ft"))
     if candidates is None:
-        met = meet(asked, base).withColumn("score", F.lit(0.0))
+        near = patterns.similar(asked.select(F.col("query_id").alias("id"), F.col("qt").alias("grams")), titles.select("id", F.explode(F.array_distinct("ft")).alias("grams")), SIMILAR)
+        met = near.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("id")).union(flags.select("query_id", "id")).distinct().withColumn("score", F.lit(0.0))
     else:
-        met = candidates.join(F.broadcast(asked) if asked.count() <= BATCH else asked, "query_id").join(base, "id")
+        met = candidates
+    met = met.join(flags, ["query_id", "id"], "left").join(_few(asked.select("query_id", "q", "qt"), asked.count()), "query_id").join(titles, "id")
     like = F.coalesce(F.array_max(F.transform("ft", lambda x: jaccard(x, F.col("qt")))), F.lit(0.0))
-    held = lambda g: F.exists("fields", lambda x: F.contains(x, g))
-    flags = F.struct(F.greatest("score", like).alias("score"), held(F.col("q")).alias("phrase"), F.size(F.filter("runs", held)).alias("grams"))
-    m = met.select("query_id", "id", F.length("q").alias("n"), flags.alias("f")).select("query_id", "id", "n", F.round("f.score", 6).alias("score"), "f.phrase", "f.grams")
+    m = met.select("query_id", "id", F.length("q").alias("n"), F.round(F.greatest("score", like), 6).alias("score"), F.coalesce("phrase", F.lit(False)).alias("phrase"), F.coalesce("grams", F.lit(0)).alias("grams"))
     if candidates is None:
-        m = m.where("phrase or grams > 0 or score >= 0.3")
+        m = m.where(F.col("phrase") | (F.col("grams") > 0) | (F.col("score") >= SIMILAR))
     first = top(m, pool, F.desc("phrase"), F.desc("grams"), F.desc("score"))
     passed = first.where(F.col("phrase") | (F.col("grams") > 0) | (F.col("score") >= F.greatest(F.lit(least), phrase_threshold(F.col("n")))))
     return passed.drop("n")
@@ -327,9 +338,8 @@ def chunk_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, me
 
     critical = q.select("query_id", F.explode("critical").alias("e")).select("query_id", F.trim(F.lower("e")).alias("entity")).where("entity <> ''").distinct()
     texts = chunks.select("id", "published_at", F.lower(F.concat_ws(" ", "title", "text")).alias("low"), F.transform("keywords", lambda x: F.lower(x)).alias("kw"))
-    held = meet(critical.select("entity").distinct(), texts).where(F.contains("low", F.col("entity")) | F.exists("kw", lambda x: F.contains(x, F.col("entity"))))
-    held = held.select("entity", F.col("id").alias("article_id"), "published_at")
-    held = _cut(held)
+    named_in = patterns.found(texts.select("id", F.concat(F.array("low"), "kw").alias("fields")), critical.select(F.col("entity").alias("pattern")))
+    held = _cut(named_in.join(texts.select("id", "published_at"), "id").select(F.col("pattern").alias("entity"), F.col("id").alias("article_id"), "published_at"))
     saved = rescue(critical, held, min(pool, 30))
 
     several = named.where("mode like 'multi%'")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from newsloom.catalog import table
 from newsloom.functions import predicates as pred
+from newsloom.operators import patterns
 
 from .registry import query
 
@@ -20,9 +21,18 @@ def p1_projection(spark, sf_dir):
 @query("""SELECT p_partkey, CAST(contains(lower(p_name), 'red') AS INTEGER) + CAST(contains(lower(p_name), 'a') AS INTEGER) + CAST(contains(lower(p_name), 'steel') AS INTEGER) AS grams FROM part
     WHERE contains(lower(p_name), 'red') OR contains(lower(p_name), 'a') OR contains(lower(p_name), 'steel')""")
 def p2_pattern_counts(spark, sf_dir):
-    grams = F.array(*map(F.lit, ("red", "a", "steel")))
-    n = F.size(F.filter(grams, lambda g: F.contains(F.lower("p_name"), g)))
-    return table(spark, sf_dir, "part").select("p_partkey", n.alias("grams")).where("grams > 0")
+    grams = spark.createDataFrame([("red",), ("a",), ("steel",)], "pattern string")
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.lower("p_name")).alias("fields"))
+    return patterns.found(texts, grams).groupBy(F.col("id").alias("p_partkey")).agg(F.count(F.lit(1)).cast("int").alias("grams"))
+
+
+@query("""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents), w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda v: length(v) >= 5)) AS w FROM benchmark)
+    SELECT doc_id, count(*) AS found FROM t, w WHERE contains(x, w) GROUP BY 1""")
+def p2_passage_words(spark, sf_dir):
+    """How many of the longer words of all passages, looked for at once, occur in each document."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("pattern")).where(F.length("pattern") >= 5)
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array(F.lower("text")).alias("fields"))
+    return patterns.found(texts, words).groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("found"))
 
 
 @query("SELECT p_partkey FROM part WHERE regexp_matches(p_type, '(?i)STEEL|copper') OR regexp_matches(p_name, '(?i)STEEL|copper')")

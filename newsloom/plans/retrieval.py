@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog import MENTIONS_SQL, mentions, table
 from newsloom.functions import vector
 from newsloom.operators import curation, retrieval as op
-from newsloom.operators import vectors
+from newsloom.operators import codes, vectors
 
 from .registry import query
 from .relational import RUNS, two_runs
@@ -112,8 +112,7 @@ def r19_collapse(spark, sf_dir):
 def r12_binary_search(spark, sf_dir):
     b = table(spark, sf_dir, "embeddings").select("vec_id", vector.sign_bits(F.col("embedding")).alias("bits"))
     q = asked_of(b, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("bits").alias("qbits"))
-    j = op.meet(q, b.select(F.col("vec_id").alias("id"), "bits"))
-    return op.top(j.select("query_id", "id", vector.hamming(F.col("bits"), F.col("qbits")).alias("distance")), 10, "distance").select("query_id", "id", "distance")
+    return codes.nearest_codes(q, b.select(F.col("vec_id").alias("id"), "bits"), 10, 64).select("query_id", "id", "distance")
 
 
 @query(f"""WITH {MENTIONS_SQL}, asked AS (SELECT DISTINCT q.p_partkey AS query_id, p.p_brand || ' ' || p.p_type AS entity FROM part q JOIN part p ON p.p_partkey = q.p_partkey OR p.p_partkey = q.p_partkey + 1 WHERE {ASKED_SQL.format('q.p_partkey')}),

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import table
 from newsloom.functions import pii, text as t, url as u
+from newsloom.operators import patterns
 
 from .registry import query
 
+TITLE = "<title[^>]*>([^<]*)</title>"
 HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
 
@@ -144,6 +146,16 @@ def p3_trigram_similarity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(t.trigram_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
 
 
+@query(f"""WITH t AS (SELECT DISTINCT regexp_extract(html, '{TITLE}', 1) AS title FROM pages), g AS (SELECT title, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda z: z <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM t)
+    SELECT a.title AS title, b.title AS other, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.title < b.title
+    WHERE len(list_intersect(a.g, b.g))::DOUBLE / nullif(len(list_distinct(list_concat(a.g, b.g))), 0) >= 0.3""")
+def p3_similar_titles(spark, sf_dir):
+    """All pairs of different titles that are alike by 0.3 or more."""
+    titles = pages(spark, sf_dir).select(F.regexp_extract("html", TITLE, 1).alias("id")).distinct().select("id", t.trigrams(F.col("id")).alias("grams"))
+    pairs = patterns.similar(titles, titles, 0.3, F.col("left_id") < F.col("right_id"))
+    return pairs.select(F.col("left_id").alias("title"), F.col("right_id").alias("other"), F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT c_custkey, levenshtein(c_name, c_mktsegment) AS distance, round(levenshtein(c_name, c_mktsegment)::DOUBLE / greatest(length(c_name), length(c_mktsegment)), 6) AS normalized FROM customer")
 def t23_levenshtein(spark, sf_dir):
     a, b = F.col("c_name"), F.col("c_mktsegment")
@@ -165,7 +177,6 @@ def t28_cited_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(t.cited_numbers(s), lambda x: x.cast("string")), ",").alias("cited"))
 
 
-TITLE = "<title[^>]*>([^<]*)</title>"
 LOWER_SQL = "lower(replace({}, 'İ', 'i̇'))"  # as Unicode's full mapping has it
 QUOTES_SQL = t.QUOTES.replace("'", "''")
 

@@ -1,10 +1,11 @@
 """Vector search, pattern matching, trigram joins and multi-index hashing against plain versions."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.catalog import table
-from newsloom.operators import vectors
+from newsloom.operators import codes, patterns, vectors
 
 
 def plain_dense(queries, base, pool):
@@ -66,3 +67,40 @@ def test_no_cosine_by_lambda_in_the_plan(spark, medium):
 
     plan = plans.QUERIES["r4_dense"](spark, medium)._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" not in plan and "aggregate(" not in plan
+
+
+def test_pattern_hits_equal_contains(spark, monkeypatch):
+    words = ["ab", "b", "abc", "ca", "", "ü", "zz", "a b"]
+    texts = [(1, ["xabcx", None]), (2, ["cab", "ü"]), (3, []), (4, None), (5, [None]), (6, ["a b", "a b"]), (7, ["b" * 50_000 + "ca"])]
+    t, p = spark.createDataFrame(texts, "id long, fields array<string>"), spark.createDataFrame([(w,) for w in words * 2] + [(None,)], "pattern string")
+    want = sorted({(i, w) for i, fs in texts for f in fs or () for w in words if w and f and w in f})
+    for most in (20_000, 3):
+        monkeypatch.setattr(patterns, "AUTOMATON", most)
+        assert sorted(tuple(r) for r in patterns.found(t, p).collect()) == want
+    assert patterns.found(t, p.limit(0)).count() == 0 and patterns.found(t.limit(0), p).count() == 0
+
+
+def test_trigram_join_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    sets = [(i, sorted({f"g{int(x)}" for x in rng.zipf(1.3, int(rng.integers(0, 14))) if x < 60})) for i in range(120)] + [(200 + i, ["g1", "g2", "g3"]) for i in range(20)]
+    df = spark.createDataFrame(sets, "id long, grams array<string>")
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    for least in (0.3, 0.5, 1.0):
+        got = {(r["left_id"], r["right_id"]): r["similarity"] for r in patterns.similar(df, df.where("id % 3 = 0"), least).collect()}
+        assert got == {(i, j): like(a, b) for i, a in sets for j, b in sets if j % 3 == 0 and like(a, b) >= least}
+    with pytest.raises(ValueError, match="above 0"):
+        patterns.similar(df, df, 0)
+
+
+@pytest.mark.parametrize("n,flips", [(3000, 6), (40, 30), (3, 20)])
+def test_multi_index_hashing_equals_brute_force(spark, n, flips, monkeypatch):
+    rng = np.random.default_rng(n)
+    centres = rng.integers(0, 1 << 62, 20)
+    base = [(i, int(centres[i % 20]) ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, flips)), replace=False))) for i in range(n)]
+    words = lambda x: [x & (1 << 32) - 1, x >> 32]
+    b = spark.createDataFrame([(i, words(x)) for i, x in base], "id long, bits array<long>")
+    asked = base[:: max(1, n // 15)] + [(-1, 0)]
+    q = spark.createDataFrame([(i, words(x)) for i, x in asked], "query_id long, qbits array<long>")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in codes.nearest_codes(q, b, 5, 64).collect())
+    want = sorted((i, r + 1, j, d) for i, x in asked for r, (d, j) in enumerate(sorted((bin(x ^ y).count("1"), j) for j, y in base)[:5]))
+    assert got == want
