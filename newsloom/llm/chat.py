@@ -29,8 +29,8 @@ from .common import staged
 
 HEAD, BREAK, END = "### ", "\n", "</turn>\n"
 BUDGET, HISTORY = 1024, 192
-#: Turn numbers that share a block.
-BLOCK = 64
+#: Turn numbers that share a block, blocks that share a group.
+BLOCK, GROUP = 64, 1024
 
 
 def escape(c: Column) -> Column:
@@ -50,34 +50,53 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4.0).cast("long") + 4
 
 
-def numbered(turns: DataFrame, tokens) -> DataFrame:
-    """Turns with their place in the conversation (``pos``) and running sums: ``upto`` of tokens, the turn
-    included. Sums within a block of turn numbers, then over the blocks before it."""
+CONV, AT, OVER = ["key", "null_id"], ["block", "by_role", "by_text"], ["over", "by_role", "over_text"]
+
+
+def numbered(turns: DataFrame, tokens) -> tuple[DataFrame, DataFrame]:
+    """Turns with their place in the conversation (``pos``), running sums (``upto`` of tokens, the turn included), the tokens of the
+    system turn and the number of all turns; and the blocks that they were numbered by, with the system turn's text.
+
+    Sums are taken within a block of turn numbers (null ones are dealt by role and the text's beginning), over the blocks before it
+    in a group of blocks, and over the groups before that: no task holds a conversation, but one row for ``BLOCK * GROUP`` turns of it."""
+    null, first_chars = F.col("turn").isNull(), lambda n: F.when(F.col("turn").isNull(), F.substring("text", 1, n)).otherwise("")
     t = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    t = t.withColumn("tokens", tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 40))).cast("long"))
+    t = t.withColumn("tokens", tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))).cast("long"))
+    t = t.withColumn("by_role", F.when(null, F.col("role")).otherwise("")).withColumn("by_text", first_chars(8))
     t = t.withColumn("key", F.coalesce("conv_id", F.lit(-(1 << 62)))).withColumn("null_id", F.col("conv_id").isNull())
-    own = Window.partitionBy("key", "null_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("upto", F.sum("tokens").over(own)).withColumn("pos", F.count(F.lit(1)).over(own))
-    before = Window.partitionBy("key", "null_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = t.groupBy("key", "null_id", "block").agg(F.max("upto").alias("tokens_"), F.max("pos").alias("turns_"))
-    sums = sums.select("key", "null_id", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("tokens_", "tokens_before"), ("turns_", "turns_before"))))
-    t = t.join(sums, ["key", "null_id", "block"])
-    return t.select("conv_id", "key", "null_id", "role", "text", "tokens", (F.col("upto") + F.col("tokens_before")).alias("upto"), (F.col("pos") + F.col("turns_before") - 1).alias("pos"))
+    own = Window.partitionBy(*CONV, *AT).orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    t = staged(t.withColumn("upto", F.sum("tokens").over(own)).withColumn("pos", F.count(F.lit(1)).over(own)))
+
+    led = F.struct(F.when(F.col("role") == "system", F.col("tokens")).alias("tokens"), F.when(F.col("role") == "system", F.col("text")).alias("text"))
+    sums = t.groupBy(*CONV, *AT).agg(F.max("upto").alias("n_tokens"), F.max("pos").alias("n_turns"), F.min_by(led, "pos").alias("led"))
+    sums = staged(sums.withColumn("over", F.floor(F.col("block") / GROUP)).withColumn("over_text", F.substring("by_text", 1, 2)))
+    groups = sums.groupBy(*CONV, *OVER).agg(F.sum("n_tokens").alias("g_tokens"), F.sum("n_turns").alias("g_turns"), F.min_by("led", F.struct(*AT)).alias("g_led"))
+    whole = Window.partitionBy(*CONV).orderBy(*OVER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = Window.partitionBy(*CONV).orderBy(*OVER).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(*CONV, *OVER, F.sum("g_turns").over(whole).alias("turns_in_all"), F.first("g_led").over(whole).alias("system"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("g_tokens", "g_turns")))
+    before = Window.partitionBy(*CONV, *OVER).orderBy(*AT).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*CONV, *AT, *OVER[::2], *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n_tokens", "n_turns")))
+    blocks = sums.join(groups, [*CONV, *OVER]).select(
+        *CONV, *AT, (F.col("n_tokens_before") + F.col("g_tokens_before")).alias("tokens_before"), (F.col("n_turns_before") + F.col("g_turns_before")).alias("turns_before"),
+        "turns_in_all", F.col("system.tokens").alias("system_tokens"), F.col("system.text").alias("system_text"),
+    )
+    blocks = staged(blocks)
+    placed = t.join(blocks.drop("system_text"), [*CONV, *AT])
+    upto, pos = (F.col("upto") + F.col("tokens_before")).alias("upto"), (F.col("pos") + F.col("turns_before") - 1).alias("pos")
+    return placed.select("conv_id", *CONV, *AT, "role", "text", "tokens", upto, pos, "system_tokens", "turns_in_all"), blocks
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=token_estimate) -> DataFrame:
     """The windows of all conversations: conv_id, window (the place of its first new turn, which orders a
     conversation's windows), formatted, n_system, n_history, n_new (turns of each kind, in this order) and
     loss (code-point spans in ``formatted``)."""
-    t = staged(numbered(turns, tokens))
-    conv = ["key", "null_id"]
-    system = t.where("pos = 0 and role = 'system'").select(*conv, F.col("text").alias("system_text"), F.col("tokens").alias("system_tokens"))
-    t = t.join(system, conv, "left")
+    t, blocks = numbered(turns, tokens)
+    t, conv = staged(t), CONV
     head = F.coalesce("system_tokens", F.lit(0))
     is_system = (F.col("pos") == 0) & F.col("system_tokens").isNotNull()
     stride = F.greatest(F.lit(budget - history) - head, F.lit(1))
@@ -90,7 +109,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
     longs = F.sum(F.col("alone").cast("long")).over(within)
     new = t.where(~is_system).withColumn("part", 2 * longs - F.col("alone").cast("long"))
     only = t.where(is_system)
-    spans = new.groupBy(*conv, "cell", "part").agg(F.min("pos").alias("window"), F.min("start").alias("begin"), F.sum("tokens").alias("fresh"), F.first("system_tokens").alias("system_tokens"))
+    spans = new.groupBy(*conv, "cell", "part").agg(F.min("pos").alias("window"), F.min("start").alias("begin"), F.sum("tokens").alias("fresh"), F.first("system_tokens").alias("system_tokens"), F.min_by(F.struct("conv_id", *AT), "pos").alias("at"))
     room = F.greatest(F.least(F.lit(history), F.lit(budget) - F.col("fresh") - F.coalesce("system_tokens", F.lit(0))), F.lit(0))
     spans = spans.withColumn("room", room)
     placed = new.join(spans.select(*conv, "cell", "part", "window"), [*conv, "cell", "part"]).select("conv_id", *conv, "window", F.lit(2).alias("kind"), "pos", "role", "text")
@@ -104,8 +123,10 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
     repeated = repeated.select("conv_id", *conv, F.col("w").alias("window"), F.lit(1).alias("kind"), "pos", "role", "text")
 
     # the system turn heads every window; a conversation of a system turn alone is one window
-    heads = spans.select(*conv, "window").join(only.select("conv_id", *conv, "pos", "role", "text"), conv).select("conv_id", *conv, "window", F.lit(0).alias("kind"), "pos", "role", "text")
-    lone = only.join(spans.select(*conv).distinct(), conv, "left_anti").select("conv_id", *conv, F.lit(0).cast("long").alias("window"), F.lit(0).alias("kind"), "pos", "role", "text")
+    led = spans.where("system_tokens is not null").select(*conv, "window", "at.*")
+    texts = blocks.where("system_tokens is not null").select(*conv, *AT, F.col("system_text").alias("text"))
+    heads = led.join(texts, [*conv, *AT]).select("conv_id", *conv, "window", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pos"), F.lit("system").alias("role"), "text")
+    lone = only.where("turns_in_all = 1").select("conv_id", *conv, F.lit(0).cast("long").alias("window"), F.lit(0).alias("kind"), "pos", "role", "text")
     rows = placed.unionByName(repeated).unionByName(heads).unionByName(lone)
 
     turn = F.struct("kind", "pos", rendered(F.col("role"), F.col("text")).alias("body"), F.length(escape(F.col("role"))).alias("name"), (F.col("role") == "assistant").alias("target"))

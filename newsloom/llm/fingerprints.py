@@ -124,8 +124,9 @@ def fingerprints_with_next(docs: DataFrame, bucket_rows: int = 4000, max_buckets
 
     The documents are dealt into ranges of ids whose bounds are ids that occur, so the first document of a
     range is known by its id: it is sent along a second time, as the end of the range before. Each text
-    moves once, and a task holds one text besides the batch it reads. The bounds are at most
-    ``max_buckets`` longs.
+    moves once, and a task holds one text besides the batch it reads. The bounds, which go to every task, are at most
+    ``max_buckets`` longs; beyond ``bucket_rows * max_buckets`` rows the ranges grow longer, which takes a task more time
+    but no more memory, since it sorts on disk and reads row by row.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))

@@ -14,7 +14,7 @@ passages of toxic documents that ordinary documents hardly have, the ordinary on
 The model is fitted on a bounded sample: at most ``SAMPLE`` documents of each class, of any length, by a hash of
 their ids. Every third of them by length is kept back, and the curve is fitted on these documents whole. The
 dictionaries are trained on the others: whole as far as ``TRAIN_BYTES`` a class allow, else on pieces of the longest
-ones, chosen by hash.
+ones, chosen by hash; the ordinary one on at most ``ORDINARY_WINDOWS`` stretches of 64 bytes of these.
 
 Scores cover whole texts of any length, a window at a time, and depend on the text alone: equal texts and repeated rows have
 equal scores. A null or empty text is scored as one empty window. Without labelled documents of both classes nothing can
@@ -39,6 +39,8 @@ from .common import slices, small, small_batches, staged, text_bytes
 from .wordhash import powers
 
 SAMPLE, TRAIN_BYTES, PIECE = 1200, 6 << 20, 4096
+#: Stretches of 64 bytes of the ordinary pieces that the ordinary dictionary is trained on at most, drawn evenly.
+ORDINARY_WINDOWS = 30_000
 #: A window holds a word or two: in a longer one the chance content of the two dictionaries outweighs a toxic word.
 WINDOW, STEP = 11, 2
 GRAM, MARGIN = 6, 4
@@ -208,7 +210,7 @@ def _pieces(text: bytes, most: int) -> list[bytes]:
     return [text[i : i + PIECE] for i in sorted(chosen)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_bytes: int = TRAIN_BYTES) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_bytes: int = TRAIN_BYTES, ordinary_windows: int = ORDINARY_WINDOWS) -> Model | None:
     """Fit on labelled documents that are not held out; none, with a warning, without documents of both classes."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -244,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_bytes: i
     parts = {k: [p for _, _, p, label in pieces if label == k] for k in (0, 1)}
     segments = marked_segments(parts[1], parts[0]) or [w for t in parts[1] for w in _samples(t)]  # if nothing tells them apart
     plain = [w for t in parts[0] for w in _samples(t)]
-    plain = [plain[i] for i in np.random.default_rng(12).permutation(len(plain))[:30_000]]
+    plain = [plain[i] for i in np.random.default_rng(12).permutation(len(plain))[:ordinary_windows]]
     toxic = [b" ".join(segments[i : i + 4]) for i in range(0, len(segments), 4)]
     model = Model(_trained(ORDINARY_BYTES, plain), _trained(TOXIC_BYTES, toxic), (), (), ())
 
