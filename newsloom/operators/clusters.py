@@ -63,6 +63,8 @@ class EventFold:
 
 #: Rows of a tile, and rows compared at once.
 TILE, SLICE = 16_384, 1024
+#: Rows that pivots are chosen from at most, and pivots at most (they go to every task).
+SAMPLE, PIVOTS = 4096, 512
 #: Cosines are compared in single precision; what comes this near to a bound is let through to the exact check.
 SLACK = 1e-5
 
@@ -85,35 +87,88 @@ def _forest(a: np.ndarray, b: np.ndarray, same: np.ndarray | None, least: float)
     return out
 
 
-def near_components(rows: DataFrame, least: float) -> DataFrame:
+def pivots_of(rows: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
+    """About the root of ``n`` unit vectors, each the one farthest from those before it, from a sample by hash."""
+    drawn = rows.orderBy(F.xxhash64("vec", "id"), "id").limit(sample).select("vec").collect()
+    x = _units([r["vec"] for r in drawn])
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(PIVOTS, round(n**0.5), len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def _units(vectors) -> np.ndarray:
+    v = np.array([np.asarray(x, np.float64) for x in vectors])
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(length > 0, length, 1)
+
+
+def dealt(rows: DataFrame, least: float, tile: int = TILE) -> DataFrame:
+    """Rows (id, vec, block) dealt into cells so that every two rows of one block with a cosine of ``least`` or more meet: (block, cell, a, b, at_home, ...).
+
+    A row's home is its nearest pivot. A row within an angle t of another, whose home is another cell, is at most 2 t farther from
+    that cell's pivot than from its own; only such rows visit a cell, and only cells before their own. Visitors are
+    compared with those at home. Cells of more than ``tile`` rows are dealt on, with every tile of those at home meeting every tile.
+    """
+    n = rows.count()
+    pivots = pivots_of(rows, n) if least > 0 and n else np.zeros((1, 1))
+    twice = 2 * np.arccos(min(1.0, max(-1.0, least))) + 1e-6
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if least <= 0 or not len(pdf):  # everything may be near: one cell
+                yield pdf.assign(cell=0, at_home=True)
+                continue
+            angle = np.arccos(np.clip(_units(pdf.vec) @ pivots.T, -1, 1))
+            home = angle.argmin(1)
+            goes = angle <= angle[np.arange(len(home)), home][:, None] + twice
+            goes &= np.arange(len(pivots))[None, :] <= home[:, None]
+            i, cell = np.nonzero(goes)
+            yield pdf.iloc[i].assign(cell=cell.astype("int32"), at_home=cell == home[i])
+
+    placed = rows.mapInPandas(place, "id long, vec array<double>, block string, cell int, at_home boolean")
+    sizes = placed.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("at_home").alias("n_home"))
+    tiles = lambda c: F.ceil(F.col(c) / F.lit(tile)).cast("int")
+    sizes = sizes.where("n_home > 0").select("block", "cell", tiles("n_home").alias("across"), tiles("n_all").alias("down"))
+    own, every = lambda k: F.array(F.pmod(F.xxhash64("id"), F.col(k)).cast("int")), lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    seat = lambda a, b, first: F.struct(a.alias("a"), b.alias("b"), F.lit(first).alias("first"))
+    as_second = F.transform(every("across"), lambda a: seat(a, own("down")[0], False))
+    as_first = F.when(F.col("at_home"), F.transform(every("down"), lambda b: seat(own("across")[0], b, True))).otherwise(F.array().cast("array<struct<a:int,b:int,first:boolean>>"))
+    return placed.join(sizes, ["block", "cell"]).select("block", "cell", "id", "vec", F.inline(F.concat(as_second, as_first)))
+
+
+def near_components(rows: DataFrame, least: float, tile: int = TILE) -> DataFrame:
     """(id, component): the groups that rows (id, vec, block) of one block form if those of cosine at least ``least``
     are linked, however far apart; the least id of a group names it. Rows that stand alone are left out.
 
-    Exact: rows are dealt by a hash into tiles of equal size, and every two tiles meet in one task. A task
-    gives a spanning forest of its links, fewer than it has rows, never all pairs of a group.
+    Exact: equal vectors are one, the others meet by ``dealt``. A task gives a spanning forest of its links, fewer than it has rows, never
+    all pairs of a group.
     """
     from newsloom.operators.entities import _cut, propagate
 
-    rows = _cut(rows.where("vec is not null").select(F.col("id").cast("long").alias("id"), "vec", "block"))
-    n = rows.count()
-    tiles = max(-(-n // TILE), min(4, -(-n // SLICE)), 1)
-    mine = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
+    rows = _cut(rows.where("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("block").cast("string").alias("block")))
+    alike = rows.groupBy("vec", "block").agg(F.min("id").alias("first"))
+    has_length = F.exists("vec", lambda c: c != 0)
+    firsts = _cut(alike.select(F.col("first").alias("id"), "vec", "block"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.array([np.asarray(x, np.float64) for x in pdf.vec])
-        length = np.linalg.norm(v, axis=1, keepdims=True)
-        v = (v / np.where(length > 0, length, 1)).astype(np.float32)
-        ids, block = pdf.id.to_numpy(), pd.factorize(pdf.block)[0]
-        x, y = (np.flatnonzero(pdf.tile == pdf[k].iloc[0]) for k in "ij")
-        links = _forest(v[x], v[y], (block[x], block[y]), least)
-        return pd.DataFrame([(ids[x[i]], ids[y[j]]) for i, j in links if ids[x[i]] != ids[y[j]]], columns=["a", "b"]).astype("int64")
+        v, ids = _units(pdf.vec).astype(np.float32), pdf.id.to_numpy()
+        x, y = np.flatnonzero(pdf["first"]), np.flatnonzero(~pdf["first"])
+        links = _forest(v[x], v[y], None, least)
+        return pd.DataFrame([(ids[x[i]], ids[y[j]]) for i, j in links if ids[x[i]] != ids[y[j]]], columns=["p", "q"]).astype("int64")
+
+    links = dealt(firsts.where(has_length) if least > 0 else firsts, least, tile).groupBy("block", "cell", "a", "b").applyInPandas(meet, "p long, q long")
+    copies = rows.where(has_length) if least > 0 else rows
+    copies = copies.join(alike, ["vec", "block"]).where("id <> first").select(F.col("first").alias("p"), F.col("id").alias("q"))
+    return propagate(links.unionByName(copies), "p", "q").select(F.col("node").alias("id"), F.col("group").alias("component"))
+
 
-    links = dealt.groupBy("i", "j").applyInPandas(meet, "a long, b long")
-    return propagate(links, "a", "b").select(F.col("node").alias("id"), F.col("group").alias("component"))
+#: Rows that one task folds at most before a long run is cut into slices of time.
+FOLD_ROWS = 100_000
 
 
-def event_clusters(articles: DataFrame, block: str | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def event_clusters(articles: DataFrame, block: str | None = None, cfg: EngineConfig = DEFAULT, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(article_id, event_id, action, similarity) of articles (article_id, seconds, vec, title) in order of time and id.
 
     An article can only join or crowd out a cluster whose first article is near enough in meaning, so the
@@ -121,27 +176,70 @@ def event_clusters(articles: DataFrame, block: str | None = None, cfg: EngineCon
     language, a section) articles of different blocks don't. Articles without a vector are skipped, as rows without an event.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by component; one fold is alive at a time."""
-        held, f = None, EventFold(cfg)
-        for pdf in batches:
-            rows = []
-            for b, a, s, v, t in zip(pdf.component, pdf.article_id, pdf.seconds, pdf.vec, pdf.title, strict=True):
-                if b != held:
-                    held, f = b, EventFold(cfg)
-                rows.append((a, *f.add(a, s, v, t or "")))
-            yield pd.DataFrame(rows, columns=["article_id", "event_id", "action", "similarity"])
-
     of = F.coalesce(F.col(block).cast("string"), F.lit("")) if block else F.lit("")
-    cols = articles.select(of.alias("block"), F.col("article_id").cast("long").alias("article_id"), F.col("seconds").cast("double").alias("seconds"), "vec", "title")
+    cols = articles.select(of.alias("block"), F.col("article_id").cast("long").alias("article_id"), F.col("seconds").cast("double").alias("seconds"), F.col("vec").cast("array<double>").alias("vec"), "title")
     near = near_components(cols.select(F.col("article_id").alias("id"), "vec", "block"), 2 * cfg.semantic_threshold - 1)
     placed = cols.where("vec is not null").join(near.withColumnRenamed("id", "article_id"), "article_id", "left").withColumn("component", F.coalesce("component", "article_id"))
-    made = "article_id long, event_id long, action string, similarity double"
-    folded = placed.repartition("component").sortWithinPartitions("component", "seconds", "article_id").mapInPandas(run, made)
+    folded = fold_in_slices(placed.select("component", "article_id", "seconds", "vec", "title"), cfg, fold_rows)
     skipped = cols.where("vec is null").select("article_id", F.lit(None).cast("long").alias("event_id"), F.lit("skipped").alias("action"), F.lit(None).cast("double").alias("similarity"))
     return folded.union(skipped)
 
 
+MADE = "article_id long, event_id long, action string, similarity double"
+LIVE = "run string, ids array<long>, seen array<double>, vecs array<array<double>>, titles array<string>"
+
+
+def fold_in_slices(placed: DataFrame, cfg: EngineConfig = DEFAULT, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """The event fold of each component (component, article_id, seconds, vec, title).
+
+    Where a component is silent for longer than clusters live, nothing is handed on: its runs between such gaps are folded apart.
+    Runs of up to ``fold_rows`` rows are folded whole. Longer ones are cut into slices of the time that clusters live, and
+    the slices are folded one after the other, all runs at once; the clusters alive at the end of a slice are a written table
+    that the next one starts from. So no task folds more than a slice."""
+    from functools import reduce
+
+    from newsloom.operators.entities import _cut
+
+    alive = float(cfg.cluster_window_hours * 3600)
+    by = Window.partitionBy("component").orderBy("seconds", "article_id")
+    gap = F.coalesce((F.col("seconds") - F.lag("seconds").over(by) > alive).cast("int"), F.lit(0))
+    placed = _cut(placed.withColumn("row", F.monotonically_increasing_id()))
+    times = placed.select("component", "article_id", "seconds", "row").withColumn("gap", gap)
+    times = times.withColumn("run", F.concat_ws("/", F.col("component").cast("string"), F.sum("gap").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("string")))
+    sizes = times.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("seconds").alias("began"))
+    slot = F.when(F.col("n") > fold_rows, F.floor((F.col("seconds") - F.col("began")) / alive)).otherwise(-1).cast("int")
+    slots = times.join(sizes, "run").select("row", "run", slot.alias("slot"))
+    rows = _cut(placed.join(slots, "row").select("run", "slot", "article_id", "seconds", "vec", "title"))
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by run; one fold is alive at a time."""
+        held, f = None, EventFold(cfg)
+        for pdf in batches:
+            out = []
+            for r, a, s, v, t in zip(pdf.run, pdf.article_id, pdf.seconds, pdf.vec, pdf.title, strict=True):
+                if r != held:
+                    held, f = r, EventFold(cfg)
+                out.append((a, *f.add(a, s, v, t or "")))
+            yield pd.DataFrame(out, columns=["article_id", "event_id", "action", "similarity"])
+
+    def slice_of(key: tuple, own: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
+        f = EventFold(cfg)
+        for r in live.itertuples():
+            f.load((r.ids, r.seen, r.vecs, r.titles))
+        own = own.sort_values(["seconds", "article_id"])
+        out = [(key[0], int(a), *f.add(int(a), float(s), v, t or ""), None, None, None, None) for a, s, v, t in zip(own.article_id, own.seconds, own.vec, own.title, strict=True)]
+        out.append((key[0], None, None, None, None, *f.dump()))
+        return pd.DataFrame(out, columns=["run", "article_id", "event_id", "action", "similarity", "ids", "seen", "vecs", "titles"])
+
+    done = [rows.where("slot < 0").repartition("run").sortWithinPartitions("run", "seconds", "article_id").mapInPandas(whole, MADE)]
+    live = rows.sparkSession.createDataFrame([], LIVE)
+    for k in range((rows.agg(F.max("slot")).first()[0] or 0) + 1 if not rows.where("slot >= 0").isEmpty() else 0):
+        told = _cut(rows.where(F.col("slot") == k).groupBy("run").cogroup(live.groupBy("run")).applyInPandas(slice_of, f"run string, {MADE}, {LIVE.partition(', ')[2]}"))
+        done.append(told.where("article_id is not null").select("article_id", "event_id", "action", "similarity"))
+        live = told.where("ids is not null").select("run", "ids", "seen", "vecs", "titles")
+    return reduce(DataFrame.unionByName, done)
+
+
 class LeaderFold:
     """Cards in order: one joins the first leader it is like, else it leads. Cards without a vector lead and are followed by none."""
 
