@@ -295,14 +295,19 @@ def test_semantic_chunks(spark, small):
                 assert got[i] == plain_semantic_chunks(t, cfg, plain, "Baş"), (cfg, i)
 
 
-def test_body_images():
-    from newsloom.sources.images import absolute_image, body_images
+def test_body_images(spark):
+    from newsloom.sources.images import absolute_image, page_images
+
+    def found(html):
+        rows = page_images(spark.createDataFrame([(1, "https://a.example/x/y.html", html)], "page_id long, url string, html string")).collect()
+        return [(r["image_url"], r["alt"], r["caption"]) for r in sorted(rows, key=lambda r: r["position"])]
 
-    found = lambda html: [(x["url"], x["alt"], x["caption"]) for x in body_images(html, "https://a.example/x/y.html")]
     assert found(None) == found("") == found("<p>text") == []
     assert found('<main><img src="b.jpg"><img src="../c.jpg"></main><img src="d.jpg">') == [("https://a.example/x/b.jpg", "", ""), ("https://a.example/c.jpg", "", "")]
     assert found('<div class="share-bar"><article><img src="a.jpg"></article></div><div class="Story"><img src="b.jpg" width="auto"></div>') == [("https://a.example/x/b.jpg", "", "")]
     assert found('<article><img src="data:x" data-src="e.jpg"><img src="/jeg-empty.png" data-srcset=" "><img src="f.jpg" alt="Haber logosu"></article>') == [("https://a.example/x/e.jpg", "", "")]
     assert found('<article><div data-ad-slot="1"><img src="a.jpg"></div><img src="https://x.taboola.com/b.jpg"><div id="ads"><p><img src="c.jpg"></p></div><figure><span>Kim</span><img src="d.jpg" alt="Kim"></figure></article>') == [("https://a.example/x/d.jpg", "Kim", "")]
     assert found('<article><div role="complementary"><img src="a.jpg"></div><div class="popular"><b><img src="b.jpg"></b></div><img src="c.jpg" height="199"><img src="c.jpg" height="400">') == []
+    figure = '<figure><img src="g.jpg" alt="Two"><p>Two - by hand</p><aside>no</aside></figure><figure><figcaption>One <b>more</b></figcaption><img src="h.jpg">after</figure>'
+    assert found(f"<body>{figure}</body>") == [("https://a.example/x/g.jpg", "Two", "by hand"), ("https://a.example/x/h.jpg", "", "One more")]
     assert [absolute_image(s, "") for s in ("//a/b.png", "", "c.png")] == ["https://a/b.png", "", "c.png"]
