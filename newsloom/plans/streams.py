@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog import epoch, table
 from newsloom.operators.curation import sliding_counts
 from newsloom.operators.ingest import keep_first
+from newsloom.streaming import timed
 
 from .registry import query
 
@@ -41,3 +42,28 @@ def st7_first_sight(spark, sf_dir):
 def st9_rate_limit(spark, sf_dir):
     e = _events(spark, sf_dir).groupBy("user_id", (F.floor(F.col("s") / 60) * 60).alias("minute")).agg(F.count(F.lit(1)).alias("n"))
     return e.withColumn("limited", F.col("n") > 1)
+
+
+#: Hours at which a source's counts change, up to the watermark, and its tier there.
+TICKS = """e AS (SELECT user_id AS key, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS hour FROM events), w AS (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) - 7200 AS mark FROM events),
+    ticks AS (SELECT DISTINCT key, hour + d AS s FROM e, (VALUES (3600), (90000), (608400)) v(d), w WHERE hour + d <= mark),
+    n AS (SELECT t.key, t.s, count(e.hour) FILTER (WHERE e.hour >= t.s - 86400) AS day, count(e.hour) AS week FROM ticks t LEFT JOIN e ON e.key = t.key AND e.hour < t.s AND e.hour >= t.s - 604800 GROUP BY ALL),
+    r AS (SELECT key, s, CASE WHEN week = 0 THEN 'hibernate' WHEN day >= 20 THEN 'hot' WHEN day >= 3 THEN 'normal' ELSE 'cold' END AS after FROM n)"""
+
+
+@query(f"""WITH {TICKS}, b AS (SELECT key, s, coalesce(lag(after) OVER (PARTITION BY key ORDER BY s), 'hibernate') AS before, after FROM r) SELECT * FROM b WHERE before <> after""")
+def st6_tier_stream(spark, sf_dir):
+    """Users as sources: all changes of tier that the watermark, two hours behind, has passed."""
+    return timed.once(spark, lambda: timed.tier_stream(timed.table_stream(spark, f"{sf_dir}/events.parquet"), "user_id", "ts", "2 hours"))
+
+
+@query()
+def st5_cluster_stream(spark, sf_dir):
+    """Documents as articles, an hour apart, clustered within their language. No SQL for the fold; ``test_cluster_stream_by_timers`` holds it against the batch form."""
+
+    def stream():
+        e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vec"))
+        d = timed.table_stream(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("article_id"), "lang", F.concat_ws(" ", "source", "lang").alias("title"), ((F.col("doc_id") + 1) * 3600.0).alias("seconds"))
+        return timed.cluster_stream(d.join(e, "article_id"), "lang", "2 hours")
+
+    return timed.once(spark, stream)
