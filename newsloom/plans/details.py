@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.catalog import MENTIONS_SQL, NOW, WINDOW_DAYS, epoch, mentions, table
+from newsloom.catalog import MENTIONS_SQL, NOW, WINDOW_DAYS, epoch, mentions, scratch, table
 from newsloom.functions.text import kebab
 from newsloom.operators import curation, entities, ingest, retrieval
 from newsloom.operators import trends as op
+from newsloom.sources import folders
 
 from .curation import BUCKET, SPLIT
 from .registry import query
@@ -103,11 +106,14 @@ ANSWERS_SQL = """a AS (SELECT conv_id * 1000 + turn AS message_id, conv_id, turn
     b AS (SELECT message_id, question, text AS answer, turn % 3 <> 0 AS eligible, turn % 2 = 1 AS rejected, CASE WHEN conv_id % 3 = 0 THEN 'better: ' || text END AS chosen FROM a WHERE role = 'assistant' AND question IS NOT NULL AND conv_id % 10 <> 0)"""
 
 
-@query(f"""WITH {ANSWERS_SQL}, r0 AS (SELECT b.*, concat_ws(chr(10), question, coalesce(answer, ''), chosen) AS text FROM b WHERE eligible OR rejected), {REDACTED_SQL},
+SAMPLES_SQL = f"""WITH {ANSWERS_SQL}, r0 AS (SELECT b.*, concat_ws(chr(10), question, coalesce(answer, ''), chosen) AS text FROM b WHERE eligible OR rejected), {REDACTED_SQL},
     h AS (SELECT *, email + iban + uuid + ip + tc > 0 OR regexp_matches(' ' || text, '[^0-9](\\+90|0)?[\\s\\-]*\\(?[0-9]{{3}}\\)?[\\s\\-]*[0-9]{{3}}[\\s\\-]*[0-9]{{2}}[\\s\\-]*[0-9]{{2}}([^0-9]|$)') AS pii FROM r5),
     k AS (SELECT message_id, 'excluded' AS sample_type, NULL AS output FROM h WHERE pii UNION ALL SELECT message_id, 'sft', answer FROM h WHERE NOT pii AND eligible UNION ALL SELECT message_id, 'dpo_rejected', answer FROM h WHERE NOT pii AND rejected
       UNION ALL SELECT message_id, 'dpo_chosen', chosen FROM h WHERE NOT pii AND rejected AND coalesce(chosen, '') <> ''),
-    s AS (SELECT *, {BUCKET.replace('conv_id', 'message_id')} AS b FROM k) SELECT message_id, {SPLIT} AS split, sample_type, sha256(output) AS output FROM s""")
+    s AS (SELECT *, {BUCKET.replace('conv_id', 'message_id')} AS b FROM k) SELECT message_id, {SPLIT} AS split, sample_type, sha256(output) AS output FROM s"""
+
+
+@query(SAMPLES_SQL)
 def d3_samples(spark, sf_dir):
     """Answers of every tenth conversation are curated already."""
     a = curation.with_question(table(spark, sf_dir, "conversations")).withColumn("message_id", F.col("conv_id") * 1000 + F.col("turn"))
@@ -116,6 +122,15 @@ def d3_samples(spark, sf_dir):
     return curation.samples(a, done).select("message_id", "split", "sample_type", F.sha2("output", 256).alias("output"))
 
 
+@query(SAMPLES_SQL)
+def sc11_export(spark, sf_dir):
+    """The same samples, exported as JSON lines by split and read back."""
+    folders.register(spark)
+    folder = f"{scratch(spark)}/samples-{uuid.uuid4().hex}"
+    d3_samples(spark, sf_dir).write.format("newsloom_samples").mode("append").save(folder)
+    return spark.read.schema("message_id long, sample_type string, output string, split string").json(folder).select("message_id", "split", "sample_type", "output")
+
+
 @query("""WITH r AS (SELECT conv_id AS artifact_id, conv_id * 1000 + turn AS revision_id, row_number() OVER w AS seq, lag(conv_id * 1000 + turn) OVER w AS parent_id, CASE turn % 3 WHEN 0 THEN 'edit' WHEN 1 THEN 'freetext' ELSE 'initial' END AS intent, 'query ' || conv_id AS query
       FROM conversations WHERE role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     a AS (SELECT artifact_id, max(revision_id) AS head_id, artifact_id % 30 AS age_days, count(*) AS revisions FROM r GROUP BY ALL),

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from newsloom.catalog import table
+from newsloom.catalog import scratch, table
+from newsloom.operators import claims
 from newsloom.operators import ingest as op
-from newsloom.sources import images, web
+from newsloom.sources import folders, images, web
+from newsloom.streaming import timed
 
 from .registry import query
+from .text import TITLE
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0 AND (s_suppkey % 5 = 0 OR TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * (s_suppkey % 120) + INTERVAL 60 MINUTE <= TIMESTAMP '2024-01-01 02:00:00')")
@@ -73,6 +78,62 @@ def sc3_sitemap(spark, sf_dir):
     return p.select("page_id", "loc", F.unix_seconds("lastmod").cast("int").alias("lastmod"))
 
 
+FILE_SQL = "printf('%08d.xml', page_id // 50)"
+
+
+def _in_files(spark, sf_dir, item, head: str, tail: str) -> str:
+    """A folder of XML files made from the pages, fifty items each."""
+    folder = f"{scratch(spark)}/fetched-{uuid.uuid4().hex}"
+    p = table(spark, sf_dir, "pages").select(F.format_string("%08d.xml", F.floor(F.col("page_id") / 50)).alias("name"), F.struct("page_id", item.alias("item")).alias("x"))
+    texts = p.groupBy("name").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    folders.save_texts(texts.select("name", F.concat(F.lit(head), F.array_join(F.transform("xs", lambda x: x["item"]), ""), F.lit(tail)).alias("text")), folder)
+    folders.register(spark)
+    return folder
+
+
+def _escaped(c) -> F.Column:
+    return F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {FILE_SQL} AS file, trim(regexp_extract(html, '{TITLE}', 1)) AS title, url AS link FROM pages WHERE url IS NOT NULL)
+    SELECT file, (row_number() OVER (PARTITION BY file ORDER BY page_id) - 1)::INTEGER AS place, title, link FROM p WHERE title <> ''""")
+def sc2_feed_folder(spark, sf_dir):
+    """Feeds made from the pages' titles and addresses, read through the data source."""
+    item = F.concat(F.lit("<item><title>"), _escaped(F.regexp_extract("html", TITLE, 1)), F.lit("</title><link>"), _escaped(F.col("url")), F.lit("</link></item>"))
+    folder = _in_files(spark, sf_dir, item, "<rss><channel>", "</channel></rss>")
+    return spark.read.format("newsloom_feeds").load(folder).where("kind = 'feed'").select("file", "place", "title", "link")
+
+
+@query(f"""SELECT {FILE_SQL} AS file, (row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) - 1)::INTEGER AS place, url AS link, (1704067200 + page_id * 86400)::BIGINT AS at FROM pages WHERE url IS NOT NULL""")
+def sc3_sitemap_stream(spark, sf_dir):
+    """Sitemaps made from the pages' addresses, read as a stream; a page's number is its day."""
+    day = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 86400), "yyyy-MM-dd")
+    item = F.concat(F.lit("<url><loc>"), _escaped(F.col("url")), F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>"))
+    folder = _in_files(spark, sf_dir, item, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</urlset>")
+    rows = timed.once(spark, lambda: spark.readStream.format("newsloom_feeds").load(folder))
+    return rows.where("kind = 'page'").select("file", "place", "link", F.unix_seconds("at").alias("at"))
+
+
+LEASES_SQL = """q AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+    first AS (SELECT o_orderkey, i, CASE WHEN i <= 40 THEN 'ada' ELSE 'ben' END AS worker FROM q WHERE i <= 70), left_over AS (SELECT o_orderkey, i FROM q WHERE i <= 40 AND o_orderkey % 2 = 1 OR i > 70)"""
+
+
+@query(f"""WITH {LEASES_SQL} SELECT o_orderkey, worker, CASE worker WHEN 'ada' THEN 100 ELSE 120 END::BIGINT AS until FROM first
+    UNION ALL SELECT o_orderkey, 'cem', 250 FROM (SELECT * FROM left_over ORDER BY i LIMIT 50)""")
+def sc12_leases(spark, sf_dir):
+    """Orders as a queue: one worker claims 40 and finishes the even ones, another claims 30; when the first one's lease has run out, before
+    the second one's, a third claims 50. Each batch is run twice."""
+    ledger = claims.Ledger(spark, f"{scratch(spark)}/ledger-{uuid.uuid4().hex}")
+    orders, key = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey"
+    ask = lambda most, worker, batch, now, lease: ledger.claim(orders, key, ["o_orderdate", key], most, worker, batch, now, lease)
+    for _ in range(2):
+        a = ask(40, "ada", "a1", 0, 100)
+        b = ask(30, "ben", "b1", 20, 100)
+        ledger.finish(a.where(F.col(key) % 2 == 0), key, "ada", "a1 done")
+        c = ask(50, "cem", "c1", 110, 140)
+    return a.unionByName(b).unionByName(c).select(key, "worker", "until")
+
+
 @query(r"SELECT page_id, NOT starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/de/') AS allowed FROM pages")
 def sc7_robots(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.allowed(F.lit("User-agent: *\nDisallow: /de/\n"), F.lit("bot"), F.col("url")).alias("allowed"))

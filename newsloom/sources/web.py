@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LARGEST = 25_000_000
+#: Fixed value: bytes of a sitemap at most; a larger one gives no items.
+LARGEST_SITEMAP = 25_000_000
 
 
 def _local(tag: str) -> str:
@@ -27,7 +28,11 @@ def _local(tag: str) -> str:
 
 
 def _root(xml: str | None):
-    if not xml or len(xml) > LARGEST or re.search(r"<!(?:DOCTYPE|ENTITY)", xml[:4096], re.IGNORECASE):
+    """The root element; none for what is no XML, or declares a document type or entities before it."""
+    if not xml:
+        return None
+    first = re.search(r"<[A-Za-z_]", xml)
+    if not first or re.search(r"<!(?:DOCTYPE|ENTITY)", xml[: first.start()], re.IGNORECASE):
         return None
     try:
         return ElementTree.fromstring(xml.strip())
@@ -71,7 +76,7 @@ ITEM_DDL = "array<struct<title:string,link:string,summary:string,author:string,p
 
 def sitemap_entries(xml: str | None) -> list[dict]:
     """Locations and times, of pages or of further sitemaps."""
-    root = _root(xml)
+    root = None if not xml or len(xml) > LARGEST_SITEMAP or len(xml.encode()) > LARGEST_SITEMAP else _root(xml)
     if root is None or _local(root.tag) not in ("urlset", "sitemapindex"):
         return []
     kind, out = ("page" if _local(root.tag) == "urlset" else "sitemap"), []
