@@ -57,7 +57,7 @@ def _redacted(s: Column, done: list[str], name: str, pattern: str, mark: str) ->
 
     def rebuilt(f: Column) -> Column:
         pieces = F.split(out, pattern)
-        joined = F.zip_with(F.slice(pieces, 2, 1 << 20), f, lambda p, x: F.concat(F.when(x["v"], mark).otherwise(x["m"]), p))
+        joined = F.zip_with(F.slice(pieces, F.lit(2), F.size(pieces)), f, lambda p, x: F.concat(F.when(x["v"], mark).otherwise(x["m"]), p))
         whole = F.when(F.exists(f, lambda x: x["v"]), F.concat(F.element_at(pieces, 1), F.array_join(joined, ""))).otherwise(out)
         return F.struct(whole.alias("text"), *counts, F.size(F.filter(f, lambda x: x["v"])).cast("long").alias(name))
 

@@ -124,7 +124,7 @@ def has_dangling_referent(tokens: Column) -> Column:
 
 def has_proper_noun(text: Column) -> Column:
     """An apostrophe within a word, a number of two digits, or a capital that doesn't start the text."""
-    later = F.slice(words(text), 2, 1 << 20)
+    later = F.slice(words(text), F.lit(2), F.greatest(F.size(words(text)), F.lit(1)))
     return F.rlike(text, F.lit(r"(?U)[^\W\d_]+['’][^\W\d_]+")) | F.rlike(text, F.lit(r"\b\d{2,}\b")) | F.exists(later, lambda w: F.rlike(w, F.lit(r"^\p{Lu}")))
 
 

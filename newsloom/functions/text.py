@@ -83,7 +83,7 @@ def remove_boilerplate(text: Column, sep: str = "\n\n") -> Column:
 
 def language(text: Column, least: int = 50) -> Column:
     """A struct of code and confidence by common words; short texts count as Turkish with confidence 0."""
-    w = F.slice(words(F.lower(F.substring(text, 1, 5000))), 1, 1 << 20)
+    w = words(F.lower(F.substring(text, 1, 5000)))
     known = lambda s: F.size(F.filter(w, lambda x: x.isin(*s)))
     hits = F.array(*(F.struct(known(s).alias("n"), F.lit(c).alias("code")) for c, s in STOP_WORDS.items()))
     best, total = F.array_max(hits), F.aggregate(hits, F.lit(0), lambda a, x: a + x["n"])

@@ -120,10 +120,23 @@ def rank_anchors(candidates: DataFrame, cfg: EngineConfig = DEFAULT, prefer: str
     return ok.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(*order)))
 
 
-def cooccurrence(memberships: DataFrame) -> DataFrame:
-    """How many users have both clusters, a < b: ``memberships`` has distinct (user_id, cluster)."""
-    a, b = memberships.select("user_id", F.col("cluster").alias("a")), memberships.select("user_id", F.col("cluster").alias("b"))
-    return a.join(b, "user_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("support"))
+#: Clusters of a user from which on the pairs are dealt, and clusters of a tile.
+MANY, PAIR_TILE = 512, 256
+
+
+def cooccurrence(memberships: DataFrame, many: int = MANY, tile: int = PAIR_TILE) -> DataFrame:
+    """How many users have both clusters, a < b: ``memberships`` has distinct (user_id, cluster). A user of more than ``many`` clusters is
+    dealt into tiles, every two of which meet apart: no task makes more than a tile's square of pairs for one user."""
+    m = memberships.select("user_id", "cluster")
+    sized = m.join(m.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many), "user_id", "left")
+    light, heavy = sized.where("n is null").drop("n"), sized.where("n is not null")
+    a, b = light.select("user_id", F.col("cluster").alias("a")), light.select("user_id", F.col("cluster").alias("b"))
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    placed = heavy.select("user_id", "cluster", tiles.alias("tiles")).withColumn("own", F.pmod(F.xxhash64("cluster"), F.col("tiles")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left, right = placed.withColumn("j", every).select("user_id", F.col("own").alias("i"), "j", F.col("cluster").alias("a")), placed.withColumn("i", every).select("user_id", "i", F.col("own").alias("j"), F.col("cluster").alias("b"))
+    both = a.join(b, "user_id").where("a < b").select("a", "b").unionByName(left.join(right, ["user_id", "i", "j"]).where("a < b").select("a", "b"))
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("support"))
 
 
 def infer_parents(memberships: DataFrame, least: int = 3, high: float = 0.6, low: float = 0.35, ratio: float = 1.5) -> DataFrame:

@@ -183,8 +183,10 @@ def round_robin(runs: DataFrame) -> DataFrame:
     return seen.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "list"))).drop("seen")
 
 
-def query_terms(queries: DataFrame, text: str = "text", most: int = 6) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(F.slice(F.filter(F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+", "")), lambda w: w != ""), 1, most))).alias("term"))
+def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, term): the distinct words of each query, without marks."""
+    bare = F.filter(F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+", "")), lambda w: w != "")
+    return queries.select("query_id", F.explode(F.array_distinct(bare)).alias("term"))
 
 
 def rerank_blend(ranked: DataFrame, verdicts: DataFrame, first: int = 3) -> DataFrame:
@@ -320,7 +322,7 @@ def chunk_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, me
     """
     pool = cfg.candidate_pool
     q = _cut(queries.withColumn("q", normalize_query(F.col("text"))).where("q <> ''"))
-    terms = query_terms(q, "q", 1 << 20).where(F.length("term") >= 2)
+    terms = query_terms(q, "q").where(F.length("term") >= 2)
     index = postings(chunks.select("id", "text"), terms=terms).join(F.broadcast(terms) if terms.count() <= BATCH else terms, "term")
     size = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     scored = index.groupBy("query_id", "id").agg(F.sum(term_rank(F.col("tf"))).alias("r")).join(size, "query_id").select("query_id", "id", (F.col("r") / F.col("n_terms")).alias("score"))

@@ -69,10 +69,67 @@ def sparklines(mentions: DataFrame, now: str, days: float, buckets: int, keys: t
     return filled.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("sparkline"))
 
 
+def rollup(mentions: DataFrame, start: Column, seconds: float, keys: tuple[str, ...]) -> DataFrame:
+    """Mergeable counts of each group and time bucket (``bucket``: whole multiples of ``seconds`` from ``start``): one row for each block of article
+    and source numbers, with bitmaps of both, the sum and number of reliabilities, and the first and last time.
+
+    Buckets add up: the bitmaps of a span of buckets are the union of theirs, so distinct articles of any span, of all groups together
+    too, are counted without the mentions. A row's bitmaps have a fixed size."""
+    bucket = F.floor((epoch("published_at") - epoch(start)) / seconds).cast("int").alias("bucket")
+    block, place = lambda c: F.bitmap_bucket_number(F.col(c)), lambda c: F.bitmap_bit_position(F.col(c))
+    return mentions.groupBy(*keys, bucket, block("article_id").alias("article_block"), block("source_id").alias("source_block")).agg(
+        F.bitmap_construct_agg(place("article_id")).alias("articles"),
+        F.bitmap_construct_agg(place("source_id")).alias("sources"),
+        F.sum("reliability").alias("reliability"),
+        F.count("reliability").alias("rated"),
+        F.max("published_at").alias("last"),
+        F.min("published_at").alias("first"),
+    )
+
+
+def distinct_of(rolled: DataFrame, what: str, by: list[str], name: str) -> DataFrame:
+    """How many different articles or sources (``what``: article, source) each group has: ``by`` names its columns."""
+    merged = rolled.where(F.col(f"{what}_block").isNotNull()).groupBy(*by, f"{what}_block").agg(F.bitmap_count(F.bitmap_or_agg(f"{what}s")).alias("n"))
+    return merged.groupBy(*by).agg(F.sum("n").alias(name))
+
+
+def windows_of(rolled: DataFrame, buckets: int, keys: tuple[str, ...], cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``two_windows`` out of a roll-up whose buckets 0 to ``buckets`` - 1 are the window before and as many more the window."""
+    cur = F.col("bucket") >= buckets
+    told = rolled.withColumn("cur_", cur)
+    articles = distinct_of(told, "article", [*keys, "cur_"], "n").groupBy(*keys).agg(
+        F.coalesce(F.max(F.when(F.col("cur_"), F.col("n"))), F.lit(0)).alias("cur"), F.coalesce(F.max(F.when(~F.col("cur_"), F.col("n"))), F.lit(0)).alias("prev")
+    )
+    sources = distinct_of(told.where("cur_"), "source", [*keys], "sources")
+    rest = told.groupBy(*keys).agg(
+        (F.sum(F.when(cur, F.col("reliability"))) / F.nullif(F.sum(F.when(cur, F.col("rated"))), F.lit(0))).alias("reliability"), F.max(F.when(cur, F.col("last"))).alias("last_seen_at"), F.min("first").alias("first_seen_at")
+    )
+    found = articles.where(F.col("cur") >= cfg.min_articles).join(sources.where(F.col("sources") >= cfg.min_sources), list(keys))
+    return found.join(rest, list(keys))
+
+
+def rolled_counts(rolled: DataFrame, buckets: int) -> DataFrame:
+    """``corpus_counts`` out of a roll-up."""
+    n = distinct_of(rolled.withColumn("cur_", F.col("bucket") >= buckets), "article", ["cur_"], "n")
+    of = lambda c: F.coalesce(F.max(F.when(c, F.col("n"))), F.lit(0))
+    return n.agg(of(F.col("cur_")).alias("corpus_cur"), of(~F.col("cur_")).alias("corpus_prev"))
+
+
+def rolled_lines(rolled: DataFrame, buckets: int, keys: tuple[str, ...]) -> DataFrame:
+    """``sparklines`` out of a roll-up."""
+    counted = distinct_of(rolled.where(F.col("bucket") >= buckets), "article", [*keys, "bucket"], "n")
+    filled = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("bucket") - buckets).alias("bucket"), "n"))).alias("m"))
+    return filled.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("sparkline"))
+
+
 def entity_trends(mentions: DataFrame, now: str, days: float, buckets: int = 10, limit: int | None = 50, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Gate, corpus baseline, momentum, novelty, diversity, score, sparkline, burst and state; highest score first."""
+    from newsloom.operators.entities import _cut
+
     keys = ("entity_norm", "entity_type")
-    agg = two_windows(mentions, now, days, keys, cfg).crossJoin(F.broadcast(corpus_counts(mentions, now, days)))  # one row
+    before, _, end = bounds(now, days)
+    rolled = _cut(rollup(mentions.where(between(before, end)), before, days * 86400 / buckets, keys))  # the only pass over the mentions
+    agg = windows_of(rolled, buckets, keys, cfg).crossJoin(F.broadcast(rolled_counts(rolled, buckets)))  # one row
     c = {n: F.col(n) for n in ("cur", "prev", "sources", "reliability", "corpus_cur", "corpus_prev")}
     rel = k.relative_momentum(c["cur"], c["prev"], c["corpus_cur"], c["corpus_prev"])
     out = (
@@ -85,7 +142,7 @@ def entity_trends(mentions: DataFrame, now: str, days: float, buckets: int = 10,
     )
     if limit is not None:
         out = out.orderBy(F.desc("score"), F.desc("novelty"), *keys).limit(limit)
-    out = out.join(sparklines(mentions, now, days, buckets, keys), list(keys), "left")
+    out = out.join(rolled_lines(rolled, buckets, keys), list(keys), "left")
     out = out.withColumn("burst", k.window_burst(F.col("sparkline")))
     return out.withColumn("state", k.trend_state(c["cur"], c["prev"], F.col("rel_momentum"), F.col("burst"), cfg))
 

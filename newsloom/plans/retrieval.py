@@ -25,7 +25,7 @@ COS = "(1 + list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embeddi
 DENSE = f"""dense AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({COS}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 6) DESC, e.vec_id) AS rank
     FROM embeddings e, embeddings q WHERE {ASKED_SQL.format('q.vec_id')} QUALIFY rank <= {POOL})"""
 TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-SPARSE = f"""terms AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct(list_filter(list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda w: w <> '')[1:6])) AS term FROM benchmark WHERE {ASKED_SQL.format('item_id')}),
+SPARSE = f"""terms AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct(list_filter(list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda w: w <> ''))) AS term FROM benchmark WHERE {ASKED_SQL.format('item_id')}),
     post AS (SELECT doc_id AS id, unnest({TOKENS}) AS term FROM documents), tf AS (SELECT term, id, count(*) AS tf FROM post GROUP BY ALL), n AS (SELECT query_id, count(*) AS n_terms FROM terms GROUP BY 1),
     hit AS (SELECT query_id, id, count(*) AS grams, sum(0.1 * list_sum(list_transform(range(1, tf + 1), lambda j: 1.0 / (j * j))) / 1.64493406685) AS r FROM tf JOIN terms USING (term) GROUP BY ALL),
     sparse AS (SELECT query_id, id, grams, round(r / n_terms, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY grams DESC, round(r / n_terms, 9) DESC, id) AS rank FROM hit JOIN n USING (query_id) QUALIFY rank <= {POOL})"""

@@ -104,3 +104,36 @@ def test_multi_index_hashing_equals_brute_force(spark, n, flips, monkeypatch):
     got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in codes.nearest_codes(q, b, 5, 64).collect())
     want = sorted((i, r + 1, j, d) for i, x in asked for r, (d, j) in enumerate(sorted((bin(x ^ y).count("1"), j) for j, y in base)[:5]))
     assert got == want
+
+
+def test_pairs_of_a_hot_user(spark):
+    """The same counts however users are dealt; a hot user's pairs are spread over tiles."""
+    from newsloom.operators import entities
+
+    rows = [(u, c) for u in range(30) for c in range(40) if (u * 7 + c * 5) % 11 < 3] + [(99, c) for c in range(300)]
+    df = spark.createDataFrame(rows, "user_id long, cluster int")
+    by = {}
+    for u, c in rows:
+        by.setdefault(u, []).append(c)
+    want = {}
+    for cs in by.values():
+        for a in cs:
+            for b in cs:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    for many, tile in ((512, 256), (20, 16)):
+        assert {(r["a"], r["b"]): r["support"] for r in entities.cooccurrence(df, many, tile).collect()} == want
+
+
+def test_rollup_counts_any_span(spark):
+    from newsloom.operators import trends
+
+    rng = np.random.default_rng(1)
+    rows = [(f"e{int(k)}", int(a) if a else None, int(s), int(t)) for k, a, s, t in zip(rng.integers(0, 6, 900), rng.integers(0, 90_000, 900), rng.integers(0, 70_000, 900), rng.integers(0, 10_000, 900), strict=True)]
+    df = spark.createDataFrame(rows, "k string, article_id long, source_id long, t long").select("k", "article_id", "source_id", F.timestamp_seconds("t").alias("published_at"), F.lit(0.5).alias("reliability"))
+    rolled = trends.rollup(df, F.timestamp_seconds(F.lit(0)), 1000, ("k",))
+    for low, high in ((0, 10), (3, 4), (2, 7)):
+        span = [r for r in rows if low * 1000 <= r[3] < high * 1000]
+        for what, i in (("article", 1), ("source", 2)):
+            got = {r["k"]: r["n"] for r in trends.distinct_of(rolled.where(F.col("bucket").between(low, high - 1)), what, ["k"], "n").collect()}
+            assert got == {k: len({r[i] for r in span if r[0] == k} - {None}) for k in {r[0] for r in span}}
