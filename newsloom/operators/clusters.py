@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +23,33 @@ def majority(votes: DataFrame, key: str, value: str, weight: str, share: float =
     return s.where("i = 1").select(key, F.when(F.col("share") >= share, F.col(value)).alias(value), "share")
 
 
+#: Points of a weekly card at most, and their characters; characters of its title and summary; the share that a country needs.
+POINTS, POINT_CHARS, TITLE_CHARS, SUMMARY_CHARS, COUNTRY_SHARE = 6, 200, 500, 2000, 0.6
+
+
+def card_reply(reply: Column) -> Column:
+    """A model's reply about a week as (title, summary, key_points, importance): JSON, at times within a fence; null if it can't be read or lacks
+    a title or a summary."""
+    bare = F.regexp_replace(F.trim(reply), r"(?s)^```(?:json\n|\n)?(.*?)(?:```.*)?$", "$1")
+    j = F.from_json(F.trim(bare), "title string, summary string, key_points array<string>, importance string")
+    points = F.slice(F.transform(F.filter(F.coalesce(j["key_points"], F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit("")) != ""), lambda p: F.substring(p, 1, POINT_CHARS)), 1, POINTS)
+    said = F.coalesce(j["importance"].try_cast("double"), F.lit(0.0))
+    importance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(said == 0, 0.5).otherwise(said)))
+    card = F.struct(F.substring(j["title"], 1, TITLE_CHARS).alias("title"), F.substring(j["summary"], 1, SUMMARY_CHARS).alias("summary"), points.alias("key_points"), importance.alias("importance"))
+    return F.when((F.coalesce(j["title"], F.lit("")) != "") & (F.coalesce(j["summary"], F.lit("")) != ""), card)
+
+
+def weekly_cards(daily: DataFrame, replies: DataFrame, most: int | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Cards of the largest groups of daily cards: ``daily`` (group, id, article_count, country), ``replies`` (group, reply; what a model said, a hook outside).
+    The card with most articles stands for its group, ties by the least id; the country is the one with most articles, if it has the share of those that name one."""
+    most = cfg.weekly_top if most is None else most
+    size = daily.groupBy("group").agg(F.count(F.lit(1)).alias("cards"), F.max_by("id", F.struct("article_count", (-F.col("id")).alias("k"))).alias("representative"))
+    first = size.orderBy(F.desc("cards"), "group").limit(most)
+    vote = majority(daily.where("country <> ''").withColumn("w", F.greatest(F.lit(1), F.coalesce("article_count", F.lit(1)))), "group", "country", "w", COUNTRY_SHARE).select("group", "country")
+    card = replies.select("group", card_reply(F.col("reply")).alias("card")).where("card is not null")
+    return first.join(vote, "group", "left").join(card, "group").select("group", "cards", "representative", "country", "card.*")
+
+
 def grams_of(title: str) -> set[str]:
     words = "".join(c if c.isalnum() else " " for c in title.lower()).split()
     return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import atexit
+import contextlib
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsloom.catalog import scratch
 from newsloom.config import DEFAULT, EngineConfig
 from newsloom.operators.patterns import found
 
@@ -46,7 +51,7 @@ def subset_edges(entities: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, a: str, b: str, rounds: int = 1000) -> DataFrame:
     """Connected groups of names: every node takes the least name among its neighbours', and that name's own least
-    name, until nothing changes; an error if ``rounds`` don't suffice. Frames are checkpointed each round where a checkpoint folder is set."""
+    name, until nothing changes; an error if ``rounds`` don't suffice. Each round is a written table."""
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     e = e.union(e.select("y", "x")).distinct()
     e = _cut(e)
@@ -65,13 +70,29 @@ def propagate(edges: DataFrame, a: str, b: str, rounds: int = 1000) -> DataFrame
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a folder for it; else the frame as it is, held in memory and disk."""
+    """``df`` as a written table of the shared folder (``catalog.scratch``): computed once, known in size to later joins, and not lost with an executor. The tables go
+    when the session ends."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    return df.persist()
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_folders: dict[str, str] = {}
+
+
+def _tables(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{scratch(spark)}/tables-{app}"
+        atexit.register(_remove, spark, _folders[app])
+    return _folders[app]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def subset_groups(entities: DataFrame) -> DataFrame:
@@ -209,6 +230,27 @@ def merge_canonicals(aliases: DataFrame, moves: DataFrame) -> DataFrame:
     return j.select("alias", "type", F.coalesce("target", "canonical_id").alias("canonical_id")).distinct()
 
 
+def add_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
+    """Aliases (alias, type, canonical_id, source) with ``new`` ones (alias, type, canonical_id), set by an admin: they take over what pointed elsewhere. Blank ones are
+    left out; of one alias given twice the least canonical id counts."""
+    fresh = new.select(F.lower(F.trim("alias")).alias("alias"), "type", "canonical_id").where("alias <> ''").groupBy("alias", "type").agg(F.min("canonical_id").alias("canonical_id"))
+    kept = aliases.join(fresh.select("alias", "type"), ["alias", "type"], "left_anti").select("alias", "type", "canonical_id", "source")
+    return kept.unionByName(fresh.withColumn("source", F.lit("admin")))
+
+
+def remove_aliases(aliases: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Aliases without those of ``gone`` (alias, type, canonical_id) that point to that canonical name; and those of ``gone`` that were not there."""
+    g = gone.select(F.lower(F.trim("alias")).alias("alias"), "type", "canonical_id").distinct()
+    keys = ["alias", "type", "canonical_id"]
+    return aliases.join(g, keys, "left_anti"), g.join(aliases, keys, "left_anti")
+
+
+def recount(canonicals: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Canonical names (id and more) with the number of their aliases."""
+    n = aliases.groupBy(F.col("canonical_id").alias("id")).agg(F.count(F.lit(1)).alias("alias_count"))
+    return canonicals.drop("alias_count").join(n, "id", "left").withColumn("alias_count", F.coalesce("alias_count", F.lit(0).cast("long")))
+
+
 def enrichment_candidates(mentions: DataFrame, attempts: DataFrame, now: str, types: tuple[str, ...] = ("person", "org", "place", "event"), least: int = 3, days: int = 30, most: int = 150) -> DataFrame:
     """Names worth looking up: (norm, type, freq, sample) of mentions (norm, type, text, article_id) in enough articles and not tried
     (``attempts``: norm, type, attempted_at) in the last days; the most frequent first, with their most usual spelling."""

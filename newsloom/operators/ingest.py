@@ -90,13 +90,28 @@ def resolve_siblings(dead: DataFrame, good: DataFrame, key: str) -> DataFrame:
     return dead.join(through, key, "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
+#: What titles and the first 2000 characters of pages that are gone say, and what linked data calls an article.
+GONE_TITLE = (r"sayfa\s*bulunamad[ıi]", r"page\s*not\s*found", r"hata\s*404", r"404\s*[-—|:]\s*(?:sayfa|page|hata|error|not)", r"içerik\s*bulunamad[ıi]", r"haber\s*bulunamad[ıi]", r"aradığınız\s*sayfa")
+GONE_BODY = (r"aradığınız\s*sayfa.*bulunam", r"this\s*page\s*does\s*not\s*exist", r"sorry.*we\s*can[’']t\s*find")
+GONE_HEAD = 2000
+LINKED_ARTICLE = r'"@type"\s*:\s*(?:\[[^\]]*)?"(?:[^"]*[#/])?(?:newsarticle|article|reportagenewsarticle|backgroundnewsarticle|opinionnewsarticle|analysisnewsarticle|reviewnewsarticle|blogposting|liveblogposting)"'
+LINKED_BODY = r'"articleBody"\s*:\s*"[^"]'
+
+
+def soft_404(html: Column) -> Column:
+    """Whether a page that was found says that it isn't there: by its title, else by its beginning; not if its linked data holds an article's text."""
+    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    says = lambda c, patterns, flags: F.rlike(c, F.lit(f"(?{flags})" + "|".join(patterns)))
+    gone = says(title, GONE_TITLE, "iU") | says(F.substring(html, 1, GONE_HEAD), GONE_BODY, "iUs")
+    linked = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+    return F.coalesce(gone & ~(F.rlike(linked, F.lit("(?i)" + LINKED_ARTICLE)) & F.rlike(linked, F.lit(LINKED_BODY))), F.lit(False))
+
+
 def page_quality(html: Column, body: Column) -> Column:
     """``soft_404``, ``empty_body``, ``no_paragraphs``, ``short_text``, ``low_density``, ``few_paragraphs`` or ``ok``."""
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    missing = F.rlike(title, F.lit(r"(?iU)404|not found|sayfa bulunamadı|page not found|içerik bulunamadı|does not exist|hata"))
     n = F.regexp_count(html, F.lit(r"(?i)<p[\s>]"))
     return (
-        F.when(missing, "soft_404")
+        F.when(soft_404(html), "soft_404")
         .when(F.coalesce(F.length(html), F.lit(0)) == 0, "empty_body")
         .when(n == 0, "no_paragraphs")
         .when(F.length(body) < 200, "short_text")

@@ -119,6 +119,23 @@ def e8_merge_canonicals(spark, sf_dir):
     return entities.merge_canonicals(a, spark.range(5).select(F.col("id").cast("int").alias("source"), (F.col("id") + 5).cast("int").alias("target")))
 
 
+@query("""WITH a AS (SELECT DISTINCT lower(p_name) AS alias, p_partkey % 40 AS id FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1),
+    fresh AS (SELECT lower(p_name) AS alias, min(40 + p_partkey % 5) AS id FROM part WHERE p_size <= 5 GROUP BY 1 UNION ALL SELECT lower(n_name), n_nationkey FROM nation),
+    added AS (SELECT alias, id FROM a WHERE alias NOT IN (SELECT alias FROM fresh) UNION ALL SELECT * FROM fresh), gone AS (SELECT DISTINCT lower(p_name) AS alias, p_partkey % 40 AS id FROM part WHERE p_size = 50),
+    rest AS (SELECT * FROM added WHERE (alias, id) NOT IN (SELECT (alias, id) FROM gone)), moved AS (SELECT DISTINCT alias, CASE WHEN id BETWEEN 40 AND 42 THEN id - 40 ELSE id END AS id FROM rest)
+    SELECT i.id, (SELECT count(*) FROM moved m WHERE m.id = i.id) AS alias_count FROM range(45) i(id) WHERE i.id NOT BETWEEN 40 AND 42""")
+def e8_alias_operations(spark, sf_dir):
+    """Aliases of parts added, removed and merged with their canonical names, then counted anew."""
+    p, name = table(spark, sf_dir, "part"), F.lower("p_name").alias("alias")
+    org, k = F.lit("org").alias("type"), F.col("p_partkey")
+    a = p.groupBy(name).agg((F.min("p_partkey") % 40).alias("canonical_id")).select("alias", org, "canonical_id", F.lit("seed").alias("source"))
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit(" "), "n_name").alias("alias"), org, F.col("n_nationkey").cast("long").alias("canonical_id"))
+    a = entities.add_aliases(a, p.where("p_size <= 5").select(name, org, (40 + k % 5).alias("canonical_id")).unionByName(nations))
+    a, _ = entities.remove_aliases(a, p.where("p_size = 50").select(name, org, (k % 40).alias("canonical_id")))
+    a = entities.merge_canonicals(a, spark.range(40, 43).select(F.col("id").alias("source"), (F.col("id") - 40).alias("target")))
+    return entities.recount(spark.range(45).where("id not between 40 and 42"), a)
+
+
 @query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY 1")
 def v11_mode_counts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"))

@@ -186,6 +186,23 @@ def c5_weekly_cards(spark, sf_dir):
     return c.orderBy(F.desc("articles"), "cluster").limit(8)
 
 
+@query("""WITH d AS (SELECT doc_id AS id, source || ' ' || lang AS g, doc_id % 9 AS n, CASE WHEN doc_id % 11 > 0 THEN lang || (doc_id % 10 < 8)::INTEGER END AS country, text FROM documents),
+    s AS (SELECT g, count(*) AS cards, arg_max(id, n * 1000000000 - id) AS representative, arg_min(text, id) AS text FROM d GROUP BY 1), f AS (SELECT * FROM s ORDER BY cards DESC, g LIMIT 8),
+    w AS (SELECT g, country, sum(greatest(1, n)) AS w FROM d WHERE country IS NOT NULL GROUP BY ALL), v AS (SELECT g, country FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY w DESC, country) = 1 AND w::DOUBLE / sum(w) OVER (PARTITION BY g) >= 0.6)
+    SELECT f.g AS "group", cards, representative, country, f.g AS title, substr(text, 1, 2000) AS summary, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda p: p <> '')[1:6], lambda p: substr(p, 1, 200)), '|') AS points, 0.5::DOUBLE AS importance
+    FROM f LEFT JOIN v ON v.g = f.g WHERE coalesce(text, '') <> ''""")
+def c5_weekly_build(spark, sf_dir):
+    """Documents as daily cards of their source and language; what a model would say is the text of the group's first one."""
+    from newsloom.operators import clusters
+
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(F.concat_ws(" ", "source", "lang").alias("group"), k.alias("id"), (k % 9).alias("article_count"), F.when(k % 11 > 0, F.concat("lang", (k % 10 < 8).cast("int").cast("string"))).alias("country"), "text")
+    first = d.groupBy("group").agg(F.min_by("text", "id").alias("text"))
+    said = F.to_json(F.struct(F.col("group").alias("title"), F.col("text").alias("summary"), F.split("text", "\n").alias("key_points"), F.lit("").alias("importance")))
+    replies = first.select("group", F.when(F.length("group") % 2 == 0, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).otherwise(said).alias("reply"))
+    return clusters.weekly_cards(d, replies).select("group", "cards", "representative", "country", "title", "summary", F.array_join("key_points", "|").alias("points"), "importance")
+
+
 @query(f"WITH {MENTIONS_SQL} SELECT entity_norm, count(*) AS n FROM mentions WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand = entity_norm AND p_size = 50 AND p_partkey % 3 = 0) GROUP BY 1 ORDER BY n DESC, entity_norm LIMIT 10")
 def tr18_discover(spark, sf_dir):
     """What a user does not follow yet, most mentioned first."""

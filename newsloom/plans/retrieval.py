@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.catalog import MENTIONS_SQL, mentions, table
+from newsloom.catalog import MENTIONS_SQL, mentions, spread, table
 from newsloom.functions import vector
 from newsloom.operators import curation, retrieval as op
 from newsloom.operators import codes, vectors
@@ -38,7 +38,7 @@ def dense(spark, sf_dir, pool=POOL):
 
 
 def sparse(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     b = asked_of(table(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("query_id"), "text")
     terms = op.query_terms(b)
     return op.sparse(terms, op.postings(docs, terms=terms), POOL)

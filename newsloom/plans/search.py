@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.catalog import MENTIONS_SQL, mentions, table
+from newsloom.catalog import MENTIONS_SQL, mentions, spread, table
 from newsloom.functions import content as c
 from newsloom.functions import query as qf
 from newsloom.functions import semantic
@@ -81,7 +81,7 @@ CHUNKS_SQL = f"""docs AS (SELECT doc_id AS id, doc_id // 5 AS article_id, doc_id
 def r1_chunk_search(spark, sf_dir):
     """Documents as chunks, five to an article; asked with every benchmark passage whose id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     text, article = F.coalesce("text", F.lit("")), F.floor(F.col("doc_id") / 5)
     tokens = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     chunks = d.select(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from newsloom.catalog import epoch, table
+from newsloom.catalog import epoch, scratch, table
 from newsloom.operators.curation import sliding_counts
 from newsloom.operators.ingest import keep_first
 from newsloom.streaming import timed
+from newsloom.streaming.posts import posts
 
 from .registry import query
 
@@ -67,3 +70,21 @@ def st5_cluster_stream(spark, sf_dir):
         return timed.cluster_stream(d.join(e, "article_id"), "lang", "2 hours")
 
     return timed.once(spark, stream)
+
+
+@query("""SELECT conv_id AS id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS number, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'""")
+def t37_posts(spark, sf_dir):
+    """Replies with an assistant's turns as posts, cut into pieces that come in two batches."""
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    post = F.struct("turn", F.struct(F.coalesce("text", F.lit("")).alias("text"), F.lit("a {b} \"c\"").alias("angle")).alias("post"))
+    reply = c.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(post)).alias("p"))
+    reply = reply.select("id", F.concat(F.lit('{"intro": "\\"posts\\"", "posts" : '), F.to_json(F.transform("p", lambda x: x["post"])), F.lit(', "summary": "{"}')).alias("text"))
+    # cut anew every 37 code points; the second half comes a day later
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 37).cast("int")), lambda i: F.struct(i.cast("long").alias("seq"), F.substring(F.col("text"), i * 37 + 1, F.lit(37)).alias("piece")))
+    pieces = reply.select("id", F.inline(cut), F.floor(F.length("text") / 74).alias("half")).withColumn("later", F.col("seq") > F.col("half"))
+    pieces = pieces.select("id", "seq", "piece", F.timestamp_seconds(F.when(F.col("later"), 172_800).otherwise(86_400)).alias("at"), "later")
+    folder = f"{scratch(spark)}/pieces-{uuid.uuid4().hex}"
+    for later in (False, True):
+        pieces.where(F.col("later") == later).drop("later").write.mode("append").parquet(f"{folder}/in")
+        found = timed.run_to_table(posts(timed.table_stream(spark, f"{folder}/in"), "2 days", 2 * 86_400), folder)
+    return found.select("id", "number", F.get_json_object("post", "$.text").alias("text"))

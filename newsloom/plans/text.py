@@ -235,7 +235,7 @@ def t22_numeric_spans(spark, sf_dir):
 
 
 @query(r"""WITH p AS (SELECT page_id, html, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<p[\s>]')) AS n, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS body FROM pages)
-    SELECT page_id, CASE WHEN regexp_matches(title, '(?i)404|not found|sayfa bulunamadı|page not found|içerik bulunamadı|does not exist|hata') THEN 'soft_404' WHEN length(html) = 0 THEN 'empty_body' WHEN n = 0 THEN 'no_paragraphs' WHEN body < 200 THEN 'short_text'
+    SELECT page_id, CASE WHEN regexp_matches(title, '(?i)sayfa\s*bulunamad[ıi]|page\s*not\s*found|hata\s*404|404\s*[-—|:]\s*(?:sayfa|page|hata|error|not)|içerik\s*bulunamad[ıi]|haber\s*bulunamad[ıi]|aradığınız\s*sayfa') OR regexp_matches(substr(html, 1, 2000), '(?is)aradığınız\s*sayfa.*bulunam|this\s*page\s*does\s*not\s*exist|sorry.*we\s*can[’'']t\s*find') THEN 'soft_404' WHEN length(html) = 0 THEN 'empty_body' WHEN n = 0 THEN 'no_paragraphs' WHEN body < 200 THEN 'short_text'
       WHEN length(html) > 5000 AND body::DOUBLE / length(html) < 0.005 THEN 'low_density' WHEN n < 2 THEN 'few_paragraphs' ELSE 'ok' END AS quality FROM p""")
 def h12_page_quality(spark, sf_dir):
     """H11 and H12."""
@@ -243,3 +243,18 @@ def h12_page_quality(spark, sf_dir):
 
     body = F.regexp_replace("html", "<[^>]*>", "")
     return pages(spark, sf_dir).select("page_id", page_quality(F.col("html"), body).alias("quality"))
+
+
+@query(r"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS gone FROM pages""")
+def h11_soft_404(spark, sf_dir):
+    """Pages with a title or a beginning that says they are gone, with and without an article in their linked data; texts beyond the beginning don't count."""
+    from newsloom.operators.ingest import soft_404
+
+    k, said = F.col("page_id") % 6, "<p>Sorry, but\nwe can’t find it</p>"
+    linked = '<script type="application/ld+json">{"@type": "NewsArticle", "articleBody": "text"}</script>'
+    titled = lambda x: F.regexp_replace("html", "<title[^>]*>[^<]*</title>", f"<title>{x}</title>")
+    html = (
+        F.when(k == 0, titled("Sayfa bulunamadı")).when(k == 1, F.concat(F.lit(said), "html")).when(k == 2, F.concat(F.lit(linked), titled("404 - page")))
+        .when(k == 3, F.concat(F.lit(linked.replace("NewsArticle", "WebPage")), titled("Page  not found"))).when(k == 4, F.concat(F.lit("x" * 2000 + said), "html")).otherwise(titled("Boeing 737-404 not found"))
+    )
+    return pages(spark, sf_dir).select("page_id", soft_404(html).alias("gone"))
