@@ -258,3 +258,21 @@ def h11_soft_404(spark, sf_dir):
         .when(k == 3, F.concat(F.lit(linked.replace("NewsArticle", "WebPage")), titled("Page  not found"))).when(k == 4, F.concat(F.lit("x" * 2000 + said), "html")).otherwise(titled("Boeing 737-404 not found"))
     )
     return pages(spark, sf_dir).select("page_id", soft_404(html).alias("gone"))
+
+
+GRAMS_SQL = """flatten(list_transform(list_filter(regexp_split_to_array(lower(substr({}, 1, 5000)), '[^\\p{{L}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3))))"""
+
+
+@query(f"""WITH g AS (SELECT doc_id, lang, text, unnest({GRAMS_SQL.format("text")}) AS gram FROM documents),
+    known AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS rank FROM g WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY lang, gram QUALIFY rank <= 300),
+    own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gram) AS own FROM g WHERE length(text) >= 50 GROUP BY doc_id, gram QUALIFY own <= 300),
+    n AS (SELECT doc_id, count(*) * 300 AS farthest FROM own GROUP BY 1), far AS (SELECT doc_id, lang, sum(abs(own - rank) - 300) AS gain FROM own JOIN known USING (gram) GROUP BY ALL),
+    d AS (SELECT doc_id, lang, (gain + farthest)::BIGINT AS distance FROM far JOIN n USING (doc_id)), b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
+    SELECT doc_id, coalesce(b.lang, 'tr') AS code, distance FROM documents LEFT JOIN b USING (doc_id)""")
+def t5_languages(spark, sf_dir):
+    """The language of every document by profiles of those whose id is not divisible by 5; ``test_languages`` measures the others."""
+    from newsloom.operators import language
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = language.profiles(d.where("doc_id % 5 <> 0"))
+    return language.detect(d, known, "doc_id").select(F.col("id").alias("doc_id"), "code", "distance")

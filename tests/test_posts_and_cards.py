@@ -71,3 +71,18 @@ def test_soft_404(spark):
     df = spark.createDataFrame([(i, h) for i, h in enumerate([*cases, None])], "i int, html string")
     got = {r["i"]: r["x"] for r in df.select("i", soft_404(F.col("html")).alias("x")).collect()}
     assert [got[i] for i in range(len(cases) + 1)] == [*cases.values(), False]
+
+
+def test_languages(spark, medium):
+    """Documents that the profiles were not made of."""
+    from newsloom.operators import language
+
+    d = spark.read.parquet(f"{medium}/documents.parquet")
+    known = language.profiles(d.where("doc_id % 5 <> 0"))
+    held = d.where("doc_id % 5 = 0 and length(text) >= 200")
+    got = held.join(language.detect(held, known, "doc_id"), F.col("doc_id") == F.col("id"))
+    share = got.agg(F.avg((F.col("code") == F.col("lang")).cast("double")), F.count("*")).first()
+    print(f"language accuracy {share[0]:.4f} of {share[1]}")
+    assert share[0] >= 0.97
+    odd = language.detect(spark.createDataFrame([(1, None), (2, "short"), (3, "1234 " * 30)], "id long, text string"), known).collect()
+    assert {(r["id"], r["code"], r["confidence"]) for r in odd} == {(1, "tr", 0.0), (2, "tr", 0.0), (3, "tr", 0.0)}
