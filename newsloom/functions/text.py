@@ -272,11 +272,10 @@ def chunk(text: Column, cfg: EngineConfig = DEFAULT, title: Column | None = None
 
     def with_overlap(i: Column, all_: Column) -> Column:
         body = F.element_at(all_, i)
-        before = words(F.try_element_at(all_, i - 1))
-        tail = F.slice(before, F.greatest(F.size(before) - (keep - 1), F.lit(1)), F.lit(keep))
+        tail = let(words(F.try_element_at(all_, i - 1)), lambda w: F.slice(w, F.greatest(F.size(w) - (keep - 1), F.lit(1)), F.lit(keep)))
         whole = strip(F.concat(title_prefix(title, subtitle), F.when(i == 1, body).otherwise(F.concat(F.array_join(tail, " "), F.lit(" "), body))))
-        return F.struct((i - 1).alias("chunk_index"), whole.alias("chunk_text"), estimate_tokens(whole, cfg).alias("token_count"))
+        return let(whole, lambda w: F.struct((i - 1).alias("chunk_index"), w.alias("chunk_text"), estimate_tokens(w, cfg).alias("token_count")))
 
-    return F.when(F.size(bodies) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(bodies), F.lit(1))), lambda i: with_overlap(i, bodies))).otherwise(
-        F.array().cast("array<struct<chunk_index:int,chunk_text:string,token_count:int>>")
-    )
+    # the windows are bound once: each chunk looks at its own and the one before it
+    empty = F.array().cast("array<struct<chunk_index:int,chunk_text:string,token_count:int>>")
+    return let(bodies, lambda b: F.when(F.size(b) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), lambda i: with_overlap(i, b))).otherwise(empty))

@@ -43,7 +43,8 @@ def d5_curation_stats(spark, sf_dir):
     return p.groupBy(op.split_of(F.col("conv_id")).alias("split")).agg(F.count(F.lit(1)).alias("samples"), F.round(F.percentile(F.length("text"), 0.5), 4).alias("median_chars"))
 
 
-@query()
+@query("""WITH a AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM conversations)
+    SELECT conv_id, turn, CAST(to_json({'messages': [{'role': 'user', 'content': question}, {'role': 'assistant', 'content': text}], 'sources': list_transform(range(1, 11), lambda i: i::VARCHAR)}) AS VARCHAR) AS payload FROM a WHERE role = 'assistant' AND question IS NOT NULL""")
 def d6_payload(spark, sf_dir):
     p = op.with_question(table(spark, sf_dir, "conversations")).where("question is not null")
     return p.select("conv_id", "turn", op.chat_payload(F.col("question"), F.col("text"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: i.cast("string"))).alias("payload"))

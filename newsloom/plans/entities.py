@@ -33,14 +33,19 @@ def _names(spark, sf_dir):
     return a.union(b).groupBy("norm").agg(F.max("freq").alias("freq"))
 
 
-@query(f"""WITH {SUBSETS}, p AS (SELECT a.norm, b.norm AS up, len(a.tok) AS n, len(b.tok) AS m FROM t a JOIN t b ON a.norm <> b.norm AND list_has_all(b.tok, a.tok)),
-    w AS (SELECT *, min(m) OVER (PARTITION BY norm) AS low FROM p WHERE m > n)
-    SELECT norm, up FROM p WHERE m = n UNION ALL SELECT norm, up FROM (SELECT *, count(*) OVER (PARTITION BY norm) AS c FROM w WHERE m = low) WHERE c = 1""")
+EDGES = f"""{SUBSETS}, p AS (SELECT a.norm, b.norm AS up, len(a.tok) AS n, len(b.tok) AS m FROM t a JOIN t b ON a.norm <> b.norm AND list_has_all(b.tok, a.tok)),
+    w AS (SELECT *, min(m) OVER (PARTITION BY norm) AS low FROM p WHERE m > n),
+    e AS (SELECT norm, up FROM p WHERE m = n UNION ALL SELECT norm, up FROM (SELECT *, count(*) OVER (PARTITION BY norm) AS c FROM w WHERE m = low) WHERE c = 1)"""
+
+
+@query(f"WITH {EDGES} SELECT norm, up FROM e")
 def e4_subset_edges(spark, sf_dir):
     return op.subset_edges(_names(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT norm AS x, up AS y FROM e UNION SELECT up, norm FROM e), r AS (SELECT x AS node, x AS other FROM b UNION SELECT r.node, b.y FROM r JOIN b ON r.other = b.x),
+    g AS (SELECT node, min(other) AS grp FROM r GROUP BY 1), k AS (SELECT node, grp, freq FROM g JOIN f ON f.norm = node)
+    SELECT node AS norm, first_value(node) OVER (PARTITION BY grp ORDER BY freq DESC, length(node) DESC, node) AS canonical FROM k""")
 def e4_subset_groups(spark, sf_dir):
     return op.subset_groups(_names(spark, sf_dir))
 

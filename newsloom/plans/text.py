@@ -210,8 +210,10 @@ def t10_citation_sentences(spark, sf_dir):
 
 @query()
 def t11_chunks(spark, sf_dir):
-    """Sentence-window chunks of every document."""
-    return docs(spark, sf_dir).select("id", F.inline(t.chunk(F.col("text"))))
+    """Sentence-window chunks of every document under its source and language as titles. No SQL for the fold; ``test_chunks_of_all_documents``
+    holds it against plain loops."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
+    return d.select("id", F.inline(t.chunk(F.col("text"), title=F.col("source"), subtitle=F.col("lang"))))
 
 
 @query()

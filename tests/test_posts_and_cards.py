@@ -86,3 +86,53 @@ def test_languages(spark, medium):
     assert share[0] >= 0.97
     odd = language.detect(spark.createDataFrame([(1, None), (2, "short"), (3, "1234 " * 30)], "id long, text string"), known).collect()
     assert {(r["id"], r["code"], r["confidence"]) for r in odd} == {(1, "tr", 0.0), (2, "tr", 0.0), (3, "tr", 0.0)}
+
+
+def plain_chunks(text, title, subtitle):
+    """One text by plain loops: windows of sentences, each after the last words of the one before."""
+    import re
+
+    from newsloom.config import DEFAULT as cfg
+
+    tokens = lambda s: int(len(s.split()) * cfg.token_coefficient)
+    sents = []
+    for p in (x.strip() for x in re.split(r"\n{2,}", text)):
+        own = []
+        for s in re.split(r"(?<=[.!?…])\s+(?=[A-ZÇĞİıÖŞÜ\"'“‘])", p) if p else []:
+            if len(s) < 3 and own:
+                own[-1] += " " + s
+            elif s:
+                own.append(s)
+        sents += own
+    done, cur, n = [], [], 0
+    for s in sents:
+        k = tokens(s)
+        if k > cfg.max_tokens:
+            done += [(cur, n)] * bool(cur) + [([s], k)]
+            cur, n = [], 0
+        elif n + k > cfg.target_tokens and n >= cfg.min_tokens or n + k > cfg.max_tokens:
+            done += [(cur, n)] * bool(cur)
+            cur, n = [s], k
+        else:
+            cur, n = [*cur, s], n + k
+    if cur and n < cfg.min_tokens and done:
+        done[-1] = (done[-1][0] + cur, done[-1][1] + n)
+    elif cur:
+        done.append((cur, n))
+    bodies, out = [" ".join(w) for w, _ in done], []
+    head = "".join(f"{m}: {t.strip()}\n\n" for m, t in (("BAŞLIK", title), ("ALT BAŞLIK", subtitle)) if t)
+    for i, b in enumerate(bodies):
+        tail = bodies[i - 1].split()[-int(cfg.overlap_tokens / cfg.token_coefficient) :] if i else []
+        whole = (head + (" ".join(tail) + " " if i else "") + b).strip()
+        out.append((i, whole, tokens(whole)))
+    return out
+
+
+def test_chunks_of_all_documents(spark, small):
+    from newsloom import plans
+
+    got = {}
+    for r in plans.QUERIES["t11_chunks"](spark, small).collect():
+        got.setdefault(r["id"], []).append((r["chunk_index"], r["chunk_text"], r["token_count"]))
+    for d in spark.read.parquet(f"{small}/documents.parquet").collect():
+        assert sorted(got.get(d["doc_id"], [])) == plain_chunks(d["text"] or "", d["source"], d["lang"]), d["doc_id"]
