@@ -40,11 +40,12 @@ def t25_image_scores(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(c.image_score(F.col("p_name"), F.col("p_type"), F.array(F.lit("RED"))), 6).alias("score"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.7f', x::DOUBLE)), ',') || ']' AS literal, true AS read_back FROM embeddings")
 def t38_vector_literals(spark, sf_dir):
-    """Written with seven decimals and read again."""
-    v = vector.parse(vector.to_literal(F.col("embedding")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    """Written with seven decimals and read again, each component to the last decimal."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vector.to_literal(F.col("embedding")).alias("literal"))
+    near = F.zip_with(vector.parse(F.col("literal")), "embedding", lambda a, b: F.abs(a - b) < 1e-6)
+    return e.select("vec_id", "literal", F.forall(near, lambda x: F.coalesce(x, F.lit(False))).alias("read_back"))
 
 
 @query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'meta_query' ELSE 'news_query' END AS query_class, event_type || ' topic' AS topic_query, event_type || ',topic' AS keywords, CAST(greatest(1, least(10, user_id)) AS INTEGER) AS "count", CASE WHEN length(event_type) BETWEEN 3 AND 30 THEN event_type ELSE '' END AS critical FROM events""")
