@@ -40,7 +40,7 @@ def t25_image_scores(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(c.image_score(F.col("p_name"), F.col("p_type"), F.array(F.lit("RED"))), 6).alias("score"))
 
 
-@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.7f', x::DOUBLE + sign(x) * 1e-12)), ',') || ']' AS literal, true AS read_back FROM embeddings")
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.7f', x::DOUBLE + sign(x) * 1e-16)), ',') || ']' AS literal, true AS read_back FROM embeddings")
 def t38_vector_literals(spark, sf_dir):
     """Written with seven decimals, halves away from zero, and read again, each component to the last decimal."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vector.to_literal(F.col("embedding")).alias("literal"))
