@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import words
+from newsloom.functions.text import let, words
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A vector of signed word counts by hash."""
-    w = words(F.lower(text))
     slot = lambda x: F.pmod(F.xxhash64(x), F.lit(size))
     sign = lambda x: F.when(F.pmod(F.xxhash64(x, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(w, F.lit(0.0), lambda s, x: s + F.when(slot(x) == i, sign(x)).otherwise(0.0)).cast("float"))
+    # words are hashed once, not once for each place of the vector
+    marks = F.transform(words(F.lower(text)), lambda x: F.struct(slot(x).alias("slot"), sign(x).alias("sign")))
+    at = lambda m, i: F.aggregate(m, F.lit(0.0), lambda s, x: s + F.when(x["slot"] == i, x["sign"]).otherwise(0.0)).cast("float")
+    return let(marks, lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: at(m, i)))
 
 
 def capitalised_names(text: Column, most: int = 40) -> Column:

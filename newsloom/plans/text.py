@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.catalog import table
+from newsloom.catalog import spread, table
 from newsloom.functions import pii, text as t, url as u
 from newsloom.operators import patterns
 
@@ -212,7 +212,7 @@ def t10_citation_sentences(spark, sf_dir):
 def t11_chunks(spark, sf_dir):
     """Sentence-window chunks of every document under its source and language as titles. No SQL for the fold; ``test_chunks_of_all_documents``
     holds it against plain loops."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
     return d.select("id", F.inline(t.chunk(F.col("text"), title=F.col("source"), subtitle=F.col("lang"))))
 
 
