@@ -84,9 +84,9 @@ def enrich_caption(caption: Column, depicts: Column, alt: Column) -> Column:
 
 
 def last_json(text: Column) -> Column:
-    """The last JSON object or array of a text, without code fences; null if there is none."""
+    """The last JSON object or array of a text, without code fences; null if there is none. Runs are taken whole, so that a long one is no deep recursion."""
     bare = F.regexp_replace(text, r"```(?:json)?", "")
-    return F.nullif(F.regexp_extract(bare, r"(?s)((?:\{(?:[^{}]|\{[^{}]*\})*\}|\[(?:[^\[\]]|\[[^\[\]]*\])*\]))(?!.*[}\]])", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(bare, r"(?s)((?:\{(?:[^{}]++|\{[^{}]*+\})*+\}|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]))(?!.*[}\]])", 1), F.lit(""))
 
 
 def chunk_keywords(text: Column, most: int = 5, questions: int = 3) -> Column:

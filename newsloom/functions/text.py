@@ -225,19 +225,21 @@ def citation_sentences(text: Column) -> Column:
 
 
 def citation_ids(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[#(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
+    """A number past the integers cites nothing."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\[#(\d+)\]"), F.lit(1)), lambda x: x.try_cast("int")), lambda x: x.isNotNull()))
 
 
 def cited_numbers(text: Column, widest: int = 100) -> Column:
-    """Numbers in brackets: lists and ranges."""
+    """Numbers in brackets: lists and ranges. A range that is too wide, runs backwards or ends past the integers is its first number; a
+    number past the integers cites nothing."""
     inside = F.regexp_extract_all(text, F.lit(r"\[#?W?(\d+(?:\s*[-,]\s*#?W?\d+)*)\]"), F.lit(1))
     parts = F.flatten(F.transform(inside, lambda s: F.split(F.regexp_replace(s, "[#W\\s]", ""), ",")))
 
     def spread(p: Column) -> Column:
-        a, b = F.substring_index(p, "-", 1).cast("int"), F.substring_index(p, "-", -1).cast("int")
+        a, b = F.substring_index(p, "-", 1).try_cast("int"), F.substring_index(p, "-", -1).try_cast("int")
         return F.when((b >= a) & (b - a < widest), F.sequence(a, F.greatest(a, b))).otherwise(F.array(a))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, spread))))
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(parts, spread)), lambda x: x.isNotNull())))
 
 
 def chunk(text: Column, cfg: EngineConfig = DEFAULT, title: Column | None = None, subtitle: Column | None = None) -> Column:

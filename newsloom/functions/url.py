@@ -66,6 +66,13 @@ def provisional_title(url: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(slug, "[-_]+", " ")), 1, 200)
 
 
+def next_link(html: Column) -> Column:
+    """Where the first ``a`` or ``link`` that says it is the next page leads to, as it is written; null if there is none."""
+    tag = F.regexp_extract(html, r"(?i)<(?:a|link)\s(?:[^>]*\s)?rel\s*=\s*[\"']?next\b[^>]*>", 0)
+    href = lambda i: F.nullif(F.regexp_extract(tag, r"(?i)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", i), F.lit(""))
+    return F.replace(F.coalesce(href(1), href(2), href(3)), F.lit("&amp;"), F.lit("&"))
+
+
 def page_urls(url: Column, param: str, start: int = 1, pages: int = 5) -> Column:
     """The URL with its page parameter set to each page; the URL alone without a parameter."""
     if not param:

@@ -107,6 +107,20 @@ def soft_404(html: Column) -> Column:
     return F.coalesce(gone & ~(F.rlike(linked, F.lit("(?i)" + LINKED_ARTICLE)) & F.rlike(linked, F.lit(LINKED_BODY))), F.lit(False))
 
 
+def follow_next(starts: DataFrame, fetched: DataFrame, pages: int = 5) -> DataFrame:
+    """The pages that each start leads to by next links: (start, place, url), at most ``pages`` of them, the start's own first. ``starts``
+    has a start's URL, ``fetched`` (url, next) each URL once, with the absolute address of the page after it. A chain ends where
+    it comes back to itself or to what wasn't fetched; a null or repeated start gives nothing or one chain."""
+    now = starts.select(F.col("url").alias("start")).where("start is not null").distinct().select("start", F.array("start").alias("chain"))
+    links = fetched.where("next is not null").select(F.col("url").alias("at"), "next").join(fetched.select(F.col("url").alias("next")), "next", "left_semi")
+    now = now.join(fetched.select(F.col("url").alias("start")), "start", "left_semi")
+    for _ in range(pages - 1):  # a chain that has ended stays as it is
+        step = now.join(links, F.element_at("chain", -1) == F.col("at"), "left")
+        more = F.col("next").isNotNull() & ~F.array_contains("chain", F.col("next"))
+        now = step.select("start", F.when(F.coalesce(more, F.lit(False)), F.array_append("chain", F.col("next"))).otherwise(F.col("chain")).alias("chain"))
+    return now.select("start", F.posexplode("chain").alias("place", "url"))
+
+
 def page_quality(html: Column, body: Column) -> Column:
     """``soft_404``, ``empty_body``, ``no_paragraphs``, ``short_text``, ``low_density``, ``few_paragraphs`` or ``ok``."""
     n = F.regexp_count(html, F.lit(r"(?i)<p[\s>]"))

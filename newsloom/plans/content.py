@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,14 +16,21 @@ from newsloom.operators import retrieval as op
 
 from .registry import query
 from .retrieval import DENSE, dense
+from .text import SPACE, docs
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS heading, length(p_name) >= 20 AS substantive, CASE WHEN p_size <= 3 THEN 0.05 WHEN p_size <= 6 THEN 0.10 ELSE 0.15 END AS threshold FROM part""")
+@query(rf"""WITH a AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), i AS (SELECT id, a, unnest(range(len(a))) AS line FROM a),
+    l AS (SELECT id, line, CASE line % 3 WHEN 0 THEN a[line + 1] WHEN 1 THEN regexp_replace(a[line + 1], '[.]$', ':') ELSE translate(regexp_replace(a[line + 1], '[.]$', ''), '{ascii_lowercase}', '{ascii_lowercase.upper()}') END AS said FROM i), s AS (SELECT *, trim(said) AS s FROM l)
+    SELECT id, line, length(s) BETWEEN 3 AND 80 AND len(list_filter(regexp_split_to_array(s, '{SPACE}+'), lambda w: w <> '')) <= 10 AND NOT regexp_matches(s, '[.!?…]$')
+        AND (regexp_matches(s, '\p{{L}}') AND NOT regexp_matches(s, '\p{{Ll}}') OR ends_with(s, ':') OR starts_with(s, '#')) AS heading,
+      length(s) >= 120 AS substantive, CASE WHEN length(said) <= 3 THEN 0.05 WHEN length(said) <= 6 THEN 0.10 ELSE 0.15 END::DOUBLE AS threshold FROM s""")
 def t13_headings(spark, sf_dir):
-    """T13, T15 and T29."""
-    k = F.col("p_partkey") % 4
-    line = F.when(k == 0, F.upper(F.substring("p_name", 1, 40))).when(k == 1, F.concat(F.lower(F.substring("p_name", 1, 40)), F.lit(":"))).when(k == 2, F.concat(F.upper("p_name"), F.lit("."))).otherwise(F.lower("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", c.is_heading(line).alias("heading"), c.is_substantive(F.col("p_name"), 20).alias("substantive"), t.phrase_threshold(F.col("p_size")).alias("threshold"))
+    """T13, T15 and T29 of every line of every document; a third of the lines end in a colon, and a third are in capitals but for accented letters."""
+    d = docs(spark, sf_dir).select("id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    k, bare = F.col("line") % 3, lambda end: F.regexp_replace("said", "[.]$", end)
+    d = d.withColumn("said", F.when(k == 0, F.col("said")).when(k == 1, bare(":")).otherwise(F.translate(bare(""), ascii_lowercase, ascii_lowercase.upper())))
+    said = F.col("said")
+    return d.select("id", F.col("line").cast("long").alias("line"), c.is_heading(said).alias("heading"), c.is_substantive(said).alias("substantive"), t.phrase_threshold(F.length(said)).cast("double").alias("threshold"))
 
 
 @query(r"SELECT c_custkey, trim(substr(trim(regexp_replace(lower(c_name || ' ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-'), 1, 20), '-') AS slug FROM customer")
@@ -48,23 +57,55 @@ def t38_vector_literals(spark, sf_dir):
     return e.select("vec_id", "literal", F.forall(near, lambda x: F.coalesce(x, F.lit(False))).alias("read_back"))
 
 
-@query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'meta_query' ELSE 'news_query' END AS query_class, event_type || ' topic' AS topic_query, event_type || ',topic' AS keywords, CAST(greatest(1, least(10, user_id)) AS INTEGER) AS "count", CASE WHEN length(event_type) BETWEEN 3 AND 30 THEN event_type ELSE '' END AS critical FROM events""")
-def t39_plans(spark, sf_dir):
-    plan = F.concat(F.lit("Plan:\n```json\n"), F.to_json(F.struct(F.when(F.col("user_id") % 3 == 0, "meta_query").otherwise("nonsense").alias("query_class"), F.concat("event_type", F.lit(" topic")).alias("topic_query"), F.array().cast("array<string>").alias("keywords"), F.col("user_id").cast("int").alias("count"), F.array(F.upper("event_type"), F.lit("invented"), F.lit("x")).alias("critical_entities"))), F.lit("\n```"))
-    p = c.valid_plan(plan, F.concat(F.lit("about "), "event_type", F.lit(" now")))
-    return table(spark, sf_dir, "events").select("event_id", p.alias("p")).select("event_id", "p.query_class", "p.topic_query", F.array_join("p.keywords", ",").alias("keywords"), "p.count", F.array_join("p.critical_entities", ",").alias("critical"))
+#: A turn's text without what JSON is made of.
+SAID_SQL = "translate(coalesce(text, ''), '[]{}', '')"
+WORDS_SQL = f"list_filter(regexp_split_to_array({{}}, '{SPACE.replace('{', '{{').replace('}', '}}')}+'), lambda w: w <> '')"
+
+
+def _said() -> F.Column:
+    return F.translate(F.coalesce("text", F.lit("")), "[]{}", "")
 
 
-@query("SELECT event_id, lower(event_type) || ',k' || user_id AS keywords, CASE WHEN user_id % 2 = 0 THEN 'What is it?' END AS questions FROM events")
+@query(f"""WITH x AS (SELECT conv_id, turn, {SAID_SQL} AS text FROM conversations), w AS (SELECT *, {WORDS_SQL.format("text")} AS w FROM x),
+    p AS (SELECT *, substr(coalesce(nullif(CASE WHEN turn % 2 = 0 THEN trim(string_split(text, chr(10))[1]) ELSE '' END, ''), trim(text)), 1, 200) AS topic, list_transform(list_append(w[2:6], 'no such word'), lambda e: lower(e)) AS e FROM w)
+    SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'meta_query' ELSE 'news_query' END AS query_class, topic AS topic_query, array_to_string((CASE WHEN turn % 4 = 0 AND len(w) > 0 THEN w[1:7] ELSE {WORDS_SQL.format("lower(topic)")} END)[1:5], ',') AS keywords,
+      greatest(1, least(10, length(text) % 20))::INTEGER AS "count", array_to_string(list_transform(list_filter(range(1, len(e) + 1), lambda i: length(e[i]) BETWEEN 3 AND 30 AND contains(lower(text), e[i]) AND list_position(e, e[i]) = i)[1:3], lambda i: e[i]), ',') AS critical, len(w) <= 2 AS short FROM p""")
+def t39_plans(spark, sf_dir):
+    """Every turn's text as a request, and a model's plan for it out of its first line and words, in part useless."""
+    x = table(spark, sf_dir, "conversations").select("conv_id", "turn", _said().alias("text")).withColumn("w", t.words(F.col("text")))
+    given = F.struct(
+        F.when(F.col("turn") % 3 == 0, "meta_query").otherwise("nonsense").alias("query_class"),
+        F.when(F.col("turn") % 2 == 0, F.split("text", "\n")[0]).otherwise(" ").alias("topic_query"),
+        F.when(F.col("turn") % 4 == 0, F.slice("w", 1, 7)).otherwise(F.array(F.lit(" "))).alias("keywords"),
+        (F.length("text") % 20).alias("count"),
+        F.concat(F.slice("w", 2, 5), F.array(F.lit("no such word"))).alias("critical_entities"),
+    )
+    p = x.select("conv_id", "turn", c.valid_plan(F.concat(F.lit("Plan:\n```json\n"), F.to_json(given), F.lit("\n```")), F.col("text")).alias("p"))
+    return p.select("conv_id", "turn", "p.query_class", "p.topic_query", F.array_join("p.keywords", ",").alias("keywords"), "p.count", F.array_join("p.critical_entities", ",").alias("critical"), "p.short")
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, {SAID_SQL} AS text FROM conversations), k AS (SELECT conv_id, turn, list_filter(list_transform({WORDS_SQL.format("text")}[1:8], lambda w: lower(trim(w))), lambda w: length(w) BETWEEN 1 AND 80)[1:5] AS k,
+    list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: length(s) BETWEEN 5 AND 200)[1:3] AS q FROM x)
+    SELECT conv_id, turn, CASE WHEN len(k) > 0 THEN array_to_string(k, ',') END AS keywords, CASE WHEN len(q) > 0 THEN array_to_string(q, ',') END AS questions FROM k""")
 def t41_chunk_keywords(spark, sf_dir):
-    said = F.concat(F.lit('Here: {"keywords": [" '), F.upper("event_type"), F.lit('", "K'), F.col("user_id").cast("string"), F.lit('", ""], "questions": ['), F.when(F.col("user_id") % 2 == 0, '"What is it?", ').otherwise(""), F.lit('"no"]}'))
-    return table(spark, sf_dir, "events").select("event_id", c.chunk_keywords(said).alias("k")).select("event_id", F.array_join("k.keywords", ",").alias("keywords"), F.array_join("k.questions", ",").alias("questions"))
+    """The words and lines of every turn as a model would return them, taken out of its reply."""
+    x = table(spark, sf_dir, "conversations").select("conv_id", "turn", _said().alias("text"))
+    reply = F.to_json(F.struct(F.slice(t.words(F.col("text")), 1, 8).alias("keywords"), F.split("text", "\n").alias("questions")))
+    k = x.select("conv_id", "turn", c.chunk_keywords(F.concat(F.lit("Here: {}\n```json\n"), reply, F.lit("\n```"))).alias("k"))
+    return k.select("conv_id", "turn", F.array_join("k.keywords", ",").alias("keywords"), F.array_join("k.questions", ",").alias("questions"))
+
+
+def _safe_sql() -> str:
+    tags = "|".join(rf"<{x}\b.*?</{x}\s*>" for x in ("script", "style", "iframe", "object", "embed", "form"))
+    handlers = c.HANDLERS.replace("'", "''").replace('\\"', '"')
+    return f"regexp_replace(regexp_replace(html, '(?is)(?:{tags})', '', 'g'), '{handlers}', '', 'g')"
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '(?i)<script')) > 0 AS had, 0 AS scripts FROM pages")
+@query(f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(html, '<h1', '<iframe src="x">' || chr(10) || '</IFRAME ><h1 onclick="f(1)" srcdoc=a') ELSE html END AS html FROM pages) SELECT page_id, sha256({_safe_sql()}) AS safe FROM p""")
 def h7_strip_dangerous(spark, sf_dir):
-    left = c.strip_dangerous(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", (F.regexp_count("html", F.lit("(?i)<script")) > 0).alias("had"), F.regexp_count(left, F.lit("(?i)<script")).alias("scripts"))
+    """Every page's html without its scripts, styles and forms, and without a frame and a handler that half of the pages get."""
+    framed = F.replace("html", F.lit("<h1"), F.lit('<iframe src="x">\n</IFRAME ><h1 onclick="f(1)" srcdoc=a'))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(c.strip_dangerous(F.when(F.col("page_id") % 2 == 0, framed).otherwise(F.col("html"))), 256).alias("safe"))
 
 
 @query("SELECT o_orderkey, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS day FROM orders")

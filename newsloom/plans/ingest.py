@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from newsloom.catalog import scratch, table
+from newsloom.functions import url as u
 from newsloom.operators import claims
 from newsloom.operators import ingest as op
 from newsloom.sources import folders, images, web
@@ -78,6 +79,23 @@ def sc3_sitemap(spark, sf_dir):
     return p.select("page_id", "loc", F.unix_seconds("lastmod").cast("int").alias("lastmod"))
 
 
+@query(f"""WITH RECURSIVE p AS (SELECT url, min(page_id) AS id FROM pages WHERE url IS NOT NULL GROUP BY 1),
+    l AS (SELECT p.url, CASE p.id % 7 WHEN 0 THEN NULL WHEN 1 THEN regexp_extract(p.url, '^https?://[^/?#]*') || '/en/none' ELSE o.url END AS next FROM p LEFT JOIN pages o ON o.page_id = CASE WHEN p.id % 7 = 2 THEN p.id - 1 WHEN p.id % 11 = 3 THEN p.id - 2 ELSE p.id + 1 END),
+    c AS (SELECT url AS start, 0 AS place, url, [url] AS seen FROM p
+      UNION ALL SELECT start, place + 1, l.next, list_append(seen, l.next) FROM c JOIN l ON l.url = c.url JOIN p ON p.url = l.next WHERE place < 4 AND NOT list_contains(seen, l.next))
+    SELECT start, place, url FROM c""")
+def sc5_followed_pages(spark, sf_dir):
+    """Five pages from every page on, by next links to a neighbour of each, to pages that aren't there, and in circles; written in several ways."""
+    p = table(spark, sf_dir, "pages").where("url is not null")
+    first, k = p.groupBy("url").agg(F.min_by("html", "page_id").alias("html"), F.min("page_id").alias("page_id")), F.col("page_id")
+    other = p.select(F.col("page_id").alias("to"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("href"))
+    to = F.when(k % 7 == 0, None).when(k % 7 == 2, k - 1).when(k % 11 == 3, k - 2).otherwise(k + 1)
+    linked = first.withColumn("to", to).join(other, "to", "left").withColumn("href", F.when(k % 7 == 1, "/en/none").otherwise(F.col("href")))
+    tag = F.when(k % 3 == 0, F.format_string('<a class="p" rel="next" href="%s">', "href")).when(k % 3 == 1, F.format_string("<LINK href='%s' data-x=1 REL=next>", "href")).otherwise(F.format_string('<a rel="prev" href="/x"><a href="%s" rel="next">', "href"))
+    html = F.when(F.col("href").isNull(), F.col("html")).otherwise(F.concat("html", tag))
+    return op.follow_next(first.select("url"), linked.select("url", images.absolute(u.next_link(html), F.col("url")).alias("next")))
+
+
 FILE_SQL = "printf('%08d.xml', page_id // 50)"
 
 
@@ -156,8 +174,13 @@ def h8_body_images(spark, sf_dir):
     return images.page_images(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")))
 
 
-@query(f"""SELECT page_id, i AS kind, CASE i WHEN 0 THEN 'https://a.example/b.png' WHEN 1 THEN regexp_extract(url, '^https?:') || '//cdn.example.com/c.png' WHEN 2 THEN {HOST_SQL} || '/d.png' ELSE '' END AS image_url FROM pages CROSS JOIN range(4) r(i)""")
+@query(rf"""WITH s AS (SELECT page_id, coalesce(url, '') AS url, regexp_extract_all(html, 'href="(/[^"/?#;&]*)"', 1) AS a FROM pages), i AS (SELECT *, unnest(range(len(a))) AS place FROM s),
+    x AS (SELECT page_id, url, place, CASE place % 4 WHEN 0 THEN 'https://a.example' WHEN 1 THEN '//cdn.example.com' WHEN 2 THEN '' ELSE '/' END || a[place + 1] AS src FROM i)
+    SELECT page_id, place, CASE WHEN starts_with(src, '//') THEN coalesce(nullif(regexp_extract(url, '^[a-z]+:'), ''), 'https:') || src WHEN starts_with(src, '/') THEN {HOST_SQL} || src ELSE src END AS image_url FROM x""")
 def x6_image_urls(spark, sf_dir):
-    src = F.array(*map(F.lit, ("https://a.example/b.png", "//cdn.example.com/c.png", "/d.png", "")))
-    p = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(src).alias("kind", "src"))
-    return p.select("page_id", "kind", images.absolute(F.col("src"), F.col("url")).alias("image_url"))
+    """The addresses that pages refer to, whole, without scheme, and from the root."""
+    found = F.regexp_extract_all("html", F.lit('href="(/[^"/?#;&]*)"'), F.lit(1))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(found).alias("place", "path"))
+    k = F.col("place") % 4
+    src = F.concat(F.when(k == 0, "https://a.example").when(k == 1, "//cdn.example.com").when(k == 2, "").otherwise("/"), "path")
+    return p.select("page_id", F.col("place").cast("long").alias("place"), images.absolute(src, F.col("url")).alias("image_url"))
\ No newline at end of file

@@ -84,7 +84,13 @@ EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 IP = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
 IBAN = r"\bTR\d{2}(?:\s?\d{4}){5}\s?\d{2}\b|\bTR\d{24}\b"
 UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
-#: All stages of ``r0`` (key, text) but the last, whose pattern looks behind itself, which this SQL can't.
+SPACE = r"[\s\x0B\x85\p{Z}]"
+#: The last stage's pattern looks around itself, which this SQL can't: instead the text gets one mark after whatever is no digit (and at
+#: the start) and another before it (and at the end); between the pattern's characters there may be marks, which are taken out afterwards.
+AFTER, BEFORE = "\ue000", "\ue001"
+PHONE = f"{AFTER}@(?:\\+@9@0@|0@)?(?:(?:{SPACE}|-)@)*(?:\\(@)?(?:\\p{{Nd}}@){{3}}(?:\\)@)?(?:(?:{SPACE}|-)@)*(?:\\p{{Nd}}@){{3}}(?:(?:{SPACE}|-)@)*(?:\\p{{Nd}}@){{2}}(?:(?:{SPACE}|-)@)*\\p{{Nd}}@\\p{{Nd}}{BEFORE}".replace("@", f"[{AFTER}{BEFORE}]*")
+MARKED = f"'{AFTER}' || regexp_replace(regexp_replace(text, '(\\P{{Nd}})', '\\1{AFTER}', 'g'), '([^\\p{{Nd}}{AFTER}])', '{BEFORE}\\1', 'g') || '{BEFORE}'"
+#: All stages of ``r0`` (key, text): r5 after the first five, r6 after the last.
 REDACTED_SQL = ", ".join(
     f"r{i + 1} AS (SELECT * REPLACE (regexp_replace(text, '{p}', '[{m}_redacted]', 'g') AS text), len(regexp_extract_all(text, '{p}')) AS {n} FROM r{i})"
     for i, (n, p, m) in enumerate((("email", EMAIL, "email"), ("iban", IBAN, "iban"), ("uuid", UUID, "ref"), ("ip", IP, "ip")))
@@ -92,6 +98,8 @@ REDACTED_SQL = ", ".join(
         AND ((s[1]::INT + s[3]::INT + s[5]::INT + s[7]::INT + s[9]::INT) * 7 - (s[2]::INT + s[4]::INT + s[6]::INT + s[8]::INT)) % 10 = s[10]::INT
         AND (s[1]::INT + s[2]::INT + s[3]::INT + s[4]::INT + s[5]::INT + s[6]::INT + s[7]::INT + s[8]::INT + s[9]::INT + s[10]::INT) % 10 = s[11]::INT) AS valid FROM r4),
     r5 AS (SELECT * EXCLUDE (valid) REPLACE (list_reduce(list_prepend(text, valid), lambda a, i: replace(a, i, '[id_redacted]')) AS text), len(valid) AS tc FROM ids)"""
+REDACTED_SQL += f""", marked AS (SELECT *, {MARKED} AS m FROM r5),
+    r6 AS (SELECT * EXCLUDE (m) REPLACE (translate(regexp_replace(m, '{PHONE}', '[phone_redacted]', 'g'), '{AFTER}{BEFORE}', '') AS text), len(regexp_extract_all(m, '{PHONE}')) AS phone FROM marked)"""
 
 
 @query(f"WITH r0 AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {REDACTED_SQL} SELECT id, sha256(text) AS redacted, email, iban, uuid, ip, tc FROM r5")
@@ -101,9 +109,9 @@ def t2_redaction_counts(spark, sf_dir):
     return r.select("id", F.sha2("r.text", 256).alias("redacted"), "r.email", "r.iban", "r.uuid", "r.ip", "r.tc")
 
 
-@query()
+@query(f"WITH r0 AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {REDACTED_SQL} SELECT id, sha256(text) AS redacted, email, iban, uuid, ip, tc, phone FROM r6")
 def t2_redacted(spark, sf_dir):
-    """All six stages; the last one has no SQL, ``test_redaction_against_a_plain_version`` holds it."""
+    """All six stages."""
     return docs(spark, sf_dir).select("id", pii.redact(F.col("text")).alias("r")).select("id", F.sha2("r.text", 256).alias("redacted"), *(f"r.{n}" for n, _, _ in pii.STAGES))
 
 
@@ -115,10 +123,10 @@ def t3_national_id(spark, sf_dir):
 
 
 @query(f"""WITH r0 AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), {REDACTED_SQL}
-    SELECT conv_id, turn, role, sha256(text) AS redacted, email + iban + uuid + ip + tc AS n FROM r5""")
+    SELECT conv_id, turn, role, sha256(text) AS redacted, email + iban + uuid + ip + tc + phone AS n FROM r6""")
 def t4_message_redaction(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", pii.redact(F.col("text"), pii.STAGES[:5]).alias("r"))
-    return c.select("conv_id", "turn", "role", F.sha2("r.text", 256).alias("redacted"), sum(F.col(f"r.{n}") for n, _, _ in pii.STAGES[:5]).alias("n"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", pii.redact(F.col("text")).alias("r"))
+    return c.select("conv_id", "turn", "role", F.sha2("r.text", 256).alias("redacted"), sum(F.col(f"r.{n}") for n, _, _ in pii.STAGES).alias("n"))
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM part")
@@ -162,19 +170,36 @@ def t23_levenshtein(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.levenshtein(a, b).cast("long").alias("distance"), F.round(t.normalized_levenshtein(a, b), 6).alias("normalized"))
 
 
-@query("""SELECT p_partkey, 'see [' || p_partkey % 7 || '], [#' || p_size || '], [#' || p_partkey % 3 || '] or [#' || p_partkey % 5 || '], (source 1)' AS repaired FROM part""")
+def _repaired_sql(text: str) -> str:
+    for word, (left, right) in t.CITATIONS:
+        text = f"regexp_replace({text}, '(?i)\\{left}{SPACE}*{word}{SPACE}*[:.\\-]?{SPACE}*(\\d+){SPACE}*\\{right}', '[#\\1]', 'g')"
+    return text
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '[.]', CASE doc_id % 5 WHEN 0 THEN ' ( ID: ' || doc_id || ').' WHEN 1 THEN ' [Kaynak ' || doc_id || ' ].' WHEN 2 THEN ' (ref.' || doc_id || ') [REF 7].' WHEN 3 THEN ' [Source-' || doc_id || '].' ELSE ' (source 1) [' || doc_id || '].' END, 'g') AS text FROM documents),
+    r AS (SELECT id, {_repaired_sql("text")} AS text FROM d) SELECT id, sha256(text) AS repaired, len(regexp_extract_all(text, '\\[#\\d+\\]'))::INTEGER AS n FROM r""")
 def t27_citation_repair(spark, sf_dir):
-    """A number alone in brackets is no citation."""
-    k = lambda n: (F.col("p_partkey") % n).cast("string")
-    s = F.concat(F.lit("see ["), k(7), F.lit("], ( ID: "), F.col("p_size").cast("string"), F.lit("), [Kaynak "), k(3), F.lit("] or (ref."), k(5), F.lit("), (source 1)"))
-    return table(spark, sf_dir, "part").select("p_partkey", t.repair_citations(s).alias("repaired"))
+    """Every full stop of the documents after a citation spoiled in one of several ways; a number alone in brackets is no citation, nor is a source in round ones."""
+    n, k = F.col("id").cast("string"), F.col("id") % 5
+    said = (
+        F.when(k == 0, F.concat(F.lit(" ( ID: "), n, F.lit(")."))).when(k == 1, F.concat(F.lit(" [Kaynak "), n, F.lit(" ]."))).when(k == 2, F.concat(F.lit(" (ref."), n, F.lit(") [REF 7].")))
+        .when(k == 3, F.concat(F.lit(" [Source-"), n, F.lit("]."))).otherwise(F.concat(F.lit(" (source 1) ["), n, F.lit("].")))
+    )
+    r = docs(spark, sf_dir).select("id", t.repair_citations(F.regexp_replace("text", F.lit("[.]"), said)).alias("text"))
+    return r.select("id", F.sha2("text", 256).alias("repaired"), F.regexp_count("text", F.lit(r"\[#\d+\]")).alias("n"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat([(p_size % 9)::BIGINT], range(p_size, p_size + 4)))), ',') AS cited FROM part""")
+@query(r"""WITH d AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '([0-9]+(?:-[0-9]+)?)', '[#\1, W7]', 'g') || '[' || doc_id || '-' || doc_id + doc_id % 150 || ']' AS text FROM documents),
+    p AS (SELECT id, unnest(flatten(list_transform(regexp_extract_all(text, '\[#?W?(\d+(?:\s*[-,]\s*#?W?\d+)*)\]', 1), lambda s: string_split(regexp_replace(s, '[#W\s]', '', 'g'), ',')))) AS p FROM d),
+    e AS (SELECT id, try_cast(split_part(p, '-', 1) AS INTEGER) AS a, try_cast(split_part(p, '-', -1) AS INTEGER) AS b FROM p),
+    n AS (SELECT DISTINCT id, unnest(CASE WHEN b >= a AND b - a < 100 THEN range(a, b + 1) ELSE [a] END) AS n FROM e WHERE a IS NOT NULL)
+    SELECT id, string_agg(n, ',' ORDER BY n) AS cited FROM n GROUP BY 1""")
 def t28_cited_numbers(spark, sf_dir):
-    size = F.col("p_size")
-    s = F.concat(F.lit("x ["), (size % 9).cast("string"), F.lit(", #"), size.cast("string"), F.lit("-"), (size + 3).cast("string"), F.lit("] y"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(t.cited_numbers(s), lambda x: x.cast("string")), ",").alias("cited"))
+    """Every number of the documents' texts, and every pair joined by a hyphen, as a citation, with a range of the document's own at the end."""
+    n = F.col("id")
+    own = F.concat(F.lit("["), n, F.lit("-"), n + n % 150, F.lit("]"))
+    s = F.concat(F.regexp_replace("text", "([0-9]+(?:-[0-9]+)?)", r"[#$1, W7]"), own)
+    return docs(spark, sf_dir).select("id", F.array_join(F.transform(t.cited_numbers(s), lambda x: x.cast("string")), ",").alias("cited"))
 
 
 LOWER_SQL = "lower(replace({}, 'İ', 'i̇'))"  # as Unicode's full mapping has it
