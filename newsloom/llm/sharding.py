@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gapless_rank, staged
+from .common import gapless_rank, small, staged
 
 DIMENSIONS = ("size", "lang", "source", "doc_id")
 VALUE_BITS, TEXT_BITS, ID_BITS, ROUND_BITS = 20, 24, 16, 16
@@ -78,7 +78,7 @@ def _leaves(node: Node) -> list[Node]:
 
 def _with(rows: DataFrame, columns: str, values: list[tuple]) -> DataFrame:
     """``rows`` with the columns of their node: one row of ``values`` for each node, no more than there are shards."""
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(values, f"node int, {columns}")), "node")
+    return rows.join(small(rows.sparkSession.createDataFrame(values, f"node int, {columns}"), len(values)), "node")
 
 
 def grow(rows: DataFrame, leaves: int) -> tuple[Node, DataFrame]:
