@@ -52,6 +52,22 @@ def test_dense_and_all_lists_equal_brute_force(spark, monkeypatch):
     assert vectors.build(b.limit(0)) is None
 
 
+def test_deals_and_parts_equal_brute_force(spark, monkeypatch):
+    """Queries in several deals, rows in several parts: the rows of one task are at most a pool for each of its queries, whatever blocks it reads."""
+    base = vector_rows(900)
+    queries = base[::4]
+    b, q = spark.createDataFrame(base, "id long, vec array<double>"), spark.createDataFrame(queries, "query_id long, qvec array<double>")
+    want = plain_dense(queries, base, 5)
+    monkeypatch.setattr(vectors, "DEAL", 100)
+    monkeypatch.setattr(vectors, "PART", 300)
+    monkeypatch.setattr(vectors, "BATCH", 3)
+    assert close(as_tuples(vectors.dense(q, b, 5)), want)
+    index = vectors.build(b, lists=17)
+    assert close(as_tuples(vectors.indexed(q, index, 5, 17)), want)
+    scored = vectors.best_in_parts(vectors._packs(q), vectors.packed(b, "id", "vec", 8), 5, len(queries), len(base))
+    assert scored.count() <= 5 * len(queries) * -(-len(base) // 300) < 5 * len(queries) * (len(base) // 8)
+
+
 def test_recall_of_the_index(spark):
     e = table(spark, "/root/testdata/sf0.1", "embeddings")
     base, q = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
