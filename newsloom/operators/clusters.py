@@ -92,6 +92,8 @@ class EventFold:
 TILE, SLICE = 16_384, 1024
 #: Rows that pivots are chosen from at most, and pivots at most (they go to every task).
 SAMPLE, PIVOTS = 4096, 512
+#: Seats that a placing task hands on at once, and the share of all pairs from which on pivots are not worth their visitors.
+SEATS, WORTH = 8192, 0.25
 #: Cosines are compared in single precision; what comes this near to a bound is let through to the exact check.
 SLACK = 1e-5
 
@@ -99,30 +101,54 @@ SLACK = 1e-5
 def _forest(a: np.ndarray, b: np.ndarray, same: np.ndarray | None, least: float) -> list[tuple[int, int]]:
     """Links (row of a, row of b) of cosine at least ``least`` that hang together what all such links do."""
     n = len(a)
-    label, out = np.arange(n + len(b)), []
+    up, out = np.arange(n + len(b)), []
+
+    def roots_of(at: np.ndarray) -> np.ndarray:
+        r = up[at]
+        while (over := up[r]).tobytes() != r.tobytes():
+            r = over
+        up[at] = r
+        return r
+
     for at in range(0, n, SLICE):
         near = a[at : at + SLICE] @ b.T >= least - SLACK
         if same is not None:
             near &= same[0][at : at + SLICE, None] == same[1][None, :]
         for i in np.flatnonzero(near.any(1)):
             found = np.flatnonzero(near[i])
-            roots, first = np.unique(label[n + found], return_index=True)
-            new = roots != label[at + i]
+            roots, first = np.unique(roots_of(n + found), return_index=True)
+            root = roots_of(np.array([at + i]))[0]
+            new = roots != root
             if new.any():
                 out += [(at + int(i), int(j)) for j in found[first[new]]]
-                label[np.isin(label, roots)] = label[at + i]
+                up[roots[new]] = root
     return out
 
 
-def pivots_of(rows: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
-    """About the root of ``n`` unit vectors, each the one farthest from those before it, from a sample by hash."""
+def pivots_of(rows: DataFrame, n: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """About the root of ``n`` unit vectors, each the one farthest from those before it, from a sample by hash; and the sample."""
     drawn = rows.orderBy(F.xxhash64("vec", "id"), "id").limit(sample).select("vec").collect()
     x = _units([r["vec"] for r in drawn])
     chosen, near = [0], x @ x[0]
     while len(chosen) < min(PIVOTS, round(n**0.5), len(x)):
         chosen.append(int(near.argmin()))
         near = np.maximum(near, x @ x[chosen[-1]])
-    return x[chosen]
+    return x[chosen], x
+
+
+def _visits(x: np.ndarray, pivots: np.ndarray, twice: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each row, and for each row the cells it is seated in: its home and those before it that lie within reach."""
+    angle = np.arccos(np.clip(x @ pivots.T, -1, 1))
+    home = angle.argmin(1)
+    goes = angle <= angle[np.arange(len(home)), home][:, None] + twice
+    return home, goes & (np.arange(len(pivots))[None, :] <= home[:, None])
+
+
+def _worth(x: np.ndarray, pivots: np.ndarray, twice: float) -> bool:
+    """Whether a sample's rows meet few enough of all pairs by pivots: else plain tiles send far fewer rows."""
+    home, goes = _visits(x, pivots, twice)
+    at_home = np.bincount(home, minlength=len(pivots))
+    return float((at_home * goes.sum(0)).sum()) < WORTH * len(x) ** 2
 
 
 def _units(vectors) -> np.ndarray:
@@ -136,35 +162,61 @@ def dealt(rows: DataFrame, least: float, tile: int = TILE) -> DataFrame:
 
     A row's home is its nearest pivot. A row within an angle t of another, whose home is another cell, is at most 2 t farther from
     that cell's pivot than from its own; only such rows visit a cell, and only cells before their own. Visitors are
-    compared with those at home. Cells of more than ``tile`` rows are dealt on, with every tile of those at home meeting every tile.
+    compared with those at home. Where a sample shows that this leaves too many pairs (vectors without clusters, a low threshold), all rows are one
+    cell. ``vec`` is the unit vector in single precision, as bytes. Cells of more than ``tile`` rows are dealt on, with every tile of those at home meeting every tile.
     """
-    n = rows.count()
-    pivots = pivots_of(rows, n) if least > 0 and n else np.zeros((1, 1))
-    twice = 2 * np.arccos(min(1.0, max(-1.0, least))) + 1e-6
+    n, twice = rows.count(), 2 * np.arccos(min(1.0, max(-1.0, least))) + 1e-6
+    pivots, drawn = pivots_of(rows, n) if least > 0 and n else (None, None)
+    if pivots is None or not _worth(drawn, pivots, twice):
+        return _tiled(rows, tile)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if least <= 0 or not len(pdf):  # everything may be near: one cell
-                yield pdf.assign(cell=0, at_home=True)
-                continue
-            angle = np.arccos(np.clip(_units(pdf.vec) @ pivots.T, -1, 1))
-            home = angle.argmin(1)
-            goes = angle <= angle[np.arange(len(home)), home][:, None] + twice
-            goes &= np.arange(len(pivots))[None, :] <= home[:, None]
-            i, cell = np.nonzero(goes)
-            yield pdf.iloc[i].assign(cell=cell.astype("int32"), at_home=cell == home[i])
-
-    placed = rows.mapInPandas(place, "id long, vec array<double>, block string, cell int, at_home boolean")
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                pdf = whole.iloc[at : at + SLICE]
+                x = _units(pdf.vec)
+                home, goes = _visits(x, pivots, twice)
+                i, cell = np.nonzero(goes)
+                own = _bytes(x)
+                for a in range(0, len(i), SEATS):
+                    k, c = i[a : a + SEATS], cell[a : a + SEATS]
+                    yield pd.DataFrame({"id": pdf.id.to_numpy()[k], "vec": own[k], "block": pdf.block.to_numpy()[k], "cell": c.astype("int32"), "at_home": c == home[k]})
+
+    placed = rows.mapInPandas(place, "id long, vec binary, block string, cell int, at_home boolean")
     sizes = placed.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("at_home").alias("n_home"))
     tiles = lambda c: F.ceil(F.col(c) / F.lit(tile)).cast("int")
     sizes = sizes.where("n_home > 0").select("block", "cell", tiles("n_home").alias("across"), tiles("n_all").alias("down"))
     own, every = lambda k: F.array(F.pmod(F.xxhash64("id"), F.col(k)).cast("int")), lambda k: F.sequence(F.lit(0), F.col(k) - 1)
-    seat = lambda a, b, first: F.struct(a.alias("a"), b.alias("b"), F.lit(first).alias("first"))
-    as_second = F.transform(every("across"), lambda a: seat(a, own("down")[0], False))
-    as_first = F.when(F.col("at_home"), F.transform(every("down"), lambda b: seat(own("across")[0], b, True))).otherwise(F.array().cast("array<struct<a:int,b:int,first:boolean>>"))
+    as_second = F.transform(every("across"), lambda a: _seat(a, own("down")[0], False))
+    as_first = F.when(F.col("at_home"), F.transform(every("down"), lambda b: _seat(own("across")[0], b, True))).otherwise(F.array().cast("array<struct<a:int,b:int,first:boolean>>"))
     return placed.join(sizes, ["block", "cell"]).select("block", "cell", "id", "vec", F.inline(F.concat(as_second, as_first)))
 
 
+def _bytes(x: np.ndarray) -> np.ndarray:
+    """Rows in single precision, each as bytes."""
+    out = np.empty(len(x), object)
+    out[:] = [r.tobytes() for r in x.astype(np.float32)]
+    return out
+
+
+def _seat(a: Column, b: Column, first: bool) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"), F.lit(first).alias("first"))
+
+
+def _tiled(rows: DataFrame, tile: int) -> DataFrame:
+    """Every two rows of a block: tiles of about ``tile`` rows, every two of which meet once, and each itself."""
+
+    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf.id, "vec": _bytes(_units(pdf.vec)) if len(pdf) else [], "block": pdf.block})
+
+    n = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"))
+    placed = rows.mapInPandas(unit, "id long, vec binary, block string").join(n, "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    as_first = F.transform(F.sequence(F.col("own"), F.col("tiles") - 1), lambda b: _seat(F.col("own"), b, True))
+    as_second = F.transform(F.sequence(F.lit(0), F.col("own")), lambda a: _seat(a, F.col("own"), False))
+    return placed.select("block", F.lit(0).alias("cell"), "id", "vec", F.inline(F.concat(as_first, as_second)))
+
+
 def near_components(rows: DataFrame, least: float, tile: int = TILE) -> DataFrame:
     """(id, component): the groups that rows (id, vec, block) of one block form if those of cosine at least ``least``
     are linked, however far apart; the least id of a group names it. Rows that stand alone are left out.
@@ -180,12 +232,14 @@ def near_components(rows: DataFrame, least: float, tile: int = TILE) -> DataFram
     firsts = _cut(alike.select(F.col("first").alias("id"), "vec", "block"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, ids = _units(pdf.vec).astype(np.float32), pdf.id.to_numpy()
+        v, ids = np.frombuffer(b"".join(pdf.vec), np.float32).reshape(len(pdf), -1), pdf.id.to_numpy()
         x, y = np.flatnonzero(pdf["first"]), np.flatnonzero(~pdf["first"])
         links = _forest(v[x], v[y], None, least)
         return pd.DataFrame([(ids[x[i]], ids[y[j]]) for i, j in links if ids[x[i]] != ids[y[j]]], columns=["p", "q"]).astype("int64")
 
-    links = dealt(firsts.where(has_length) if least > 0 else firsts, least, tile).groupBy("block", "cell", "a", "b").applyInPandas(meet, "p long, q long")
+    keys, tasks = ["block", "cell", "a", "b"], 4 * rows.sparkSession.sparkContext.defaultParallelism  # tiles are small to send and long to compare
+    seats = dealt(firsts.where(has_length) if least > 0 else firsts, least, tile).repartition(tasks, *keys)
+    links = seats.groupBy(*keys).applyInPandas(meet, "p long, q long")
     copies = rows.where(has_length) if least > 0 else rows
     copies = copies.join(alike, ["vec", "block"]).where("id <> first").select(F.col("first").alias("p"), F.col("id").alias("q"))
     return propagate(links.unionByName(copies), "p", "q").select(F.col("node").alias("id"), F.col("group").alias("component"))

@@ -69,3 +69,15 @@ def test_sliced_fold_equals_the_single_one(spark):
     for most in (1_000_000, 20):
         got = [(r["article_id"], r["event_id"], r["action"]) for r in clusters.fold_in_slices(df, fold_rows=most).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_vectors_without_clusters_are_sent_in_few_seats(spark):
+    """Where pivots tell nothing apart, rows are seated by tiles: two seats a row and tile pair it belongs to, not one for each pivot; a seat is in single precision."""
+    rng = np.random.default_rng(3)
+    n, dims = 2000, 64
+    df = spark.createDataFrame([(i, rng.normal(size=dims).tolist(), "") for i in range(n)], "id long, vec array<double>, block string")
+    seats = clusters.dealt(df, 0.5, 500)
+    assert seats.count() <= 6 * n
+    assert seats.select(F.max(F.length("vec"))).first()[0] == 4 * dims
+    pairs = seats.groupBy("a", "b").agg(F.count_if("first").alias("x"), F.count_if(~F.col("first")).alias("y"))
+    assert pairs.agg(F.sum(F.col("x") * F.col("y"))).first()[0] < 0.75 * n * n
