@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.catalog import MENTIONS_SQL, mentions, table
+from newsloom.catalog import MENTIONS_SQL, mentions, spread, table
 from newsloom.functions import query as qf
 from newsloom.functions import trend
 from newsloom.operators import entities, retrieval as op
@@ -181,7 +181,7 @@ def e1_extraction(spark, sf_dir):
     kind = lambda w: F.when(F.length(w) % 3 == 0, "PERSON").when(F.length(w) % 3 == 1, "city").otherwise("org")
     j = F.to_json(F.transform(F.regexp_extract_all(text, F.lit("([A-Z][a-z]+)"), F.lit(1)), lambda w: F.struct(w.alias("text"), kind(w).alias("type"))))
     title = F.substring_index(text, "\n", 1)
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), title.alias("title"), F.col("source").alias("subtitle"), F.substr(text, F.length(title) + 2).alias("body"), j.alias("json"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").alias("article_id"), title.alias("title"), F.col("source").alias("subtitle"), F.substr(text, F.length(title) + 2).alias("body"), j.alias("json"))
     return entities.from_extraction(d).select("article_id", "entity_type", "entity_norm", "first_position", "mention_count")
 
 

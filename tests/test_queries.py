@@ -56,3 +56,15 @@ def test_critical_filter_falls_back(spark):
 @pytest.mark.parametrize(("tf", "total"), [(1, 0.1), (2, 0.125)])
 def test_term_rank(spark, tf, total):
     assert one(spark, retrieval.term_rank(F.lit(tf))) == pytest.approx(total / 1.64493406685)
+
+
+def test_extraction_deals_out_names_without_texts(spark):
+    from newsloom.operators import entities
+
+    reply = '[{"text":"Ada","type":"PERSON"},{"text":"ada ","type":"person"},{"text":"Ada","type":"city"},{"text":"x","type":"org"}]'
+    raw = spark.createDataFrame([(1, "On Ada", "paper", "ada and Ada", reply), (2, None, None, "no name", None)], "article_id long, title string, subtitle string, body string, json string")
+    e = entities.from_extraction(raw)
+    assert sorted(tuple(r) for r in e.collect()) == [(1, "Ada", "ada", "misc", "title", 3), (1, "Ada", "ada", "person", "title", 3)]
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[plan.index("Window ") : plan.index("Generate ")]
+    assert "Exchange" in dealt and "whole" not in dealt and "body" not in dealt
