@@ -68,3 +68,13 @@ def test_extraction_deals_out_names_without_texts(spark):
     plan = e._jdf.queryExecution().executedPlan().toString()
     dealt = plan[plan.index("Window ") : plan.index("Generate ")]
     assert "Exchange" in dealt and "whole" not in dealt and "body" not in dealt
+
+
+def test_affinity_meets_only_ranked_rows(spark):
+    """A liked entity named by many articles, of which one is ranked."""
+    ranked = spark.createDataFrame([(1, 5, 0.50, 1), (1, 7, 0.49, 2), (2, 7, 0.4, 1)], "query_id int, id long, score double, rank int")
+    liked = spark.createDataFrame([(1, "x"), (1, "x")], "query_id int, entity string")
+    m = spark.range(6, 3000).select(F.lit("x").alias("entity"), F.col("id").alias("article_id"))
+    got = retrieval.affinity_boost(ranked, liked, m)
+    assert sorted((r["query_id"], r["id"], round(r["score"], 2), r["rank"]) for r in got.collect()) == [(1, 5, 0.5, 2), (1, 7, 0.54, 1), (2, 7, 0.4, 1)]
+    assert retrieval._naming(ranked, liked, m).count() == 1
