@@ -70,6 +70,12 @@ def test_extraction_deals_out_names_without_texts(spark):
     assert "Exchange" in dealt and "whole" not in dealt and "body" not in dealt
 
 
+def test_coverage_leaves_out_only_the_querys_own_row(spark):
+    asked = spark.createDataFrame([(1, "a", "red"), (1, "a", "Ring "), (2, "a", "red"), (3, "b", "red"), (3, "b", "")], "query_id long, `group` string, entity string")
+    chunks = spark.createDataFrame([(1, "a", "a RED ring"), (2, "a", "infrared"), (3, "b", "red"), (4, "b", None)], "id long, `group` string, text string")
+    assert sorted(tuple(r) for r in retrieval.entity_coverage(asked, chunks).collect()) == [(1, 0.5), (2, 1.0), (3, 0.0)]
+
+
 def test_affinity_meets_only_ranked_rows(spark):
     """A liked entity named by many articles, of which one is ranked."""
     ranked = spark.createDataFrame([(1, 5, 0.50, 1), (1, 7, 0.49, 2), (2, 7, 0.4, 1)], "query_id int, id long, score double, rank int")
