@@ -84,3 +84,33 @@ def test_affinity_meets_only_ranked_rows(spark):
     got = retrieval.affinity_boost(ranked, liked, m)
     assert sorted((r["query_id"], r["id"], round(r["score"], 2), r["rank"]) for r in got.collect()) == [(1, 5, 0.5, 2), (1, 7, 0.54, 1), (2, 7, 0.4, 1)]
     assert retrieval._naming(ranked, liked, m).count() == 1
+
+
+def test_entity_stream_equals_the_plain_one(spark):
+    """Rare and common entities, queries of one to four, an entity that no article names, a question asked often; and no query meets all articles of a common entity."""
+    import random
+
+    rng = random.Random(5)
+    mentions = {(f"c{k}", a) for k in range(6) for a in range(400) if rng.random() < 0.35} | {(f"r{k}", a) for k in range(5) for a in rng.sample(range(400), 8)} | {("r0", 7), ("r1", 7)}
+    wanted = {q: set(rng.sample([*(f"c{k}" for k in range(6)), *(f"r{k}" for k in range(5)), "none"], rng.randint(1, 4))) for q in range(60)}
+    wanted |= {100 + q: {"c0", "c1", "c2"} for q in range(5)} | {200: {"c0", "c1", "c2", "c3"}, 201: {"c1", "c3"}, 202: {"r0", "r1", "c0"}}
+    want = set()
+    for q, names in wanted.items():
+        on = {e: {a for x, a in mentions if x == e} for e in names}
+        on = {e: a for e, a in on.items() if a}
+        rare = [e for e in sorted(on, key=lambda e: (len(on[e]), e)) if len(on[e]) < 30]
+        if len(rare) >= 2:
+            every = set.intersection(*(on[e] for e in rare))
+            want |= {(q, "multi_and", a) for a in every} or {(q, "single_rare", a) for a in on[rare[0]]}
+        elif rare:
+            want |= {(q, "single_rare", a) for a in on[rare[0]]}
+        elif len(on) >= 2:
+            every = set.intersection(*on.values())
+            want |= {(q, "multi_and_common", a) for a in every} if len(every) < 30 else set()
+    asked = spark.createDataFrame([(q, e) for q, names in wanted.items() for e in names], "query_id int, entity string")
+    df = spark.createDataFrame([*mentions, *list(mentions)[:50]], "entity string, article_id long")
+    got = [tuple(r) for r in retrieval.ner_targets(asked, df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {m for _, m, _ in want} == {"multi_and", "single_rare", "multi_and_common"}
+    sets = spark.createDataFrame([(["c0", "c1"],)], "entities array<string>")
+    assert retrieval._together(sets, df.distinct(), 1000).count() == len({a for e, a in mentions if e == "c0"} & {a for e, a in mentions if e == "c1"})
