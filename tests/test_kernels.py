@@ -311,3 +311,9 @@ def test_body_images(spark):
     figure = '<figure><img src="g.jpg" alt="Two"><p>Two - by hand</p><aside>no</aside></figure><figure><figcaption>One <b>more</b></figcaption><img src="h.jpg">after</figure>'
     assert found(f"<body>{figure}</body>") == [("https://a.example/x/g.jpg", "Two", "by hand"), ("https://a.example/x/h.jpg", "", "One more")]
     assert [absolute_image(s, "") for s in ("//a/b.png", "", "c.png")] == ["https://a/b.png", "", "c.png"]
+
+
+def test_national_id_with_a_negative_difference(spark):
+    """Seven times the odd digits less than the even ones: the remainder is from 0 to 9, as in the reference."""
+    assert national("120712080") == "12071208056" and national("131718040") == "13171804094"
+    assert many(spark, ["12071208056", "13171804094", "12071208046"], "string", pii.valid_national_id) == [True, True, False]

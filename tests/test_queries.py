@@ -114,3 +114,10 @@ def test_entity_stream_equals_the_plain_one(spark):
     assert {m for _, m, _ in want} == {"multi_and", "single_rare", "multi_and_common"}
     sets = spark.createDataFrame([(["c0", "c1"],)], "entities array<string>")
     assert retrieval._together(sets, df.distinct(), 1000).count() == len({a for e, a in mentions if e == "c0"} & {a for e, a in mentions if e == "c1"})
+
+
+def test_an_event_late_in_a_day_counts_on_that_day(spark, tmp_path):
+    from newsloom import plans
+
+    spark.sql("SELECT 1L AS event_id, TIMESTAMP_NTZ '2024-01-01 23:59:59.7' AS ts, 1L AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in plans.QUERIES["tr16_daily_backfill"](spark, str(tmp_path)).collect()] == [(1704067200, 1)]
