@@ -51,3 +51,14 @@ def test_streams_go_on_from_their_checkpoint(spark):
     assert all(after == "hibernate" for key, after in last.items() if key != 9)
     left = spark.read.format("statestore").option("stateVarName", "tier").load(f"file://{d}/checkpoint")
     assert left.selectExpr("key.key").where("key <> 9").count() == 0
+
+
+def test_a_source_has_one_timer(spark):
+    """However many hours a source is active in, one timer waits for the next change of its counts."""
+    rows = [(u, h * 3600 + u) for u in range(3) for h in range(0, 300, 2)]
+    d = tmp()
+    spark.createDataFrame(rows, "user long, s long").select("user", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{d}/in")
+    got = timed.run_to_table(timed.tier_stream(timed.table_stream(spark, f"file://{d}/in"), "user", "ts", "2 hours"), f"file://{d}")
+    assert got.count() == 6
+    waiting = spark.read.format("statestore").option("readRegisteredTimers", "true").load(f"file://{d}/checkpoint")
+    assert waiting.count() == 3
