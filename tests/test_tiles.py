@@ -68,3 +68,19 @@ def test_codes_meet_without_lookups(spark, monkeypatch):
         found = codes.nearest_codes(q, b, 5, 32 * n)
         assert sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in found.collect()) == want
         assert "flip" not in planned(found) and "piece" not in planned(found)
+
+
+def test_languages_are_told_where_texts_are_read(spark):
+    """Text by text as by joins, rows that repeat an id and null ids included, without a shuffle of trigrams."""
+    from newsloom.operators import language
+
+    rng = np.random.default_rng(9)
+    texts = [(i, " ".join("".join(rng.choice(list("abcçğıİß𝒜é"), int(rng.integers(1, 7)))) + ",2 "[: int(rng.integers(1, 4))] for _ in range(int(rng.integers(0, 60)))), ["aa", "bb", None][i % 3]) for i in range(40)]
+    texts += [(7, "abc " * 30, "aa"), (None, "abc çğı " * 20, "bb"), (60, None, "aa"), (61, "1" * 80, None), (62, "Ж" * 70, None)]
+    df = spark.createDataFrame(texts, "id long, text string, lang string")
+    known = language.profiles(df, most=40)
+    slow = language._ranked(df.where("lang is not null"), "lang", "text", 40)
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, slow.collect()))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((tuple(r) for r in language.detect(df, known, most=40).collect()), key=key) == sorted((tuple(r) for r in language._by_joins(df, known, "id", "text", 40).collect()), key=key)
+    assert "Window" not in planned(language.detect(df.where("id <> 7"), known, most=40))
