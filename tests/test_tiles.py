@@ -84,3 +84,16 @@ def test_languages_are_told_where_texts_are_read(spark):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted((tuple(r) for r in language.detect(df, known, most=40).collect()), key=key) == sorted((tuple(r) for r in language._by_joins(df, known, "id", "text", 40).collect()), key=key)
     assert "Window" not in planned(language.detect(df.where("id <> 7"), known, most=40))
+
+
+@pytest.mark.parametrize("name", ["e5_builder", "e7_enrichment"])
+def test_mentions_are_dealt_by_article(spark, small, monkeypatch, name):
+    """Parts of the mentions are as many as the lines ask for, whatever else holds, and the rows stay those of the SQL."""
+    from newsloom import catalog, plans
+    from tests.oracle import differences
+
+    monkeypatch.setattr(catalog, "LINES", 500)
+    n = -(-spark.read.parquet(f"{small}/lineitem.parquet").count() // 500)
+    df = plans.QUERIES[name](spark, small)
+    assert f", {n}), REPARTITION_BY_NUM" in planned(df)
+    assert differences(df, small, plans.ORACLE_SQL[name]) == []
