@@ -52,9 +52,14 @@ def breaks(u: Column, vectors: Column | None, cfg: SemanticConfig) -> Column:
     if vectors is None:
         return heading
 
+    def like(v: Column, lengths: Column, before: Column, x: Column, i: Column) -> Column:
+        """The cosine; a vector's length is worked out once, not once for each neighbour."""
+        n = F.try_element_at(lengths, before) * F.try_element_at(lengths, i + 1)
+        return F.when(n > 0, vector.dot(F.try_element_at(v, before), x) / n).otherwise(0.0)
+
     def turned(v: Column) -> Column:
-        near = F.transform(v, lambda x, i: F.when((i > 0) & x.isNotNull(), vector.cosine(F.try_element_at(v, F.greatest(i, F.lit(1))), x)))
-        return let(near, lambda s: let(F.array_sort(F.array_compact(s)), lambda known: F.transform(heading, lambda h, i: h | F.coalesce((F.size(known) >= 4) & (F.try_element_at(s, i + 1) < quantile(known, cfg.percentile)) & F.try_element_at(u, i + 1)["first"], F.lit(False)))))
+        near = lambda l: F.transform(v, lambda x, i: F.when((i > 0) & x.isNotNull(), like(v, l, F.greatest(i, F.lit(1)), x, i)))
+        return let(let(F.transform(v, vector.norm), near), lambda s: let(F.array_sort(F.array_compact(s)), lambda known: F.transform(heading, lambda h, i: h | F.coalesce((F.size(known) >= 4) & (F.try_element_at(s, i + 1) < quantile(known, cfg.percentile)) & F.try_element_at(u, i + 1)["first"], F.lit(False)))))
 
     return let(vectors, turned)
 

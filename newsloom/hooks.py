@@ -12,11 +12,10 @@ from newsloom.functions.text import let, words
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A vector of signed word counts by hash."""
-    slot = lambda x: F.pmod(F.xxhash64(x), F.lit(size))
-    sign = lambda x: F.when(F.pmod(F.xxhash64(x, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    # words are hashed once, not once for each place of the vector
-    marks = F.transform(words(F.lower(text)), lambda x: F.struct(slot(x).alias("slot"), sign(x).alias("sign")))
-    at = lambda m, i: F.aggregate(m, F.lit(0.0), lambda s, x: s + F.when(x["slot"] == i, x["sign"]).otherwise(0.0)).cast("float")
+    # a word's slot and sign are one number, hashed once; how many of each there are is what taking them away leaves out
+    sign = lambda x: F.pmod(F.xxhash64(x, F.lit(1)), F.lit(2))
+    marks = F.transform(words(F.lower(text)), lambda x: (F.pmod(F.xxhash64(x), F.lit(size)) * 2 + sign(x)).cast("int"))
+    at = lambda m, i: (F.size(F.array_remove(m, i * 2 + 1)) - F.size(F.array_remove(m, i * 2))).cast("float")
     return let(marks, lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: at(m, i)))
 
 

@@ -97,3 +97,18 @@ def test_mentions_are_dealt_by_article(spark, small, monkeypatch, name):
     df = plans.QUERIES[name](spark, small)
     assert f", {n}), REPARTITION_BY_NUM" in planned(df)
     assert differences(df, small, plans.ORACLE_SQL[name]) == []
+
+
+def test_offline_embedding_looks_at_no_word_for_each_place(spark):
+    """Signed counts of words by hash, as plain loops have them; no fold over the words within each of the places."""
+    from newsloom.hooks import hashed_embedding
+
+    texts = ["the cat and The dog, the end", "", None, "a a a b", "ı İ ß " * 30]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    w = df.select("i", F.explode(F.filter(F.split(F.lower(F.coalesce("t", F.lit(""))), r"(?U)\s+"), lambda x: x != "")).alias("w"))
+    want = {i: [0.0] * 64 for i in range(len(texts))}
+    for i, slot, sign in w.select("i", F.pmod(F.xxhash64("w"), F.lit(64)), F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2))).collect():
+        want[i][slot] += -1.0 if sign else 1.0
+    got = df.select("i", hashed_embedding(F.col("t")).alias("v"))
+    assert {r["i"]: r["v"] for r in got.collect()} == want
+    assert "aggregate(" not in planned(got)
