@@ -505,6 +505,28 @@ def test_op9_as_the_library(result, docs_rows):
         assert r["decoded_sha256"] == sha(t.decode(ids, skip_special_tokens=False)), d
 
 
+def test_op9_short_words_merge_in_step(monkeypatch):
+    """Words at every length around the rows' sizes, as the library; only those longer than a row have a tree of their own."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from newsloom.llm import bpe
+
+    path = q.tokenizer("word_bpe_49k.json")
+    t, coder, alone = Tokenizer.from_file(path), bpe.Bpe(path), []
+    one = coder.encode_word
+    monkeypatch.setattr(coder, "encode_word", lambda w: alone.append(w) or one(w))
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeinorsthéı漢"), n)) for n in (*range(1, 70), *rng.integers(1, 12, 2000).tolist())]
+    texts = [None, "", "the" * 21, "<|endoftext|>A<|x|>", "<|ENDOFTEXT|>\x1cΑΣ ΑΣ.\xa0b", *words, " ".join(words)]
+    for _ in range(2):  # the second time from the table
+        ids, said = coder.encode(pa.array(texts, pa.string()))
+        for x, a, b in zip(texts, bpe._views(ids, 0), bpe._views(said, 1), strict=True):
+            want = t.encode(x or "", add_special_tokens=False).ids
+            assert np.frombuffer(a, "<u4").tolist() == want and bytes(b).decode() == t.decode(want, skip_special_tokens=False), x
+    assert alone and all(len(w.encode()) > bpe.ROW_BYTES for w in alone) and len(alone) == len(set(alone))
+
+
 def conversations():
     rows = []
     rng = np.random.default_rng(9)
