@@ -24,6 +24,9 @@ STAGES = (
     ("tc", NATIONAL, "[id_redacted]"),
     ("phone", PHONE, "[phone_redacted]"),
 )
+#: What every match of a pattern holds: a fixed string, and whether a digit too. A text without them is not searched.
+DIGIT = r"(?U)\d"
+HOLDS = {EMAIL: ("@", False), IBAN: ("TR", True), UUID: ("-", False), IP: (".", True), NATIONAL: ("", True), PHONE: ("", True)}
 
 
 def valid_national_id(c: Column) -> Column:
@@ -37,21 +40,27 @@ def valid_national_id(c: Column) -> Column:
 
 def redact(text: Column, stages: tuple = STAGES) -> Column:
     """A struct of the redacted ``text`` and a count for each stage. A national id that fails its checksum is
-    left as it is: its stage goes through the matches and the parts between them."""
-    state = F.struct(F.coalesce(text, F.lit("")).alias("text"))
-    for i, (name, pattern, mark) in enumerate(stages):
-        state = let(state, _stage([n for n, _, _ in stages[:i]], name, pattern, mark))
-    return state
+    left as it is: its stage goes through the matches and the parts between them. No mark holds a digit, so a text without one stays so."""
 
+    def chain(t: Column) -> Column:
+        state = F.struct(t["text"].alias("text"))
+        for i, (name, pattern, mark) in enumerate(stages):
+            state = let(state, _stage([n for n, _, _ in stages[:i]], name, pattern, mark, t["digit"]))
+        return state
 
-def _stage(done: list[str], name: str, pattern: str, mark: str) -> Callable[[Column], Column]:
-    return lambda s: _redacted(s, done, name, pattern, mark)
+    return let(let(F.coalesce(text, F.lit("")), lambda t: F.struct(t.alias("text"), F.rlike(t, F.lit(DIGIT)).alias("digit"))), chain)
 
 
-def _redacted(s: Column, done: list[str], name: str, pattern: str, mark: str) -> Column:
+def _stage(done: list[str], name: str, pattern: str, mark: str, digit: Column) -> Callable[[Column], Column]:
+    return lambda s: _redacted(s, done, name, pattern, mark, digit)
+
+
+def _redacted(s: Column, done: list[str], name: str, pattern: str, mark: str, digit: Column) -> Column:
     out, counts = s["text"], [s[n].alias(n) for n in done]
+    held, digits = HOLDS.get(pattern, ("", False))
+    may = (digit if digits else F.lit(True)) & F.contains(out, F.lit(held))
     if name != "tc":
-        n = F.regexp_count(out, F.lit(pattern)).cast("long")
+        n = F.when(may, F.regexp_count(out, F.lit(pattern))).otherwise(0).cast("long")
         return let(n, lambda n: F.struct(F.when(n > 0, F.regexp_replace(out, pattern, mark)).otherwise(out).alias("text"), *counts, n.alias(name)))
     found = F.transform(F.regexp_extract_all(out, F.lit(f"({pattern})"), F.lit(1)), lambda m: F.struct(m.alias("m"), valid_national_id(m).alias("v")))
 
@@ -61,4 +70,5 @@ def _redacted(s: Column, done: list[str], name: str, pattern: str, mark: str) ->
         whole = F.when(F.exists(f, lambda x: x["v"]), F.concat(F.element_at(pieces, 1), F.array_join(joined, ""))).otherwise(out)
         return F.struct(whole.alias("text"), *counts, F.size(F.filter(f, lambda x: x["v"])).cast("long").alias(name))
 
-    return let(found, rebuilt)
+    none = F.struct(out.alias("text"), *counts, F.lit(0).cast("long").alias(name))
+    return F.when(may, let(found, rebuilt)).otherwise(none)

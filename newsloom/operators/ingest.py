@@ -35,7 +35,7 @@ def clean(docs: DataFrame, cfg: EngineConfig = DEFAULT, has_date: Column | None
     (id, text); paragraphs are lines where the text has no blank ones."""
     d = docs.select("id", F.coalesce("text", F.lit("")).alias("raw"))
     d = d.withColumn("bp", F.when(F.contains("raw", F.lit("\n\n")), t.remove_boilerplate(F.col("raw"))).otherwise(t.remove_boilerplate(F.col("raw"), "\n")))
-    d = d.withColumn("r", redact(F.col("bp.text"))).withColumn("clean", F.trim(F.regexp_replace(F.regexp_replace("r.text", r"[ \t]+", " "), r"\n{3,}", "\n\n")))
+    d = d.withColumn("r", redact(F.col("bp.text"))).withColumn("clean", F.trim(F.regexp_replace(F.regexp_replace("r.text", r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n")))
     d = d.withColumn("lang", t.language(F.col("clean")))
     score = t.quality(F.length("clean"), F.col("bp.removed"), has_date if has_date is not None else F.lit(False), F.col("lang.confidence"))
     counts = [F.col(f"r.{k}").alias(k) for k in ("email", "iban", "uuid", "ip", "tc", "phone")]

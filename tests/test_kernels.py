@@ -317,3 +317,31 @@ def test_national_id_with_a_negative_difference(spark):
     """Seven times the odd digits less than the even ones: the remainder is from 0 to 9, as in the reference."""
     assert national("120712080") == "12071208056" and national("131718040") == "13171804094"
     assert many(spark, ["12071208056", "13171804094", "12071208046"], "string", pii.valid_national_id) == [True, True, False]
+
+
+def test_language_cuts_a_text_once(spark):
+    """Its words are neither cut for each language nor again where the counts are used; a plain count gives the same."""
+    texts = ["", "kısa", "der Mann und die Frau in dem Haus von der Stadt zu den Leuten", "x " * 40, "Ve bir\tbu için\u2003ile the of and " * 3, "de de de la la und the of and to in is that for bu"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    found = df.select("i", t.language(F.col("t")).alias("l"))
+    assert found._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    for r in found.collect():
+        w = texts[r["i"]].lower().split()
+        n = {c: sum(x in s for x in w) for c, s in t.STOP_WORDS.items()}
+        best = max((k, c) for c, k in n.items())
+        total = sum(n.values())
+        want = ("tr", 0.0) if len(texts[r["i"]]) < 50 or not total else (best[1], best[0] / total)
+        assert tuple(r["l"]) == want, texts[r["i"]]
+
+
+def test_redaction_searches_texts_that_can_match(spark):
+    """Each stage alone in a text, with digits of other scripts too, and what holds only part of what a match needs."""
+    cases = {
+        "a@b.com": "email", "TR12 3456 7890 1234 5678 9012 34": "iban", "abcdefab-abcd-abcd-abcd-abcdefabcdef": "uuid", "10.0.0.1": "ip", "10000000146": "tc",
+        "٥٣٢-١٢٣-٤٥-٦٧": "phone", "TR no digits": None, "a-b . @": None, "1 TR @ - .": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", pii.redact(F.col("t")).alias("r"))
+    for r in df.collect():
+        counts = {n: r["r"][n] for n, _, _ in pii.STAGES}
+        assert counts == {n: int(n == cases[r["t"]]) for n in counts} and (r["r"]["text"] == r["t"]) == (cases[r["t"]] is None), r
+    assert set(pii.HOLDS) == {p for _, p, _ in pii.STAGES}
