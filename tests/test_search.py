@@ -153,3 +153,64 @@ def test_rollup_counts_any_span(spark):
         for what, i in (("article", 1), ("source", 2)):
             got = {r["k"]: r["n"] for r in trends.distinct_of(rolled.where(F.col("bucket").between(low, high - 1)), what, ["k"], "n").collect()}
             assert got == {k: len({r[i] for r in span if r[0] == k} - {None}) for k in {r[0] for r in span}}
+
+
+def test_postings_of_few_terms_stay_in_their_text(spark, monkeypatch):
+    """Words that aren't asked for are dropped where they stand: no row for each word, no join. Beyond a batch, and from words cut before, the rows are the same."""
+    from newsloom.operators import retrieval
+
+    texts = [(1, "The cat, the CAT and a dog"), (2, None), (3, ""), (4, "dog-cat dog"), (4, "dog"), (5, "İstanbul é x1")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    terms = spark.createDataFrame([("cat",), ("dog",), ("dog",), ("é",), ("",), (None,)], "term string")
+    want = [("cat", 1, 2), ("cat", 4, 1), ("dog", 1, 1), ("dog", 4, 3), ("é", 5, 1)]
+    found = retrieval.postings(docs, terms=terms)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(found) == want
+    cut = docs.select("id", F.split(F.lower("text"), r"[^\p{L}\p{N}]+").alias("w"))
+    assert rows(retrieval.postings(cut, "w", terms)) == want
+    assert rows(retrieval.postings(docs, terms=terms.limit(0))) == []
+    monkeypatch.setattr(retrieval, "BATCH", 1)
+    assert rows(retrieval.postings(docs, terms=terms)) == want
+
+
+def test_chunk_search_reads_written_chunks_apart_from_vectors(spark, small, monkeypatch):
+    """Texts are cut into words once, into a written table; they neither travel to their vectors nor are cut again where they are read. The same rows
+    beyond a batch of words."""
+    from newsloom import plans
+    from newsloom.operators import retrieval
+
+    given, search = [], retrieval.chunk_search
+    monkeypatch.setattr(retrieval, "chunk_search", lambda q, chunks, *a, **k: given.append(chunks) or search(q, chunks, *a, **k))
+    rows = sorted(map(tuple, plans.QUERIES["r1_chunk_search"](spark, small).collect()), key=str)
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "vec" not in given[0].columns and "Join" not in plan and "split(" not in plan
+    monkeypatch.setattr(retrieval, "BATCH", 3)
+    assert rows and sorted(map(tuple, plans.QUERIES["r1_chunk_search"](spark, small).collect()), key=str) == rows
+
+
+def test_keyword_stream_keeps_only_words_asked_for(spark, monkeypatch):
+    """Against plain loops, with nulls, repeats and no queries; the same beyond a batch. No other keyword is sent on."""
+    from newsloom.operators import retrieval
+
+    chunks = [(1, ["Red", "red", "steel", None], ["Big RED thing?", "steel"]), (2, None, ["red"]), (3, ["plated"], None), (4, [], ["no", None]), (5, ["x"] * 50 + ["steel", "other"], ["a steely red\u2003day"])]
+    asked = [(1, "red thing", ["red", "steel", "red", ""]), (2, "none", ["zzz"]), (3, "x", []), (4, "a", ["plated", "x"])]
+    c = spark.createDataFrame(chunks, "id long, keywords array<string>, questions array<string>")
+    q = spark.createDataFrame(asked, "query_id int, phrase string, words array<string>")
+    want = []
+    for qid, phrase, ws in asked:
+        found = []
+        for i, ks, qs in chunks:
+            low, qs = [k.lower() for k in ks or () if k], [x.lower() for x in qs or () if x is not None]
+            if set(ws) & ({w for x in qs for w in x.split()} | set(low)):
+                found.append((-any(phrase in x for x in qs), -sum(any(w in x for x in qs) for w in set(ws)), ks is None, -sum(k in ws for k in low), i))
+        want += [(qid, i, n + 1, bool(m), -o, None if none else -k) for n, (m, o, none, k, i) in enumerate(sorted(found))]  # without keywords after those with none asked for
+    got = lambda: sorted((r["query_id"], r["id"], r["rank"], bool(r["q_match"]), r["overlap"], r["kw_match"]) for r in retrieval.keyword_stream(q, c, 30).collect())
+    assert got() == sorted(want)
+    sent, cut = [], retrieval._cut
+    monkeypatch.setattr(retrieval, "_cut", lambda df: sent.append(cut(df)) or sent[-1])
+    assert got() == sorted(want)
+    assert sorted(k for r in sent[0].collect() for k in r["kw"] or ()) == ["plated", "red", "red", "steel", "steel"] + ["x"] * 50
+    assert retrieval.keyword_stream(q.limit(0), c, 30).count() == 0
+    monkeypatch.setattr(retrieval, "BATCH", 2)
+    assert got() == sorted(want)
