@@ -121,3 +121,16 @@ def test_an_event_late_in_a_day_counts_on_that_day(spark, tmp_path):
 
     spark.sql("SELECT 1L AS event_id, TIMESTAMP_NTZ '2024-01-01 23:59:59.7' AS ts, 1L AS user_id").write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in plans.QUERIES["tr16_daily_backfill"](spark, str(tmp_path)).collect()] == [(1704067200, 1)]
+
+
+def test_coverage_asks_for_every_part(spark, tmp_path):
+    """Parts whose keys are no multiples of 20 are asked for as well."""
+    from newsloom import plans
+
+    from .oracle import differences
+
+    rows = [(1, "red ring", "A", "BIG"), (2, "red bolt", "A", "SMALL"), (19, "Plate big", "A", "x"), (20, "red red", "B", "x"), (21, "ring", "B", "wired"), (40, " ", "B", "x"), (41, "lone", "C", "lone")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = plans.QUERIES["r21_entity_coverage"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0.5), (2, 0.5), (19, 0.5), (20, 1.0), (21, 0.0), (41, 0.0)]
+    assert differences(got, str(tmp_path), plans.ORACLE_SQL["r21_entity_coverage"]) == []
