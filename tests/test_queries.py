@@ -134,3 +134,29 @@ def test_coverage_asks_for_every_part(spark, tmp_path):
     got = plans.QUERIES["r21_entity_coverage"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0.5), (2, 0.5), (19, 0.5), (20, 1.0), (21, 0.0), (41, 0.0)]
     assert differences(got, str(tmp_path), plans.ORACLE_SQL["r21_entity_coverage"]) == []
+
+
+@pytest.mark.parametrize(("pairs", "size", "batch"), [(20_000, 4 << 20, 1000), (7, 60, 1000), (7, 60, 0)])
+def test_ends_of_groups_equal_contains(spark, monkeypatch, pairs, size, batch):
+    """One bucket and many; a group of many words and texts is cut into parts and slices; words of one group stand in texts of another; groups without words or texts; nulls."""
+    import random
+
+    from newsloom.operators import patterns
+
+    monkeypatch.setattr(patterns, "AUTOMATON", pairs)
+    monkeypatch.setattr(patterns, "SLICE_BYTES", size)
+    monkeypatch.setattr(patterns, "BATCH", batch)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abç ") for _ in range(n))
+    group = lambda: "hot" if rng.random() < 0.5 else f"g{rng.randrange(12)}"
+    texts = [(group(), word(rng.randint(0, 12)), i, i + rng.randrange(5)) for i in range(300)] + [("texts only", "abc", 1, 2), (None, "ab", 1, 1), ("hot", None, 1, 999), ("hot", "a", None, None)]
+    wanted = [(group(), word(rng.randint(1, 4))) for _ in range(200)] + [("words only", "a"), (None, "a"), ("hot", ""), ("hot", None), ("hot", "a")]
+    pairs = spark.createDataFrame(list(set(wanted)), "`group` string, pattern string")
+    got = patterns.ends(spark.createDataFrame(texts, "`group` string, text string, least long, most long"), pairs, pairs.count())
+    want = {}
+    for g, p in set(wanted):
+        on = [(a, b) for x, t, a, b in texts if g and p and x == g and t and p in t and a is not None]
+        if on:
+            want[g, p] = (min(a for a, _ in on), max(b for _, b in on))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and {r[:2]: r[2:] for r in rows} == want
